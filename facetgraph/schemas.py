@@ -1,0 +1,14 @@
+"""Schemas of the tables that pass between operators (DDL strings)."""
+
+SOURCE_FILE = "path STRING, content STRING"
+ENTITY = "filename STRING, class STRING, attributes STRING, methods STRING"
+RELATION_MAP = "class STRING, relations STRING"
+COOCCURRENCE_MAP = "class STRING, functional_co_occurrences STRING"
+RELATION = "src STRING, dst STRING, score BIGINT"
+TEXT_VIEW = "class_name STRING, concatenated_text STRING"
+CLEAN_TEXT = "class_name STRING, cleaned_text STRING"
+VIEW = "i STRING, j STRING, w DOUBLE"
+FACTORS = "i STRING, f STRING, v DOUBLE"
+ASSIGNMENT = "entity STRING, cluster STRING"
+SWEEP_SCORES = "k INT, silhouette_score DOUBLE, calinski_harabasz_score DOUBLE"
+QUALITY = "metric STRING, value DOUBLE"
