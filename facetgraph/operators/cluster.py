@@ -149,7 +149,7 @@ def embedding(stack: Stack, weights: Sequence[float], basis: Basis) -> DataFrame
 
 
 def spectral_sweep(
-    stack: Stack, weights: Sequence[float], ks: Sequence[int], n_init: int = 50, tol: float = 1e-9, basis: Basis | None = None
+    stack: Stack, weights: Sequence[float], ks: Sequence[int], n_init: int = 50, tol: float = 1e-5, basis: Basis | None = None
 ) -> DataFrame:
     """Spectral partitions (k, entity, cluster) for all ``ks`` from one eigenbasis.
 

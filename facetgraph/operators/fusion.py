@@ -41,7 +41,7 @@ class Fusion:
         return spark.createDataFrame(list(self.weights.items()), "view string, weight double")
 
 
-def self_weighted(views: dict[str, DataFrame], entities: DataFrame, k: int, variant: str = "current", tol: float = 1e-9) -> Fusion:
+def self_weighted(views: dict[str, DataFrame], entities: DataFrame, k: int, variant: str = "current", tol: float = 1e-5) -> Fusion:
     """Learn the view weights.
 
     From uniform weights: combine, take the k smallest eigenvectors, measure every view by its
@@ -150,7 +150,7 @@ def expand(view: DataFrame, mapping: DataFrame, size: int, known: int, original:
     ).filter("w <> 0").select("r", "c", "w")
     mean = view.agg((F.coalesce(F.sum("w"), F.lit(0.0)) / F.lit(float(original * original))).alias("m")).scalar()
     spark = view.sparkSession
-    grid = spark.range(size).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).cast("bigint").alias("c"))
+    grid = spark.range(size).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))).alias("c"))
     known_pair = (F.col("r") < known) & (F.col("c") < known)
     fill = F.when(F.col("r") == F.col("c"), 1.0).otherwise(mean * F.when(known_pair, 0.7).otherwise(0.5))
     return grid.join(placed, ["r", "c"], "left").select("r", "c", F.coalesce("w", fill).alias("w"))

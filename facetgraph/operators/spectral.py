@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,165 +19,201 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .views import both_directions
 
 SLICE_ROWS = 2_000_000
 PARTITION_ROWS = 500_000
 
 
+@dataclass
+class Walk:
+    """Matrix rows, partitioned and kept by their source columns, ready to meet a basis.
+
+    ``hot`` lists sources with very many rows; their rows are cut into slices and their basis row
+    is copied per slice, so that no task gets more than ``SLICE_ROWS`` rows of one source.
+    """
+
+    rows: DataFrame
+    source: list[str]
+    hot: DataFrame | None = None
+
+    @classmethod
+    def build(cls, rows: DataFrame, source: list[str], spread: str, slice_rows: int) -> Walk:
+        counts = rows.groupBy(*source).agg(F.count("*").alias("c"))
+        total, most = counts.agg(F.sum("c"), F.max("c")).first()
+        hot = None
+        if most and most > slice_rows:
+            heavy = counts.filter(F.col("c") > slice_rows)
+            hot = cut(heavy.select(*source, F.ceil(F.col("c") / slice_rows).cast("int").alias("slices")))
+            rows = rows.join(hot, source, "left").withColumn(
+                "slice", F.pmod(F.xxhash64(spread), F.coalesce("slices", F.lit(1))).cast("int")
+            ).drop("slices")
+        keys = [*source, "slice"] if hot is not None else source
+        configured = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = max(configured, (total or 0) // PARTITION_ROWS)
+        return cls(rows.repartition(n, *keys).sortWithinPartitions(*keys).persist(), source, hot)
+
+    def meet(self, columns: Sequence, basis: DataFrame) -> DataFrame:
+        """``columns`` of the matrix rows beside the basis row of their source."""
+        if self.hot is None:
+            return self.rows.select(*self.source, *columns).join(basis, self.source)
+        copied = basis.join(self.hot, self.source, "left").withColumn(
+            "slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))
+        ).drop("slices")
+        keys = [*self.source, "slice"]
+        return self.rows.select(*keys, *columns).join(copied, keys)
+
+
 @dataclass
 class Stack:
     """Aligned views in the form the matrix steps need.
 
-    ``edges`` (i, j, a0..aV-1, di0.., dj0..): cells of the sparse views, symmetric, both degrees of
-    every view, and one diagonal row per entity (zero unless the diagonal is kept).
-    ``factors`` (i, f, g, v, di0..): rows of the factor views, ``g`` the index of the view.
-    ``nodes`` (i, d0.., q0..): degrees, and the squared row norm of factor views.
+    ``cells`` leads from (g, j) to i: rows with g = -1 are cells of the sparse views (a0.., and one
+    diagonal row per entity), rows with g >= 0 lead from a feature of the factor view g. ``reach``
+    leads from i to (g, f) and passes entities on to themselves; it is there only with factor
+    views. Every row carries the degrees of its ends per view (di0.., dj0..).
+    ``nodes`` has (i, d0.., q0..): degrees, and squared row norms of the factor views.
     """
 
     names: list[str]
-    edges: DataFrame
+    cells: Walk
     nodes: DataFrame
     n: int
     keep_diagonal: bool = False
-    factors: DataFrame | None = None
+    reach: Walk | None = None
     factor_views: list[int] = field(default_factory=list)
-    hot: DataFrame | None = None
 
 
-def _partitions(df: DataFrame, rows: int) -> int:
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(configured, rows // PARTITION_ROWS)
+def _gather_factors(views: dict[str, DataFrame], grams: list[str], everyone: DataFrame) -> DataFrame:
+    """Rows (i, g, f, v) of all factor views, ``g`` the index of the view."""
+    names = list(views)
+    parts = [
+        views[n].join(everyone, "i", "left_semi").select("i", F.lit(names.index(n)).alias("g"), F.col("f").cast("string").alias("f"), "v")
+        for n in grams
+    ]
+    return cut(reduce(DataFrame.unionByName, parts))
+
+
+def _gather_cells(views: dict[str, DataFrame], sparse: list[str], everyone: DataFrame, keep_diagonal: bool) -> DataFrame:
+    """Mean-symmetrised cells (i, j, a0..) of all views side by side, with every diagonal cell."""
+    names = list(views)
+    count = range(len(names))
+    rows = everyone.select("i", F.col("i").alias("j"), *[F.lit(0.0).alias(f"a{v}") for v in count])
+    for name in sparse:
+        kept = views[name] if keep_diagonal else views[name].filter(F.col("i") != F.col("j"))
+        both = both_directions(kept, "i", "j", (F.col("w") / 2).alias("w"))
+        here = [(F.col("w") if n == name else F.lit(0.0)).alias(f"a{v}") for v, n in enumerate(names)]
+        rows = rows.unionByName(both.select("i", "j", *here))
+    wide = rows.groupBy("i", "j").agg(*[F.sum(f"a{v}").alias(f"a{v}") for v in count])
+    known = wide.join(everyone, "i", "left_semi").join(everyone.withColumnRenamed("i", "j"), "j", "left_semi")
+    return cut(known.select("i", "j", *[f"a{v}" for v in count]))
 
 
 def stack_views(
     views: dict[str, DataFrame], entities: DataFrame, keep_diagonal: bool = False, slice_rows: int = SLICE_ROWS
 ) -> Stack:
-    """Build the stack from named views: sparse (i, j, w), both directions stored, or factors (i, f, v)."""
-    names = list(views)
-    spark = entities.sparkSession
-    everyone = entities.select("i").distinct()
-    sparse = [n for n in names if "j" in views[n].columns]
-    grams = [n for n in names if n not in sparse]
+    """Build the stack from named views: cells (i, j, w) or factors (i, f, v), and the entities (i).
 
-    def spread(name: str, df: DataFrame) -> DataFrame:
-        cells = [F.col("w") if n == name else F.lit(0.0) for n in names]
-        return df.select("i", "j", *[c.alias(f"a{v}") for v, c in enumerate(cells)])
+    Entities are keyed as strings. Degrees are linear in the view weights, so they are taken once
+    per view; the ones of a factor view come from its feature sums.
+    """
+    names = list(views)
+    count = range(len(names))
+    everyone = entities.select(F.col("i").cast("string").alias("i")).distinct()
+    grams = [n for n in names if "j" not in views[n].columns]
+    wide = _gather_cells(views, [n for n in names if n not in grams], everyone, keep_diagonal)
 
-    rows = everyone.select("i", F.col("i").alias("j"), *[F.lit(0.0).alias(f"a{v}") for v in range(len(names))])
-    for name in sparse:
-        cells = views[name] if keep_diagonal else views[name].filter(F.col("i") != F.col("j"))
-        half = cells.withColumn("w", F.col("w") / 2)
-        mirrored = half.select(F.inline(F.array(F.struct("i", "j", "w"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "w"))))
-        rows = rows.unionByName(spread(name, mirrored))
-    wide = rows.groupBy("i", "j").agg(*[F.sum(f"a{v}").alias(f"a{v}") for v in range(len(names))])
-    wide = wide.join(everyone, "i", "left_semi").join(everyone.withColumnRenamed("i", "j"), "j", "left_semi")
-    wide = cut(wide)
-
-    sums = wide.groupBy("i").agg(*[F.sum(f"a{v}").alias(f"d{v}") for v in range(len(names))], *[F.lit(0.0).alias(f"q{v}") for v in range(len(names))])
+    sums = wide.groupBy("i").agg(*[F.sum(f"a{v}").alias(f"d{v}") for v in count], *[F.lit(0.0).alias(f"q{v}") for v in count])
     factors = None
     if grams:
-        parts = []
-        for name in grams:
-            v = names.index(name)
-            kept = views[name].join(everyone, "i", "left_semi")
-            parts.append(kept.select("i", F.col("f").cast("string").alias("f"), F.lit(v).alias("g"), F.col("v").alias("v")))
-        factors = parts[0]
-        for part in parts[1:]:
-            factors = factors.unionByName(part)
-        factors = cut(factors)
+        factors = _gather_factors(views, grams, everyone)
         totals = factors.groupBy("g", "f").agg(F.sum("v").alias("t"))
-        reach = factors.join(totals, ["g", "f"]).groupBy("i", "g").agg(F.sum(F.col("v") * F.col("t")).alias("r"), F.sum(F.col("v") * F.col("v")).alias("q"))
-        extra = []
-        for v in range(len(names)):
-            here = F.col("g") == v
-            own = F.lit(0.0) if keep_diagonal else F.col("q")
-            extra.append(F.sum(F.when(here, F.col("r") - own).otherwise(0.0)).alias(f"d{v}"))
-            extra.append(F.sum(F.when(here, F.col("q")).otherwise(0.0)).alias(f"q{v}"))
-        sums = sums.unionByName(reach.groupBy("i").agg(*extra)).groupBy("i").agg(
-            *[F.sum(f"{c}{v}").alias(f"{c}{v}") for c in "dq" for v in range(len(names))]
+        met = factors.join(totals, ["g", "f"]).groupBy("i", "g").agg(
+            F.sum(F.col("v") * F.col("t")).alias("r"), F.sum(F.col("v") * F.col("v")).alias("q")
+        )
+        own = F.lit(0.0) if keep_diagonal else F.col("q")
+        extra = [F.sum(F.when(F.col("g") == v, F.col("r") - own).otherwise(0.0)).alias(f"d{v}") for v in count]
+        extra += [F.sum(F.when(F.col("g") == v, F.col("q")).otherwise(0.0)).alias(f"q{v}") for v in count]
+        sums = sums.unionByName(met.groupBy("i").agg(*extra)).groupBy("i").agg(
+            *[F.sum(f"{c}{v}").alias(f"{c}{v}") for c in "dq" for v in count]
         )
     nodes = cut(sums)
-    left = nodes.select("i", *[F.col(f"d{v}").alias(f"di{v}") for v in range(len(names))], *[f"q{v}" for v in range(len(names))])
-    right = nodes.select(F.col("i").alias("j"), *[F.col(f"d{v}").alias(f"dj{v}") for v in range(len(names))])
-    n_edges, n = wide.count(), nodes.count()
-    edges = wide.join(left, "i").join(right, "j")
+    ends = nodes.select("i", *[F.col(f"d{v}").alias(f"di{v}") for v in count], *[f"q{v}" for v in count])
+    starts = nodes.select(F.col("i").alias("j"), *[F.col(f"d{v}").alias(f"dj{v}") for v in count])
+    cells = wide.join(ends, "i").join(starts, "j").withColumns({"g": F.lit(-1), "v": F.lit(0.0)})
+    reach = None
     if factors is not None:
-        factors = factors.join(left, "i")
-
-    # entities with very many cells are walked in slices: their basis row is copied per slice
-    heavy = wide.groupBy("j").agg(F.count("*").alias("c")).filter(F.col("c") > slice_rows)
-    heavy = heavy.select("j", F.ceil(F.col("c") / slice_rows).cast("int").alias("slices"))
-    hot = None
-    if heavy.limit(1).count():
-        hot = cut(heavy)
-        edges = edges.join(hot, "j", "left").withColumn(
-            "slice", F.pmod(F.xxhash64("i"), F.coalesce("slices", F.lit(1))).cast("int")
-        ).drop("slices")
-    keys = ["j", "slice"] if hot is not None else ["j"]
-    edges = edges.repartition(_partitions(edges, n_edges), *keys).persist()
-    if factors is not None:
-        factors = factors.repartition(_partitions(factors, n), "i").persist()
-    return Stack(names, edges, nodes, n, keep_diagonal, factors, [names.index(g) for g in grams], hot)
+        blank = {**{f"a{v}": F.lit(0.0) for v in count}, **{f"dj{v}": F.lit(0.0) for v in count}}
+        led = factors.join(ends, "i")
+        cells = cells.unionByName(led.withColumnRenamed("f", "j").withColumns(blank))
+        kept = led.select("i", "g", "f", "v", *[f"di{v}" for v in count])
+        passed = nodes.select("i", F.lit(-1).alias("g"), F.col("i").alias("f"), F.lit(1.0).alias("v"), *[F.lit(0.0).alias(f"di{v}") for v in count])
+        reach = Walk.build(kept.unionByName(passed), ["i"], "f", slice_rows)
+    source = ["g", "j"] if grams else ["j"]
+    return Stack(names, Walk.build(cells, source, "i", slice_rows), nodes, nodes.count(), keep_diagonal, reach, [names.index(g) for g in grams])
 
 
 def unstack(stack: Stack) -> None:
-    stack.edges.unpersist()
-    if stack.factors is not None:
-        stack.factors.unpersist()
+    """Release the kept matrix rows."""
+    stack.cells.rows.unpersist()
+    if stack.reach is not None:
+        stack.reach.rows.unpersist()
 
 
 def _factor(weights: Sequence[float], prefix: str, keep_diagonal: bool) -> Column:
     """``d^-1/2`` of the combined degree."""
-    d = sum((F.lit(float(w)) * F.col(f"{prefix}{v}") for v, w in enumerate(weights)), F.lit(0.0))
+    d = _sum_of(weights, prefix)
     if keep_diagonal:
         return 1 / F.sqrt(F.when(d == 0, 1e-10).otherwise(d))
     return F.when(d > 0, 1 / F.sqrt(d)).otherwise(0.0)
 
 
-def _sum_of(weights: Sequence[float], prefix: str, only: Sequence[int]) -> Column:
-    return sum((F.lit(float(weights[v])) * F.col(f"{prefix}{v}") for v in only), F.lit(0.0))
+def _sum_of(weights: Sequence[float], prefix: str, only: Sequence[int] | None = None) -> Column:
+    chosen = range(len(weights)) if only is None else only
+    return sum((F.lit(float(weights[v])) * F.col(f"{prefix}{v}") for v in chosen if weights[v]), F.lit(0.0))
 
 
 def _columns(m: int, name: str = "y") -> list[str]:
     return [f"{name}{c}" for c in range(m)]
 
 
-def _aligned(stack: Stack, basis: DataFrame) -> DataFrame:
-    """The basis keyed by ``j``, copied per slice for heavy entities."""
-    keyed = basis.withColumnRenamed("i", "j")
-    if stack.hot is None:
-        return keyed
-    return keyed.join(stack.hot, "j", "left").withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))
-    ).drop("slices")
+def _own() -> Column:
+    return (F.col("g") == -1) & (F.col("i") == F.col("j"))
 
 
-def _step(stack: Stack, basis: DataFrame, weights: Sequence[float], m: int, alpha: float, beta: float, also_input: bool = False) -> DataFrame:
-    """``alpha * y + beta * N y`` with N the combined normalised affinity; optionally y itself as x0..."""
+def _affinity(stack: Stack, weights: Sequence[float]) -> Column:
+    """Normalised affinity of a row of ``cells``; with factor views the second half of their product."""
     kd = stack.keep_diagonal
     si, sj = _factor(weights, "di", kd), _factor(weights, "dj", kd)
-    own = F.col("i") == F.col("j")
-    cell = _sum_of(weights, "a", range(len(weights)))
-    self_term = F.lit(0.0) if kd else _sum_of(weights, "q", stack.factor_views)
-    coefficient = F.lit(float(beta)) * si * sj * (cell - F.when(own, self_term).otherwise(0.0)) + F.when(own, F.lit(float(alpha))).otherwise(0.0)
-    keys = ["j", "slice"] if stack.hot is not None else ["j"]
-    moved = stack.edges.select(*keys, "i", coefficient.alias("c"), own.alias("own")).join(_aligned(stack, basis), keys)
-    ys = _columns(m)
-    if stack.factors is None:
-        sums = [F.sum(F.col("c") * F.col(y)).alias(y) for y in ys]
-        if also_input:
-            sums += [F.sum(F.when(F.col("own"), F.col(y)).otherwise(0.0)).alias(f"x{c}") for c, y in enumerate(ys)]
-        return moved.groupBy("i").agg(*sums)
-    # factor views: entity -> feature sums, then feature -> entity, beside the sparse cells
-    half = stack.factors.select("i", "f", "g", (F.col("v") * _factor(weights, "di", kd)).alias("c"))
-    gathered = half.join(basis, "i").groupBy("g", "f").agg(*[F.sum(F.col("c") * F.col(y)).alias(y) for y in ys])
-    by_view = F.lit(0.0)
+    self_term = F.lit(0.0) if kd else F.when(_own(), _sum_of(weights, "q", stack.factor_views)).otherwise(0.0)
+    cell = (_sum_of(weights, "a") - self_term) * si * sj
     for v in stack.factor_views:
-        by_view = F.when(F.col("g") == v, F.lit(float(beta * weights[v]))).otherwise(by_view)
-    returned = half.join(gathered, ["g", "f"]).select("i", *[(by_view * F.col("c") * F.col(y)).alias(y) for y in ys], *([F.lit(0.0).alias(f"x{c}") for c in range(m)] if also_input else []))
-    direct = moved.select("i", *[(F.col("c") * F.col(y)).alias(y) for y in ys], *([F.when(F.col("own"), F.col(y)).otherwise(0.0).alias(f"x{c}") for c, y in enumerate(ys)] if also_input else []))
-    outs = ys + ([f"x{c}" for c in range(m)] if also_input else [])
-    return direct.unionByName(returned).groupBy("i").agg(*[F.sum(o).alias(o) for o in outs])
+        cell = F.when(F.col("g") == v, F.lit(float(weights[v])) * F.col("v") * si).otherwise(cell)
+    return cell
+
+
+def _pass_on(stack: Stack, basis: DataFrame, weights: Sequence[float], ys: list[str]) -> DataFrame:
+    """First half step: feature sums of the scaled basis next to the basis itself, keyed (g, j)."""
+    if stack.reach is None:
+        return basis.withColumnRenamed("i", "j")
+    c = F.when(F.col("g") == -1, 1.0).otherwise(F.col("v") * _factor(weights, "di", stack.keep_diagonal))
+    met = stack.reach.meet(["g", F.col("f").alias("j"), c.alias("c")], basis)
+    return met.groupBy("g", "j").agg(*[F.sum(F.col("c") * F.col(y)).alias(y) for y in ys])
+
+
+def _step(stack: Stack, basis: DataFrame, weights: Sequence[float], m: int, alpha: float, beta: float, also_input: bool = False) -> DataFrame:
+    """``alpha * y + beta * N y`` with N the combined normalised affinity; optionally y itself as x0...
+
+    The basis is referenced once, so a chain of steps stays a chain in the plan.
+    """
+    ys = _columns(m)
+    c = F.lit(float(beta)) * _affinity(stack, weights) + F.when(_own(), F.lit(float(alpha))).otherwise(0.0)
+    extra = [_own().alias("own")] if also_input else []
+    met = stack.cells.meet(["i", c.alias("c"), *extra], _pass_on(stack, basis, weights, ys))
+    sums = [F.sum(F.col("c") * F.col(y)).alias(y) for y in ys]
+    if also_input:
+        sums += [F.sum(F.when(F.col("own"), F.col(y)).otherwise(0.0)).alias(f"x{n}") for n, y in enumerate(ys)]
+    return met.groupBy("i").agg(*sums)
 
 
 def _gram(df: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
@@ -224,11 +261,11 @@ def upper_bound(stack: Stack, weights: Sequence[float]) -> float:
     push an eigenvalue up.
     """
     kd = stack.keep_diagonal
-    si = _factor(weights, "di", kd)
-    sparse = F.abs(_sum_of(weights, "a", range(len(weights)))) * si * si
-    own = F.col("i") == F.col("j")
-    self_term = F.lit(0.0) if kd else F.abs(_sum_of(weights, "q", stack.factor_views)) * si * si
-    per = stack.edges.groupBy("i").agg(F.sum(sparse + F.when(own, self_term).otherwise(0.0)).alias("r"))
+    scale = _factor(weights, "di", kd) * _factor(weights, "di", kd)
+    size = F.abs(_sum_of(weights, "a"))
+    if not kd:
+        size = size + F.when(_own(), F.abs(_sum_of(weights, "q", stack.factor_views))).otherwise(0.0)
+    per = stack.cells.rows.filter(F.col("g") == -1).groupBy("i").agg(F.sum(size * scale).alias("r"))
     return 1.0 + float(per.agg(F.max("r")).first()[0] or 0.0)
 
 
@@ -251,87 +288,103 @@ class Basis:
     rows: DataFrame
     k: int
     width: int
+    high: float = 0.0
 
     def gap(self) -> float:
         """Distance to the next eigenvalue; 0 means the wanted space is not unique."""
         return float(self.values[self.k] - self.values[self.k - 1]) if len(self.values) > self.k else float("inf")
 
 
+def _project(projected: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ritz values, rotation and residual norms of the basis x with its images y = L x."""
+    xs, ys = _columns(m, "x"), _columns(m, "y")
+    blocks = _gram(projected, xs + ys, xs + ys)
+    scale = 1 / np.sqrt(np.maximum(np.diag(blocks)[:m], 1e-300))
+    blocks = blocks * np.outer(np.tile(scale, 2), np.tile(scale, 2))
+    g, h, hh = blocks[:m, :m], blocks[:m, m:], blocks[m:, m:]
+    s, q = np.linalg.eigh((g + g.T) / 2)
+    kept = s > 1e-12 * s[-1]
+    white = q[:, kept] / np.sqrt(s[kept])
+    values, turn = np.linalg.eigh(white.T @ ((h + h.T) / 2) @ white)
+    rotation = white @ turn
+    residual = np.sqrt(np.maximum(np.diag(rotation.T @ hh @ rotation) - values**2, 0))
+    return values, scale[:, None] * rotation, residual
+
+
 def smallest_eigenvectors(
     stack: Stack,
     weights: Sequence[float],
     k: int,
     start: Basis | None = None,
-    guard: int | None = None,
+    width: int = 32,
     degree: int = 8,
     max_rounds: int = 30,
-    tol: float = 1e-9,
+    tol: float = 1e-5,
 ) -> Basis:
     """The k smallest eigenpairs of the combined normalised Laplacian.
 
-    Filtered subspace iteration: a polynomial that damps the unwanted part of the spectrum is
-    applied as a chain of matrix steps (one Spark job), then the basis is projected and rotated.
-    Ends when the residual bound of every wanted eigenvalue is below ``tol``.
+    Filtered subspace iteration on a basis of ``width`` columns (more for k over 24): a polynomial
+    that damps the unwanted part of the spectrum is applied as a chain of matrix steps, one Spark
+    job, then the basis is projected and rotated. Ends when the residual norm of every wanted
+    vector is below ``tol``; an eigenvalue is then off by the square of that over its gap.
     """
-    m = min(stack.n, k + (guard if guard is not None else max(4, k // 2)))
     if k > stack.n:
         raise ValueError(f"{k} eigenvectors of {stack.n} entities")
-    high = upper_bound(stack, weights)
-    rows = start.rows if start is not None and start.width == m else _start(stack, m)
-    low = float(min(start.values[-1], 0.9 * high)) if start is not None and start.width == m else 0.5 * high
+    m = min(stack.n, max(width, k + 8))
+    limit = upper_bound(stack, weights)
+    xs = _columns(m, "x")
+    warm = start is not None and start.width == m
+    rows = start.rows if warm else _start(stack, m)
+    low, high = (float(start.values[-1]), start.high) if warm else (0.0, 0.0)
     values = np.zeros(m)
     for round_ in range(max_rounds):
         y = rows
-        if m < stack.n or round_ == 0:
-            for root in _chebyshev_roots(low, high, degree) if m < stack.n else []:
+        if m < stack.n and high > 0:
+            for root in _chebyshev_roots(low, high, degree):
                 y = _step(stack, y, weights, m, alpha=1 - 1 / root, beta=1 / root)
         # the last step keeps the basis x and gives L x = x - N x as y
         projected = cut(_step(stack, y, weights, m, alpha=1.0, beta=-1.0, also_input=True))
-        xs, ys = _columns(m, "x"), _columns(m, "y")
-        blocks = _gram(projected, xs + ys, xs + ys)
-        g, h, hh = blocks[:m, :m], blocks[:m, m:], blocks[m:, m:]
-        scale = 1 / np.sqrt(np.maximum(np.diag(g), 1e-300))
-        g, h, hh = g * np.outer(scale, scale), h * np.outer(scale, scale), hh * np.outer(scale, scale)
-        s, q = np.linalg.eigh((g + g.T) / 2)
-        kept = s > 1e-12 * s[-1]
-        white = q[:, kept] / np.sqrt(s[kept])
-        values, turn = np.linalg.eigh(white.T @ ((h + h.T) / 2) @ white)
-        rotation = white @ turn
-        residual = np.diag(rotation.T @ hh @ rotation) - values**2
-        rank = rotation.shape[1]
-        rows = _rotate(projected, xs, scale[:, None] * rotation)
+        values, rotation, residual = _project(projected, m)
+        rank = len(values)
+        rows = _rotate(projected, xs, rotation)
+        if m == stack.n or (rank >= k and residual[:k].max() < tol):
+            break
         if rank < m:
             fresh = [(F.xxhash64("i", F.lit(1000 * (round_ + 1) + c)) / F.lit(float(2**63))).alias(f"y{c}") for c in range(rank, m)]
             rows = rows.select("i", *_columns(rank), *fresh)
-        settled = rank >= k and np.sqrt(np.maximum(residual[:k], 0)).max() < np.sqrt(tol)
-        if settled or m == stack.n:
-            break
-        low = float(np.clip(values[-1], 1e-3 * high, 0.9 * high))
+        # the basis also sees the upper end: its largest value plus residual, never past the bound
+        high = max(high, min(limit, float((values + residual).max())))
+        low = float(np.clip(values[-1], 1e-3 * high, 0.8 * high)) if round_ else 0.5 * high
     if len(values) < m:
         rows = rows.select("i", *_columns(len(values)))
-    return Basis(values, rows, k, len(values))
+    return Basis(values, rows, k, len(values), high)
 
 
 def trace_losses(stack: Stack, basis: Basis) -> np.ndarray:
-    """``Tr(H' L_v H)`` of every single view for the k wanted vectors, in one pass per view kind.
+    """``Tr(H' L_v H)`` of every single view for the k wanted vectors.
 
-    The Laplacians are not formed: ``sum |h_i|^2 - sum n_ij <h_i, h_j>``.
+    The Laplacians are not formed: ``sum |h_i|^2 - sum n_ij <h_i, h_j>``. Cells give the second
+    sum of all sparse views in one pass; for factor views it is the size of their scaled feature
+    sums.
     """
     n_views, k, kd = len(stack.names), basis.k, stack.keep_diagonal
     ys = _columns(k)
-    h = basis.rows.select("i", *ys)
-    keys = ["j", "slice"] if stack.hot is not None else ["j"]
+    h = cut(basis.rows.select("i", *ys))
 
-    def one(v: int, prefix: str) -> Column:
-        return _factor([1.0 if u == v else 0.0 for u in range(n_views)], prefix, kd)
+    def alone(v: int) -> list[float]:
+        return [1.0 if u == v else 0.0 for u in range(n_views)]
 
-    own = F.col("i") == F.col("j")
     cells = []
     for v in range(n_views):
-        q = F.lit(0.0) if kd or v not in stack.factor_views else F.when(own, F.col(f"q{v}")).otherwise(0.0)
-        cells.append((one(v, "di") * one(v, "dj") * (F.col(f"a{v}") - q)).alias(f"c{v}"))
-    moved = stack.edges.select(*keys, "i", own.alias("own"), *cells).join(_aligned(stack, h), keys)
-    mixed = moved.groupBy("i").agg(
+        q = F.lit(0.0)
+        if not kd and v in stack.factor_views:
+            q = F.when(_own(), F.col(f"q{v}")).otherwise(0.0)
+        cells.append((_factor(alone(v), "di", kd) * _factor(alone(v), "dj", kd) * (F.col(f"a{v}") - q)).alias(f"c{v}"))
+    keyed = h.withColumnRenamed("i", "j")
+    if stack.reach is not None:
+        keyed = keyed.withColumn("g", F.lit(-1))
+    met = stack.cells.meet(["i", _own().alias("own"), *cells], keyed)
+    mixed = met.groupBy("i").agg(
         *[F.sum(F.col(f"c{v}") * F.col(y)).alias(f"{y}_{v}") for v in range(n_views) for y in ys],
         *[F.sum(F.when(F.col("own"), F.col(y)).otherwise(0.0)).alias(y) for y in ys],
     )
@@ -341,13 +394,12 @@ def trace_losses(stack: Stack, basis: Basis) -> np.ndarray:
         *[F.sum(sum((F.col(y) * F.col(f"{y}_{v}") for y in ys), F.lit(0.0))).alias(f"t{v}") for v in range(n_views)],
     ).first()
     losses = np.array([sums["norm"] - sums[f"t{v}"] for v in range(n_views)], dtype=float)
-    if stack.factors is not None:
-        own_scale = F.lit(0.0)
+    if stack.reach is not None:
+        scale = F.lit(0.0)
         for v in stack.factor_views:
-            own_scale = F.when(F.col("g") == v, one(v, "di")).otherwise(own_scale)
-        gathered = stack.factors.select("i", "f", "g", (F.col("v") * own_scale).alias("c")).join(h, "i").groupBy("g", "f").agg(
-            *[F.sum(F.col("c") * F.col(y)).alias(y) for y in ys]
-        )
+            scale = F.when(F.col("g") == v, _factor(alone(v), "di", kd)).otherwise(scale)
+        met = stack.reach.meet(["g", "f", (F.col("v") * scale).alias("c")], h).filter(F.col("g") >= 0)
+        gathered = met.groupBy("g", "f").agg(*[F.sum(F.col("c") * F.col(y)).alias(y) for y in ys])
         for row in gathered.groupBy("g").agg(F.sum(squares).alias("t")).collect():
             losses[row.g] -= row.t
     return losses

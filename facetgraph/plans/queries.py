@@ -254,7 +254,7 @@ def l1_fusion_3iter(spark: SparkSession, sf: str) -> DataFrame:
 def _words(spark: SparkSession, sf: str) -> DataFrame:
     """Class-like names: each capitalised word of a text joined to the one after it."""
     caps = w.documents(spark, sf).select(text.capitalised_words(F.col("text")).alias("c"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda n: F.concat(F.element_at("c", n), F.element_at("c", n + 1)))
+    pairs = F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: F.concat(a, b))
     return caps.filter(F.size("c") > 1).select(F.explode(F.concat("c", pairs)).alias("class"))
 
 
