@@ -41,7 +41,7 @@ class Fusion:
         return spark.createDataFrame(list(self.weights.items()), "view string, weight double")
 
 
-def self_weighted(views: dict[str, DataFrame], entities: DataFrame, k: int, variant: str = "current", tol: float = 1e-5) -> Fusion:
+def self_weighted(views: dict[str, DataFrame], entities: DataFrame, k: int, variant: str = "current", tol: float = 3e-4) -> Fusion:
     """Learn the view weights.
 
     From uniform weights: combine, take the k smallest eigenvectors, measure every view by its

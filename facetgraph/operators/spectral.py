@@ -22,6 +22,8 @@ from ..session import cut
 from .views import both_directions
 
 SLICE_ROWS = 2_000_000
+# up to this many entities the basis spans everything and one projection is exact
+FULL_BASIS = 128
 PARTITION_ROWS = 500_000
 
 
@@ -316,21 +318,21 @@ def smallest_eigenvectors(
     weights: Sequence[float],
     k: int,
     start: Basis | None = None,
-    width: int = 32,
+    width: int = 16,
     degree: int = 8,
     max_rounds: int = 30,
     tol: float = 1e-5,
 ) -> Basis:
     """The k smallest eigenpairs of the combined normalised Laplacian.
 
-    Filtered subspace iteration on a basis of ``width`` columns (more for k over 24): a polynomial
+    Filtered subspace iteration on a basis of ``width`` columns (more for k over 8): a polynomial
     that damps the unwanted part of the spectrum is applied as a chain of matrix steps, one Spark
     job, then the basis is projected and rotated. Ends when the residual norm of every wanted
     vector is below ``tol``; an eigenvalue is then off by the square of that over its gap.
     """
     if k > stack.n:
         raise ValueError(f"{k} eigenvectors of {stack.n} entities")
-    m = min(stack.n, max(width, k + 8))
+    m = stack.n if stack.n <= FULL_BASIS else min(stack.n, max(width, k + 8))
     limit = upper_bound(stack, weights)
     xs = _columns(m, "x")
     warm = start is not None and start.width == m
