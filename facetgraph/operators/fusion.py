@@ -145,6 +145,7 @@ def expand(view: DataFrame, mapping: DataFrame, size: int, known: int, original:
     the view times 0.7 between the first ``known`` positions and times 0.5 elsewhere. The result
     is the full grid by definition, built row by row from the positions.
     """
+    view = cut(view)
     placed = view.join(mapping.select("i", F.col("position").alias("r")), "i").join(
         mapping.select(F.col("i").alias("j"), F.col("position").alias("c")), "j"
     ).filter("w <> 0").select("r", "c", "w")

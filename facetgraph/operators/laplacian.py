@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import views
 
 
@@ -27,8 +28,7 @@ def normalized_laplacian(view: DataFrame, entities: DataFrame, keep_diagonal: bo
     With ``keep_diagonal`` the diagonal stays and a degree of exactly 0 counts as 1e-10.
     """
     sym = symmetrise_mean(view)
-    if not keep_diagonal:
-        sym = sym.filter(F.col("i") != F.col("j"))
+    sym = cut(sym if keep_diagonal else sym.filter(F.col("i") != F.col("j")))
     everyone = entities.select("i").distinct()
     d = everyone.join(degrees(sym, keep_diagonal=True), "i", "left").select("i", F.coalesce("degree", F.lit(0.0)).alias("d"))
     if keep_diagonal:

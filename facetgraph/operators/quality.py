@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def _dim(assignment: DataFrame, cluster_dim: DataFrame | None) -> DataFrame:
     return (cluster_dim if cluster_dim is not None else assignment).select("cluster").distinct()
@@ -25,11 +27,13 @@ def located_edges(relation: DataFrame, assignment: DataFrame) -> DataFrame:
     return relation.join(one, "src").join(two, "dst").select("src", "dst", "score", "cs", "ct")
 
 
+def _links(located: DataFrame) -> DataFrame:
+    return located.groupBy("cs", "ct").agg(F.count("*").alias("edges"), F.sum("score").alias("weight"))
+
+
 def cluster_links(relation: DataFrame, assignment: DataFrame) -> DataFrame:
     """Edge count and weight per (source cluster, target cluster)."""
-    return located_edges(relation, assignment).groupBy("cs", "ct").agg(
-        F.count("*").alias("edges"), F.sum("score").alias("weight")
-    )
+    return _links(located_edges(relation, assignment))
 
 
 def _modularity(links: DataFrame, assignment: DataFrame, cluster_dim: DataFrame | None, variant: str) -> DataFrame:
@@ -68,10 +72,14 @@ def inter_call_share(relation: DataFrame, assignment: DataFrame) -> DataFrame:
     return _inter_share(cluster_links(relation, assignment))
 
 
+def _interfaces(located: DataFrame) -> DataFrame:
+    crossing = located.filter(F.col("cs") != F.col("ct"))
+    return crossing.select(F.col("dst").alias("entity"), F.col("ct").alias("cluster")).distinct()
+
+
 def interface_entities(relation: DataFrame, assignment: DataFrame) -> DataFrame:
     """Entities with an incoming edge from another cluster."""
-    crossing = located_edges(relation, assignment).filter(F.col("cs") != F.col("ct"))
-    return crossing.select(F.col("dst").alias("entity"), F.col("ct").alias("cluster")).distinct()
+    return _interfaces(located_edges(relation, assignment))
 
 
 def _per_cluster(total: DataFrame, assignment: DataFrame, cluster_dim: DataFrame | None, value: Column, name: str) -> DataFrame:
@@ -81,7 +89,11 @@ def _per_cluster(total: DataFrame, assignment: DataFrame, cluster_dim: DataFrame
 
 def interface_number(relation: DataFrame, assignment: DataFrame, cluster_dim: DataFrame | None = None) -> DataFrame:
     """Mean number of interface entities per cluster."""
-    total = interface_entities(relation, assignment).agg(F.count("*").alias("n"))
+    return _mean_interfaces(located_edges(relation, assignment), assignment, cluster_dim)
+
+
+def _mean_interfaces(located: DataFrame, assignment: DataFrame, cluster_dim: DataFrame | None) -> DataFrame:
+    total = _interfaces(located).agg(F.count("*").alias("n"))
     return _per_cluster(total, assignment, cluster_dim, F.col("n"), "ifn")
 
 
@@ -95,8 +107,9 @@ def size_imbalance(assignment: DataFrame, cluster_dim: DataFrame | None = None,
 def quality(
     relation: DataFrame, assignment: DataFrame, cluster_dim: DataFrame | None = None, variant: str = "counts"
 ) -> DataFrame:
-    """The four metrics as rows (metric, value)."""
-    links = cluster_links(relation, assignment)
+    """The four metrics as rows (metric, value); the joined edges are computed once."""
+    located = cut(located_edges(relation, assignment))
+    links = _links(located)
 
     def row(name: str, df: DataFrame, column: str) -> DataFrame:
         return df.select(F.lit(name).alias("metric"), F.col(column).cast("double").alias("value"))
@@ -104,6 +117,6 @@ def quality(
     return (
         row("SM", _modularity(links, assignment, cluster_dim, variant), "sm")
         .unionByName(row("ICP", _inter_share(links), "icp"))
-        .unionByName(row("IFN", interface_number(relation, assignment, cluster_dim), "ifn"))
+        .unionByName(row("IFN", _mean_interfaces(located, assignment, cluster_dim), "ifn"))
         .unionByName(row("NED", size_imbalance(assignment, cluster_dim), "ned"))
     )

@@ -9,34 +9,58 @@ from ..functions import fixed, text
 from . import entities as ent
 
 
-def _names(entities: DataFrame, key: str) -> DataFrame:
-    return entities.select(F.col(key).alias("dst")).distinct()
+def _scored(names: Column, score: int) -> Column:
+    return F.transform(names, lambda t: F.struct(t.alias("dst"), F.lit(score).cast("bigint").alias("points")))
 
 
-def _edges(rows: DataFrame, names: DataFrame, score: int | Column) -> DataFrame:
-    """Keep targets that are entities; the score travels with the row, nothing is grouped yet."""
-    value = F.lit(score) if isinstance(score, int) else score
-    return rows.join(names, "dst", "left_semi").select("src", "dst", value.cast("bigint").alias("score"))
+def _parents(content: str) -> Column:
+    return _scored(F.filter(text.parent_names(F.col(content)), lambda t: t != ""), fixed.INHERITANCE_SCORE)
+
+
+def _types(attributes: str, methods: str) -> Column:
+    """The attribute score where the attributes mention the type, else the signature score."""
+    held = F.array_distinct(text.capitalised_words(F.col(attributes)))
+    called = F.array_except(text.capitalised_words(F.col(methods)), held)
+    return F.concat(_scored(held, fixed.ATTRIBUTE_SCORE), _scored(called, fixed.METHOD_SIGNATURE_SCORE))
+
+
+def _constructed(content: str, closed: bool) -> Column:
+    names = text.constructed_names(F.col(content))
+    if not closed:
+        return _scored(names, fixed.INSTANTIATION_SCORE)
+    return F.transform(
+        F.array_distinct(names),
+        lambda t: F.struct(
+            t.alias("dst"),
+            (
+                F.regexp_count(F.col(content), F.concat(F.lit(r"(?Ud)\bnew\s+"), t, F.lit(r"\s*\(.*?\)")))
+                * F.lit(fixed.INSTANTIATION_SCORE).cast("bigint")
+            ).alias("points"),
+        ),
+    )
+
+
+def _others(candidates: Column, key: str) -> Column:
+    return F.filter(candidates, lambda c: (c["dst"] != F.col(key)) & (c["points"] > 0))
+
+
+def _edges(entities: DataFrame, key: str, candidates: Column) -> DataFrame:
+    """One edge row per candidate whose target is an entity; nothing is grouped yet."""
+    rows = entities.select(F.col(key).alias("src"), F.inline(candidates))
+    names = entities.select(F.col(key).alias("dst")).distinct()
+    return rows.join(names, "dst", "left_semi").select("src", "dst", F.col("points").alias("score"))
 
 
 def inheritance_edges(entities: DataFrame, key: str = "class", content: str = "content") -> DataFrame:
     """Parents named by the first clause; an entity that names itself is kept."""
-    rows = entities.select(F.col(key).alias("src"), F.explode(text.parent_names(F.col(content))).alias("dst"))
-    return _edges(rows.filter(F.col("dst") != ""), _names(entities, key), fixed.INHERITANCE_SCORE)
+    return _edges(entities, key, _parents(content))
 
 
 def signature_edges(
     entities: DataFrame, key: str = "class", attributes: str = "attributes", methods: str = "methods"
 ) -> DataFrame:
     """Types of attributes and signatures, once each; the attribute score wins over the other."""
-    held = F.array_distinct(text.capitalised_words(F.col(attributes)))
-    called = F.array_except(text.capitalised_words(F.col(methods)), held)
-    scored = F.concat(
-        F.transform(held, lambda t: F.struct(t.alias("dst"), F.lit(fixed.ATTRIBUTE_SCORE).alias("points"))),
-        F.transform(called, lambda t: F.struct(t.alias("dst"), F.lit(fixed.METHOD_SIGNATURE_SCORE).alias("points"))),
-    )
-    rows = entities.select(F.col(key).alias("src"), F.inline(scored)).filter(F.col("src") != F.col("dst"))
-    return _edges(rows, _names(entities, key), F.col("points"))
+    return _edges(entities, key, _others(_types(attributes, methods), key))
 
 
 def instantiation_edges(
@@ -48,29 +72,22 @@ def instantiation_edges(
     ``closed`` the call must close on its line and swallows what is inside, so nested calls of
     one type count once.
     """
-    names = _names(entities, key)
-    if not closed:
-        rows = entities.select(F.col(key).alias("src"), F.explode(text.constructed_names(F.col(content))).alias("dst"))
-        return _edges(rows.filter(F.col("src") != F.col("dst")), names, fixed.INSTANTIATION_SCORE)
-    counted = F.transform(
-        F.array_distinct(text.constructed_names(F.col(content))),
-        lambda t: F.struct(
-            t.alias("dst"),
-            F.regexp_count(F.col(content), F.concat(F.lit(r"(?Ud)\bnew\s+"), t, F.lit(r"\s*\(.*?\)"))).alias("n"),
-        ),
-    )
-    rows = entities.select(F.col(key).alias("src"), F.inline(counted)).filter((F.col("src") != F.col("dst")) & (F.col("n") > 0))
-    return _edges(rows, names, F.col("n") * fixed.INSTANTIATION_SCORE)
+    return _edges(entities, key, _others(_constructed(content, closed), key))
 
 
-def relation_scores(entities: DataFrame, key: str = "class", closed: bool = False) -> DataFrame:
-    """All three analyses, accumulated per (src, dst) with one shuffle of partial sums."""
-    parts = (
-        inheritance_edges(entities, key)
-        .unionByName(signature_edges(entities, key))
-        .unionByName(instantiation_edges(entities, key, closed=closed))
+def relation_scores(
+    entities: DataFrame,
+    key: str = "class",
+    content: str = "content",
+    attributes: str = "attributes",
+    methods: str = "methods",
+    closed: bool = False,
+) -> DataFrame:
+    """All three analyses, accumulated per (src, dst): one scan of the texts, one shuffle of partial sums."""
+    candidates = F.concat(
+        _parents(content), _others(_types(attributes, methods), key), _others(_constructed(content, closed), key)
     )
-    return parts.groupBy("src", "dst").agg(F.sum("score").alias("score"))
+    return _edges(entities, key, candidates).groupBy("src", "dst").agg(F.sum("score").alias("score"))
 
 
 def mention_pairs(controllers: DataFrame, core: DataFrame, key: str = "class") -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import blocks
 
 
@@ -26,7 +27,12 @@ def symmetric_scores(relation: DataFrame) -> DataFrame:
 
 
 def scale_by_max(view: DataFrame) -> DataFrame:
-    """Divide by the largest cell; an all-zero view stays as it is."""
+    """Divide by the largest cell; an all-zero view stays as it is.
+
+    The cells are read twice, for the maximum and for the division; they are far fewer than the
+    rows they were summed from and are written once in between.
+    """
+    view = cut(view)
     top = view.agg(F.max("w").alias("m")).scalar()
     return view.withColumn("w", F.when(top > 0, F.col("w") / top).otherwise(F.col("w")))
 
@@ -52,6 +58,7 @@ def gram_cells(factors: DataFrame, per_block: int = 512, features_per_chunk: int
     chunk as small dense matrices and emits one row per non-zero pair. A feature shared by a
     third of all entities is spread over all block pairs instead of emitting its pairs.
     """
+    factors = cut(factors.select("i", "f", "v"))  # counted twice and multiplied once
     n_blocks = blocks.block_count(factors.select("i").distinct().count(), per_block)
     n_chunks = blocks.block_count(factors.select("f").distinct().count(), features_per_chunk)
     spread = blocks.self_block_pairs(factors.select("i", "f", "v"), "i", n_blocks).withColumn(
@@ -88,22 +95,30 @@ def gram_cells(factors: DataFrame, per_block: int = 512, features_per_chunk: int
 def cooccurrence_counts(members: DataFrame, large: int = 64) -> DataFrame:
     """How many groups hold both entities: (a, b, n) with a < b, from rows (grp, member).
 
-    Groups of up to ``large`` distinct members go through an equi-join on the group. Bigger ones
-    would emit a row per group and pair; they are counted as a product of incidence blocks.
+    Where no group has more than ``large`` rows, which one cheap count proves, a group is a short
+    array and its pairs are made in place. Otherwise bigger groups, which would emit a row per
+    pair, are counted as a product of incidence blocks.
     """
-    distinct = members.select("grp", "member").distinct()
-    big = distinct.groupBy("grp").agg(F.count("*").alias("size")).filter(F.col("size") > large).select("grp")
-    small = distinct.join(big, "grp", "left_anti")
-    left = small.select("grp", F.col("member").alias("a"))
-    right = small.select("grp", F.col("member").alias("b"))
-    direct = left.join(right, "grp").filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
-    if not big.limit(1).count():
-        return direct
+    per_group = members.groupBy("grp").agg(F.count("*").alias("size"))
+    top = per_group.agg(F.max("size")).first()[0]
+    if top is None or top <= large:
+        return _short_group_pairs(members)
+    distinct = cut(members.select("grp", "member").distinct())
+    big = cut(distinct.groupBy("grp").agg(F.count("*").alias("size")).filter(F.col("size") > large).select("grp"))
+    direct = _short_group_pairs(distinct.join(big, "grp", "left_anti"))
     rows = distinct.join(big, "grp", "left_semi").select(F.col("member").alias("i"), F.col("grp").alias("f"), F.lit(1.0).alias("v"))
     counted = gram_cells(rows).select(F.col("i").alias("a"), F.col("j").alias("b"), F.round("w").cast("bigint").alias("n"))
     return direct.unionByName(counted).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def _short_group_pairs(members: DataFrame) -> DataFrame:
+    """Pair counts of groups known to be short."""
+    sets = members.groupBy("grp").agg(F.sort_array(F.collect_set("member")).alias("s")).filter(F.size("s") > 1)
+    firsts = sets.select("s", F.posexplode("s").alias("p", "a"))
+    pairs = firsts.select("a", F.explode(F.slice("s", F.col("p") + 2, F.size("s"))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
 def cooccurrence_view(members: DataFrame) -> DataFrame:
     """Mirrored co-occurrence counts in [0, 1]; the diagonal is empty."""
     counts = cooccurrence_counts(members)
@@ -197,6 +212,7 @@ def vector_features(vectors: DataFrame) -> DataFrame:
 
 def cosine_cells(features: DataFrame) -> DataFrame:
     """Mirrored cosine view with unit diagonal from sparse features (i, f, v)."""
+    features = cut(features)
     cells = gram_cells(unit_factors(features))
     diagonal = features.select("i").distinct().select("i", F.col("i").alias("j"), F.lit(1.0).alias("w"))
     return both_directions(cells, "i", "j", F.col("w")).unionByName(diagonal)

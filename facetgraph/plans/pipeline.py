@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cluster, fusion, quality, relations, scores, spectral, views
+from ..session import cut
 from ..sources import files as source
 
 
@@ -39,7 +40,7 @@ def sweep(
     stack = spectral.stack_views(parts, entities)
     ks = list(ks if ks is not None else cluster.default_ks(stack.n))
     assignment = cluster.spectral_sweep(stack, [weights[n] for n in stack.names], ks, n_init)
-    fused = views.combine(parts, weights)
+    fused = cut(views.combine(parts, weights))
     scored = scores.sweep_scores(fused, assignment, clip)
     return Sweep(assignment, cluster.cluster_dim(entities.sparkSession, ks), scored)
 

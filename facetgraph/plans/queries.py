@@ -346,7 +346,7 @@ def token_clean(spark: SparkSession, sf: str) -> DataFrame:
 def lemma_join(spark: SparkSession, sf: str) -> DataFrame:
     """Plural tokens replaced by the singular where the documents know both."""
     docs = w.documents(spark, sf).select("doc_id", text.tokens(F.lower("text")).alias("words"))
-    vocabulary = docs.select(F.explode("words").alias("token")).distinct()
+    vocabulary = docs.select(F.explode(F.array_distinct("words")).alias("token")).distinct()
     lemmas = vocabulary.select(F.concat("token", F.lit("s")).alias("token"), F.col("token").alias("lemma")).join(vocabulary, "token", "left_semi")
     return entities.lemmatize(docs, lemmas, "doc_id", "words").select("doc_id", F.array_join("words", " ").alias("cleaned_text"))
 
@@ -364,7 +364,11 @@ def comment_strip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _core_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return entities.resolve_collisions(w.classes(spark, sf), "class", "filename", entities.implementation_priority(F.col("filename")))
+    """One source per class; the texts are fetched after the names are settled."""
+    rows = w.classes(spark, sf)
+    priority = entities.implementation_priority(F.col("filename"))
+    chosen = entities.resolve_collisions(rows.select("class", "filename"), "class", "filename", priority)
+    return rows.join(chosen.select("filename"), "filename", "left_semi")
 
 
 @register("inheritance_edges")

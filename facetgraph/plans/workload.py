@@ -66,7 +66,7 @@ def nation_members(spark: SparkSession, sf: str) -> DataFrame:
     """Supplier nations of an order as (grp, member)."""
     line = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
     supplier = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("t"))
-    pairs = line.join(supplier, "l_suppkey").select(F.col("l_orderkey").alias("grp"), "t").distinct()
+    pairs = line.join(supplier, "l_suppkey").select(F.col("l_orderkey").alias("grp"), "t")
     return _named(spark, sf, pairs, t="member").select("grp", "member")
 
 
@@ -127,7 +127,7 @@ def supplier_relation(spark: SparkSession, sf: str) -> DataFrame:
 
 def supplier_members(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers of an order as (grp, member)."""
-    pairs = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_suppkey").alias("t")).distinct()
+    pairs = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_suppkey").alias("t"))
     return _supplier_names(spark, sf, pairs, t="member").select("grp", "member")
 
 
