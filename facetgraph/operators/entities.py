@@ -11,7 +11,8 @@ from ..functions import fixed, text
 
 _MODIFIER = r"(?:public|protected|private|static|final|abstract|synchronized|native|transient|volatile|default)"
 _TYPE = r"([A-Za-z_][\w.]*)(?:\s*<[^;={}()]*>)?\s*((?:\[\s*\]\s*)*)"
-_FIELD = rf"(?m)^[ \t]*+(?:{_MODIFIER}\s+)++{_TYPE}\s+(\w+(?:\s*,\s*\w+)*)\s*(?:=[^;]*)?;"
+_NAME = r"\w+(?:\s*\[\s*\])*"
+_FIELD = rf"(?m)^[ \t]*+(?:{_MODIFIER}\s+)++{_TYPE}\s+({_NAME}(?:\s*,\s*{_NAME})*)\s*(?:=[^;]*)?;"
 _METHOD = rf"(?m)^[ \t]*+(?:{_MODIFIER}\s+)++(?:<[^(){{}};]*>\s*)?{_TYPE}\s+(\w+)\s*\(([^)]*)\)"
 _PARAM = r"^(?:final\s+|@\w+\s+)*" + _TYPE + r"\s*(\.\.\.)?\s*(\w+)$"
 
@@ -45,7 +46,9 @@ def declarations(files: DataFrame) -> DataFrame:
 
     The declared type is the one the file is named after; files that declare no such type give
     no row. Members are recognised by their modifiers: this reads declarations from text and is
-    no grammar. Fields are taken from classes only, methods from classes and interfaces.
+    no grammar, so of several names with initial values in one field only the first is seen.
+    Fields are taken from classes only, methods from classes and interfaces; brackets count where
+    they follow the type.
     """
     named = files.withColumn("class", text.file_basename(F.col("path"))).filter(F.col("class") != "")
     bare = named.withColumn("bare", text.strip_comments(F.col("content")))
@@ -56,7 +59,7 @@ def declarations(files: DataFrame) -> DataFrame:
         F.transform(
             _groups(F.col("bare"), _FIELD, ["type", "dims", "names"]),
             lambda f: F.transform(
-                F.split(f["names"], r"\s*,\s*"),
+                F.split(F.regexp_replace(f["names"], r"[\s\[\]]", ""), ","),
                 lambda n: F.struct(f["type"].alias("type"), _dims(f["dims"]).alias("dims"), n.alias("name")),
             ),
         )
