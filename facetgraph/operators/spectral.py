@@ -231,8 +231,8 @@ def _gram(df: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
     columns = list(dict.fromkeys(left + right))
     sums = df.select(*columns).mapInPandas(products, "a bigint, b bigint, g double").groupBy("a", "b").agg(F.sum("g").alias("g"))
     out = np.zeros((len(left), len(right)))
-    for row in sums.collect():
-        out[row.a, row.b] = row.g
+    cells = sums.toPandas()
+    out[cells.a, cells.b] = cells.g
     return out
 
 
@@ -333,7 +333,7 @@ def smallest_eigenvectors(
     if k > stack.n:
         raise ValueError(f"{k} eigenvectors of {stack.n} entities")
     m = stack.n if stack.n <= FULL_BASIS else min(stack.n, max(width, k + 8))
-    limit = upper_bound(stack, weights)
+    limit = upper_bound(stack, weights) if m < stack.n else 2.0
     xs = _columns(m, "x")
     warm = start is not None and start.width == m
     rows = start.rows if warm else _start(stack, m)

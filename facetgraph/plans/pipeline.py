@@ -59,17 +59,25 @@ def run(
     Views may be cells (i, j, w) or factors (i, f, v). The older variant works on the entities all
     views share; the current one needs aligned views.
     """
+    history, basis, stack = None, None, None
     if view is not None:
-        weights, history = {view: 1.0}, None
+        weights = {view: 1.0}
         parts = {view: parts[view]}
     else:
         if variant == "v4":
             entities = views.common_entities(entities, *parts.values()).distinct()
         fused = fusion.self_weighted(parts, entities, k, variant)
         weights, history = fused.weights, fused.history_table(entities.sparkSession)
-        spectral.unstack(fused.stack)
-    stack = spectral.stack_views(parts, entities)
-    assignment = cluster.spectral_sweep(stack, [weights[n] for n in stack.names], [k], n_init)
+        if fused.stack.keep_diagonal:
+            spectral.unstack(fused.stack)
+        else:
+            stack, basis = fused.stack, fused.basis
+    # the partition drops the diagonal in both variants
+    stack = stack or spectral.stack_views(parts, entities)
+    order = [weights[n] for n in stack.names]
+    basis = spectral.smallest_eigenvectors(stack, order, k, start=basis)
+    assignment = cluster.spectral_sweep(stack, order, [k], n_init, basis=basis)
+    spectral.unstack(stack)
     chosen = assignment.select("entity", F.col("cluster").cast("string").alias("cluster"))
     dim = cluster.cluster_dim(entities.sparkSession, [k]).select(F.col("cluster").cast("string").alias("cluster"))
     measured = quality.quality(relation, chosen, dim, "counts" if variant == "current" else "weights")
