@@ -16,7 +16,7 @@ HEADLINE = [
     "normalized_laplacian_suppliers", "silhouette_suppliers", "calinski_harabasz_suppliers",
     "cosine_pairs_over_threshold", "cosine_row_sums", "silhouette_precomputed", "mean_pool_vectors",
     "class_relation_scores", "mention_pairs", "token_clean", "lemma_join", "term_removal", "collision_dedupe",
-    "core_filter", "l1_fusion_3iter", "self_weighted_fusion", "k_sweep", "consensus_basis",
+    "core_filter", "l1_fusion_3iter", "self_weighted_fusion", "k_sweep",
 ]
 
 

@@ -25,6 +25,7 @@ SLICE_ROWS = 2_000_000
 # up to this many entities the basis spans everything and one projection is exact
 FULL_BASIS = 128
 PARTITION_ROWS = 500_000
+STEPS_PER_JOB = 2
 
 
 @dataclass
@@ -53,7 +54,7 @@ class Walk:
         keys = [*source, "slice"] if hot is not None else source
         configured = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         n = max(configured, (total or 0) // PARTITION_ROWS)
-        return cls(rows.repartition(n, *keys).sortWithinPartitions(*keys).persist(), source, hot)
+        return cls(rows.repartition(n, *keys).sortWithinPartitions(*keys).withColumn("zero", F.lit(0)).persist(), source, hot)
 
     def meet(self, columns: Sequence, basis: DataFrame) -> DataFrame:
         """``columns`` of the matrix rows beside the basis row of their source."""
@@ -162,7 +163,17 @@ def unstack(stack: Stack) -> None:
         stack.reach.rows.unpersist()
 
 
-def _factor(weights: Sequence[float], prefix: str, keep_diagonal: bool) -> Column:
+def _parameters(values: Sequence[float]) -> list[Column]:
+    """Numbers that change from step to step, looked up by the ``zero`` column of the matrix rows.
+
+    As plain literals they would be part of the generated code, and every step would be compiled
+    anew.
+    """
+    held = F.array(*[F.lit(float(v)) for v in values])
+    return [F.get(held, F.col("zero") + n) for n in range(len(values))]
+
+
+def _factor(weights: Sequence[Column], prefix: str, keep_diagonal: bool) -> Column:
     """``d^-1/2`` of the combined degree."""
     d = _sum_of(weights, prefix)
     if keep_diagonal:
@@ -170,9 +181,9 @@ def _factor(weights: Sequence[float], prefix: str, keep_diagonal: bool) -> Colum
     return F.when(d > 0, 1 / F.sqrt(d)).otherwise(0.0)
 
 
-def _sum_of(weights: Sequence[float], prefix: str, only: Sequence[int] | None = None) -> Column:
+def _sum_of(weights: Sequence[Column], prefix: str, only: Sequence[int] | None = None) -> Column:
     chosen = range(len(weights)) if only is None else only
-    return sum((F.lit(float(weights[v])) * F.col(f"{prefix}{v}") for v in chosen if weights[v]), F.lit(0.0))
+    return sum((weights[v] * F.col(f"{prefix}{v}") for v in chosen), F.lit(0.0))
 
 
 def _columns(m: int, name: str = "y") -> list[str]:
@@ -183,18 +194,18 @@ def _own() -> Column:
     return (F.col("g") == -1) & (F.col("i") == F.col("j"))
 
 
-def _affinity(stack: Stack, weights: Sequence[float]) -> Column:
+def _affinity(stack: Stack, weights: Sequence[Column]) -> Column:
     """Normalised affinity of a row of ``cells``; with factor views the second half of their product."""
     kd = stack.keep_diagonal
     si, sj = _factor(weights, "di", kd), _factor(weights, "dj", kd)
     self_term = F.lit(0.0) if kd else F.when(_own(), _sum_of(weights, "q", stack.factor_views)).otherwise(0.0)
     cell = (_sum_of(weights, "a") - self_term) * si * sj
     for v in stack.factor_views:
-        cell = F.when(F.col("g") == v, F.lit(float(weights[v])) * F.col("v") * si).otherwise(cell)
+        cell = F.when(F.col("g") == v, weights[v] * F.col("v") * si).otherwise(cell)
     return cell
 
 
-def _pass_on(stack: Stack, basis: DataFrame, weights: Sequence[float], ys: list[str]) -> DataFrame:
+def _pass_on(stack: Stack, basis: DataFrame, weights: Sequence[Column], ys: list[str]) -> DataFrame:
     """First half step: feature sums of the scaled basis next to the basis itself, keyed (g, j)."""
     if stack.reach is None:
         return basis.withColumnRenamed("i", "j")
@@ -209,9 +220,10 @@ def _step(stack: Stack, basis: DataFrame, weights: Sequence[float], m: int, alph
     The basis is referenced once, so a chain of steps stays a chain in the plan.
     """
     ys = _columns(m)
-    c = F.lit(float(beta)) * _affinity(stack, weights) + F.when(_own(), F.lit(float(alpha))).otherwise(0.0)
+    a, b, *ws = _parameters([alpha, beta, *weights])
+    c = b * _affinity(stack, ws) + F.when(_own(), a).otherwise(0.0)
     extra = [_own().alias("own")] if also_input else []
-    met = stack.cells.meet(["i", c.alias("c"), *extra], _pass_on(stack, basis, weights, ys))
+    met = stack.cells.meet(["i", c.alias("c"), *extra], _pass_on(stack, basis, ws, ys))
     sums = [F.sum(F.col("c") * F.col(y)).alias(y) for y in ys]
     if also_input:
         sums += [F.sum(F.when(F.col("own"), F.col(y)).otherwise(0.0)).alias(f"x{n}") for n, y in enumerate(ys)]
@@ -263,10 +275,11 @@ def upper_bound(stack: Stack, weights: Sequence[float]) -> float:
     push an eigenvalue up.
     """
     kd = stack.keep_diagonal
-    scale = _factor(weights, "di", kd) * _factor(weights, "di", kd)
-    size = F.abs(_sum_of(weights, "a"))
+    ws = _parameters(weights)
+    scale = _factor(ws, "di", kd) * _factor(ws, "di", kd)
+    size = F.abs(_sum_of(ws, "a"))
     if not kd:
-        size = size + F.when(_own(), F.abs(_sum_of(weights, "q", stack.factor_views))).otherwise(0.0)
+        size = size + F.when(_own(), F.abs(_sum_of(ws, "q", stack.factor_views))).otherwise(0.0)
     per = stack.cells.rows.filter(F.col("g") == -1).groupBy("i").agg(F.sum(size * scale).alias("r"))
     return 1.0 + float(per.agg(F.max("r")).first()[0] or 0.0)
 
@@ -326,8 +339,8 @@ def smallest_eigenvectors(
     """The k smallest eigenpairs of the combined normalised Laplacian.
 
     Filtered subspace iteration on a basis of ``width`` columns (more for k over 8): a polynomial
-    that damps the unwanted part of the spectrum is applied as a chain of matrix steps, one Spark
-    job, then the basis is projected and rotated. Ends when the residual norm of every wanted
+    that damps the unwanted part of the spectrum is applied as a chain of matrix steps, a few per
+    Spark job, then the basis is projected and rotated. Ends when the residual norm of every wanted
     vector is below ``tol``; an eigenvalue is then off by the square of that over its gap.
     """
     if k > stack.n:
@@ -342,8 +355,10 @@ def smallest_eigenvectors(
     for round_ in range(max_rounds):
         y = rows
         if m < stack.n and high > 0:
-            for root in _chebyshev_roots(low, high, degree):
+            for n, root in enumerate(_chebyshev_roots(low, high, degree), 1):
                 y = _step(stack, y, weights, m, alpha=1 - 1 / root, beta=1 / root)
+                # adaptive execution re-plans what is left after every stage: keep the chain short
+                y = cut(y) if n % STEPS_PER_JOB == 0 else y
         # the last step keeps the basis x and gives L x = x - N x as y
         projected = cut(_step(stack, y, weights, m, alpha=1.0, beta=-1.0, also_input=True))
         values, rotation, residual = _project(projected, m)
@@ -373,8 +388,8 @@ def trace_losses(stack: Stack, basis: Basis) -> np.ndarray:
     ys = _columns(k)
     h = cut(basis.rows.select("i", *ys))
 
-    def alone(v: int) -> list[float]:
-        return [1.0 if u == v else 0.0 for u in range(n_views)]
+    def alone(v: int) -> list[Column]:
+        return [F.lit(1.0 if u == v else 0.0) for u in range(n_views)]
 
     cells = []
     for v in range(n_views):
