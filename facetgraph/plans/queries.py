@@ -258,7 +258,7 @@ def _words(spark: SparkSession, sf: str) -> DataFrame:
     return caps.filter(F.size("c") > 1).select(F.explode(F.concat("c", pairs)).alias("class"))
 
 
-# no name of the documents carries a real affix of the rule set; these occur in them
+# affixes that occur in the documents
 TEXT_RULES = {"suffix": ["Ion", "ing", "ent", "Th"], "prefix": ["The", "An", "Re"]}
 
 
@@ -447,7 +447,7 @@ def text_fallback_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("semantic_text_view")
 def semantic_text_view(spark: SparkSession, sf: str) -> DataFrame:
-    """Supplier summaries: the most frequent part names are missing for the small suppliers."""
+    """Supplier summaries; suppliers with a small balance have none and get the fallback."""
     summary = w.table(spark, sf, "supplier").select(
         F.col("s_name").alias("class"), F.when(F.col("s_acctbal") > 5000, F.concat(F.lit("The SQL map of supplier balance "), F.col("s_suppkey").cast("string"))).alias("summary")
     )
@@ -546,7 +546,8 @@ def kmeans_rows(spark: SparkSession, sf: str) -> DataFrame:
 @register("k_sweep")
 def k_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of the spectral partitions of the fused nation views, best first."""
-    return pipeline.sweep(w.nation_views(spark, sf), w.nations(spark, sf).select(F.col("class").alias("i")), FIXED_WEIGHTS).scores
+    swept = pipeline.sweep(w.nation_views(spark, sf), w.nations(spark, sf).select(F.col("class").alias("i")), FIXED_WEIGHTS)
+    return sinks.ranked_scores(swept.scores)
 
 
 @register("best_k")
