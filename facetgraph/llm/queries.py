@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import packing, simhash
 from .shared import table
 
 
@@ -16,8 +16,14 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf, "documents"), size=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
