@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, suffix_dedup
+from . import language_id, packing, simhash, suffix_dedup
 from .shared import table
 
 
+def held_out(doc_id: Column) -> Column:
+    """crc32 of the id as text leaves 2 when divided by 4."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumn("held_out", held_out(F.col("doc_id")))
+    fitted = language_id.fit(docs.filter(~F.col("held_out")))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), fitted).drop("text")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), length=50)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
@@ -31,6 +42,7 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_simhash": op8_simhash,
     "op10_packing": op10_packing,
