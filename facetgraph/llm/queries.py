@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, simhash, suffix_dedup
+from . import decontamination, language_id, packing, simhash, suffix_dedup
 from .shared import table
 
 
@@ -31,6 +31,12 @@ def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    pairs = decontamination.contaminated(docs, table(spark, sf, "benchmark"), similarity=0.8)
+    return pairs.select(F.when(F.col("id") < 1 << 62, F.col("id")).alias("doc_id"), *pairs.columns[1:])
+
+
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"), words=4, radius=4)
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of("fp").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -44,6 +50,7 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op10_packing": op10_packing,
 }

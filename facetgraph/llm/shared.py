@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -16,6 +17,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def own_id(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The id, or for a row without one a very large number that follows from its text."""
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(1 << 62) + mark.bitwiseAND(F.lit((1 << 61) - 1)))
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors reach."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .arrow import text_runs
 from .graph import components
-from .shared import stash
+from .shared import own_id, stash
 
 RUN_BYTES = 1 << 20
 TILE = 1024
@@ -195,8 +195,7 @@ def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     with a very large id of its own.
     """
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    own = F.coalesce(F.col("doc_id"), F.lit(1 << 62) + mark.bitwiseAND(F.lit((1 << 61) - 1)))
-    docs = docs.withColumn("_id", own).withColumn("_mark", mark)
+    docs = docs.withColumn("_id", own_id()).withColumn("_mark", mark)
     marks = near_duplicates(docs, words, radius, id_col="_id")
     keep = marks.filter("id = component").select(F.col("id").alias("_id")).distinct()
     return docs.join(keep, "_id", "left_semi").dropDuplicates(["_id", "_mark"]).drop("_id", "_mark")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import mix, span_hashes, text_runs, utf8
-from .shared import stash
+from .shared import own_id, stash
 
 GRAM = 24
 RUN_BYTES = 1 << 18
@@ -325,8 +325,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = F.coalesce(F.col(id_col).cast("bigint"), F.lit(1 << 62) + F.xxhash64(text).bitwiseAND(F.lit((1 << 61) - 1)))
-    texts = docs.select(own.alias("id"), text.alias("text"), F.struct(*[c for c in docs.columns if c != text_col]).alias("row"))
+    texts = docs.select(own_id(id_col, text_col).alias("id"), text.alias("text"), F.struct(*[c for c in docs.columns if c != text_col]).alias("row"))
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
