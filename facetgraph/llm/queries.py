@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, simhash, suffix_dedup
+from . import decontamination, language_id, packing, simhash, suffix_dedup, warc
 from .shared import table
 
 
@@ -42,6 +42,11 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
+    found = warc.deduplicated(table(spark, sf, "pages"), shortest=100)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf, "documents"), size=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -52,7 +57,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
+    "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS origin FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes < 100 OR page_id = origin THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN payload_bytes < 100 OR page_id = origin THEN NULL ELSE origin END AS refers_to
+        FROM f
+    """,
+}
