@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, simhash, suffix_dedup, warc
+from . import decontamination, fingerprint, language_id, packing, simhash, suffix_dedup, warc
 from .shared import table
 
 
@@ -22,6 +22,11 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), fitted).drop("text")
 
 
+def op3_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    found = fingerprint.fingerprints(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), length=50)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
@@ -54,6 +59,7 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_fingerprints": op3_fingerprints,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
