@@ -53,8 +53,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def _chunk(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, leading token) of each anchor among the valid windows of a chunk."""
+def _chunk(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(first window, last window, leading token, place) of each anchor among the valid windows of a chunk."""
     h = gram_hashes(data)
     where = np.uint64((1 << 24) - 1)
     low = (h & ~where) | np.arange(len(h), dtype=np.uint64)
@@ -71,17 +71,20 @@ def _chunk(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray
     last = np.concatenate((turn, [len(at)])) - 1
     ok = at[first] >= 0
     first, last = first[ok], last[ok]
-    return first, last, h[at[first]]
+    return first, last, h[at[first]], at[first]
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first and last window start and leading token of each anchor, in text order.
+def anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Row, first and last window start, leading token and tags of each anchor, in text order.
+
+    A window holds its anchor and half of what remains of its length before it, or half behind it;
+    the two tags are one byte each of a hash of these halves.
 
     Chunks of a long text begin at multiples from the text's own start, so a text always has the same anchors.
     """
     ends = starts[1:]
     if len(data) < length:
-        return NO_ROWS, NO_ROWS, NO_ROWS, np.zeros(0, np.uint64)
+        return NO_ROWS, NO_ROWS, NO_ROWS, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     valid = np.ones(len(data), bool)
     for back in range(1, length):
         spot = ends - back
@@ -89,10 +92,14 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarr
     parts = []
     for c in range(0, len(data) - length + 1, RUN_BYTES):
         piece = data[c : c + RUN_BYTES + length - 1]
-        first, last, token = _chunk(piece, valid[c : c + RUN_BYTES], length)
-        parts.append((first + c, last + c, token))
-    first, last, token = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return np.searchsorted(starts, first, "right") - 1, first, last, token
+        first, last, token, at = _chunk(piece, valid[c : c + RUN_BYTES], length)
+        parts.append((first + c, last + c, token, at + c))
+    first, last, token, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    half = (length - GRAM) // 2
+    before = span_hashes(data, np.maximum(at - half, 0), at)
+    behind = span_hashes(data, at + GRAM, np.minimum(at + GRAM + half, len(data)))
+    tags = (before & np.uint64(255)) | ((behind & np.uint64(255)) << np.uint64(8))
+    return np.searchsorted(starts, first, "right") - 1, first, last, token, tags
 
 
 def ordinals(row: np.ndarray, rows: int) -> np.ndarray:
@@ -127,9 +134,21 @@ def _multikey_order(lead: np.ndarray, follow: np.ndarray, doc: np.ndarray) -> np
     return order
 
 
-def settle(lead: np.ndarray, follow: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _shared(key: np.ndarray, tag: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """True for elements whose key and tag another doc has as well."""
+    order = np.lexsort((tag, key))
+    begins = np.flatnonzero(_groups(key[order], tag[order]))
+    out = np.zeros(len(key), bool)
+    if len(begins):
+        d = doc[order]
+        mixed = np.minimum.reduceat(d, begins) != np.maximum.reduceat(d, begins)
+        out[order] = np.repeat(mixed, np.diff(np.append(begins, len(d))))
+    return out
+
+
+def settle(lead: np.ndarray, follow: np.ndarray, doc: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(repeated, open) for each suffix: repeated if a smaller doc has both tokens; open if not, but
-    other suffixes of another doc have the leading token."""
+    a suffix of another doc has the leading token and the same tag on one side."""
     order = _multikey_order(lead, follow, doc)
     a, b, d = lead[order], follow[order], doc[order]
     pair, one = _groups(a, b), _groups(a)
@@ -143,6 +162,9 @@ def settle(lead: np.ndarray, follow: np.ndarray, doc: np.ndarray) -> tuple[np.nd
     open_ = ~repeated & mixed[rank_one]
     out = np.zeros((2, len(order)), bool)
     out[0, order], out[1, order] = repeated, open_
+    spot = np.flatnonzero(out[1])
+    some = lead[spot], tags[spot], doc[spot]
+    out[1, spot] = _shared(some[0], some[1] & np.uint64(255), some[2]) | _shared(some[0], some[1] >> np.uint64(8), some[2])
     return out[0], out[1]
 
 
@@ -157,12 +179,12 @@ def _unplanes(blob: bytes, n: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-WIDTHS = (LEAD_BYTES, 6, 8, 4)  # leading token, following token, steps of doc_id, number within the text
+WIDTHS = (LEAD_BYTES, 6, 8, 4, 2)  # leading token, following token, steps of doc_id, number within the text, tags
 
 
-def _pack(lead, follow, doc, number) -> bytes:
+def _pack(lead, follow, doc, number, tags) -> bytes:
     step = np.diff(doc, prepend=np.int64(0)).view(np.uint64)
-    return len(lead).to_bytes(8, "little") + b"".join(_planes(v, w) for v, w in zip((lead, follow, step, number), WIDTHS, strict=True))
+    return len(lead).to_bytes(8, "little") + b"".join(_planes(v, w) for v, w in zip((lead, follow, step, number, tags), WIDTHS, strict=True))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -170,7 +192,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     for w in WIDTHS:
         out.append(_unplanes(blob[at : at + n * w], n, w))
         at += n * w
-    return out[0], out[1], np.cumsum(out[2].view(np.int64)), out[3].astype(np.int64)
+    return out[0], out[1], np.cumsum(out[2].view(np.int64)), out[3].astype(np.int64), out[4]
 
 
 class Block:
@@ -182,68 +204,99 @@ class Block:
         self.size = 0
         self.turn = 0
 
-    def add(self, lead, follow, doc, number) -> None:
-        self.parts.append((lead >> np.uint64(64 - 8 * LEAD_BYTES), follow & np.uint64((1 << 48) - 1), doc, number))
+    def add(self, lead, follow, doc, number, tags) -> None:
+        self.parts.append((lead >> np.uint64(64 - 8 * LEAD_BYTES), follow & np.uint64((1 << 48) - 1), doc, number, tags))
         self.size += len(lead)
 
     def flush(self) -> pa.RecordBatch:
-        lead, follow, doc, number = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        lead, follow, doc, number, tags = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
-        done, _ = settle(lead, follow, doc)
+        done, _ = settle(lead, follow, doc, tags)
         bucket, kind, blob = [], [], []
         if done.any():  # settled here; carried through any bucket
             bucket.append(self.turn % (len(self.splitters) + 1))
             kind.append(1)
-            blob.append(_pack(lead[done] * np.uint64(0), follow[done] * np.uint64(0), doc[done], number[done]))
+            none = np.zeros(int(done.sum()), np.uint64)
+            blob.append(_pack(none, none, doc[done], number[done], none))
             self.turn += 1
-        lead, follow, doc, number = (x[~done] for x in (lead, follow, doc, number))
+        lead, follow, doc, number, tags = (x[~done] for x in (lead, follow, doc, number, tags))
         place = np.searchsorted(self.splitters, lead, "right")
         order = np.argsort(place, kind="stable")
-        lead, follow, doc, number, place = (x[order] for x in (lead, follow, doc, number, place))
+        lead, follow, doc, number, tags, place = (x[order] for x in (lead, follow, doc, number, tags, place))
         cuts = np.searchsorted(place, np.arange(len(self.splitters) + 2))
         for k in range(len(self.splitters) + 1):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
                 bucket.append(k)
                 kind.append(0)
-                blob.append(_pack(lead[a:b], follow[a:b], doc[a:b], number[a:b]))
+                blob.append(_pack(lead[a:b], follow[a:b], doc[a:b], number[a:b], tags[a:b]))
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int8()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
 
 
-def _marks(doc: np.ndarray, number: np.ndarray, kind: int) -> pa.RecordBatch:
-    """One row per document with its numbers."""
-    order = np.lexsort((number, doc))
-    doc, number = doc[order], number[order].astype(np.uint32)
-    begins = np.flatnonzero(_groups(doc))
-    cuts = np.append(begins, len(doc))
-    blobs = [number[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[begins]), pa.array(np.full(len(begins), kind, np.int8)), pa.array(blobs, pa.binary())], ["id", "kind", "numbers"]
-    )
+def _marks(doc: np.ndarray, number: np.ndarray, kind: int, parts: int) -> pa.RecordBatch:
+    """Marked numbers, the documents dealt over parts by a hash of the id."""
+    part = (mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((number, doc, part))
+    part, doc, number = part[order], doc[order], number[order]
+    cuts = np.append(np.flatnonzero(_groups(part)), len(part))
+    blobs = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        step = np.diff(doc[a:b], prepend=np.int64(0)).view(np.uint64)
+        blobs.append(int(b - a).to_bytes(8, "little") + _planes(step, 8) + _planes(number[a:b], 4))
+    own = part[cuts[:-1]].astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), kind, np.int8)), pa.array(blobs, pa.binary())], ["part", "kind", "blob"])
 
 
-def _settled(sent: DataFrame, buckets: int, kinds: tuple[int, int]) -> DataFrame:
-    """(id, kind, numbers): numbers within a text that are repeated (first kind) or open (second kind)."""
+def _settled(sent: DataFrame, buckets: int, kinds: tuple[int, int], parts: int) -> DataFrame:
+    """(part, kind, blob): numbers within texts that are repeated (first kind) or open (second kind)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        held = []
         for batch in batches:
             for kind, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = _unpack(blob.as_py())
+                piece = _unpack(blob.as_py())
                 if kind:
-                    yield _marks(part[2], part[3], kinds[0])
+                    yield _marks(piece[2], piece[3], kinds[0], parts)
                 else:
-                    parts.append(part)
-        if parts:
-            lead, follow, doc, number = (np.concatenate(x) for x in zip(*parts, strict=True))
-            parts.clear()
-            repeated, open_ = settle(lead, follow, doc)
-            for mask, kind in zip((repeated, open_), kinds, strict=True):
+                    held.append(piece)
+        if held:
+            lead, follow, doc, number, tags = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            for mask, kind in zip(settle(lead, follow, doc, tags), kinds, strict=True):
                 if mask.any():
-                    yield _marks(doc[mask], number[mask], kind)
+                    yield _marks(doc[mask], number[mask], kind, parts)
 
     dealt = sent.repartitionById(buckets, "bucket").select("kind", "blob")
-    return dealt.mapInArrow(run, "id bigint, kind tinyint, numbers binary")
+    return dealt.mapInArrow(run, "part int, kind tinyint, blob binary")
+
+
+def _gathered(marks: DataFrame, kinds: tuple[int, ...], parts: int) -> DataFrame:
+    """(id, k..): for each marked document its numbers of each kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {k: ([], []) for k in kinds}
+        for batch in batches:
+            for kind, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = blob.as_py()
+                n = int.from_bytes(raw[:8], "little")
+                held[kind][0].append(np.cumsum(_unplanes(raw[8 : 8 + 8 * n], n, 8).view(np.int64)))
+                held[kind][1].append(_unplanes(raw[8 + 8 * n :], n, 4).astype(np.uint32))
+        docs, numbers = {}, {}
+        for k, (d, m) in held.items():
+            doc, number = (np.concatenate(d), np.concatenate(m)) if d else (NO_ROWS, np.zeros(0, np.uint32))
+            order = np.argsort(doc, kind="stable")
+            docs[k], numbers[k] = doc[order], number[order]
+        ids = np.unique(np.concatenate(list(docs.values())))
+        for at in range(0, len(ids), 10_000):
+            some = ids[at : at + 10_000]
+            columns = []
+            for k in kinds:
+                a, b = np.searchsorted(docs[k], some, "left"), np.searchsorted(docs[k], some, "right")
+                columns.append(pa.array([numbers[k][x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(some), *columns], ["id", *[f"k{k}" for k in kinds]])
+
+    dealt = marks.filter(F.col("kind").isin(*kinds)).repartitionById(parts, "part").select("kind", "blob")
+    return dealt.mapInArrow(run, ", ".join(["id bigint", *[f"k{k} binary" for k in kinds]]))
 
 
 REPEATED, OPEN, WINDOW = 0, 1, 2
@@ -255,9 +308,9 @@ def _suffixes(texts: DataFrame, length: int, splitters: np.ndarray) -> DataFrame
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, _, data, starts in text_runs(batch, "text", RUN_BYTES):
-                row, first, last, token = anchors(data, starts, length)
+                row, first, last, token, tags = anchors(data, starts, length)
                 if len(row):
-                    block.add(token, span_hashes(data, first, last + length), ids[i + row], ordinals(row, len(starts) - 1))
+                    block.add(token, span_hashes(data, first, last + length), ids[i + row], ordinals(row, len(starts) - 1), tags)
                 if block.size >= BLOCK_ROWS:
                     yield block.flush()
         if block.size:
@@ -278,7 +331,7 @@ def _open_windows(marked: DataFrame, length: int, buckets: int) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             marks, at = utf8(batch.column(2))
             for i, _, data, starts in text_runs(batch, "text", RUN_BYTES):
-                row, first, last, _ = anchors(data, starts, length)
+                row, first, last, *_ = anchors(data, starts, length)
                 chosen = _flags(marks, at, i, row, len(starts) - 1)
                 row, first, last = row[chosen], first[chosen], last[chosen]
                 n = last - first + 1
@@ -286,7 +339,7 @@ def _open_windows(marked: DataFrame, length: int, buckets: int) -> DataFrame:
                 row = np.repeat(row, n)
                 if len(window):
                     h = span_hashes(data, window, window + length)
-                    block.add(h, h, ids[i + row], window - starts[row])
+                    block.add(h, h, ids[i + row], window - starts[row], np.zeros(len(h), np.uint64))
                 if block.size >= BLOCK_ROWS:
                     yield block.flush()
         if block.size:
@@ -312,13 +365,6 @@ def _flags(blob: np.ndarray, at: np.ndarray, i: int, row: np.ndarray, rows: int)
     return out
 
 
-def _gathered(marks: DataFrame, *kinds: int) -> DataFrame:
-    """Numbers of each kind of a document in one binary each."""
-    each = [F.array_join(F.collect_list(F.when(F.col("kind") == k, F.hex("numbers"))), "").alias(f"k{k}") for k in kinds]
-    packed = marks.filter(F.col("kind").isin(*kinds)).groupBy("id").agg(*each)
-    return packed.select("id", *[F.unhex(f"k{k}").alias(f"k{k}") for k in kinds])
-
-
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
     """docs to (row, n_bytes, spans, kept): row holds the columns besides the text, spans the removed
     byte ranges, kept the remaining bytes. ``whole_characters`` widens the spans to characters."""
@@ -337,11 +383,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     cuts = sample.approxQuantile("lead", [k / buckets for k in range(1, buckets)], 1 / (4 * buckets)) if buckets > 1 else []
     splitters = np.unique(np.array([int(c) for c in cuts], np.uint64) >> np.uint64(63 - 8 * LEAD_BYTES))
 
-    marks = stash(_settled(_suffixes(texts.select("id", "text"), length, splitters), len(splitters) + 1, (REPEATED, OPEN)), "suffixes")
+    marks = stash(_settled(_suffixes(texts.select("id", "text"), length, splitters), len(splitters) + 1, (REPEATED, OPEN), buckets), "suffixes")
     # both joins take all columns of the texts, so that they share one exchange of them
-    opened = texts.join(_gathered(marks, OPEN), "id", "left")
-    windows = _settled(_open_windows(opened, length, buckets), buckets, (WINDOW, WINDOW))
-    found = _gathered(marks.filter(F.col("kind") == REPEATED).unionByName(windows), REPEATED, WINDOW)
+    opened = texts.join(_gathered(marks, (OPEN,), buckets), "id", "left")
+    windows = _settled(_open_windows(opened, length, buckets), buckets, (WINDOW, WINDOW), buckets)
+    found = _gathered(marks.filter(F.col("kind") == REPEATED).unionByName(windows), (REPEATED, WINDOW), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,7 +397,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 rows = j - i
                 depth = np.zeros(len(data) + 1, np.int32)
                 if at0[j] > at0[i]:
-                    row, first, last, _ = anchors(data, starts, length)
+                    row, first, last, *_ = anchors(data, starts, length)
                     hit = _flags(whole, at0, i, row, rows)
                     np.add.at(depth, first[hit], 1)
                     np.add.at(depth, last[hit] + length, -1)
