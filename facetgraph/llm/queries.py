@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprint, language_id, packing, simhash, suffix_dedup, warc
+from . import decontamination, fingerprint, language_id, packing, simhash, suffix_dedup, toxicity, warc
 from .shared import table
 
 
@@ -22,6 +22,13 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), fitted).drop("text")
 
 
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
+    known = docs.filter(~F.col("held_out")).join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    scored = toxicity.judge(docs, toxicity.fit(known.select("text", "toxic")))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     found = fingerprint.fingerprints(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -59,6 +66,7 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op3_fingerprints": op3_fingerprints,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontamination": op7_decontamination,
