@@ -1,7 +1,7 @@
 """Interpolated Kneser-Ney models over characters, one distribution per class.
 
-A character is a 12-bit symbol, so a gram of up to five is an exact 60-bit code: its low symbol is the
-predicted one, the code without it the context, the code without its first symbol the shorter gram.
+A character is a symbol of ``width`` bits, so a gram of order 60 / width is an exact 60-bit code: its low
+symbol is the predicted one, the code without it the context, the code without its first symbol the shorter gram.
 Counting, continuation counts, context totals and probabilities are grouped sums and joins on these
 codes. For scoring, grams of one order become a sorted array of hashes of ``bits`` bits with one row
 of log-probabilities, so a model holds at most 2**bits rows per order however much text it has seen
@@ -22,26 +22,24 @@ from pyspark.sql import functions as F
 from .arrow import ODD, categories, code_points, lower_points, mix, text_runs
 from .shared import stash
 
-SYMBOL = 12
 RUN_BYTES = 1 << 19
 HELD_GRAMS = 1_000_000
-FLOOR = 1.0 / (1 << SYMBOL)
 
 
 @functools.cache
-def symbol_table(letters_only: bool) -> np.ndarray:
+def symbol_table(letters_only: bool, width: int) -> np.ndarray:
     """Symbol of each code point; 0 is a boundary: anything but a letter, or white space alone."""
     low = lower_points().astype(np.uint64)
-    out = (mix(low) % np.uint64((1 << SYMBOL) - 1) + np.uint64(1)).astype(np.int64)
+    out = (mix(low) % np.uint64((1 << width) - 1) + np.uint64(1)).astype(np.int64)
     kind = categories()
     out[(kind != 1) if letters_only else (kind == 0)] = 0
     return out
 
 
-def symbols(data: np.ndarray, starts: np.ndarray, letters_only: bool) -> tuple[np.ndarray, np.ndarray]:
+def symbols(data: np.ndarray, starts: np.ndarray, letters_only: bool, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of the texts, boundaries in a row taken once and none at a text's beginning."""
     points, begins = code_points(data, starts)
-    s = symbol_table(letters_only)[points]
+    s = symbol_table(letters_only, width)[points]
     keep = s != 0
     if len(keep):
         after = keep[:-1].copy()
@@ -53,12 +51,12 @@ def symbols(data: np.ndarray, starts: np.ndarray, letters_only: bool) -> tuple[n
     return s[keep], place[begins]
 
 
-def gram_codes(s: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
+def gram_codes(s: np.ndarray, starts: np.ndarray, order: int, width: int) -> np.ndarray:
     """Code of the gram that ends at each symbol; a text is preceded by boundaries."""
     code = s.copy()
     at = np.arange(len(s)) - np.repeat(starts[:-1], np.diff(starts))
     for j in range(1, order):
-        part = s[:-j] << (SYMBOL * j)
+        part = s[:-j] << (width * j)
         part[at[j:] < j] = 0
         code[j:] |= part
     return code
@@ -68,7 +66,7 @@ def slots(code: np.ndarray, bits: int) -> np.ndarray:
     return (mix(code.view(np.uint64) * ODD + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-def gram_counts(texts: DataFrame, order: int, letters_only: bool) -> DataFrame:
+def gram_counts(texts: DataFrame, order: int, letters_only: bool, width: int = 12) -> DataFrame:
     """texts(cls, text) to (cls, code, n): grams of the full order, summed in each task first."""
 
     def merged(parts):
@@ -85,8 +83,8 @@ def gram_counts(texts: DataFrame, order: int, letters_only: bool) -> DataFrame:
         for batch in batches:
             classes = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, data, starts in text_runs(batch, "text", RUN_BYTES):
-                s, begins = symbols(data, starts, letters_only)
-                code = gram_codes(s, begins, order)
+                s, begins = symbols(data, starts, letters_only, width)
+                code = gram_codes(s, begins, order, width)
                 cls = np.repeat(classes[i:j], np.diff(begins))
                 for c in np.unique(cls):
                     grams, n = np.unique(code[cls == c], return_counts=True)
@@ -109,18 +107,24 @@ class Model:
     """Sorted hash arrays: grams[k] and contexts[k] are (hashes, log values per class)."""
 
     order: int
+    width: int
     bits: int
     classes: int
     letters_only: bool
     grams: dict[int, tuple[np.ndarray, np.ndarray]]
     contexts: dict[int, tuple[np.ndarray, np.ndarray]]
 
+    def codes(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of texts, where each text begins among them, and the gram that ends at each."""
+        s, begins = symbols(data, starts, self.letters_only, self.width)
+        return s, begins, gram_codes(s, begins, self.order, self.width)
+
     def log_probabilities(self, code: np.ndarray) -> np.ndarray:
         """Natural logarithms, one row per gram code and one column per class."""
         out = np.zeros((len(code), self.classes), np.float32)
         left = np.arange(len(code))
         for k in range(self.order, 0, -1):
-            gram = code[left] & ((1 << (SYMBOL * k)) - 1)
+            gram = code[left] & ((1 << (self.width * k)) - 1)
             row, hit = _find(self.grams[k][0], slots(gram, self.bits))
             if k == self.order and hit.all():
                 return self.grams[k][1][row]
@@ -128,9 +132,9 @@ class Model:
             left, gram = left[~hit], gram[~hit]
             if not len(left):
                 return out
-            row, hit = _find(self.contexts[k][0], slots(gram >> SYMBOL, self.bits))
+            row, hit = _find(self.contexts[k][0], slots(gram >> self.width, self.bits))
             out[left[hit]] += self.contexts[k][1][row[hit]]
-        out[left] += np.float32(np.log(FLOOR))
+        out[left] += np.float32(-self.width * np.log(2))
         return out
 
 
@@ -172,7 +176,7 @@ def _arrays(table: DataFrame, classes: int, bits: int) -> tuple[np.ndarray, np.n
     return key[rank], np.ascontiguousarray(matrix[rank].astype(np.float32))
 
 
-def train(counts: DataFrame, classes: int, order: int, letters_only: bool, bits: int = 22, modified: bool = False, shared_orders: int = 0) -> Model:
+def train(counts: DataFrame, classes: int, order: int, letters_only: bool, width: int = 12, bits: int = 22, modified: bool = False, shared_orders: int = 0) -> Model:
     """A model from gram_counts(). Orders up to ``shared_orders`` are pooled over the classes."""
     per = [F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0)).cast("double") for c in range(classes)]
     grams = stash(counts.groupBy("code").agg(F.array(*per).alias("a")), "grams")
@@ -183,15 +187,15 @@ def train(counts: DataFrame, classes: int, order: int, letters_only: bool, bits:
             ext = [F.sum(F.lit(1.0))] * classes
         else:
             ext = [F.sum((F.col("a")[c] > 0).cast("double")) for c in range(classes)]
-        short = F.col("code").bitwiseAND(F.lit((1 << (SYMBOL * k)) - 1)).alias("code")
+        short = F.col("code").bitwiseAND(F.lit((1 << (width * k)) - 1)).alias("code")
         tables[k] = stash(tables[k + 1].groupBy(short).agg(F.array(*ext).alias("a")), "grams")
     lower = None
-    model = Model(order, bits, classes, letters_only, {}, {})
+    model = Model(order, width, bits, classes, letters_only, {}, {})
     for k in range(1, order + 1):
         d = _discounts(tables[k], classes, modified)
         a = lambda c: F.col("a")[c]
         off = lambda c: F.when(a(c) >= 3, d[c][2]).when(a(c) >= 2, d[c][1]).when(a(c) >= 1, d[c][0]).otherwise(0.0)  # noqa: E731, B023
-        coded = tables[k].withColumn("ctx", F.shiftright("code", SYMBOL))
+        coded = tables[k].withColumn("ctx", F.shiftright("code", width))
         context = coded.groupBy("ctx").agg(
             F.array(*[F.sum(a(c)) for c in range(classes)]).alias("total"),
             F.array(*[F.sum(off(c)) for c in range(classes)]).alias("freed"),
@@ -200,9 +204,9 @@ def train(counts: DataFrame, classes: int, order: int, letters_only: bool, bits:
         context = stash(context.select("ctx", "total", F.array(*weight).alias("weight")), "contexts")
         joined = coded.join(context, "ctx")
         if lower is None:
-            joined = joined.withColumn("q", F.array(*[F.lit(FLOOR)] * classes))
+            joined = joined.withColumn("q", F.array(*[F.lit(0.5**width)] * classes))
         else:
-            joined = joined.withColumn("short", F.col("code").bitwiseAND(F.lit((1 << (SYMBOL * (k - 1))) - 1)))
+            joined = joined.withColumn("short", F.col("code").bitwiseAND(F.lit((1 << (width * (k - 1))) - 1)))
             joined = joined.join(lower.select(F.col("code").alias("short"), F.col("p").alias("q")), "short")
         p = [
             F.when(F.col("total")[c] > 0, (a(c) - off(c)) / F.col("total")[c]).otherwise(0.0) + F.col("weight")[c] * F.col("q")[c]

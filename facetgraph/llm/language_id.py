@@ -43,8 +43,8 @@ class Identifier:
 
 def entropies(model: kn.Model, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, cross-entropy per class and mean squared log-probability per class of each row."""
-    s, begins = kn.symbols(data, starts, model.letters_only)
-    logs = model.log_probabilities(kn.gram_codes(s, begins, model.order))
+    _, begins, codes = model.codes(data, starts)
+    logs = model.log_probabilities(codes)
     n = np.diff(begins)
     some = np.maximum(n, 1)[:, None]
     return n, -kn.row_sums(logs, begins) / some, kn.row_sums(logs * logs, begins) / some
@@ -60,7 +60,7 @@ def fit(train: DataFrame, order: int = 4, z_max: float = 6.0, bits: int = 22) ->
     numbers = F.create_map(*[x for k, name in enumerate(languages) for x in (F.lit(name), F.lit(k))])
     share = F.pmod(F.xxhash64("text"), F.lit(CALIBRATION)) == 0
     known = train.select(numbers[F.col("lang")].alias("cls"), "text")
-    model = kn.train(kn.gram_counts(known.filter(~share), order, True), len(languages), order, True, bits)
+    model = kn.train(kn.gram_counts(known.filter(~share), order, True), len(languages), order, True, bits=bits)
     shipped = train.sparkSession.sparkContext.broadcast(model)
     count = len(languages)
 

@@ -2,9 +2,9 @@
 
 The toxic and the ordinary labelled texts give one model each; the short grams to which both back off
 are counted over both classes together, so an expression that neither has seen weighs nothing. Every
-whole text is read by both, and four numbers describe it: the length-normalised difference of the two
-log-likelihoods, the same of its most toxic word and of its three most toxic ones together, and its
-length. A logistic function of these gives the score; it is fitted on labelled texts that the counts
+whole text is read by both, and six numbers describe it: the length-normalised difference of the two
+log-likelihoods, the difference of its most toxic word and of its three most toxic ones together, both
+also for the first STEM letters of words alone (endings add noise), and its length. A logistic function of these gives the score; it is fitted on labelled texts that the counts
 leave out (a share of one in HELD by the hash of the text), at most ``fit_rows`` of them.
 
 Defined results: a null text or one without a letter scores as an empty one, with all differences
@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 from . import kneser_ney as kn
 from .arrow import text_runs
 
-HELD = 4
-FEATURES = 4
+HELD = 8
+FEATURES = 6
+STEM = 5
 
 
 @dataclass
@@ -43,33 +44,35 @@ class Judge:
 
 
 def describe(model: kn.Model, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The four numbers of each row."""
-    s, begins = kn.symbols(data, starts, model.letters_only)
+    """The numbers of each row: mean, word, three words, length, stem, three stems."""
+    s, begins, codes = model.codes(data, starts)
     rows = len(starts) - 1
     out = np.zeros((rows, FEATURES))
     n = np.diff(begins)
     out[:, 3] = np.log1p(n)
     if not len(s):
         return out
-    logs = model.log_probabilities(kn.gram_codes(s, begins, model.order))
+    logs = model.log_probabilities(codes)
     d = logs[:, 1].astype(np.float64) - logs[:, 0]
     out[:, 0] = kn.row_sums(d, begins) / np.maximum(n, 1)
     head = np.zeros(len(s), bool)
     head[begins[:-1][n > 0]] = True
     head[1:] |= s[:-1] == 0  # a word takes the boundary behind it
     word = np.flatnonzero(head)
-    total = np.add.reduceat(d, word)
+    end = np.append(word[1:], len(s))
+    sums = np.concatenate(([0.0], np.cumsum(d)))
     row = np.searchsorted(begins, word, "right") - 1
-    order = np.lexsort((-total, row))
-    total, row = total[order], row[order]
     first = np.searchsorted(row, np.arange(rows))
     count = np.bincount(row, minlength=rows)
-    for k in range(3):
-        ok = count > k
-        best = np.maximum(total[first[ok] + k], 0)
-        if k == 0:
-            out[ok, 1] = best
-        out[ok, 2] += best
+    for column, stop in ((1, end), (4, np.minimum(end, word + STEM))):
+        total = sums[stop] - sums[word]
+        total = total[np.lexsort((-total, row))]
+        for k in range(3):
+            ok = count > k
+            best = np.maximum(total[first[ok] + k], 0)
+            if k == 0:
+                out[ok, column] = best
+            out[ok, column + 1] += best
     return out
 
 
@@ -100,11 +103,11 @@ def _described(texts: DataFrame, model: kn.Model) -> DataFrame:
     return texts.select("cls", "text").mapInArrow(run, "cls int, features array<double>")
 
 
-def fit(labelled: DataFrame, order: int = 5, bits: int = 22, shared_orders: int = 2, fit_rows: int = 20_000) -> Judge:
+def fit(labelled: DataFrame, order: int = 5, width: int = 12, bits: int = 22, shared_orders: int = 3, fit_rows: int = 20_000) -> Judge:
     """labelled(text, toxic 0/1) to a judge. All labelled texts count; ``fit_rows`` bounds the logistic fit."""
     known = labelled.filter(F.col("toxic").isin(0, 1)).select(F.col("toxic").cast("int").alias("cls"), F.coalesce("text", F.lit("")).alias("text"))
     share = F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0
-    model = kn.train(kn.gram_counts(known.filter(~share), order, True), 2, order, True, bits, shared_orders=shared_orders)
+    model = kn.train(kn.gram_counts(known.filter(~share), order, True, width), 2, order, True, width, bits, shared_orders=shared_orders)
     held = known.filter(share)
     count = held.count()
     if count > fit_rows:
@@ -113,14 +116,14 @@ def fit(labelled: DataFrame, order: int = 5, bits: int = 22, shared_orders: int
     y = rows.column(0).to_numpy().astype(float) if len(rows) else np.zeros(0)
     none = np.zeros(FEATURES)
     if not len(y) or y.min() == y.max():
-        return Judge(None if not len(y) or y.max() == 0 else model, none, none + 1, np.array([0.0, 2.0, 0.0, 0.0, -4.0]))
+        return Judge(None if not len(y) or y.max() == 0 else model, none, none + 1, np.array([0.0, 1.0, 0.0, 0.0, 1.0, 0.0, -4.0]))
     x = np.array(rows.column(1).to_pylist())
     centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     return Judge(model, centre, scale, _logistic(np.clip((x - centre) / scale, -8, 8), y))
 
 
 def judge(docs: DataFrame, fitted: Judge) -> DataFrame:
-    """docs with score, and the four numbers behind it as ``evidence``."""
+    """docs with score, and the numbers behind it as ``evidence``."""
     docs = docs.drop("score", "evidence")
     shipped = docs.sparkSession.sparkContext.broadcast(fitted)
 
