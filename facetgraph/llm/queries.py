@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprint, language_id, packing, simhash, suffix_dedup, toxicity, warc
-from .shared import table
+from . import decontamination, fingerprint, language_id, packing, quality, simhash, suffix_dedup, toxicity, warc
+from .shared import stash, table
 
 
 def held_out(doc_id: Column) -> Column:
@@ -34,6 +34,17 @@ def op3_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    trusted = table(spark, sf, "labels").filter("quality = 1").select("doc_id").distinct()
+    languages, model = quality.train(docs.join(trusted, "doc_id", "left_semi"))
+    aside = F.pmod(F.xxhash64("text"), F.lit(quality.HELD)) == 0
+    scored = quality.perplexities(docs.withColumn("aside", aside), languages, model)
+    scored = stash(scored.select("doc_id", "lang", "read_as", "perplexity", "aside"), "perplexities")
+    cuts = stash(quality.limits(scored.filter("aside").join(trusted, "doc_id", "left_semi")), "limits")
+    return quality.judged(scored, cuts).select("doc_id", "lang", "read_as", "perplexity", "lowest", "highest", "keep")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), length=50)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
@@ -68,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_fingerprints": op3_fingerprints,
+    "op5_quality": op5_quality,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
