@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprint, language_id, packing, quality, simhash, suffix_dedup, toxicity, warc
+from . import decontamination, fingerprint, language_id, licenses, packing, quality, simhash, suffix_dedup, toxicity, warc
 from .shared import stash, table
 
 
@@ -34,6 +34,13 @@ def op3_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    found = licenses.scan(spark, docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     trusted = table(spark, sf, "labels").filter("quality = 1").select("doc_id").distinct()
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_fingerprints": op3_fingerprints,
+    "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontamination": op7_decontamination,
