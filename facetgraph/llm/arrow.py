@@ -89,13 +89,18 @@ def row_of(starts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(starts) - 1), np.diff(starts))
 
 
-@functools.lru_cache(4)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    base = 0x5851F42D4C957F2D
-    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """Powers of an odd number and of its inverse modulo 2**64; one table, made longer when a run needs it."""
+    if len(_powers[0]) < n:
+        size = 1 << max(12, int(n - 1).bit_length())
+        for k, base in enumerate((0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64))):
+            factors = np.full(size, base, np.uint64)
+            factors[0] = 1
+            _powers[k] = np.multiply.accumulate(factors)
+    return _powers[0], _powers[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,8 +114,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of values[begin:end] for each span, alike wherever the span stands."""
-    size = 1 << max(12, int(len(values)).bit_length())
-    up, down = powers(size)
+    up, down = powers(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
+    part = values.astype(np.uint64)
+    part += np.uint64(1)
+    part *= up[: len(values)]
+    np.cumsum(part, out=total[1:])
     return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))

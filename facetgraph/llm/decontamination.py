@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import categories, code_points, lower_points, mix, span_hashes, text_runs
-from .shared import own_id, stash
+from .shared import mapped, own_id, stash
 
 WINDOW = 5
 RUN_BYTES = 1 << 19
@@ -132,7 +132,7 @@ def _window_rows(texts: DataFrame, bitmap=None) -> DataFrame:
                             ["id", "stream", "h", "slots"],
                         )
 
-    return texts.mapInArrow(run, "id bigint, stream tinyint, h bigint, slots array<bigint>")
+    return mapped(texts, run, "id bigint, stream tinyint, h bigint, slots array<bigint>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, consistency: float = 0.9) -> DataFrame:

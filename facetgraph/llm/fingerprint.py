@@ -24,6 +24,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import mapped
+
 BUCKETS = 128
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 4))
 SALTS = (0x3B, 0x9D, 0xE5)
@@ -146,4 +148,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars bigint, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, parts).select("guest", "doc_id", "text").mapInArrow(run, schema)
+    return mapped(with_next(docs, parts).select("guest", "doc_id", "text"), run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import ODD, categories, code_points, lower_points, mix, text_runs
-from .shared import stash
+from .shared import mapped, stash
 
 RUN_BYTES = 1 << 19
 HELD_GRAMS = 1_000_000
@@ -99,7 +99,7 @@ def gram_counts(texts: DataFrame, order: int, letters_only: bool, width: int = 1
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(parts)], ["cls", "code", "n"])
 
-    return texts.select(F.col("cls").cast("int"), "text").mapInArrow(run, "cls int, code bigint, n bigint").groupBy("cls", "code").agg(F.sum("n").alias("n"))
+    return mapped(texts.select(F.col("cls").cast("int"), "text"), run, "cls int, code bigint, n bigint").groupBy("cls", "code").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -169,7 +169,7 @@ def _arrays(table: DataFrame, classes: int, bits: int) -> tuple[np.ndarray, np.n
             yield pa.RecordBatch.from_arrays([pa.array(slot), batch.column(1)], ["slot", "v"])
 
     values = [F.avg(F.col("v")[c]).cast("float").alias(f"v{c}") for c in range(classes)]
-    got = table.mapInArrow(run, "slot bigint, v array<double>").groupBy("slot").agg(*values).toArrow()
+    got = mapped(table, run, "slot bigint, v array<double>").groupBy("slot").agg(*values).toArrow()
     key = got.column(0).to_numpy().astype(np.uint32)
     rank = np.argsort(key)
     matrix = np.stack([got.column(c + 1).to_numpy() for c in range(classes)], axis=1) if len(key) else np.zeros((0, classes), np.float32)

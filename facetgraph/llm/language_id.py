@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from . import kneser_ney as kn
 from .arrow import text_runs
+from .shared import mapped
 
 UNKNOWN = "und"
 CALIBRATION = 16
@@ -74,7 +75,7 @@ def fit(train: DataFrame, order: int = 4, z_max: float = 6.0, bits: int = 22) ->
                 columns = [own, n[ok], ce[ok, own], square[ok, own], _log_posterior(ce[ok], own)]
                 yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in columns[:4]], pa.array(list(columns[4]), pa.list_(pa.float64()))], ["cls", "n", "ce", "square", "fit"])
 
-    seen = known.filter(share).mapInArrow(run, "cls int, n bigint, ce double, square double, fit array<double>")
+    seen = mapped(known.filter(share), run, "cls int, n bigint, ce double, square double, fit array<double>")
     n, ce = F.col("n"), F.col("ce")
     fits = [F.sum(F.col("fit")[k]).alias(f"t{k}") for k in range(len(TEMPERATURES))]
     rows = seen.groupBy("cls").agg(
@@ -131,7 +132,7 @@ def identify(docs: DataFrame, fitted: Identifier) -> DataFrame:
                 )
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def accepted(docs: DataFrame, **settings) -> DataFrame:

@@ -25,26 +25,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import categories, code_points, span_hashes, text_runs
+from .shared import mapped
 
-RUN_BYTES = 1 << 22
+RUN_BYTES = 1 << 21
 SCHEMA = "doc_id {id}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
-MOST_KNOWN = 300_000
+MOST_KNOWN = 200_000
 MARKER = b"<|endoftext|>"
 
 
+@functools.cache
+def whole_tokenizer(name: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 @functools.cache
 def encoder(name: str):
-    """The tokenizer and, for single pieces of text, the same vocabulary as ranks."""
+    """The tokenizer's vocabulary as ranks, for single pieces of text."""
     import base64
 
     import tiktoken
-    from tokenizers import Tokenizer
 
     stem = name.removesuffix(".json")
     with open(public_tokenizers.path(f"{stem}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    pieces = tiktoken.Encoding(stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Tokenizer.from_file(public_tokenizers.path(name)), pieces
+    return tiktoken.Encoding(stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @functools.cache
@@ -90,7 +96,7 @@ def token_ids(data: np.ndarray, starts: np.ndarray, name: str, end_id: int) -> t
 
     Every different piece of text is encoded once a run; a bounded table keeps pieces between runs.
     """
-    tokenizer, encoding = encoder(name)
+    encoding = encoder(name)
     points, begins = code_points(data, starts)
     text = data.tobytes().decode("utf-8", "replace")
     first = piece_starts(points, begins)
@@ -115,7 +121,7 @@ def token_ids(data: np.ndarray, starts: np.ndarray, name: str, end_id: int) -> t
         for k in range(len(each)):
             row = data[starts[k] : starts[k + 1]].tobytes()
             if MARKER in row:
-                each[k] = np.array(tokenizer.encode(row.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+                each[k] = np.array(whole_tokenizer(name).encode(row.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
     stop = np.array([end_id], np.uint32)
     out = np.concatenate([x for one in each for x in (one, stop)]) if each else np.zeros(0, np.uint32)
     return out, np.concatenate(([0], np.cumsum([len(x) + 1 for x in each]))).astype(np.int64)
@@ -217,4 +223,4 @@ def pack(docs: DataFrame, size: int = 2048, windows: int = 16, tokenizer: str =
         if packer.out:
             yield rows(id_type)
 
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", F.col("text")), run, schema)

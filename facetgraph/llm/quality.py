@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from . import kneser_ney as kn
 from .arrow import text_runs
+from .shared import mapped
 
 HELD = 8
 
@@ -65,7 +66,7 @@ def perplexities(docs: DataFrame, languages: list[str], model: kn.Model | None)
                 yield pa.RecordBatch.from_arrays([*[c.slice(i, rows) for c in batch.columns], read, value], [*batch.schema.names, "read_as", "perplexity"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("read_as", T.StringType()), T.StructField("perplexity", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def limits(scored_trusted: DataFrame, low: float = 0.005, high: float = 0.98) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ensure_checkpoint_dir
 
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 #: Spark drops the shuffle files of a write as soon as it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -28,6 +32,14 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def mapped(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` in batches of at most BATCH_ROWS rows: rows with whole texts are large."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCHES)) > BATCH_ROWS:
+        conf.set(BATCHES, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back: later jobs neither repeat it nor depend on its executors."""
     spark = df.sparkSession

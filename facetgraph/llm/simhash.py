@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .arrow import text_runs
 from .graph import components
-from .shared import own_id, stash
+from .shared import mapped, own_id, stash
 
 RUN_BYTES = 1 << 20
 TILE = 1024
@@ -66,7 +66,7 @@ def fingerprint_table(docs: DataFrame, words: int, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64))], ["id", "fp"])
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id bigint, fp bigint")
+    return mapped(source, run, "id bigint, fp bigint")
 
 
 def _star(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -170,7 +170,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
             yield done(held)
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    return mapped(rows.repartition(n, "key").sortWithinPartitions("key"), run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import mix, span_hashes, text_runs, utf8
-from .shared import own_id, stash
+from .shared import mapped, own_id, stash
 
 GRAM = 24
 RUN_BYTES = 1 << 18
@@ -267,7 +267,7 @@ def _settled(sent: DataFrame, buckets: int, kinds: tuple[int, int], parts: int)
                     yield _marks(doc[mask], number[mask], kind, parts)
 
     dealt = sent.repartitionById(buckets, "bucket").select("kind", "blob")
-    return dealt.mapInArrow(run, "part int, kind tinyint, blob binary")
+    return mapped(dealt, run, "part int, kind tinyint, blob binary")
 
 
 def _gathered(marks: DataFrame, kinds: tuple[int, ...], parts: int) -> DataFrame:
@@ -296,7 +296,7 @@ def _gathered(marks: DataFrame, kinds: tuple[int, ...], parts: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(some), *columns], ["id", *[f"k{k}" for k in kinds]])
 
     dealt = marks.filter(F.col("kind").isin(*kinds)).repartitionById(parts, "part").select("kind", "blob")
-    return dealt.mapInArrow(run, ", ".join(["id bigint", *[f"k{k} binary" for k in kinds]]))
+    return mapped(dealt, run, ", ".join(["id bigint", *[f"k{k} binary" for k in kinds]]))
 
 
 REPEATED, OPEN, WINDOW = 0, 1, 2
@@ -316,7 +316,7 @@ def _suffixes(texts: DataFrame, length: int, splitters: np.ndarray) -> DataFrame
         if block.size:
             yield block.flush()
 
-    return texts.mapInArrow(run, "bucket int, kind tinyint, blob binary")
+    return mapped(texts, run, "bucket int, kind tinyint, blob binary")
 
 
 def _open_windows(marked: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -345,7 +345,7 @@ def _open_windows(marked: DataFrame, length: int, buckets: int) -> DataFrame:
         if block.size:
             yield block.flush()
 
-    return marked.mapInArrow(run, "bucket int, kind tinyint, blob binary")
+    return mapped(marked, run, "bucket int, kind tinyint, blob binary")
 
 
 def _numbers(blob: np.ndarray, at: np.ndarray, i: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -379,7 +379,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 token = anchors(data, starts, length)[3]
                 yield pa.RecordBatch.from_arrays([pa.array((token[:: SAMPLE // 4 + 1] >> np.uint64(1)).view(np.int64))], ["lead"])
 
-    sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(leads, "lead bigint")
+    sample = mapped(texts.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text"), leads, "lead bigint")
     cuts = sample.approxQuantile("lead", [k / buckets for k in range(1, buckets)], 1 / (4 * buckets)) if buckets > 1 else []
     splitters = np.unique(np.array([int(c) for c in cuts], np.uint64) >> np.uint64(63 - 8 * LEAD_BYTES))
 
@@ -434,7 +434,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     spans = "array<struct<begin:bigint,end:bigint>>"
     kind = texts.schema["row"].dataType.simpleString()
-    return texts.join(found, "id", "left").mapInArrow(run, f"row {kind}, n_bytes bigint, spans {spans}, kept binary")
+    return mapped(texts.join(found, "id", "left"), run, f"row {kind}, n_bytes bigint, spans {spans}, kept binary")
 
 
 def trimmed(docs: DataFrame, length: int = 50) -> DataFrame:

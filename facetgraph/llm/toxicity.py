@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from . import kneser_ney as kn
 from .arrow import text_runs
+from .shared import mapped
 
 HELD = 8
 FEATURES = 6
@@ -100,7 +101,7 @@ def _described(texts: DataFrame, model: kn.Model) -> DataFrame:
                 features = describe(shipped.value, data, starts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(list(features), pa.list_(pa.float64()))], ["cls", "features"])
 
-    return texts.select("cls", "text").mapInArrow(run, "cls int, features array<double>")
+    return mapped(texts.select("cls", "text"), run, "cls int, features array<double>")
 
 
 def fit(labelled: DataFrame, order: int = 5, width: int = 12, bits: int = 22, shared_orders: int = 3, fit_rows: int = 20_000) -> Judge:
@@ -141,4 +142,4 @@ def judge(docs: DataFrame, fitted: Judge) -> DataFrame:
                 )
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.DoubleType()))])
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import CLEANUP, folder
+from .shared import CLEANUP, folder, mapped
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 NONE = -1
@@ -80,7 +80,7 @@ def write(pages: DataFrame, path: str, shortest: int = 100, per_file: int = 4096
                     held, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["record"])
 
-    records = source.join(told, ["page", "digest"], "left").select("page", "digest", "url", "payload", "origin").mapInArrow(run, "record binary")
+    records = mapped(source.join(told, ["page", "digest"], "left").select("page", "digest", "url", "payload", "origin"), run, "record binary")
     spark = pages.sparkSession
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
@@ -148,7 +148,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, "page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, record_id string, refers_to_record string, payload binary")
+    return mapped(files, run, "page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, record_id string, refers_to_record string, payload binary")
 
 
 def resolved(records: DataFrame) -> DataFrame:
