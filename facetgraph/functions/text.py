@@ -23,10 +23,6 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-def ascii_only(c: Column) -> Column:
-    return F.regexp_replace(c, r"[^\x00-\x7F]", "")
-
-
 def capitalised_words(c: Column) -> Column:
     """Words that look like type names, in order, with repeats."""
     return F.regexp_extract_all(c, F.lit(CAPITALISED_WORD), F.lit(1))

@@ -65,19 +65,44 @@ unit AS (SELECT i, f, v / norm AS v FROM feat JOIN norm USING (i)),
 sem AS (SELECT a.i, b.i AS j, CASE WHEN a.i = b.i THEN 1.0 ELSE sum(a.v * b.v) END AS w FROM unit a JOIN unit b ON a.f = b.f GROUP BY 1, 2)"""
 ALL_VIEWS = ",".join([NATION_REL, NATION_MEM, NATION_FEAT, STR_AFTER, FUN, SEM])
 
-DOCS = r"docs AS (SELECT doc_id, source, lang, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS text FROM documents)"
-CAP = r"'\b([A-Z][a-zA-Z0-9_]+)\b'"
+# The SQL engine's \w, \s and \b know ASCII only: words and blanks of Unicode are spelled out, and
+# word boundaries become the choice of whole words.
+DOCS = "docs AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents)"
+_SIGNS = [r"\p{L}", r"\p{M}", r"\p{Nd}", r"\p{Nl}", r"\p{Pc}"]
+WORD = "[" + "".join(_SIGNS) + r"\x{200C}\x{200D}]"
+BLANK = r"[\s\x{0B}\x{85}\p{Z}]"
+START = "(?:^|[^" + WORD[1:] + ")"
+FOREIGN = "(" + "|".join(rf"[^\x00-\x7F{sign.replace('p', 'P', 1)}]" for sign in _SIGNS) + ")"
+
+
+def _caps(c: str) -> str:
+    """Whole words that look like type names."""
+    return f"list_filter(regexp_extract_all({c}, '{WORD}+'), lambda cap: regexp_full_match(cap, '[A-Z][a-zA-Z0-9_]+'))"
+
+
+def _spaced(c: str) -> str:
+    """A blank behind each bracket, so that a match leaves the next one its left neighbour."""
+    return f"replace(replace({c}, '(', '( '), ')', ') ')"
+
+
+def _without(c: str, terms: list[str]) -> str:
+    """Whole words ``terms`` deleted: letters beyond ASCII carry marks while ASCII boundaries are in use."""
+    marked = f"regexp_replace({c}, '{FOREIGN}', '_\\1_', 'g')"
+    bare = f"regexp_replace({marked}, '\\b(?:{'|'.join(terms)})\\b', '', 'g')"
+    return f"regexp_replace({bare}, '_{FOREIGN}_', '\\1', 'g')"
+
+
 CLASSES = rf"""
 {DOCS},
-named AS (SELECT *, regexp_extract_all(text, {CAP}, 1) AS words FROM docs),
+named AS (SELECT *, {_caps('text')} AS words FROM docs),
 classes AS (
   SELECT source || '/' || CASE lang WHEN 'en' THEN 'jpa' WHEN 'fr' THEN 'src/main' ELSE 'morphia' END || '/' || doc_id || '.java' AS filename,
-    words[1] AS class,
+    coalesce(words[1], 'Doc' || doc_id) AS class,
     regexp_extract(text, '^([^\n]*)', 1) AS attributes,
     regexp_replace(text, '^[^\n]*', '') AS methods,
-    'class ' || words[1] || ' extends ' || words[2] || ', ' || words[3] || ' {{' || chr(10)
+    'class ' || coalesce(words[1], 'Doc' || doc_id) || CASE WHEN len(words) > 1 THEN ' extends ' || array_to_string(words[2:3], ', ') ELSE '' END || ' {{' || chr(10)
       || regexp_replace(text, '([A-Z][a-z]+) ', 'new \1( ', 'g') || chr(10) || '}}' AS content
-  FROM named WHERE len(words) > 2)"""
+  FROM named)"""
 UNIQUE = f"""
 {CLASSES},
 core AS (
@@ -294,7 +319,7 @@ ORACLES["l1_fusion_3iter"] = _l1(3)
 
 TECHNICAL = rf"""
 {DOCS},
-words AS (SELECT unnest(regexp_extract_all(text, {CAP}, 1)) AS word FROM docs),
+words AS (SELECT unnest({_caps('text')}) AS word FROM docs),
 tech AS (SELECT CASE WHEN length(word) > 7 THEN word || 'Controller' WHEN length(word) > 6 THEN 'Rest' || word
   WHEN length(word) > 5 THEN word || 'Utils' WHEN length(word) > 4 THEN word || 'Dao' ELSE word END AS class FROM words)"""
 
@@ -310,8 +335,8 @@ ORACLES["extraction_counts"] = _with(TECHNICAL) + f""",
   SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (NOT core), 0) AS BIGINT) AS filtered,
     count(*) FILTER (core) AS core_names, CAST(coalesce(sum(n - 1) FILTER (core), 0) AS BIGINT) AS collisions FROM per"""
 ORACLES["rule_anti_join"] = _with(DOCS) + rf""",
-  caps AS (SELECT regexp_extract_all(text, {CAP}, 1) AS c FROM docs),
-  names AS (SELECT DISTINCT unnest(list_concat(c, [c[n] || c[n + 1] FOR n IN range(1, len(c))])) AS class FROM caps WHERE len(c) > 1)
+  caps AS (SELECT {_caps('text')} AS c FROM docs),
+  names AS (SELECT DISTINCT unnest(list_concat(c, [c[n] || c[n + 1] FOR n IN range(1, len(c))])) AS class FROM caps)
   SELECT class FROM names WHERE {_kept(['Ion', 'ing', 'ent', 'Th'], ['The', 'An', 'Re'])}"""
 _DEDUPE = """
   SELECT class, filename FROM (SELECT class, filename, row_number() OVER (PARTITION BY class ORDER BY {rank}, filename) AS rn FROM classes) WHERE rn = 1"""
@@ -326,16 +351,16 @@ ORACLES["collision_dedupe_hosts"] = r"""
 def _split(c: str) -> str:
     spaced = rf"regexp_replace({c}, '([A-Z])', ' \1', 'g')"
     spaced = rf"regexp_replace({spaced}, '([0-9]+)', ' \1', 'g')"
-    return rf"lower(trim(regexp_replace(replace(replace({spaced}, '_', ' '), '.', ' '), '\s+', ' ', 'g')))"
+    return rf"lower(trim(regexp_replace(replace(replace({spaced}, '_', ' '), '.', ' '), '{BLANK}+', ' ', 'g')))"
 
 
-ORACLES["identifier_split"] = "SELECT page_id, " + _split(r"regexp_replace(url, '[^\x00-\x7F]', '', 'g')") + " AS words FROM pages"
+ORACLES["identifier_split"] = "SELECT page_id, " + _split("url") + " AS words FROM pages"
 ORACLES["lexical_documents"] = _with(CLASSES) + rf"""
   SELECT filename, trim({_split("'org.' || regexp_extract(filename, '^([^/]+)', 1)")} || ' ' || {_split('class')}
     || CASE WHEN len(a) > 0 THEN ' ' || array_to_string([{_split('t')} FOR t IN a], ' ') ELSE '' END
     || CASE WHEN len(m) > 0 THEN ' ' || array_to_string([{_split('t')} FOR t IN m], ' ') ELSE '' END) AS document
-  FROM (SELECT *, regexp_extract_all(attributes, {CAP}, 1) AS a, regexp_extract_all(methods, {CAP}, 1) AS m FROM classes)"""
-_TOKENS = r"list_filter(string_split_regex(trim(lower(text)), '\s+'), lambda t: t <> '')"
+  FROM (SELECT *, {_caps('attributes')} AS a, {_caps('methods')} AS m FROM classes)"""
+_TOKENS = f"list_filter(string_split_regex(lower(text), '{BLANK}+'), lambda t: t <> '')"
 ORACLES["token_clean"] = _with(DOCS) + rf"""
   SELECT doc_id, array_to_string(list_filter({_TOKENS}, lambda t: length(t) > 2 AND t NOT IN ({_list(text.default_stop_words())})), ' ') AS cleaned_text FROM docs"""
 ORACLES["lemma_join"] = _with(DOCS) + rf""",
@@ -345,44 +370,45 @@ ORACLES["lemma_join"] = _with(DOCS) + rf""",
   lemma AS (SELECT a.t || 's' AS token, a.t AS lemma FROM vocab a WHERE a.t || 's' IN (SELECT t FROM vocab))
   SELECT d.doc_id, coalesce(c.cleaned_text, '') AS cleaned_text FROM docs d LEFT JOIN (
     SELECT doc_id, string_agg(coalesce(lemma, t), ' ' ORDER BY p) AS cleaned_text FROM long LEFT JOIN lemma ON token = t GROUP BY 1) c USING (doc_id)"""
-_BARE = rf"trim(regexp_replace(regexp_replace(lower(text), '\b(?:{'|'.join([*fixed.TECHNICAL_TERMS, 'the', 'and', 'le'])})\b', '', 'g'), '\s+', ' ', 'g'))"
+_BARE = f"trim(regexp_replace({_without('lower(text)', [*fixed.TECHNICAL_TERMS, 'the', 'and', 'le'])}, '{BLANK}+', ' ', 'g'))"
 ORACLES["term_removal"] = _with(DOCS) + rf"SELECT doc_id, upper(b[1]) || b[2:] AS cleaned FROM (SELECT doc_id, {_BARE} AS b FROM docs)"
 ORACLES["comment_strip"] = r"""
-  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '[^\x00-\x7F]', '', 'g'), '/\*[\s\S]*?\*/', '', 'g'), '//[^\n]*', '', 'g') AS code FROM pages"""
+  SELECT page_id, regexp_replace(regexp_replace(html, '/\*[\s\S]*?\*/', '', 'g'), '//[^\n]*', '', 'g') AS code FROM pages"""
 
-INH = r"""
+INH = rf"""
 inh AS (SELECT src, dst, 15 AS score FROM (
-  SELECT class AS src, unnest(string_split_regex(regexp_extract(content, '\b(?:extends|implements)\s+(\w+(?:,\s*\w+)*)', 1), '[,\s]+')) AS dst FROM core)
+  SELECT class AS src, unnest(string_split_regex(regexp_extract(content, '{START}(?:extends|implements){BLANK}+({WORD}+(?:,{BLANK}*{WORD}+)*)', 1), '(?:,|{BLANK})+')) AS dst FROM core)
   WHERE dst IN (SELECT class FROM core))"""
 SIG = rf"""
-sigt AS (SELECT class AS src, regexp_extract_all(attributes, {CAP}, 1) AS held, list_distinct(regexp_extract_all(attributes || ' ' || methods, {CAP}, 1)) AS ts FROM core),
+sigt AS (SELECT class AS src, {_caps('attributes')} AS held, list_distinct({_caps("attributes || ' ' || methods")}) AS ts FROM core),
 sig AS (SELECT src, dst, CASE WHEN list_contains(held, dst) THEN 5 ELSE 3 END AS score FROM (SELECT src, held, unnest(ts) AS dst FROM sigt)
   WHERE dst <> src AND dst IN (SELECT class FROM core))"""
-INS = r"""
-ins AS (SELECT src, dst, 8 AS score FROM (SELECT class AS src, unnest(regexp_extract_all(content, '\bnew\s+(\w+)\s*\(', 1)) AS dst FROM core)
+INS = rf"""
+ins AS (SELECT src, dst, 8 AS score FROM (SELECT class AS src, unnest(regexp_extract_all({_spaced('content')}, '{START}new{BLANK}+({WORD}+){BLANK}*\(', 1)) AS dst FROM core)
   WHERE dst <> src AND dst IN (SELECT class FROM core))"""
 _SUM = "SELECT src, dst, CAST(sum(score) AS BIGINT) AS score FROM ({rows}) GROUP BY 1, 2"
 ORACLES["inheritance_edges"] = _with(UNIQUE, INH) + "SELECT src, dst, CAST(score AS BIGINT) AS score FROM inh"
 ORACLES["signature_types"] = _with(UNIQUE, SIG) + "SELECT src, dst, CAST(score AS BIGINT) AS score FROM sig"
 ORACLES["instantiation_counts"] = _with(UNIQUE, INS) + _SUM.format(rows="SELECT * FROM ins")
-ORACLES["instantiation_closed"] = _with(UNIQUE) + r""",
-  closing AS (SELECT class AS src, replace(content, chr(10), ' )' || chr(10)) AS content FROM core),
-  cand AS (SELECT src, content, unnest(list_distinct(regexp_extract_all(content, '\bnew\s+(\w+)\s*\(', 1))) AS dst FROM closing),
-  n AS (SELECT src, dst, len(regexp_extract_all(content, '\bnew\s+' || dst || '\s*\(.*?\)')) AS n FROM cand WHERE dst <> src AND dst IN (SELECT class FROM core))
+ORACLES["instantiation_closed"] = _with(UNIQUE) + rf""",
+  closing AS (SELECT class AS src, regexp_replace({_spaced("replace(content, chr(10), ' )' || chr(10))")},
+    '({START})new{BLANK}+({WORD}+){BLANK}*\(', '\1' || chr(1) || '\2(', 'g') AS content FROM core),
+  cand AS (SELECT src, content, unnest(list_distinct(regexp_extract_all(content, chr(1) || '({WORD}+)\(', 1))) AS dst FROM closing),
+  n AS (SELECT src, dst, len(regexp_extract_all(content, chr(1) || dst || '\(.*?\)')) AS n FROM cand WHERE dst <> src AND dst IN (SELECT class FROM core))
   SELECT src, dst, CAST(8 * n AS BIGINT) AS score FROM n WHERE n > 0"""
 ORACLES["class_relation_scores"] = _with(UNIQUE, INH, SIG, INS) + _SUM.format(
     rows="SELECT * FROM inh UNION ALL SELECT * FROM sig UNION ALL SELECT * FROM ins"
 )
 ORACLES["mention_pairs"] = _with(UNIQUE) + rf""",
   ctl AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS grp, page_id,
-    regexp_replace(regexp_replace(regexp_replace(html, '[^\x00-\x7F]', '', 'g'), '/\*[\s\S]*?\*/', '', 'g'), '//[^\n]*', '', 'g') AS code FROM pages),
+    regexp_replace(regexp_replace(html, '/\*[\s\S]*?\*/', '', 'g'), '//[^\n]*', '', 'g') AS code FROM pages),
   path AS (SELECT *, 'web/spring/' || page_id || '/' || grp || '.java' AS path FROM ctl),
-  hit AS (SELECT DISTINCT grp, path, member FROM (SELECT grp, path, unnest(regexp_extract_all(code, {CAP}, 1)) AS member FROM path)
+  hit AS (SELECT DISTINCT grp, path, member FROM (SELECT grp, path, unnest({_caps('code')}) AS member FROM path)
     WHERE member <> grp AND member IN (SELECT class FROM core))
   SELECT DISTINCT grp, member FROM hit WHERE (grp, path) IN (SELECT grp, max(path) FROM hit GROUP BY 1)"""
 _SOURCES = rf"""
 src AS (SELECT regexp_extract(filename, '^(.*)\.java$', 1) || '/' || class || '.java' AS path, class,
-  regexp_extract_all(attributes, {CAP}, 1) AS a, regexp_extract_all(methods, {CAP}, 1) AS m FROM classes)"""
+  {_caps('attributes')} AS a, {_caps('methods')} AS m FROM classes)"""
 ORACLES["declarations"] = _with(CLASSES, _SOURCES) + """
   SELECT path AS filename, class,
     '[' || coalesce(array_to_string(list_transform(a, lambda t, n: t || '[] f' || (n - 1)), '; '), '') || ']' AS attributes,

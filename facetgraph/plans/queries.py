@@ -254,8 +254,9 @@ def l1_fusion_3iter(spark: SparkSession, sf: str) -> DataFrame:
 def _words(spark: SparkSession, sf: str) -> DataFrame:
     """Class-like names: each capitalised word of a text joined to the one after it."""
     caps = w.documents(spark, sf).select(text.capitalised_words(F.col("text")).alias("c"))
-    pairs = F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: F.concat(a, b))
-    return caps.filter(F.size("c") > 1).select(F.explode(F.concat("c", pairs)).alias("class"))
+    rest = F.greatest(F.size("c") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("c", 1, rest), F.slice("c", 2, rest), lambda a, b: F.concat(a, b))
+    return caps.select(F.explode(F.concat("c", pairs)).alias("class"))
 
 
 # affixes that occur in the documents
@@ -321,7 +322,7 @@ def collision_dedupe_hosts(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("identifier_split")
 def identifier_split(spark: SparkSession, sf: str) -> DataFrame:
-    return w.pages(spark, sf).select("page_id", text.split_identifier(text.ascii_only(F.col("url"))).alias("words"))
+    return w.pages(spark, sf).select("page_id", text.split_identifier(F.col("url")).alias("words"))
 
 
 @register("lexical_documents")
@@ -360,7 +361,7 @@ def term_removal(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("comment_strip")
 def comment_strip(spark: SparkSession, sf: str) -> DataFrame:
-    return w.pages(spark, sf).select("page_id", text.strip_comments(text.ascii_only(F.col("html"))).alias("code"))
+    return w.pages(spark, sf).select("page_id", text.strip_comments(F.col("html")).alias("code"))
 
 
 def _core_classes(spark: SparkSession, sf: str) -> DataFrame:
@@ -405,7 +406,7 @@ def class_relation_scores(spark: SparkSession, sf: str) -> DataFrame:
 def mention_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as controllers: entities are the class names, controllers are named after the host."""
     controllers = w.pages(spark, sf).select(
-        F.format_string("web/spring/%d/%s.java", "page_id", "host").alias("path"), text.ascii_only(F.col("html")).alias("content")
+        F.format_string("web/spring/%d/%s.java", "page_id", "host").alias("path"), F.col("html").alias("content")
     )
     return relations.mention_pairs(controllers, _core_classes(spark, sf))
 
@@ -478,7 +479,7 @@ def partition_document(spark: SparkSession, sf: str) -> DataFrame:
 @register("wide_matrix_roundtrip")
 def wide_matrix_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Long view to a wide labelled matrix and back."""
-    regions = [r[0] for r in w.regions(spark, sf).orderBy("cluster").limit(sinks.EXPORT_LIMIT).collect()]
+    regions = [r[0] for r in w.regions(spark, sf).orderBy("cluster").limit(sinks.EXPORT_LIMIT + 1).collect()]  # one more, so that the export can refuse
     links = quality.cluster_links(w.nation_relation(spark, sf), w.nation_assignment(spark, sf))
     view = links.select(F.col("cs").alias("i"), F.col("ct").alias("j"), F.col("weight").cast("double").alias("w"))
     return tables.wide_matrix(sinks.pivot_matrix(view, regions), "i")

@@ -151,31 +151,28 @@ def vector_assignment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole document texts, non-ASCII characters removed.
-
-    The operators follow Unicode; the SQL engine that checks them knows ASCII word boundaries
-    only, so both read the same ASCII text.
-    """
-    return table(spark, sf, "documents").select("doc_id", text.ascii_only(F.col("text")).alias("text"), "source", "lang")
+    """Whole document texts; a missing text counts as empty."""
+    return table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
 
 
 def classes(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as source files of classes (filename, class, attributes, methods, content).
 
-    A document is named after its first capitalised word, extends the second, constructs every
-    later one that is followed by a blank, holds its first line as attributes and the rest as
-    methods.
+    A document is named after its first capitalised word, or ``Doc<id>`` where it has none, extends
+    the second and third if there are such, constructs every later one that is followed by a blank,
+    holds its first line as attributes and the rest as methods.
     """
     docs = documents(spark, sf).withColumn("words", text.capitalised_words(F.col("text")))
-    named = docs.filter(F.size("words") > 2)
-    word = lambda n: F.element_at("words", n)
+    name = F.coalesce(F.get("words", F.lit(0)), F.concat(F.lit("Doc"), F.col("doc_id").cast("string")))
+    parents = F.slice("words", 2, 2)
+    clause = F.when(F.size(parents) > 0, F.concat(F.lit(" extends "), F.array_join(parents, ", "))).otherwise(F.lit(""))
     body = F.regexp_replace("text", r"([A-Z][a-z]+) ", "new $1( ")
-    return named.select(
+    return docs.select(
         F.format_string("%s/%s/%d.java", F.col("source"), F.when(F.col("lang") == "en", "jpa").when(F.col("lang") == "fr", "src/main").otherwise("morphia"), F.col("doc_id")).alias("filename"),
-        word(1).alias("class"),
+        name.alias("class"),
         F.regexp_extract("text", r"^([^\n]*)", 1).alias("attributes"),
         F.regexp_replace("text", r"^[^\n]*", "").alias("methods"),
-        F.concat(F.lit("class "), word(1), F.lit(" extends "), word(2), F.lit(", "), word(3), F.lit(" {\n"), body, F.lit("\n}")).alias("content"),
+        F.concat(F.lit("class "), name, clause, F.lit(" {\n"), body, F.lit("\n}")).alias("content"),
     )
 
 
