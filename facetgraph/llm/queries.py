@@ -24,7 +24,8 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    known = docs.filter(~F.col("held_out")).join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    labels = table(spark, sf, "labels").select("doc_id", "toxic").hint("merge")  # grows with the documents: never broadcast
+    known = docs.filter(~F.col("held_out")).join(labels, "doc_id")
     scored = toxicity.judge(docs, toxicity.fit(known.select("text", "toxic")))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
