@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .spectral import Basis, Stack, smallest_eigenvectors
 
 SEED = 42
+SEED_ROUNDS = 2
 
 
 def relabel(assignment: DataFrame, keys: Sequence[str] = ("k",)) -> DataFrame:
@@ -35,18 +37,80 @@ def cluster_dim(spark, ks: Sequence[int]) -> DataFrame:
 # --- many k-means runs in one pass ---------------------------------------------------------------
 
 
-def _plus_plus(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Seeds by squared distance on a sample."""
-    centers = [sample[rng.integers(len(sample))]]
-    d = ((sample - centers[0]) ** 2).sum(axis=1)
+def _plus_plus(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k of the weighted candidates by squared distance."""
+    weights = np.maximum(weights, 1e-12)
+    centers = [candidates[rng.choice(len(candidates), p=weights / weights.sum())]]
+    d = ((candidates - centers[0]) ** 2).sum(axis=1)
     for _ in range(1, k):
-        total = d.sum()
-        pick = rng.integers(len(sample)) if total <= 0 else rng.choice(len(sample), p=d / total)
-        centers.append(sample[pick])
-        d = np.minimum(d, ((sample - centers[-1]) ** 2).sum(axis=1))
+        mass = d * weights
+        pick = rng.choice(len(candidates), p=mass / mass.sum()) if mass.sum() > 0 else rng.integers(len(candidates))
+        centers.append(candidates[pick])
+        d = np.minimum(d, ((candidates - centers[-1]) ** 2).sum(axis=1))
     return np.array(centers)
 
 
+def _uniform(h: np.ndarray, n: int) -> np.ndarray:
+    """Numbers in (0, 1) from hashes, different ones for each n."""
+    x = h + np.uint64(((n + 1) * 0x9E3779B97F4A7C15) % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+
+
+def _drawn(points: DataFrame, columns: list[str], candidates: dict, wanted: dict[tuple[int, int], int], seed: int) -> dict:
+    """``wanted`` more candidates per run, out of all points, in proportion to the squared distance.
+
+    A point draws the key log(u) / d**2 with u from a hash of its name, and the largest keys win:
+    that is sampling without replacement by weight, so a task need keep its largest keys only and
+    no total has to be known before.
+    """
+    index = {r: n for n, r in enumerate(candidates)}
+
+    def draw(batches):
+        held = {r: (np.zeros(0), np.zeros((0, c.shape[1]))) for r, c in candidates.items()}
+        for pdf in batches:
+            x, h = _points(pdf[columns]), pdf["h"].to_numpy().view(np.uint64)
+            for r, c in candidates.items():
+                xr = x[:, : c.shape[1]]
+                d = _assign(xr, c)[1] if len(c) else np.ones(len(x))
+                open_ = d > 1e-18
+                key = np.log(_uniform(h[open_], index[r])) / d[open_]
+                keys, rows = np.concatenate((held[r][0], key)), np.concatenate((held[r][1], xr[open_]))
+                best = np.argsort(-keys, kind="stable")[: wanted[r]]
+                held[r] = keys[best], rows[best]
+        for r, (keys, rows) in held.items():
+            if len(keys):
+                yield pd.DataFrame({"run": index[r], "key": keys, "x": list(rows)})
+
+    rows = points.select(F.xxhash64("i", F.lit(seed)).alias("h"), *columns).mapInPandas(draw, "run int, key double, x array<double>")
+    per_run = max(wanted.values())
+    last = Window.partitionBy("run").orderBy(F.desc("key"), "x")
+    found = rows.withColumn("n", F.row_number().over(last)).filter(F.col("n") <= per_run).collect()
+    names = list(candidates)
+    out = {r: [] for r in names}
+    for row in sorted(found, key=lambda r: (r.run, r.n)):
+        if row.n <= wanted[names[row.run]]:
+            out[names[row.run]].append(row.x)
+    return out
+
+
+def _seeds(points: DataFrame, columns: list[str], runs: dict[int, int], n_init: int, seed: int) -> dict[tuple[int, int], np.ndarray]:
+    """k-means||: candidates drawn from all points in rounds, weighed by the points nearest to them."""
+    names = [(k, s) for k in runs for s in range(n_init)]
+    candidates = {r: np.zeros((0, runs[r[0]])) for r in names}
+    for turn in range(1 + SEED_ROUNDS):
+        wanted = {r: 1 if turn == 0 else 2 * r[0] for r in names}
+        for r, rows in _drawn(points, columns, candidates, wanted, seed + turn).items():
+            if rows:
+                candidates[r] = np.concatenate((candidates[r], np.array(rows)))
+    if any(not len(c) for c in candidates.values()):
+        raise ValueError("k-means needs at least one point")
+    weights = _lloyd(points, columns, candidates, runs)
+    rng = np.random.default_rng(seed)
+    return {r: _plus_plus(candidates[r], weights[r][0], r[0], rng) for r in names}
+
+
 def _assign(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = (x * x).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1)[None, :]
     label = d.argmin(axis=1)
@@ -60,18 +124,11 @@ def kmeans_runs(
 
     All starts of all k move together: an iteration reads the points once, sums per (run, cluster)
     inside the tasks and lets Spark add the partial sums. Only centers, k x d numbers per run,
-    pass through the driver. Seeds come from a bounded sample, as in k-means||; every iteration
-    and the final assignment use all points.
+    pass through the driver. Seeds, iterations and the final assignment use all points. A run that
+    still moves after ``max_iter`` iterations is warned of.
     """
     columns = list(columns)
-    share = min(1.0, 4000 / max(1, points.count()))
-    picked = points.select("i", *columns).filter(F.abs(F.xxhash64("i", F.lit(seed)) / F.lit(float(2**63))) <= share)
-    sample = picked.orderBy("i").select(*columns).limit(8000).toPandas().to_numpy()
-    rng = np.random.default_rng(seed)
-    centers: dict[tuple[int, int], np.ndarray] = {}
-    for k, d in runs.items():
-        for s in range(n_init):
-            centers[(k, s)] = _plus_plus(_prepare(sample[:, :d]), k, rng)
+    centers = _seeds(points, columns, runs, n_init, seed)
     active = set(centers)
     cost = dict.fromkeys(centers, np.inf)
     for _ in range(max_iter):
@@ -85,11 +142,16 @@ def kmeans_runs(
                 active.discard(run)
         if not active:
             break
+    if active:
+        warnings.warn(f"{len(active)} of {len(centers)} k-means starts still moved after {max_iter} iterations", stacklevel=2)
     return {k: centers[min(((k, s) for s in range(n_init)), key=lambda r: cost[r])] for k in runs}
 
 
-def _prepare(x: np.ndarray) -> np.ndarray:
-    return np.nan_to_num(x)
+def _points(pdf: pd.DataFrame) -> np.ndarray:
+    x = pdf.to_numpy(dtype=float)
+    if not np.isfinite(x).all():
+        raise ValueError("coordinates must be finite numbers")
+    return x
 
 
 def _lloyd(points: DataFrame, columns: list[str], centers: dict, runs: dict[int, int]) -> dict:
@@ -99,7 +161,7 @@ def _lloyd(points: DataFrame, columns: list[str], centers: dict, runs: dict[int,
     def partial(batches):
         totals = {r: np.zeros((len(c), c.shape[1] + 2)) for r, c in centers.items()}
         for pdf in batches:
-            x = _prepare(pdf[columns].to_numpy())
+            x = _points(pdf[columns])
             for r, c in centers.items():
                 xr = x[:, : runs[r[0]]]
                 label, d = _assign(xr, c)
@@ -109,17 +171,12 @@ def _lloyd(points: DataFrame, columns: list[str], centers: dict, runs: dict[int,
                 t[:, 1] += np.bincount(label, weights=d, minlength=len(c))
         yield pd.DataFrame({"run": [index[r] for r in totals], "t": [m.ravel() for m in totals.values()]})
 
-    def add(key, pdf):
-        return pd.DataFrame({"run": [key[0]], "t": [np.sum(np.stack(pdf.t.to_list()), axis=0)]})
-
-    schema = "run int, t array<double>"
-    summed = points.select(*columns).mapInPandas(partial, schema).groupBy("run").applyInPandas(add, schema)
-    names = list(centers)
+    parts = points.select(*columns).mapInPandas(partial, "run int, t array<double>").select("run", F.posexplode("t").alias("pos", "x"))
+    summed = parts.groupBy("run", "pos").agg(F.sum("x").alias("x")).toPandas().sort_values(["run", "pos"])
     out = {}
-    for row in summed.collect():
-        run = names[row.run]
-        t = np.array(row.t).reshape(centers[run].shape[0], -1)
-        out[run] = (t[:, 0], t[:, 2:], float(t[:, 1].sum()))
+    for n, r in enumerate(centers):
+        t = summed.x[summed.run == n].to_numpy().reshape(centers[r].shape[0], -1)
+        out[r] = (t[:, 0], t[:, 2:], float(t[:, 1].sum()))
     return out
 
 
@@ -130,7 +187,7 @@ def assign_runs(points: DataFrame, columns: Sequence[str], centers: dict[int, np
 
     def label(batches):
         for pdf in batches:
-            x = _prepare(pdf[columns].to_numpy())
+            x = _points(pdf[columns])
             for k, c in centers.items():
                 yield pd.DataFrame({"k": k, "entity": pdf["i"].to_numpy(), "cluster": _assign(x[:, : c.shape[1]], c)[0]})
 

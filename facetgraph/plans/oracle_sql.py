@@ -206,20 +206,16 @@ ORACLES["cosine_rectangular_over_threshold"] = _with(VEC) + f"""
   SELECT a.i, b.i AS j, round({SIM}, 6) AS w FROM lft a JOIN rgt b ON {SIM} >= 0.3"""
 
 
-def _matching(rounds: int) -> str:
-    ctes = [VEC, f"pair AS (SELECT a.i, b.i AS j, {SIM} AS w FROM lft a CROSS JOIN rgt b)"]
-    free = "pair"
-    for r in range(1, rounds + 1):
-        ctes.append(f"""
-          hit{r} AS (SELECT i, j, w, {r} AS round FROM (
-            SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j) AS p, row_number() OVER (PARTITION BY j ORDER BY w DESC, i) AS q
-            FROM {free}) WHERE p = 1 AND q = 1),
-          free{r} AS (SELECT * FROM {free} WHERE i NOT IN (SELECT i FROM hit{r}) AND j NOT IN (SELECT j FROM hit{r}))""")
-        free = f"free{r}"
-    return _with(*ctes) + " UNION ALL ".join(f"SELECT i, j, round(w, 6) AS w, CAST(round AS INTEGER) AS round FROM hit{r}" for r in range(1, rounds + 1))
-
-
-ORACLES["mutual_best_match"] = _matching(3)
+_MUTUAL = "row_number() OVER (PARTITION BY i ORDER BY w DESC, j) = 1 AND row_number() OVER (PARTITION BY j ORDER BY w DESC, i) = 1"
+ORACLES["mutual_best_match"] = f"""
+  WITH RECURSIVE {VEC.strip()},
+    pair AS (SELECT a.i, b.i AS j, {SIM} AS w FROM lft a CROSS JOIN rgt b),
+    step AS (
+      SELECT *, 1 AS round, {_MUTUAL} AS hit FROM pair
+      UNION ALL
+      SELECT i, j, w, round + 1, {_MUTUAL}
+      FROM (SELECT *, max(hit) OVER (PARTITION BY i) OR max(hit) OVER (PARTITION BY j) AS gone FROM step) WHERE NOT gone)
+  SELECT i, j, round(w, 6) AS w, CAST(round AS INTEGER) AS round FROM step WHERE hit"""
 ORACLES["mean_pool_vectors"] = """
   SELECT label, CAST(p - 1 AS INTEGER) AS pos, round(avg(CAST(x AS DOUBLE)), 6) AS x
   FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings) GROUP BY 1, 2"""

@@ -113,7 +113,7 @@ def cosine_rectangular_over_threshold(spark: SparkSession, sf: str) -> DataFrame
 
 @register("mutual_best_match")
 def mutual_best_match(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(matching.mutual_best(*_halves(spark, sf), rounds=3), "w")
+    return rounded(matching.mutual_best(*_halves(spark, sf)), "w")
 
 
 @register("mean_pool_vectors")
