@@ -44,7 +44,7 @@ def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    trusted = table(spark, sf, "labels").filter("quality = 1").select("doc_id").distinct()
+    trusted = table(spark, sf, "labels").filter("quality = 1").select("doc_id").hint("merge")  # grows with the documents: never broadcast
     languages, model = quality.train(docs.join(trusted, "doc_id", "left_semi"))
     aside = F.pmod(F.xxhash64("text"), F.lit(quality.HELD)) == 0
     scored = quality.perplexities(docs.withColumn("aside", aside), languages, model)
