@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SF = entry.SMOKE_DIR
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["icp_by_region", "quality_all_suppliers", "cooccurrence_view", "cosine_row_sums", "class_relation_scores", "term_removal", "rule_anti_join"]
+SAMPLE = ["icp_by_region", "quality_all_suppliers", "cooccurrence_view", "cosine_row_sums", "class_relation_scores", "term_removal", "rule_anti_join", "lexical_documents", "instantiation_closed", "mutual_best_match"]
 
 
 @pytest.fixture(scope="module")
