@@ -9,6 +9,7 @@ their pairs are never formed.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -341,7 +342,8 @@ def smallest_eigenvectors(
     Filtered subspace iteration on a basis of ``width`` columns (more for k over 8): a polynomial
     that damps the unwanted part of the spectrum is applied as a chain of matrix steps, a few per
     Spark job, then the basis is projected and rotated. Ends when the residual norm of every wanted
-    vector is below ``tol``; an eigenvalue is then off by the square of that over its gap.
+    vector is below ``tol``; an eigenvalue is then off by the square of that over its gap. A basis that
+    is not there after ``max_rounds`` is returned with a warning.
     """
     if k > stack.n:
         raise ValueError(f"{k} eigenvectors of {stack.n} entities")
@@ -372,6 +374,8 @@ def smallest_eigenvectors(
         # the basis also sees the upper end: its largest value plus residual, never past the bound
         high = max(high, min(limit, float((values + residual).max())))
         low = float(np.clip(values[-1], 1e-3 * high, 0.8 * high)) if round_ else 0.5 * high
+    else:
+        warnings.warn(f"eigenvectors not converged after {max_rounds} rounds: largest residual {residual[:k].max():.1e}", stacklevel=2)
     if len(values) < m:
         rows = rows.select("i", *_columns(len(values)))
     return Basis(values, rows, k, len(values), high)
