@@ -3,9 +3,9 @@
 A character is a symbol of ``width`` bits, so a gram of order 60 / width is an exact 60-bit code: its low
 symbol is the predicted one, the code without it the context, the code without its first symbol the shorter gram.
 Counting, continuation counts, context totals and probabilities are grouped sums and joins on these
-codes. For scoring, grams of one order become a sorted array of hashes of ``bits`` bits with one row
-of log-probabilities, so a model holds at most 2**bits rows per order however much text it has seen
-(codes that share a hash are averaged); that bound is why it may be broadcast.
+codes. tables() leaves the logarithms in tables, which grow with the text and are joined; train()
+takes them into sorted arrays of exact codes, one row of log-probabilities each, so that an unseen
+gram is never taken for another one and backs off. Arrays grow with the number of different grams.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import ODD, categories, code_points, lower_points, mix, text_runs
+from .arrow import categories, code_points, lower_points, mix, text_runs
 from .shared import mapped, stash
 
 RUN_BYTES = 1 << 19
@@ -62,10 +62,6 @@ def gram_codes(s: np.ndarray, starts: np.ndarray, order: int, width: int) -> np.
     return code
 
 
-def slots(code: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(code.view(np.uint64) * ODD + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.uint32)
-
-
 def gram_counts(texts: DataFrame, order: int, letters_only: bool, width: int = 12) -> DataFrame:
     """texts(cls, text) to (cls, code, n): grams of the full order, summed in each task first."""
 
@@ -104,11 +100,10 @@ def gram_counts(texts: DataFrame, order: int, letters_only: bool, width: int = 1
 
 @dataclass
 class Model:
-    """Sorted hash arrays: grams[k] and contexts[k] are (hashes, log values per class)."""
+    """Sorted arrays: grams[k] and contexts[k] are (codes, log values per class)."""
 
     order: int
     width: int
-    bits: int
     classes: int
     letters_only: bool
     grams: dict[int, tuple[np.ndarray, np.ndarray]]
@@ -125,14 +120,14 @@ class Model:
         left = np.arange(len(code))
         for k in range(self.order, 0, -1):
             gram = code[left] & ((1 << (self.width * k)) - 1)
-            row, hit = _find(self.grams[k][0], slots(gram, self.bits))
+            row, hit = _find(self.grams[k][0], gram)
             if k == self.order and hit.all():
                 return self.grams[k][1][row]
             out[left[hit]] += self.grams[k][1][row[hit]]
             left, gram = left[~hit], gram[~hit]
             if not len(left):
                 return out
-            row, hit = _find(self.contexts[k][0], slots(gram >> self.width, self.bits))
+            row, hit = _find(self.contexts[k][0], gram >> self.width)
             out[left[hit]] += self.contexts[k][1][row[hit]]
         out[left] += np.float32(-self.width * np.log(2))
         return out
@@ -145,42 +140,40 @@ def _find(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == want
 
 
-def _discounts(grams: DataFrame, classes: int, modified: bool) -> list[list[float]]:
-    """D1, D2 and D3+ of each class from its counts of counts (four numbers per class)."""
+def _discounts(grams: DataFrame, classes: int, modified: bool) -> DataFrame:
+    """(grp, d): D1, D2 and D3+ of each class from its counts of counts (four numbers per group and class)."""
     ask = [F.sum((F.col("a")[c] == r).cast("bigint")) for c in range(classes) for r in (1, 2, 3, 4)]
-    seen = [x or 0 for x in grams.agg(*ask).first()]
-    out = []
+    found = []
+    for grp, *seen in grams.groupBy("grp").agg(*ask).collect():  # one row per group
+        out = []
+        for c in range(classes):
+            n1, n2, n3, n4 = (x or 0 for x in seen[4 * c : 4 * c + 4])
+            y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            each = [y, y, y]
+            if modified and n1 and n2 and n3:
+                each = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+            out.append([min(max(d, 0.1), r - 0.1) for r, d in enumerate(each, 1)])
+        found.append((grp, out))
+    return grams.sparkSession.createDataFrame(found, "grp int, d array<array<double>>")
+
+
+def _arrays(table: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code, v: array of logarithms) as arrays sorted by code."""
+    got = table.select("code", *[F.col("v")[c].cast("float").alias(f"v{c}") for c in range(classes)]).toArrow()
+    key = got.column(0).to_numpy()
+    rank = np.argsort(key)
+    matrix = np.empty((len(key), classes), np.float32)
     for c in range(classes):
-        n1, n2, n3, n4 = seen[4 * c : 4 * c + 4]
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        each = [y, y, y]
-        if modified and n1 and n2 and n3:
-            each = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-        out.append([min(max(d, 0.1), r - 0.1) for r, d in enumerate(each, 1)])
-    return out
-
-
-def _arrays(table: DataFrame, classes: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(code, v: array of logarithms) as a sorted hash array; at most 2**bits rows reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = slots(batch.column(0).to_numpy(zero_copy_only=False), bits).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), batch.column(1)], ["slot", "v"])
+        matrix[:, c] = got.column(c + 1).to_numpy()[rank]
+    return key[rank], matrix
 
-    values = [F.avg(F.col("v")[c]).cast("float").alias(f"v{c}") for c in range(classes)]
-    got = mapped(table, run, "slot bigint, v array<double>").groupBy("slot").agg(*values).toArrow()
-    key = got.column(0).to_numpy().astype(np.uint32)
-    rank = np.argsort(key)
-    matrix = np.stack([got.column(c + 1).to_numpy() for c in range(classes)], axis=1) if len(key) else np.zeros((0, classes), np.float32)
-    return key[rank], np.ascontiguousarray(matrix[rank].astype(np.float32))
 
+def tables(grams: DataFrame, classes: int, order: int, width: int = 12, modified: bool = False, shared_orders: int = 0) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+    """grams(grp, code, a: count per class) to (k, grams, contexts) of each order from 1, both (grp, code, v: logarithm per class).
 
-def train(counts: DataFrame, classes: int, order: int, letters_only: bool, width: int = 12, bits: int = 22, modified: bool = False, shared_orders: int = 0) -> Model:
-    """A model from gram_counts(). Orders up to ``shared_orders`` are pooled over the classes."""
-    per = [F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0)).cast("double") for c in range(classes)]
-    grams = stash(counts.groupBy("code").agg(F.array(*per).alias("a")), "grams")
-    tables = {order: grams}
+    Groups share nothing. Orders up to ``shared_orders`` are pooled over the classes.
+    """
+    counted = {order: grams}
     for k in range(order - 1, 0, -1):
         # how many different symbols come before the shorter gram
         if k <= shared_orders:
@@ -188,34 +181,41 @@ def train(counts: DataFrame, classes: int, order: int, letters_only: bool, width
         else:
             ext = [F.sum((F.col("a")[c] > 0).cast("double")) for c in range(classes)]
         short = F.col("code").bitwiseAND(F.lit((1 << (width * k)) - 1)).alias("code")
-        tables[k] = stash(tables[k + 1].groupBy(short).agg(F.array(*ext).alias("a")), "grams")
+        counted[k] = stash(counted[k + 1].groupBy("grp", short).agg(F.array(*ext).alias("a")), "grams")
     lower = None
-    model = Model(order, width, bits, classes, letters_only, {}, {})
+    logs = lambda name: F.array(*[F.log(F.greatest(F.col(name)[c], F.lit(1e-30))).cast("float") for c in range(classes)])
     for k in range(1, order + 1):
-        d = _discounts(tables[k], classes, modified)
         a = lambda c: F.col("a")[c]
-        off = lambda c: F.when(a(c) >= 3, d[c][2]).when(a(c) >= 2, d[c][1]).when(a(c) >= 1, d[c][0]).otherwise(0.0)  # noqa: E731, B023
-        coded = tables[k].withColumn("ctx", F.shiftright("code", width))
-        context = coded.groupBy("ctx").agg(
+        d = lambda c, r: F.col("d")[c][r]
+        off = lambda c: F.when(a(c) >= 3, d(c, 2)).when(a(c) >= 2, d(c, 1)).when(a(c) >= 1, d(c, 0)).otherwise(0.0)  # noqa: E731, B023
+        coded = counted[k].withColumn("ctx", F.shiftright("code", width)).join(F.broadcast(_discounts(counted[k], classes, modified)), "grp")
+        context = coded.groupBy("grp", "ctx").agg(
             F.array(*[F.sum(a(c)) for c in range(classes)]).alias("total"),
             F.array(*[F.sum(off(c)) for c in range(classes)]).alias("freed"),
         )
         weight = [F.when(F.col("total")[c] > 0, F.col("freed")[c] / F.col("total")[c]).otherwise(1.0) for c in range(classes)]
-        context = stash(context.select("ctx", "total", F.array(*weight).alias("weight")), "contexts")
-        joined = coded.join(context, "ctx")
+        context = stash(context.select("grp", "ctx", "total", F.array(*weight).alias("weight")), "contexts")
+        joined = coded.join(context, ["grp", "ctx"])
         if lower is None:
             joined = joined.withColumn("q", F.array(*[F.lit(0.5**width)] * classes))
         else:
             joined = joined.withColumn("short", F.col("code").bitwiseAND(F.lit((1 << (width * (k - 1))) - 1)))
-            joined = joined.join(lower.select(F.col("code").alias("short"), F.col("p").alias("q")), "short")
+            joined = joined.join(lower.select("grp", F.col("code").alias("short"), F.col("p").alias("q")), ["grp", "short"])
         p = [
             F.when(F.col("total")[c] > 0, (a(c) - off(c)) / F.col("total")[c]).otherwise(0.0) + F.col("weight")[c] * F.col("q")[c]
             for c in range(classes)
         ]
-        lower = stash(joined.select("code", F.array(*p).alias("p")), "probabilities")
-        logs = lambda name: F.transform(name, lambda x: F.log(F.greatest(x, F.lit(1e-30))))
-        model.grams[k] = _arrays(lower.select("code", logs("p").alias("v")), classes, bits)
-        model.contexts[k] = _arrays(context.select(F.col("ctx").alias("code"), logs("weight").alias("v")), classes, bits)
+        lower = stash(joined.select("grp", "code", F.array(*p).alias("p")), "probabilities")
+        yield k, lower.select("grp", "code", logs("p").alias("v")), context.select("grp", F.col("ctx").alias("code"), logs("weight").alias("v"))
+
+
+def train(counts: DataFrame, classes: int, order: int, letters_only: bool, width: int = 12, modified: bool = False, shared_orders: int = 0) -> Model:
+    """A model from gram_counts(). Orders up to ``shared_orders`` are pooled over the classes."""
+    per = [F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0)).cast("double") for c in range(classes)]
+    grams = stash(counts.groupBy("code").agg(F.array(*per).alias("a")).select(F.lit(0).alias("grp"), "code", "a"), "grams")
+    model = Model(order, width, classes, letters_only, {}, {})
+    for k, grams_k, contexts_k in tables(grams, classes, order, width, modified, shared_orders):
+        model.grams[k], model.contexts[k] = _arrays(grams_k, classes), _arrays(contexts_k, classes)
     return model
 
 

@@ -51,7 +51,7 @@ def entropies(model: kn.Model, data: np.ndarray, starts: np.ndarray) -> tuple[np
     return n, -kn.row_sums(logs, begins) / some, kn.row_sums(logs * logs, begins) / some
 
 
-def fit(train: DataFrame, order: int = 4, z_max: float = 6.0, bits: int = 22) -> Identifier:
+def fit(train: DataFrame, order: int = 4, z_max: float = 6.0) -> Identifier:
     """train(text, lang) to an identifier. Every text counts, but for the calibration share."""
     train = train.select("text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     languages = sorted(r[0] for r in train.select("lang").distinct().collect())
@@ -61,7 +61,7 @@ def fit(train: DataFrame, order: int = 4, z_max: float = 6.0, bits: int = 22) ->
     numbers = F.create_map(*[x for k, name in enumerate(languages) for x in (F.lit(name), F.lit(k))])
     share = F.pmod(F.xxhash64("text"), F.lit(CALIBRATION)) == 0
     known = train.select(numbers[F.col("lang")].alias("cls"), "text")
-    model = kn.train(kn.gram_counts(known.filter(~share), order, True), len(languages), order, True, bits=bits)
+    model = kn.train(kn.gram_counts(known.filter(~share), order, True), len(languages), order, True)
     shipped = train.sparkSession.sparkContext.broadcast(model)
     count = len(languages)
 

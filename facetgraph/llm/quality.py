@@ -1,72 +1,215 @@
 """Document quality as perplexity under modified Kneser-Ney models of trusted text, one per language.
 
-Counts of trusted texts are sharded by gram and joined, shard by shard, with the totals of their
-contexts and with the probabilities of their shorter grams (kneser_ney.train); the resulting model is
-bounded and reads every whole text where it lies. Perplexity is per character under the model of the
-document's language. For each language two quantiles of the perplexities of trusted texts that the
-counts leave out (a share of one in HELD) are the limits of what is kept: text above is unlike trusted
-text, text below repeats itself.
+Texts fall into HELD shares by their hash, and each language has one model per share, counted over
+its trusted texts of all other shares; a text is read by the models of its own share. So no text,
+trusted or not, is judged by counts of itself or of its copies, and every trusted text has such a
+perplexity. For each language two quantiles of those of its trusted texts are the limits of what is
+kept: text above is unlike trusted text, text below repeats itself. Perplexity is per character.
+
+Counts are sharded by gram and joined, shard by shard, with the totals of their contexts and with the
+probabilities of their shorter grams (kneser_ney.tables); the models stay tables and nothing of them is
+broadcast. Documents lie in blocks of BLOCK_BYTES. A block asks for its different grams, joins give
+each its exact probability (what no model has seen backs off by further joins), and the answers meet
+the texts of the block again, so a task holds the different grams of one block however large the
+models are.
 
 Defined results: a null text, or one without a character but white space, has no perplexity and is
-not kept; a null or unknown language is taken as the one of the lowest perplexity; a language without
-trusted texts has no model, and its documents are read by the best one; without any trusted text no
-document has a perplexity and none is kept; repeated rows get equal results; other columns pass through.
+not kept; a null or unknown language is taken as the one of the lowest perplexity; a language whose
+trusted texts are none or all in one share has no model, since nothing is left once a text is left
+out, and its documents are read by the best one; a language with few trusted texts has the lowest
+and highest of their perplexities as limits; without any trusted text no document has a perplexity
+and none is kept; repeated rows get equal results; other columns pass through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kneser_ney as kn
 from .arrow import text_runs
-from .shared import mapped
+from .shared import mapped, stash
 
 HELD = 8
+BLOCK_BYTES = 1 << 24
+HELD_GRAMS = 1_000_000
 
 
-def train(trusted: DataFrame, order: int = 5, bits: int = 22) -> tuple[list[str], kn.Model | None]:
-    """trusted(text, lang) to the languages and their model."""
-    known = trusted.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    languages = sorted(r[0] for r in known.select("lang").distinct().collect())  # one row per language
+@dataclass
+class Shards:
+    """grams[k] and contexts[k] are tables (grp, code, v) of order k: language, code, logarithm per left-out share."""
+
+    order: int
+    width: int
+    grams: dict[int, DataFrame]
+    contexts: dict[int, DataFrame]
+
+
+def share_of(text: str = "text") -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(HELD)).cast("int")
+
+
+def _number(languages: list[str]) -> Column:
+    """Number of the language, -1 for one without a model."""
+    numbers = F.create_map(*[x for k, name in enumerate(languages) for x in (F.lit(name), F.lit(k))])
+    return F.coalesce(F.try_element_at(numbers, F.col("lang")), F.lit(-1))
+
+
+def train(trusted: DataFrame, order: int = 5, width: int = 12) -> tuple[list[str], Shards | None]:
+    """trusted(text, lang) to the languages and their models."""
+    known = trusted.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", share_of().alias("share"))
+    shares = known.groupBy("lang").agg(F.count_distinct("share").alias("n")).filter("n > 1")
+    languages = sorted(r[0] for r in shares.collect())  # one row per language
     if not languages:
         return [], None
-    numbers = F.create_map(*[x for k, name in enumerate(languages) for x in (F.lit(name), F.lit(k))])
-    counted = known.filter(F.pmod(F.xxhash64("text"), F.lit(HELD)) != 0).select(numbers[F.col("lang")].alias("cls"), "text")
-    return languages, kn.train(kn.gram_counts(counted, order, False), len(languages), order, False, bits=bits, modified=True)
+    counted = known.withColumn("grp", _number(languages)).filter("grp >= 0").select((F.col("grp") * HELD + F.col("share")).alias("cls"), "text")
+    counts = kn.gram_counts(counted, order, False, width)
+    others = [(F.sum("n") - F.sum(F.when(F.col("cls") % HELD == f, F.col("n")).otherwise(0))).cast("double") for f in range(HELD)]
+    grams = counts.groupBy(F.floor(F.col("cls") / HELD).cast("int").alias("grp"), "code").agg(F.array(*others).alias("a"))
+    model = Shards(order, width, {}, {})
+    for k, model.grams[k], model.contexts[k] in kn.tables(stash(grams, "grams"), HELD, order, width, modified=True):
+        pass
+    return languages, model
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """docs with the block they lie in, as text_block."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            size = held + np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            held = int(size[-1]) if len(size) else held
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + size // BLOCK_BYTES)], [*batch.schema.names, "text_block"])
+
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("text_block", T.LongType())]))
+
+
+def _codes(data: np.ndarray, starts: np.ndarray, order: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    s, begins = kn.symbols(data, starts, False, width)
+    return begins, kn.gram_codes(s, begins, order, width)
 
 
-def perplexities(docs: DataFrame, languages: list[str], model: kn.Model | None) -> DataFrame:
+def _asked(blocks: DataFrame, count: int, order: int, width: int) -> DataFrame:
+    """blocks(text_block, own, text) to (text_block, grp, code): the different grams of each block and language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, now = {}, 0, None
+
+        def out():
+            for g, codes in parts.items():
+                codes = np.unique(np.concatenate(codes))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), x, t)) for x, t in ((now, np.int64), (g, np.int32))] + [pa.array(codes)], ["text_block", "grp", "code"])
+
+        for batch in batches:
+            block = batch.column(0).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)] if len(block) else []
+            for b, e in zip(edges[:-1], edges[1:], strict=True):
+                if block[b] != now:
+                    yield from out()
+                    parts, held, now = {}, 0, int(block[b])
+                part = batch.slice(b, e - b)
+                own = part.column(1).to_numpy(zero_copy_only=False)
+                for i, j, data, starts in text_runs(part, "text", kn.RUN_BYTES):
+                    begins, codes = _codes(data, starts, order, width)
+                    by = np.repeat(own[i:j], np.diff(begins))
+                    for g in range(count) if (by < 0).any() else np.unique(by).tolist():
+                        parts.setdefault(g, []).append(np.unique(codes[(by == g) | (by < 0)]))
+                        held += len(parts[g][-1])
+                    if held > HELD_GRAMS:
+                        parts = {g: [np.unique(np.concatenate(c))] for g, c in parts.items()}
+                        held = sum(len(c[0]) for c in parts.values())
+                        if held > HELD_GRAMS // 2:
+                            yield from out()
+                            parts, held = {}, 0
+        yield from out()
+
+    return mapped(blocks.select("text_block", "own", "text"), run, "text_block bigint, grp int, code bigint")
+
+
+def resolved(asked: DataFrame, model: Shards) -> DataFrame:
+    """asked(grp, code), different grams of the full order, to (grp, code, v)."""
+    met = {}
+    for k in range(model.order, 0, -1):
+        met[k] = stash(asked.join(model.grams[k], ["grp", "code"], "left"), "met")
+        asked = met[k].filter(F.col("v").isNull()).select("grp", F.col("code").bitwiseAND(F.lit((1 << (model.width * (k - 1))) - 1)).alias("code")).distinct()
+    found = None
+    for k in range(1, model.order + 1):
+        missed = met[k].filter(F.col("v").isNull()).select("grp", "code", F.shiftright("code", model.width).alias("ctx"))
+        weighed = missed.join(model.contexts[k].select("grp", F.col("code").alias("ctx"), F.col("v").alias("w")), ["grp", "ctx"], "left")
+        if found is None:
+            weighed = weighed.withColumn("q", F.array(*[F.lit(-model.width * float(np.log(2))).cast("float")] * HELD))
+        else:
+            short = F.col("code").bitwiseAND(F.lit((1 << (model.width * (k - 1))) - 1))
+            weighed = weighed.withColumn("short", short).join(found.select("grp", F.col("code").alias("short"), F.col("v").alias("q")), ["grp", "short"])
+        v = F.array(*[F.coalesce(F.col("w")[f], F.lit(0.0).cast("float")) + F.col("q")[f] for f in range(HELD)])
+        found = met[k].filter(F.col("v").isNotNull()).unionByName(weighed.select("grp", "code", v.alias("v")))
+    return found
+
+
+def perplexities(docs: DataFrame, languages: list[str], model: Shards | None) -> DataFrame:
     """docs(text, lang, ..) with read_as and perplexity."""
     docs = docs.drop("read_as", "perplexity")
-    shipped = docs.sparkSession.sparkContext.broadcast((languages, model))
-    place = docs.columns.index("lang")
+    if model is None:
+        return docs.withColumns({"read_as": F.lit(None).cast("string"), "perplexity": F.lit(None).cast("double")})
+    order, width, count = model.order, model.width, len(languages)
+    blocks = stash(_blocks(docs.withColumns({"own": _number(languages), "text_share": share_of()})), "blocks")
+    asked = stash(_asked(blocks, count, order, width), "asked")
+    answers = asked.join(resolved(asked.select("grp", "code").distinct(), model), ["grp", "code"])
+    met = blocks.withColumn("part", F.lit(1)).unionByName(answers.withColumn("part", F.lit(0)), allowMissingColumns=True)
+    met = met.repartition("text_block").sortWithinPartitions("text_block", "part")
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, known = shipped.value
-        number = {name: k for k, name in enumerate(names)}
+        now, heard, table = None, [], None
         for batch in batches:
-            for i, j, data, starts in text_runs(batch, "text", kn.RUN_BYTES):
-                rows = j - i
-                if known is None:
-                    read, value = pa.nulls(rows, pa.string()), pa.nulls(rows, pa.float64())
-                else:
-                    _, begins, codes = known.codes(data, starts)
+            at = {name: k for k, name in enumerate(batch.schema.names)}
+            block, part = (batch.column(at[x]).to_numpy(zero_copy_only=False) for x in ("text_block", "part"))
+            turn = (block[1:] != block[:-1]) | (part[1:] != part[:-1])
+            edges = [0, *(np.flatnonzero(turn) + 1).tolist(), len(block)] if len(block) else []
+            for b, e in zip(edges[:-1], edges[1:], strict=True):
+                if block[b] != now:
+                    now, heard, table = int(block[b]), [], None
+                piece = batch.slice(b, e - b)
+                if part[b] == 0:
+                    grp, code = (piece.column(at[x]).to_numpy(zero_copy_only=False) for x in ("grp", "code"))
+                    heard.append((grp.astype(np.int32), code.astype(np.int64), piece.column(at["v"]).flatten().to_numpy().reshape(-1, HELD)))
+                    continue
+                if table is None:
+                    grp, code, v = (np.concatenate(x) for x in zip(*heard, strict=True)) if heard else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, HELD), np.float32))
+                    rank = np.lexsort((code, grp))
+                    cut = np.searchsorted(grp[rank], np.arange(count + 1))
+                    table, heard = [(code[rank[cut[g] : cut[g + 1]]], v[rank[cut[g] : cut[g + 1]]]) for g in range(count)], []
+                own = piece.column(at["own"]).to_numpy(zero_copy_only=False).astype(np.int64)
+                share = piece.column(at["text_share"]).to_numpy(zero_copy_only=False).astype(np.int64)
+                for i, j, data, starts in text_runs(piece, "text", kn.RUN_BYTES):
+                    begins, codes = _codes(data, starts, order, width)
                     n = np.diff(begins)
-                    ce = -kn.row_sums(known.log_probabilities(codes), begins) / np.maximum(n, 1)[:, None]
-                    own = np.array([number.get(x, -1) for x in batch.column(place).slice(i, rows).to_pylist()], np.int64)
-                    own = np.where(own < 0, ce.argmin(axis=1), own)
-                    read = pa.array(np.array(names, object)[own], pa.string(), mask=n == 0)
-                    value = pa.array(np.exp(ce[np.arange(rows), own]), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([*[c.slice(i, rows) for c in batch.columns], read, value], [*batch.schema.names, "read_as", "perplexity"])
+                    row, mine = np.repeat(np.arange(j - i), n), own[i:j].copy()
+                    ce = np.full((j - i, count), np.inf)
+                    for g in range(count):
+                        asks = (mine == g) | (mine < 0)
+                        spots = np.flatnonzero(asks[row])
+                        if len(spots):
+                            known, logs = table[g]
+                            values = logs[np.searchsorted(known, codes[spots]), share[i:j][row[spots]]]
+                            ce[asks, g] = -np.bincount(row[spots], values, j - i)[asks] / np.maximum(n[asks], 1)
+                    mine = np.where(mine < 0, ce.argmin(axis=1), mine)
+                    read = pa.array(np.array(languages, object)[mine], pa.string(), mask=n == 0)
+                    value = pa.array(np.exp(ce[np.arange(j - i), mine]), mask=n == 0)
+                    yield pa.RecordBatch.from_arrays([*[piece.column(at[c]).slice(i, j - i) for c in names], read, value], [*names, "read_as", "perplexity"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("read_as", T.StringType()), T.StructField("perplexity", T.DoubleType())])
-    return mapped(docs, run, schema)
+    return mapped(met, run, schema)
 
 
 def limits(scored_trusted: DataFrame, low: float = 0.005, high: float = 0.98) -> DataFrame:

@@ -46,10 +46,8 @@ def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     trusted = table(spark, sf, "labels").filter("quality = 1").select("doc_id").hint("merge")  # grows with the documents: never broadcast
     languages, model = quality.train(docs.join(trusted, "doc_id", "left_semi"))
-    aside = F.pmod(F.xxhash64("text"), F.lit(quality.HELD)) == 0
-    scored = quality.perplexities(docs.withColumn("aside", aside), languages, model)
-    scored = stash(scored.select("doc_id", "lang", "read_as", "perplexity", "aside"), "perplexities")
-    cuts = stash(quality.limits(scored.filter("aside").join(trusted, "doc_id", "left_semi")), "limits")
+    scored = stash(quality.perplexities(docs, languages, model).select("doc_id", "lang", "read_as", "perplexity"), "perplexities")
+    cuts = stash(quality.limits(scored.join(trusted, "doc_id", "left_semi")), "limits")
     return quality.judged(scored, cuts).select("doc_id", "lang", "read_as", "perplexity", "lowest", "highest", "keep")
 
 

@@ -104,11 +104,11 @@ def _described(texts: DataFrame, model: kn.Model) -> DataFrame:
     return mapped(texts.select("cls", "text"), run, "cls int, features array<double>")
 
 
-def fit(labelled: DataFrame, order: int = 5, width: int = 12, bits: int = 22, shared_orders: int = 3, fit_rows: int = 20_000) -> Judge:
+def fit(labelled: DataFrame, order: int = 5, width: int = 12, shared_orders: int = 3, fit_rows: int = 20_000) -> Judge:
     """labelled(text, toxic 0/1) to a judge. All labelled texts count; ``fit_rows`` bounds the logistic fit."""
     known = labelled.filter(F.col("toxic").isin(0, 1)).select(F.col("toxic").cast("int").alias("cls"), F.coalesce("text", F.lit("")).alias("text"))
     share = F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0
-    model = kn.train(kn.gram_counts(known.filter(~share), order, True, width), 2, order, True, width, bits, shared_orders=shared_orders)
+    model = kn.train(kn.gram_counts(known.filter(~share), order, True, width), 2, order, True, width, shared_orders=shared_orders)
     held = known.filter(share)
     count = held.count()
     if count > fit_rows:
