@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprint, language_id, licenses, packing, quality, simhash, suffix_dedup, toxicity, warc
+from . import decontamination, fingerprint, html_text, language_id, licenses, packing, quality, simhash, suffix_dedup, toxicity, vector_codes, warc
 from .shared import stash, table
 
 
@@ -81,6 +81,23 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.codebooks(vectors, parts=8, entries=16, rounds=6)
+    if books is None:
+        return spark.createDataFrame([], "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string")
+    found = vector_codes.encode(vectors, books)
+    found = stash(found.select(F.col("row.vec_id").alias("vec_id"), F.col("row.label").alias("label"), "code", "error"), "codes")
+    sums = found.groupBy(F.col("label").alias("of_label")).agg(F.sum("error").alias("label_error"))
+    joined = found.join(sums, F.col("label").eqNullSafe(F.col("of_label")))
+    return joined.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -92,9 +109,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_html_text": op12_html_text,
 }
 
+def _lloyd_sql(rounds: int) -> str:
+    """Rounds of op11 spelled out: parts as rows (v, p, j, x), codebooks as rows (p, e, j, c)."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+        d{r} AS (SELECT v, a.p, e, sum((x - c) * (x - c)) AS d FROM parts a JOIN b{r} b ON a.p = b.p AND a.j = b.j GROUP BY ALL),
+        a{r} AS (SELECT v, p, arg_min(e, d * 256 + e) AS e, min(d) AS d FROM d{r} GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+        s{r} AS (SELECT a.p, e, j, sum(x) AS s, count(*) AS n FROM a{r} a JOIN parts USING (v, p) GROUP BY ALL),
+        b{r + 1} AS (SELECT b.p, b.e, b.j, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c
+            FROM b{r} b LEFT JOIN s{r} s ON b.p = s.p AND b.e = s.e AND b.j = s.j)""")
+    return ",".join(steps)
+
+
 ORACLES: dict[str, str] = {
+    "op11_vector_codes": f"""
+        WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS v, vec_id, label, embedding FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        cells AS (SELECT v, unnest(embedding) AS x, unnest(generate_series(0, len(embedding) - 1)) AS i, len(embedding) // 8 AS w FROM kept),
+        parts AS (SELECT v, i // w AS p, i % w AS j, floor(4096 * x::DOUBLE)::BIGINT AS x FROM cells),
+        b0 AS (SELECT p, v AS e, j, x AS c FROM parts WHERE v < 16), {_lloyd_sql(6)},
+        codes AS (SELECT v, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY v)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+            (SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY p, e, j)) FROM b6) AS codebooks_sha256
+        FROM kept JOIN codes USING (v)
+    """,
+    # the pages of the tables hold their text in one article, with three named characters in use
+    "op12_html_text": r"""
+        WITH t AS (SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS a FROM pages),
+        u AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g') AS a FROM t),
+        r AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(a, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM u)
+        SELECT page_id, url, text, length(text) AS n_chars FROM r
+    """,
     "op9_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
