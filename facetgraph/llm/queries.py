@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprint, html_text, language_id, licenses, packing, quality, simhash, suffix_dedup, toxicity, vector_codes, warc
+from . import collocations, decontamination, fingerprint, html_text, language_id, licenses, packing, quality, simhash, suffix_dedup, toxicity, vector_codes, warc
 from .shared import stash, table
 
 
@@ -98,6 +98,10 @@ def op12_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"), longest=4, least=30, covered=80, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_vector_codes": op11_vector_codes,
     "op12_html_text": op12_html_text,
+    "op13_collocations": op13_collocations,
 }
 
 def _lloyd_sql(rounds: int) -> str:
@@ -140,6 +145,26 @@ ORACLES: dict[str, str] = {
             (SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY p, e, j)) FROM b6) AS codebooks_sha256
         FROM kept JOIN codes USING (v)
     """,
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        runs AS (SELECT lang, len(w) AS size, unnest(w) AS word, w, generate_subscripts(w, 1) AS i FROM worded),
+        grams AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM runs, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= size),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+        total AS (SELECT lang, count(*) AS n FROM runs GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+        cuts AS (SELECT c.lang, c.phrase, c.a, j, array_to_string(w[1 : j], ' ') AS first, array_to_string(w[j + 1 :], ' ') AS rest
+            FROM c, (SELECT unnest([1, 2, 3]) AS j) WHERE j < c.k),
+        scores AS (SELECT cuts.lang, cuts.phrase, cuts.a, j, x.a AS l, y.a AS r, (2000000::HUGEINT * cuts.a) // (x.a + y.a) AS score
+            FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first JOIN f y ON y.lang = cuts.lang AND y.phrase = rest),
+        best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        spans AS (SELECT c.lang, array_to_string(w[i : i + k2 - 1], ' ') AS phrase, a FROM c, (SELECT unnest([2, 3]) AS k2), (SELECT unnest([1, 2, 3]) AS i) WHERE k2 < c.k AND i + k2 - 1 <= c.k),
+        cover AS (SELECT lang, phrase, max(a) AS most FROM spans GROUP BY ALL),
+        free AS (SELECT b.* FROM best b LEFT JOIN cover USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * b.a),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM free)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM placed JOIN total USING (lang) WHERE rank <= 2000
+    """,
     # the pages of the tables hold their text in one article, with three named characters in use
     "op12_html_text": r"""
         WITH t AS (SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS a FROM pages),

@@ -40,10 +40,10 @@ def mapped(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written once and read back: later jobs neither repeat it nor depend on its executors."""
     spark = df.sparkSession
-    path = folder(spark, name)
+    path = path or folder(spark, name)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -51,3 +51,25 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Stashes of one computation; they go once its last one is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+        self._paths: list[str] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self._paths.append(folder(self._spark, name))
+        return stash(df, name, self._paths[-1])
+
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        """The result, written and read back; all that was kept before is removed."""
+        out = stash(df, name)
+        jvm = self._spark.sparkContext._jvm
+        for path in self._paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self._paths.clear()
+        return out
