@@ -26,7 +26,7 @@ from .shared import Scratch, mapped
 
 SIDE = 256
 #: Words of a block, bytes of text that wait for it in a task, and bytes that are split into words at a time.
-BLOCK_WORDS, WAITING, SLICE = 1 << 21, 1 << 25, 1 << 20
+BLOCK_WORDS, WAITING, SLICE = 1 << 20, 1 << 24, 1 << 20
 #: Sums of a partition are compacted when so many cells wait.
 CELLS = 1 << 22
 
@@ -96,7 +96,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({
                 "lang": pa.array([lang], pa.string()), "block": pa.array([(part << 32) + made], pa.int64()),
                 "words": pa.array([found[0].cast(pa.string())], pa.list_(pa.string())),
-                "counts": pa.array([found[1]], pa.list_(pa.int64())), "codes": pa.array([found[2].tobytes()], pa.binary()),
+                "counts": pa.array([found[1]], pa.list_(pa.int64())), "codes": pa.array([_packed_ints(found[2], "<u4")], pa.binary()),
             })
 
     for batch in batches:
@@ -150,8 +150,25 @@ def ranked(df: DataFrame, order: list, scratch: Scratch, name: str) -> DataFrame
     return dealt.join(starts.drop("rows"), ["lang", "range"]).withColumn("rank", F.col("start") + F.col("place")).drop("range", "place", "start")
 
 
-def _ints(column: pa.Array, row: int, kind: str) -> np.ndarray:
-    return np.frombuffer(column[row].as_buffer(), kind)
+def _packed_ints(values: np.ndarray, kind: str) -> bytes:
+    """All first bytes, then all second ones, and so on: the high bytes are mostly alike and compress away."""
+    values = np.ascontiguousarray(values, kind)
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _ints(packed: bytes | pa.Scalar, kind: str) -> np.ndarray:
+    data = np.frombuffer(packed.as_buffer() if isinstance(packed, pa.Scalar) else packed, np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(data.reshape(size, -1).T).view(kind).ravel()
+
+
+def _coded(codes: np.ndarray) -> bytes:
+    """Ascending codes by their steps."""
+    return _packed_ints(np.diff(codes, prepend=0), "<i8")
+
+
+def _codes(packed: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_ints(packed, "<i8"))
 
 
 def _packed(**columns) -> pa.RecordBatch:
@@ -164,12 +181,18 @@ def _with_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of blocks as ranks: -1 for a word without one and between pieces, several in a row as one."""
     for batch in batches:
         for k in range(batch.num_rows):
-            codes, found = _ints(batch.column("codes"), k, "<u4"), batch.column("ranks")[k].values
+            codes, found = _ints(batch.column("codes")[k], "<u4"), batch.column("ranks")[k].values
             table = np.full(batch.column("size")[k].as_py(), -1, np.int32)
             table[found.field("at").to_numpy()] = found.field("rank").to_numpy()
             ranks = np.insert(table[codes & np.uint32(0x7FFFFFFF)], np.flatnonzero(codes >> np.uint32(31)), -1)
-            ranks = ranks[(ranks >= 0) | np.append(True, ranks[:-1] >= 0)].astype("<i4").tobytes()
-            yield _packed(lang=[batch.column("lang")[k].as_py()], block=[batch.column("block")[k].as_py()], words=[ranks], phrases=[ranks])
+            ranks = _packed_ints(ranks[(ranks >= 0) | np.append(True, ranks[:-1] >= 0)], "<i4")
+            yield _packed(lang=[batch.column("lang")[k].as_py()], block=[batch.column("block")[k].as_py()], words=[ranks], phrases=[None])
+
+
+def _state(words: bytes | pa.Scalar, phrases: bytes | pa.Scalar | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the words of a block, and of the phrases that begin at each of them; single words are their own phrases."""
+    ranks = _ints(words, "<i4")
+    return ranks, ranks if phrases is None or (isinstance(phrases, pa.Scalar) and not phrases.is_valid) else _ints(phrases, "<i4")
 
 
 def _cells(words: np.ndarray, phrases: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,16 +246,16 @@ def _asked(k: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in range(batch.num_rows):
-                _, codes = _cells(_ints(batch.column("words"), b, "<i4"), _ints(batch.column("phrases"), b, "<i4"), k)
+                _, codes = _cells(*_state(batch.column("words")[b], batch.column("phrases")[b]), k)
                 codes, counts = summed(codes)
                 group = _group(codes, groups)
-                order = np.argsort(group, kind="stable")
+                order = np.lexsort((codes, group))
                 codes, counts, group = codes[order], counts[order], group[order]
                 cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
                 rows = range(len(cuts) - 1)
                 yield _packed(
                     lang=[batch.column("lang")[b].as_py()] * len(rows), block=[batch.column("block")[b].as_py()] * len(rows), group=group[cuts[:-1]],
-                    codes=[codes[cuts[r] : cuts[r + 1]].tobytes() for r in rows], values=[counts[cuts[r] : cuts[r + 1]].tobytes() for r in rows],
+                    codes=[_coded(codes[cuts[r] : cuts[r + 1]]) for r in rows], values=[_packed_ints(counts[cuts[r] : cuts[r + 1]], "<u4") for r in rows],
                 )
 
     return run
@@ -247,8 +270,8 @@ def _added(least: int):
         waiting: dict[str, int] = {}
         for batch in batches:
             for b, lang in enumerate(batch.column("lang").to_pylist()):
-                codes = _ints(batch.column("codes"), b, "<i8")
-                held.setdefault(lang, []).append((codes, _ints(batch.column("values"), b, "<i8")))
+                codes = _codes(batch.column("codes")[b])
+                held.setdefault(lang, []).append((codes, _ints(batch.column("values")[b], "<u4").astype(np.int64)))
                 waiting[lang] = waiting.get(lang, 0) + len(codes)
                 if waiting[lang] > CELLS:
                     held[lang] = [summed(*map(np.concatenate, zip(*held[lang])))]
@@ -279,16 +302,28 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 order = np.argsort(np.array(codes, np.int64))
                 codes, ranks = np.array(codes, np.int64)[order], np.array(ranks, "<i4")[order]
             if len(codes):
-                asked = _ints(batch.column("codes"), b, "<i8")
+                asked = _codes(batch.column("codes")[b])
                 at = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
                 hit = codes[at] == asked
                 if hit.any():
-                    out.append((batch.column("block")[b].as_py(), asked[hit].tobytes(), ranks[at[hit]].tobytes()))
+                    out.append((batch.column("block")[b].as_py(), _coded(asked[hit]), _packed_ints(ranks[at[hit]], "<i4")))
         if out:
             block, asked, found = zip(*out)
             yield _packed(block=block, codes=asked, values=found)
 
 
+def _kept(words: np.ndarray, phrases: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the next level can use: stretches where two phrases of k words follow each other, with -1 between them."""
+    at = np.flatnonzero((phrases[:-1] >= 0) & (phrases[1:] >= 0))
+    inside = np.zeros(len(words) + 1, np.int64)
+    inside[at] += 1
+    inside[at + k + 1] -= 1
+    inside = np.cumsum(inside)[:-1] > 0
+    border = ~inside & np.append(False, inside[:-1])
+    words, phrases = np.where(border, -1, words), np.where(border, -1, phrases)
+    return words[inside | border], phrases[inside | border]
+
+
 def _next(k: int):
     """Blocks with the ranks of phrases of k + 1 words; a block comes first, then the answers to it."""
 
@@ -301,7 +336,7 @@ def _next(k: int):
             if head is None or not codes:  # without a phrase there is none longer
                 return
             lang, block, words, phrases = head
-            words, phrases = np.frombuffer(words, "<i4"), np.frombuffer(phrases, "<i4")
+            words, phrases = _state(words, phrases)
             found, rank = np.concatenate(codes), np.concatenate(ranks)
             order = np.argsort(found)
             found, rank = found[order], rank[order]
@@ -310,7 +345,9 @@ def _next(k: int):
             fine = found[hit] == asked
             longer = np.full(len(words), -1, "<i4")
             longer[at[fine]] = rank[hit[fine]]
-            yield _packed(lang=[lang], block=[block], words=[words.tobytes()], phrases=[longer.tobytes()])
+            words, longer = _kept(words, longer, k + 1)
+            if len(words):
+                yield _packed(lang=[lang], block=[block], words=[_packed_ints(words, "<i4")], phrases=[_packed_ints(longer, "<i4")])
 
         for batch in batches:
             for b in range(batch.num_rows):
@@ -319,8 +356,8 @@ def _next(k: int):
                     head = tuple(batch.column(c)[b].as_py() for c in ("lang", "block", "words", "phrases"))
                     codes, ranks = [], []
                 else:
-                    codes.append(_ints(batch.column("codes"), b, "<i8"))
-                    ranks.append(_ints(batch.column("values"), b, "<i4"))
+                    codes.append(_codes(batch.column("codes")[b]))
+                    ranks.append(_ints(batch.column("values")[b], "<i4"))
         yield from close()
 
     return run
@@ -343,6 +380,7 @@ def counts(docs: DataFrame, scratch: Scratch, longest: int = 4, least: int = 30)
     ranks = asked.groupBy("block").agg(F.collect_list(F.struct("at", "rank")).alias("ranks"))  # one for each word of a block at most
     state = blocks.select("lang", "block", "codes", F.size("words").alias("size")).join(ranks, "block").select("lang", "block", "codes", "size", "ranks")
     state = scratch.keep(mapped(state, _with_ranks, STATE), "ranks")
+    scratch.drop(blocks)
     for k in range(1, longest):
         cells = scratch.keep(mapped(state, _asked(k, groups), "lang string, block bigint, `group` int, codes binary, values binary"), "cells")
         often = mapped(cells.select("lang", "codes", "values", "group").repartitionById(groups, F.col("group")).drop("group"), _added(least), "lang string, `group` int, code bigint, a bigint")
@@ -365,7 +403,9 @@ def counts(docs: DataFrame, scratch: Scratch, longest: int = 4, least: int = 30)
         answers = answers.select(F.lit(None).cast("string").alias("lang"), "block", empty.alias("words"), empty.alias("phrases"), "codes", "values")
         held = state.select("*", empty.alias("codes"), empty.alias("values"))
         met = held.unionByName(answers).repartition(groups, "block").sortWithinPartitions("block", F.col("lang").asc_nulls_last())
-        state = scratch.keep(mapped(met, _next(k), STATE), "ranks")
+        before, state = state, scratch.keep(mapped(met, _next(k), STATE), "ranks")
+        scratch.drop(before, cells, often, places)
+    scratch.drop(state)
     return total, phrases
 
 

@@ -54,22 +54,47 @@ def stash(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 class Scratch:
-    """Stashes of one computation; they go once its last one is written."""
+    """Stashes of one computation; each goes when it is dropped, the others once the last one is written."""
 
     def __init__(self, spark: SparkSession) -> None:
         self._spark = spark
-        self._paths: list[str] = []
+        self._kept: list[tuple[DataFrame, str]] = []
+        self._tables: list[str] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self._paths.append(folder(self._spark, name))
-        return stash(df, name, self._paths[-1])
+        path = folder(self._spark, name)
+        self._kept.append((stash(df, name, path), path))
+        return self._kept[-1][0]
+
+    def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """A table of the warehouse with a bucket for each shuffle partition: what is grouped by ``key`` later needs no shuffle."""
+        table_name = f"{name}_{uuid.uuid4().hex}"
+        buckets = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table_name)
+        self._tables.append(table_name)
+        return self._spark.table(table_name)
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Remove stashes that nothing will read again."""
+        for frame in frames:
+            for k, (kept, path) in enumerate(self._kept):
+                if kept is frame:
+                    self._remove(path)
+                    del self._kept[k]
+                    break
 
     def last(self, df: DataFrame, name: str) -> DataFrame:
-        """The result, written and read back; all that was kept before is removed."""
+        """The result, written and read back; all that was kept before is removed, tables too."""
         out = stash(df, name)
-        jvm = self._spark.sparkContext._jvm
-        for path in self._paths:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        self._paths.clear()
+        for _, path in self._kept:
+            self._remove(path)
+        for name in self._tables:
+            self._spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._kept.clear()
+        self._tables.clear()
         return out
+
+    def _remove(self, path: str) -> None:
+        context = self._spark.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
