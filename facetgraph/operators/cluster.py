@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .spectral import Basis, Stack, smallest_eigenvectors
+from .spectral import SLICE_ROWS, Basis, Stack, Walk, smallest_eigenvectors
 
 SEED = 42
 SEED_ROUNDS = 2
@@ -229,59 +231,132 @@ def default_ks(n: int, limit: int | None = 20) -> range:
 # --- k-means on affinity rows ---------------------------------------------------------------------
 
 
-def kmeans_rows(view: DataFrame, entities: DataFrame, k: int, n_init: int = 10, seed: int = SEED, max_iter: int = 50) -> DataFrame:
-    """K-means with the affinity rows as features, as joins on sparse cells: (k, entity, cluster).
+@dataclass
+class _Rows:
+    """Affinity rows kept twice, by column to meet the centres and by row to meet the labels; hot keys are cut into slices."""
 
-    A row's distance to a center is ``|x|^2 - 2 <x, c> + |c|^2``; the products come from a join of
-    the cells with the centers on the column. All starts run side by side under ``start``.
+    by_column: Walk
+    by_row: Walk
+    everyone: DataFrame  # (i, x2, h): all entities with their squared length
+
+    @classmethod
+    def build(cls, view: DataFrame, entities: DataFrame, seed: int, slice_rows: int) -> _Rows:
+        rows = cut(view.select("i", "j", F.col("w").cast("double").alias("w")).filter("w <> 0"))
+        squared = rows.groupBy("i").agg(F.sum(F.col("w") * F.col("w")).alias("x2"))
+        everyone = entities.select("i").distinct().join(squared, "i", "left")
+        everyone = cut(everyone.select("i", F.coalesce("x2", F.lit(0.0)).alias("x2"), F.xxhash64("i", F.lit(seed)).alias("h")))
+        return cls(Walk.build(rows, ["j"], "i", slice_rows), Walk.build(rows, ["i"], "j", slice_rows), everyone)
+
+    def products(self, centers: DataFrame, n: int, active: DataFrame | None = None) -> DataFrame:
+        """(i, p0..): products of rows with the centres (j, c0..); a cell meets one row that holds all of them.
+
+        With ``active`` only the cells of those rows travel to the centres.
+        """
+        if active is None:
+            met = self.by_column.meet(["i", "w"], centers)
+        else:
+            met = self.by_row.rows.select("i", "j", "w").join(active.select("i"), "i", "left_semi").join(centers, "j")
+        return met.groupBy("i").agg(*[F.sum(F.col("w") * F.col(f"c{c}")).alias(f"p{c}") for c in range(n)])
+
+    def sums(self, labels: DataFrame, picks: Sequence[Column]) -> DataFrame:
+        """(j, c0..): for each condition on the label columns the column sums of the rows that meet it."""
+        met = self.by_row.meet(["j", "w"], labels)
+        return met.groupBy("j").agg(*[F.sum(F.when(p, F.col("w")).otherwise(0.0)).alias(f"c{n}") for n, p in enumerate(picks)])
+
+    def release(self) -> None:
+        self.by_column.rows.unpersist()
+        self.by_row.rows.unpersist()
+
+
+def _spread_starts(rows: _Rows, k: int, n_init: int) -> DataFrame:
+    """k entities for each start, each drawn by its squared distance to those before it: (i, start, cluster)."""
+    chosen, near = [], rows.everyone.select("i", "x2", "h", *[F.lit(1.0).alias(f"d{s}") for s in range(n_init)])
+    for c in range(k):
+        # the largest log(u) / d wins: a draw by weight that needs no total; rows at a centre come last
+        u = [(F.shiftrightunsigned(F.xxhash64("h", F.lit(s), F.lit(c)), 11) + 0.5) / float(1 << 53) for s in range(n_init)]
+        keys = [F.when(F.col(f"d{s}") > 1e-12, F.log(u[s]) / F.col(f"d{s}")).otherwise(F.lit(-1e300) * u[s]) for s in range(n_init)]
+        first = near.agg(*[F.max_by(F.struct("i", "x2"), F.struct(keys[s], "h")).alias(f"s{s}") for s in range(n_init)]).first()
+        picks = [(first[f"s{s}"]["i"], s, c, first[f"s{s}"]["x2"]) for s in range(n_init)]
+        chosen += [p[:3] for p in picks]
+        if c + 1 == k:
+            break
+        kind = near.schema["i"].dataType.simpleString()
+        here = near.sparkSession.createDataFrame([p[:2] for p in picks], f"i {kind}, start int")
+        at = rows.by_row.rows.select("i", "j", "w").join(here, "i").groupBy("j").agg(*[F.sum(F.when(F.col("start") == s, F.col("w")).otherwise(0.0)).alias(f"c{s}") for s in range(n_init)])
+        apart = [F.greatest(F.col("x2") - 2 * F.coalesce(f"p{s}", F.lit(0.0)) + F.lit(float(picks[s][3])), F.lit(0.0)) for s in range(n_init)]
+        nearer = [(F.least(F.col(f"d{s}"), apart[s]) if c else apart[s]).alias(f"d{s}") for s in range(n_init)]
+        near = cut(near.join(rows.products(at, n_init), "i", "left").select("i", "x2", "h", *nearer))
+    kind = near.schema["i"].dataType.simpleString()
+    return near.sparkSession.createDataFrame(chosen, f"i {kind}, start int, cluster int")
+
+
+def kmeans_rows(
+    view: DataFrame, entities: DataFrame, k: int, n_init: int = 10, seed: int = SEED, max_iter: int = 300, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """K-means with the affinity rows as features, on sparse cells: (k, entity, cluster).
+
+    A row's distance to a centre is ``|x|^2 - 2 <x, c> + |c|^2``. Centres are one row per column that
+    holds the coordinates of all centres of all starts, so a cell meets one row a round. Each row
+    keeps an upper bound of the distance to its centre and a lower bound to any other, loosened by
+    how far the centres moved; while the bounds hold, it is not compared again. Starts are drawn by
+    squared distance; a start that still moves after ``max_iter`` rounds is warned of.
     """
-    rows = view.select("i", "j", "w").persist()
-    everyone = entities.select("i").distinct()
-    starts = F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))).alias("start")
-    pool = everyone.select("i", starts).withColumn("h", F.xxhash64("i", "start", F.lit(seed)))
-    chosen = _first_k(pool, k)
-    centers = cut(chosen.join(rows, "i").select("start", "cluster", "j", F.col("w").alias("c")))
-    frame = everyone.select("i", starts)
-    squared = rows.groupBy("i").agg(F.sum(F.col("w") * F.col("w")).alias("x2"))
-    previous: dict[int, float] = {}
-    labels = None
-    for _ in range(max_iter):
-        norms = chosen.select("start", "cluster").join(
-            centers.groupBy("start", "cluster").agg(F.sum(F.col("c") * F.col("c")).alias("c2")), ["start", "cluster"], "left"
-        ).withColumn("c2", F.coalesce("c2", F.lit(0.0)))
-        dots = rows.join(centers, "j").groupBy("start", "i", "cluster").agg(F.sum(F.col("w") * F.col("c")).alias("p"))
-        # centers that share no column with a row lie at |x|^2 + |c|^2; the nearest of them has the smallest norm
-        listed = norms.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("c2", "cluster"))).alias("cs"))
-        near = dots.groupBy("start", "i").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "p"))).alias("ps"))
-        scored = frame.join(listed, "start").join(near, ["start", "i"], "left")
-        options = F.transform(
-            "cs",
-            lambda s: F.struct(
-                (s["c2"] - 2 * F.coalesce(F.element_at(F.col("ps"), s["cluster"]), F.lit(0.0))).alias("d"), s["cluster"].alias("cluster")
-            ),
+    n = n_init * k
+    rows = _Rows.build(view, entities, seed, slice_rows)
+    chosen = _spread_starts(rows, k, n_init)
+    here = [(F.col("start") == s) & (F.col("cluster") == c) for s in range(n_init) for c in range(k)]
+    centers = cut(rows.by_row.rows.select("i", "j", "w").join(chosen, "i").groupBy("j").agg(*[F.sum(F.when(p, F.col("w")).otherwise(0.0)).alias(f"c{m}") for m, p in enumerate(here)]))
+    total = rows.everyone.agg(F.count("*"), F.sum("x2")).first()
+    state, active, share = None, None, 1.0
+    cost = np.full(n_init, np.inf)
+    for round_ in range(max_iter + 1):
+        c2 = [float(x or 0.0) for x in centers.agg(*[F.sum(F.col(f"c{m}") * F.col(f"c{m}")) for m in range(n)]).first()]
+        near = rows.products(centers, n, active if share < 0.5 else None)
+        base = rows.everyone.select("i", "x2") if active is None else active
+        far = [F.sqrt(F.greatest(F.col("x2") - 2 * F.coalesce(f"p{m}", F.lit(0.0)) + F.lit(c2[m]), F.lit(0.0))) for m in range(n)]
+        ranked = [F.array_sort(F.array(*[F.struct(far[s * k + c].alias("d"), F.lit(c).alias("c")) for c in range(k)])).alias(f"r{s}") for s in range(n_init)]
+        olds = [F.col(f"a{s}").alias(f"o{s}") if state is not None else F.lit(-1).alias(f"o{s}") for s in range(n_init)]
+        fresh = base.join(near, "i", "left").select("i", "x2", *olds, *ranked).select(
+            "i", "x2", *[f"o{s}" for s in range(n_init)],
+            *[F.col(f"r{s}")[0]["c"].alias(f"a{s}") for s in range(n_init)],
+            *[F.col(f"r{s}")[0]["d"].alias(f"u{s}") for s in range(n_init)],
+            *[F.coalesce(F.get(f"r{s}", F.lit(1))["d"], F.lit(float("inf"))).alias(f"l{s}") for s in range(n_init)],
         )
-        labels = cut(scored.select("start", "i", F.array_min(options).alias("b")).select("start", "i", F.col("b.cluster").alias("cluster"), F.col("b.d").alias("d")))
-        costs = {r.start: r.cost for r in labels.join(squared, "i", "left").groupBy("start").agg(F.sum(F.col("d") + F.coalesce("x2", F.lit(0.0))).alias("cost")).collect()}
-        if previous and all(abs(previous[s] - c) <= 1e-9 * max(1.0, abs(c)) for s, c in costs.items()):
+        keep = ["i", "x2", *[f"{x}{s}" for x in "aul" for s in range(n_init)]]
+        fresh = cut(fresh)
+        changed = fresh.agg(*[F.count_if(F.col(f"o{s}") != F.col(f"a{s}")).alias(f"n{s}") for s in range(n_init)]).first()
+        settled = state.join(active.select("i"), "i", "left_anti").select(*keep) if state is not None else None
+        state = cut(fresh.select(*keep) if settled is None else fresh.select(*keep).unionByName(settled))
+        if not any(changed):
             break
-        previous = costs
-        sizes = labels.groupBy("start", "cluster").agg(F.count("*").alias("n"))
-        sums = rows.join(labels, "i").groupBy("start", "cluster", "j").agg(F.sum("w").alias("t"))
-        moved = sums.join(sizes, ["start", "cluster"]).select("start", "cluster", "j", (F.col("t") / F.col("n")).alias("c"))
-        # a cluster that lost all its rows keeps its center
-        centers = cut(moved.unionByName(centers.join(sizes, ["start", "cluster"], "left_anti")))
-    rows.unpersist()
-    best = min(costs, key=lambda s: (costs[s], s))
-    picked = labels.filter(F.col("start") == best).select(F.lit(k).alias("k"), F.col("i").alias("entity"), "cluster")
-    return relabel(picked)
-
-
-def _first_k(pool: DataFrame, k: int) -> DataFrame:
-    """The k entities with the smallest hash per start, by repeated minima (k rows per start)."""
-    chosen = None
-    for c in range(k):
-        low = pool.groupBy("start").agg(F.min_by("i", "h").alias("i")).select("start", "i", F.lit(c).alias("cluster"))
-        low = cut(low)
-        chosen = low if chosen is None else chosen.unionByName(low)
-        pool = pool.join(low.select("start", "i"), ["start", "i"], "left_anti")
-    return chosen
+        if round_ == max_iter:
+            warnings.warn(f"{sum(x > 0 for x in changed)} of {n_init} k-means starts still moved after {max_iter} rounds", stacklevel=2)
+            break
+        sizes = state.agg(*[F.count_if(F.col(f"a{s}") == c) for s in range(n_init) for c in range(k)]).first()
+        sums = rows.sums(state.select("i", *[f"a{s}" for s in range(n_init)]), [F.col(f"a{s}") == c for s in range(n_init) for c in range(k)])
+        # a cluster that lost all its rows keeps its centre
+        old = centers.select("j", *[F.col(f"c{m}").alias(f"o{m}") for m in range(n)])
+        both = sums.join(old, "j", "full").select(
+            "j",
+            *[(F.coalesce(f"c{m}", F.lit(0.0)) / float(sizes[m]) if sizes[m] else F.coalesce(f"o{m}", F.lit(0.0))).alias(f"c{m}") for m in range(n)],
+            *[F.coalesce(f"o{m}", F.lit(0.0)).alias(f"o{m}") for m in range(n)],
+        )
+        both = cut(both)
+        drift = [float(x or 0.0) ** 0.5 for x in both.agg(*[F.sum((F.col(f"c{m}") - F.col(f"o{m}")) ** 2) for m in range(n)]).first()]
+        centers = both.select("j", *[f"c{m}" for m in range(n)])
+        loose = []
+        for s in range(n_init):
+            own = F.element_at(F.array(*[F.lit(drift[s * k + c]) for c in range(k)]), F.col(f"a{s}") + 1)
+            loose += [(F.col(f"u{s}") + own).alias(f"u{s}"), (F.col(f"l{s}") - max(drift[s * k : s * k + k])).alias(f"l{s}")]
+        state = cut(state.select("i", "x2", *[f"a{s}" for s in range(n_init)], *loose))
+        slack = 1e-7 * (1 + F.sqrt("x2"))  # rounding of the distances
+        active = state.filter(reduce(lambda x, y: x | y, [F.col(f"u{s}") + slack > F.col(f"l{s}") for s in range(n_init)]))
+        share = active.count() / max(1, total[0])
+    sums = rows.sums(state.select("i", *[f"a{s}" for s in range(n_init)]), [F.col(f"a{s}") == c for s in range(n_init) for c in range(k)])
+    sizes = state.agg(*[F.count_if(F.col(f"a{s}") == c) for s in range(n_init) for c in range(k)]).first()
+    squares = sums.agg(*[F.sum(F.col(f"c{m}") * F.col(f"c{m}")) for m in range(n)]).first()
+    for s in range(n_init):  # squared distances to the means: all squares less those of the means
+        cost[s] = float(total[1] or 0.0) - sum(float(squares[m] or 0.0) / sizes[m] for m in range(s * k, s * k + k) if sizes[m])
+    rows.release()
+    best = min(range(n_init), key=lambda s: (round(cost[s], 9), s))
+    return relabel(state.select(F.lit(k).alias("k"), F.col("i").alias("entity"), F.col(f"a{best}").alias("cluster")))

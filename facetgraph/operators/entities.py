@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
@@ -149,36 +150,67 @@ def extraction_counts(rows: DataFrame, key: str = "class") -> DataFrame:
     )
 
 
+def write_core(rows: DataFrame, path: str, key: str = "class") -> dict[str, int]:
+    """Write the unique core names and count while doing so: rows, filtered, core_names, collisions.
+
+    The counts ride on the pass that writes, as observed metrics; nothing is scanned a second time.
+    """
+    read, kept = Observation("read"), Observation("kept")
+    core = text.is_core_name(F.col(key))
+    seen = rows.observe(read, F.count("*").alias("rows"), F.count_if(~core).alias("filtered"))
+    names = seen.filter(core).groupBy(key).agg(F.count("*").alias("n"))
+    names = names.observe(kept, F.count("*").alias("core_names"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("collisions"))
+    names.select(key).write.mode("overwrite").parquet(path)
+    counts = dict.fromkeys(("rows", "filtered", "core_names", "collisions"), 0)
+    for observed in (read, kept):
+        try:
+            counts |= observed.get
+        except Py4JJavaError:  # rows that are known to be none are planned away together with their observer
+            pass
+    return counts
+
+
 def text_with_fallback(
     core: DataFrame, texts: DataFrame, fallback: Column, key: str = "class", value: str = "text", order: str | None = None
 ) -> DataFrame:
-    """Core list with its text, or ``fallback``. Of several texts per key the last by ``order`` wins."""
+    """Core list with its text, or ``fallback``. Of several texts per key the last by ``order`` wins.
+
+    Rows of a table have no last one by themselves: without ``order`` the greatest text wins.
+    """
     pick = F.max_by(value, order) if order else F.max(value)
     one = texts.groupBy(key).agg(pick.alias("found"))
     return core.join(one, key, "left").select(*core.columns, F.coalesce("found", fallback).alias(value))
 
 
-def enrich_semantic(core: DataFrame, summaries: DataFrame, key: str = "class") -> DataFrame:
-    """Semantic text view from stored summaries (key, summary)."""
-    joined = core.select(key).distinct().join(summaries.select(key, "summary"), key, "left")
+def _one_each(texts: DataFrame, key: str, value: str, order: str | None) -> DataFrame:
+    return texts.groupBy(key).agg((F.max_by(value, order) if order else F.max(value)).alias(value))
+
+
+def enrich_semantic(core: DataFrame, summaries: DataFrame, key: str = "class", order: str | None = None) -> DataFrame:
+    """Semantic text view from stored summaries (key, summary), one per class: the last by ``order``, else the greatest."""
+    joined = core.select(key).distinct().join(_one_each(summaries, key, "summary", order), key, "left")
     summary = text.remove_terms(text.summary_or_fallback(F.col("summary"), F.col(key)))
     return joined.select(F.col(key).alias("class_name"), text.semantic_text(F.col(key), summary).alias("concatenated_text"))
 
 
-def enrich_functional(core: DataFrame, scenarios: DataFrame, key: str = "class", frame: str = fixed.FUNCTIONAL_FRAME) -> DataFrame:
-    """Functional text view from stored scenarios (key, scenario)."""
-    joined = core.select(key).distinct().join(scenarios.select(key, "scenario"), key, "left")
+def enrich_functional(
+    core: DataFrame, scenarios: DataFrame, key: str = "class", frame: str = fixed.FUNCTIONAL_FRAME, order: str | None = None
+) -> DataFrame:
+    """Functional text view from stored scenarios (key, scenario), one per class: the last by ``order``, else the greatest."""
+    joined = core.select(key).distinct().join(_one_each(scenarios, key, "scenario", order), key, "left")
     scenario = text.scenario_or_fallback(F.col("scenario"))
     return joined.select(F.col(key).alias("class_name"), text.functional_text(F.col(key), scenario, frame).alias("concatenated_text"))
 
 
-def lemmatize(docs: DataFrame, lemmas: DataFrame, key: str, words: str) -> DataFrame:
+def lemmatize(docs: DataFrame, lemmas: DataFrame, key: str, words: str, distinct: DataFrame | None = None) -> DataFrame:
     """Replace tokens of the array column ``words`` by the lemma table (token, lemma).
 
     Only the distinct tokens that have a lemma travel back to their document, as a small map;
-    the order of the text is never shuffled.
+    the order of the text is never shuffled. ``distinct`` (key, token) saves a pass over the texts
+    where the distinct tokens of the documents are there already.
     """
-    distinct = docs.select(key, F.explode(F.array_distinct(words)).alias("token"))
+    if distinct is None:
+        distinct = docs.select(key, F.explode(F.array_distinct(words)).alias("token"))
     one = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma"))
     found = distinct.join(one, "token").groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("lemma_of")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -41,7 +41,7 @@ class Fusion:
         return spark.createDataFrame(list(self.weights.items()), "view string, weight double")
 
 
-def self_weighted(views: dict[str, DataFrame], entities: DataFrame, k: int, variant: str = "current", tol: float = 3e-4) -> Fusion:
+def self_weighted(views: dict[str, DataFrame], entities: DataFrame, k: int, variant: str = "current", tol: float = 1e-5) -> Fusion:
     """Learn the view weights.
 
     From uniform weights: combine, take the k smallest eigenvectors, measure every view by its
@@ -110,8 +110,8 @@ def l1_fusion(
     cells = cut(wide.withColumn("u", F.when(F.col("i") == F.col("j"), 1.0).otherwise(mean)))
     weights = np.full(len(names), 1 / len(names))
     history: list[tuple] = []
+    gaps = l1_norms(cells, {n: F.col("u") - F.col(f"a{v}") for v, n in enumerate(names)})
     for it in range(max_iter):
-        gaps = l1_norms(cells, {n: F.col("u") - F.col(f"a{v}") for v, n in enumerate(names)})
         raw = np.array([1 / (2 * np.sqrt(gaps[n])) if gaps[n] > 1e-10 else 1.0 for n in names])
         weights = raw / raw.sum()
         pulled = sum(
@@ -120,11 +120,16 @@ def l1_fusion(
         )
         mixed = L1_MIX * pulled + (1 - L1_MIX) * F.col("u")
         moved = cells.withColumn("next", F.when(F.col("i") == F.col("j"), 1.0).otherwise(mixed))
-        change = float(moved.agg(F.sqrt(F.sum((F.col("next") - F.col("u")) ** 2))).first()[0] or 0.0)
+        if (it + 1) % cut_every == 0:
+            moved = cut(moved)
+        # one pass: how far the cells moved, and the column sums that the next round starts from
+        columns = moved.groupBy("j").agg(
+            F.sum((F.col("next") - F.col("u")) ** 2).alias("moved"), *[F.sum(F.abs(F.col("next") - F.col(f"a{v}"))).alias(n) for v, n in enumerate(names)]
+        )
+        gaps = columns.agg(F.sqrt(F.sum("moved")).alias("moved"), *[F.max(n).alias(n) for n in names]).first().asDict()
+        change = float(gaps["moved"] or 0.0)
         history.append((it + 1, change, *weights.tolist()))
         cells = moved.drop("u").withColumnRenamed("next", "u")
-        if (it + 1) % cut_every == 0:
-            cells = cut(cells)
         if change < tol and it > 10:
             break
     return cells.select("i", "j", F.col("u").alias("w")), dict(zip(names, weights.tolist())), history
@@ -155,3 +160,71 @@ def expand(view: DataFrame, mapping: DataFrame, size: int, known: int, original:
     known_pair = (F.col("r") < known) & (F.col("c") < known)
     fill = F.when(F.col("r") == F.col("c"), 1.0).otherwise(mean * F.when(known_pair, 0.7).otherwise(0.5))
     return grid.join(placed, ["r", "c"], "left").select("r", "c", F.coalesce("w", fill).alias("w"))
+
+
+@dataclass
+class Placed:
+    """A view at its places in a larger space, as sparse cells and constants; the grid is never formed.
+
+    Cells (r, c, w) that are not there are 1 on the diagonal, ``near`` between the first ``known``
+    places and ``far`` elsewhere.
+    """
+
+    cells: DataFrame
+    near: float
+    far: float
+    size: int
+    known: int
+
+    def _fill(self) -> Column:
+        inside = (F.col("r") < self.known) & (F.col("c") < self.known)
+        return F.when(F.col("r") == F.col("c"), 1.0).when(inside, self.near).otherwise(self.far)
+
+    def _line(self, r: Column, value) -> Column:
+        """Sum of ``value`` over a whole row of constants."""
+        inner = value(self.near) * (self.known - 1) + value(self.far) * (self.size - self.known)
+        return value(1.0) + F.when(r < self.known, inner).otherwise(value(self.far) * (self.size - 1))
+
+    def _places(self) -> DataFrame:
+        return self.cells.sparkSession.range(self.size).select(F.col("id").alias("r"))
+
+    def degrees(self) -> DataFrame:
+        """(r, degree): row sums of the whole matrix, its diagonal too."""
+        extra = self.cells.groupBy("r").agg(F.sum(F.col("w") - self._fill()).alias("x"))
+        whole = self._line(F.col("r"), float) + F.coalesce("x", F.lit(0.0))
+        return self._places().join(extra, "r", "left").select("r", whole.alias("degree"))
+
+    def norms(self) -> DataFrame:
+        """L1 norm, Frobenius norm and mean of the whole matrix."""
+        fill = self._fill()
+        extra = self.cells.withColumn("f", fill).groupBy(F.col("c").alias("r")).agg(
+            F.sum(F.abs("w") - F.abs("f")).alias("a"), F.sum(F.col("w") - F.col("f")).alias("s"), F.sum(F.col("w") ** 2 - F.col("f") ** 2).alias("q")
+        )
+        per = self._places().join(extra, "r", "left").na.fill(0.0, ["a", "s", "q"])
+        r = F.col("r")
+        total = per.agg(
+            F.max(F.col("a") + self._line(r, abs)).alias("l1"),
+            F.sqrt(F.sum(F.col("q") + self._line(r, lambda x: x * x))).alias("frobenius"),
+            (F.sum(F.col("s") + self._line(r, float)) / (float(self.size) ** 2)).alias("mean"),
+        )
+        return total
+
+    def times(self, vector: DataFrame) -> DataFrame:
+        """(r, y): the matrix times a vector (r, x) that has all places."""
+        sums = vector.agg(F.sum("x").alias("all"), F.sum(F.when(F.col("r") < self.known, F.col("x")).otherwise(0.0)).alias("known")).first()
+        extra = self.cells.withColumn("d", F.col("w") - self._fill()).join(vector.select(F.col("r").alias("c"), "x"), "c")
+        extra = extra.groupBy("r").agg(F.sum(F.col("d") * F.col("x")).alias("e"))
+        inside = F.col("r") < self.known
+        block = F.lit(self.far * sums["all"]) + F.when(inside, (self.near - self.far) * sums["known"]).otherwise(0.0)
+        own = F.when(inside, 1.0 - self.near).otherwise(1.0 - self.far) * F.col("x")
+        return vector.join(extra, "r", "left").select("r", (block + own + F.coalesce("e", F.lit(0.0))).alias("y"))
+
+
+def place(view: DataFrame, mapping: DataFrame, size: int, known: int, original: int) -> Placed:
+    """:func:`expand` without the grid: linear in the cells of the view and in the places."""
+    view = cut(view)
+    cells = view.join(mapping.select("i", F.col("position").alias("r")), "i").join(
+        mapping.select(F.col("i").alias("j"), F.col("position").alias("c")), "j"
+    ).filter("w <> 0").select("r", "c", "w")
+    mean = float(view.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]) / (original * original)
+    return Placed(cells, mean * 0.7, mean * 0.5, size, known)

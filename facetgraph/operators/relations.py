@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,9 +109,9 @@ def mention_pairs(controllers: DataFrame, core: DataFrame, key: str = "class") -
     return hits.join(last, ["grp", "path"]).select("grp", "member").distinct()
 
 
-def find_and_score(files: DataFrame, closed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Source files to (core entities with content, relation)."""
-    core = ent.core_entities(ent.declarations(files))
+def find_and_score(files: DataFrame, closed: bool = False, scan: Callable[[DataFrame], DataFrame] = ent.declarations) -> tuple[DataFrame, DataFrame]:
+    """Source files to (core entities with content, relation); ``scan`` reads the declarations."""
+    core = ent.core_entities(scan(files))
     unique = ent.resolve_collisions(core, "class", "filename", ent.implementation_priority(F.col("filename")))
     full = unique.join(files.select(F.col("path").alias("filename"), "content"), "filename")
     return full, relation_scores(full, closed=closed)

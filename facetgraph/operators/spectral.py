@@ -9,7 +9,6 @@ their pairs are never formed.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -23,10 +22,7 @@ from ..session import cut
 from .views import both_directions
 
 SLICE_ROWS = 2_000_000
-# up to this many entities the basis spans everything and one projection is exact
-FULL_BASIS = 128
 PARTITION_ROWS = 500_000
-STEPS_PER_JOB = 2
 
 
 @dataclass
@@ -285,14 +281,13 @@ def upper_bound(stack: Stack, weights: Sequence[float]) -> float:
     return 1.0 + float(per.agg(F.max("r")).first()[0] or 0.0)
 
 
-def _chebyshev_roots(a: float, b: float, degree: int) -> list[float]:
-    """Roots of the polynomial that stays small on [a, b], ordered to keep products tame."""
-    t = (2 * np.arange(degree) + 1) / (2 * degree) * np.pi
-    roots = list((a + b) / 2 + (b - a) / 2 * np.cos(t))
-    ordered = [roots.pop(int(np.argmax(np.abs(roots))))]
-    while roots:
-        far = [np.sum(np.log(np.abs(r - np.array(ordered)) + 1e-300)) for r in roots]
-        ordered.append(roots.pop(int(np.argmax(far))))
+def _shifts(degree: int) -> list[float]:
+    """Chebyshev points of [-1, 1], ordered so that products of distances to them stay tame."""
+    points = list(np.cos((2 * np.arange(degree) + 1) / (2 * degree) * np.pi))
+    ordered = [points.pop(int(np.argmax(np.abs(points))))]
+    while points:
+        far = [np.sum(np.log(np.abs(p - np.array(ordered)) + 1e-300)) for p in points]
+        ordered.append(points.pop(int(np.argmax(far))))
     return ordered
 
 
@@ -304,27 +299,51 @@ class Basis:
     rows: DataFrame
     k: int
     width: int
-    high: float = 0.0
+    rounds: int = 0
 
     def gap(self) -> float:
         """Distance to the next eigenvalue; 0 means the wanted space is not unique."""
         return float(self.values[self.k] - self.values[self.k - 1]) if len(self.values) > self.k else float("inf")
 
 
-def _project(projected: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ritz values, rotation and residual norms of the basis x with its images y = L x."""
-    xs, ys = _columns(m, "x"), _columns(m, "y")
-    blocks = _gram(projected, xs + ys, xs + ys)
-    scale = 1 / np.sqrt(np.maximum(np.diag(blocks)[:m], 1e-300))
-    blocks = blocks * np.outer(np.tile(scale, 2), np.tile(scale, 2))
-    g, h, hh = blocks[:m, :m], blocks[:m, m:], blocks[m:, m:]
+def _ritz(gram: np.ndarray, image: np.ndarray, cutoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ritz values, rotation and residual norms of a space.
+
+    ``gram`` holds the inner products of all columns, the space being the first of them; ``image``
+    writes the operator's image of the space in terms of all columns.
+    """
+    n = image.shape[1]
+    scale = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    gram = gram * np.outer(scale, scale)
+    image = image * scale[None, :n] / scale[:, None]
+    g, h, hh = gram[:n, :n], gram[:n] @ image, image.T @ gram @ image
     s, q = np.linalg.eigh((g + g.T) / 2)
-    kept = s > 1e-12 * s[-1]
+    kept = s > cutoff * s[-1]
     white = q[:, kept] / np.sqrt(s[kept])
     values, turn = np.linalg.eigh(white.T @ ((h + h.T) / 2) @ white)
     rotation = white @ turn
     residual = np.sqrt(np.maximum(np.diag(rotation.T @ hh @ rotation) - values**2, 0))
-    return values, scale[:, None] * rotation, residual
+    return values, scale[:n, None] * rotation, residual
+
+
+def _krylov(stack: Stack, weights: Sequence[float], residuals: DataFrame, a: int, limit: float, shifts: Sequence[float]) -> list[DataFrame]:
+    """Tables (i, b0.., b1..) of the normalised residuals and their images under the shifted operator.
+
+    Column group j + 1 is ``(2 / limit * L - 1 - shift j)`` times group j: a recurrence of two terms,
+    so that a step needs nothing but the group before it. Two steps are one job.
+    """
+    tables, current = [], residuals
+    for j, shift in enumerate(shifts):
+        kept = j % 2 == 0 or j == len(shifts) - 1
+        stepped = _step(stack, current, weights, a, alpha=2 / limit - 1 - shift, beta=-2 / limit, also_input=kept)
+        if kept:
+            stepped = cut(stepped)
+            held = [F.col(f"y{n}").alias(f"b{j + 1}_{n}") for n in range(a)]
+            if j % 2 == 0:  # else the table before has the group already
+                held += [F.col(f"x{n}").alias(f"b{j}_{n}") for n in range(a)]
+            tables.append(stepped.select("i", *held))
+        current = stepped.select("i", *_columns(a))
+    return tables
 
 
 def smallest_eigenvectors(
@@ -332,53 +351,61 @@ def smallest_eigenvectors(
     weights: Sequence[float],
     k: int,
     start: Basis | None = None,
-    width: int = 16,
-    degree: int = 8,
-    max_rounds: int = 30,
+    guard: int = 3,
+    depth: int = 8,
+    max_rounds: int = 100,
     tol: float = 1e-5,
 ) -> Basis:
-    """The k smallest eigenpairs of the combined normalised Laplacian.
-
-    Filtered subspace iteration on a basis of ``width`` columns (more for k over 8): a polynomial
-    that damps the unwanted part of the spectrum is applied as a chain of matrix steps, a few per
-    Spark job, then the basis is projected and rotated. Ends when the residual norm of every wanted
-    vector is below ``tol``; an eigenvalue is then off by the square of that over its gap. A basis that
-    is not there after ``max_rounds`` is returned with a warning.
+    """The k smallest eigenpairs of the combined normalised Laplacian, at every size by the same steps.
+
+    Block Krylov iteration with thick restarts: from ``k + guard`` current vectors, take the residuals
+    of those that have not converged, apply the operator to them ``depth - 1`` more times (all as
+    joins and grouped sums), and restart from the best vectors of the whole space. Converged vectors
+    are locked: they stay in the space and are multiplied no more than once a round. Ends when the
+    residual norm of each wanted vector is below ``tol``; an eigenvalue is then off by the square of
+    that over its gap. A basis that is not there after ``max_rounds`` is an error.
     """
     if k > stack.n:
         raise ValueError(f"{k} eigenvectors of {stack.n} entities")
-    m = stack.n if stack.n <= FULL_BASIS else min(stack.n, max(width, k + 8))
-    limit = upper_bound(stack, weights) if m < stack.n else 2.0
-    xs = _columns(m, "x")
-    warm = start is not None and start.width == m
-    rows = start.rows if warm else _start(stack, m)
-    low, high = (float(start.values[-1]), start.high) if warm else (0.0, 0.0)
-    values = np.zeros(m)
+    m = min(stack.n, k + guard)
+    limit = upper_bound(stack, weights)
+    shifts = _shifts(max(1, depth - 1))
+    rows = start.rows.select("i", *_columns(min(m, start.width))) if start is not None else _start(stack, m)
+    width = min(m, start.width) if start is not None else m
+    residual = np.full(k, np.inf)
     for round_ in range(max_rounds):
-        y = rows
-        if m < stack.n and high > 0:
-            for n, root in enumerate(_chebyshev_roots(low, high, degree), 1):
-                y = _step(stack, y, weights, m, alpha=1 - 1 / root, beta=1 / root)
-                # adaptive execution re-plans what is left after every stage: keep the chain short
-                y = cut(y) if n % STEPS_PER_JOB == 0 else y
-        # the last step keeps the basis x and gives L x = x - N x as y
-        projected = cut(_step(stack, y, weights, m, alpha=1.0, beta=-1.0, also_input=True))
-        values, rotation, residual = _project(projected, m)
+        # the step keeps the vectors x and gives L x = x - N x as y
+        applied = cut(_step(stack, rows, weights, width, alpha=1.0, beta=-1.0, also_input=True))
+        xs, ys = _columns(width, "x"), _columns(width)
+        gram = _gram(applied, xs + ys, xs + ys)
+        values, turn, residual = _ritz(gram, np.eye(2 * width)[:, width:], 1e-12)
         rank = len(values)
-        rows = _rotate(projected, xs, rotation)
-        if m == stack.n or (rank >= k and residual[:k].max() < tol):
-            break
-        if rank < m:
-            fresh = [(F.xxhash64("i", F.lit(1000 * (round_ + 1) + c)) / F.lit(float(2**63))).alias(f"y{c}") for c in range(rank, m)]
-            rows = rows.select("i", *_columns(rank), *fresh)
-        # the basis also sees the upper end: its largest value plus residual, never past the bound
-        high = max(high, min(limit, float((values + residual).max())))
-        low = float(np.clip(values[-1], 1e-3 * high, 0.8 * high)) if round_ else 0.5 * high
-    else:
-        warnings.warn(f"eigenvectors not converged after {max_rounds} rounds: largest residual {residual[:k].max():.1e}", stacklevel=2)
-    if len(values) < m:
-        rows = rows.select("i", *_columns(len(values)))
-    return Basis(values, rows, k, len(values), high)
+        if rank >= k and residual[:k].max() < tol:
+            return Basis(values, _rotate(applied, xs, turn), k, rank, round_ + 1)
+        active = np.flatnonzero(residual >= tol / 10)
+        a = len(active)
+        # Ritz vectors and, for the active ones, their residuals at length 1
+        left = np.vstack([turn, np.zeros((width, rank))])
+        right = np.vstack([-turn[:, active] * values[active], turn[:, active]]) / residual[active]
+        turned = cut(_rotate(applied, xs + ys, np.hstack([left, right]), "v"))
+        ritz = turned.select("i", *[F.col(f"v{n}").alias(f"x{n}") for n in range(rank)])
+        chain = _krylov(stack, weights, turned.select("i", *[F.col(f"v{rank + n}").alias(f"y{n}") for n in range(a)]), a, limit, shifts)
+        wide = reduce(lambda s, t: s.join(t, "i"), chain, ritz)
+        d = len(shifts)
+        space = _columns(rank, "x") + [f"b{j}_{n}" for j in range(d) for n in range(a)]
+        every = space + [f"b{d}_{n}" for n in range(a)]
+        # L x = value * x + |residual| * b0 and L b_j = limit / 2 * (b_j+1 + (1 + shift) * b_j)
+        image = np.zeros((len(every), len(space)))
+        image[np.arange(rank), np.arange(rank)] = values
+        image[rank + np.arange(a), active] = residual[active]
+        for j, shift in enumerate(shifts):
+            at = rank + j * a + np.arange(a)
+            image[at, at] = limit / 2 * (1 + shift)
+            image[at + a, at] = limit / 2
+        _, turn, _ = _ritz(_gram(wide, every, every), image, 1e-11)
+        width = min(m, turn.shape[1])
+        rows = _rotate(wide, space, turn[:, :width])
+    raise RuntimeError(f"eigenvectors not converged after {max_rounds} rounds: largest residual {residual[:k].max():.1e}")
 
 
 def trace_losses(stack: Stack, basis: Basis) -> np.ndarray:

@@ -6,11 +6,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import blocks
+from . import blocks, threshold_join
 
 
 def both_directions(rows: DataFrame, a: str, b: str, *values: Column) -> DataFrame:
@@ -141,8 +141,11 @@ def cosine_pairs(vectors: DataFrame, threshold: float | None = None, mirror: boo
 
     ``threshold`` keeps similarities of at least that value; without one the result is the full
     matrix, which grows with the square of the rows and suits an export of a small set. The
-    fusion works on :func:`unit_factors` instead and never forms the pairs.
+    fusion works on :func:`unit_factors` instead and never forms the pairs. Over a positive
+    threshold most pairs are ruled out unseen (:mod:`threshold_join`).
     """
+    if threshold is not None and threshold > 0:
+        return _dressed(threshold_join.similar_vectors(vectors.select("i", "v"), threshold), vectors, mirror, diagonal)
     n = blocks.block_count(vectors.count())
     kind = vectors.schema["i"].dataType.simpleString()
 
@@ -160,18 +163,25 @@ def cosine_pairs(vectors: DataFrame, threshold: float | None = None, mirror: boo
     out = blocks.over_block_pairs(
         blocks.self_block_pairs(vectors.select("i", "v"), "i", n), kernel, f"i {kind}, j {kind}, w double", n
     )
+    return _dressed(out, vectors, mirror, diagonal)
+
+
+def _dressed(pairs: DataFrame, vectors: DataFrame, mirror: bool, diagonal: bool) -> DataFrame:
     if mirror:
-        out = both_directions(out, "i", "j", F.col("w"))
+        pairs = both_directions(pairs, "i", "j", F.col("w"))
     if diagonal:
-        out = out.unionByName(vectors.select("i", F.col("i").alias("j"), F.lit(1.0).alias("w")))
-    return out
+        pairs = pairs.unionByName(vectors.select("i", F.col("i").alias("j"), F.lit(1.0).alias("w")))
+    return pairs
 
 
-def cosine_rectangle(left: DataFrame, right: DataFrame, threshold: float | None = None, best: bool = False) -> DataFrame:
+def cosine_rectangle(left: DataFrame, right: DataFrame, threshold: float | None = None, best: int = 0) -> DataFrame:
     """Cosine between two sets of vectors (i, v) as rows (i, j, w).
 
-    ``best`` keeps the most similar right row of every left row (smallest j of equals).
+    ``best`` keeps that many most similar right rows of every left row (smaller j of equals). Over a
+    positive threshold most pairs are ruled out unseen (:mod:`threshold_join`).
     """
+    if threshold is not None and threshold > 0 and not best:
+        return threshold_join.similar_between(left.select("i", "v"), right.select("i", "v"), threshold)
     n_left, n_right = blocks.block_count(left.count()), blocks.block_count(right.count())
     kl, kr = left.schema["i"].dataType.simpleString(), right.schema["i"].dataType.simpleString()
     if kl != kr:
@@ -183,8 +193,8 @@ def cosine_rectangle(left: DataFrame, right: DataFrame, threshold: float | None
             return pd.DataFrame({"i": a.i[:0], "j": b.i[:0], "w": np.zeros(0)})
         sims = blocks.unit_rows(a.v) @ blocks.unit_rows(b.v).T
         if best:
-            y = sims.argmax(axis=1)
-            x = np.arange(len(a))
+            y = sims.argmax(axis=1)[:, None] if best == 1 else np.argsort(-sims, axis=1, kind="stable")[:, :best]
+            x, y = np.repeat(np.arange(len(a)), y.shape[1]), y.ravel()
         else:
             x, y = np.nonzero(np.ones_like(sims, dtype=bool) if threshold is None else sims >= threshold)
         return pd.DataFrame({"i": a.i.to_numpy()[x], "j": b.i.to_numpy()[y], "w": sims[x, y]})
@@ -193,6 +203,9 @@ def cosine_rectangle(left: DataFrame, right: DataFrame, threshold: float | None
     out = spread.groupBy("bl", "br").applyInPandas(run, f"i {kl}, j {kr}, w double")
     if not best:
         return out
+    if best > 1:
+        place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("w"), "j"))
+        return out.withColumn("n", place).filter(F.col("n") <= best).select("i", "j", "w")
     top = out.groupBy("i").agg(F.min(F.struct((-F.col("w")).alias("w"), "j")).alias("t"))
     return top.select("i", F.col("t.j").alias("j"), (-F.col("t.w")).alias("w"))
 
@@ -249,6 +262,22 @@ def sparsify(view: DataFrame, threshold: float) -> DataFrame:
     return view.filter(F.col("w") >= threshold)
 
 
+def strongest(view: DataFrame, m: int, rule: str = "union") -> DataFrame:
+    """The ``m`` largest off-diagonal cells of every entity (ties by the smaller partner), made symmetric.
+
+    ``union`` keeps a pair that either end has chosen, ``mutual`` one that both have. The view is
+    mirrored. The rank filter is applied in every task before rows are sent, so an entity with very
+    many cells sends ``m`` from each task and no task ever holds all of them.
+    """
+    if rule not in ("union", "mutual"):
+        raise ValueError(f"unknown rule {rule!r}")
+    best = Window.partitionBy("i").orderBy(F.desc("w"), "j")
+    chosen = view.filter(F.col("i") != F.col("j")).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= m)
+    ends = both_directions(chosen, "i", "j", F.col("w"))
+    votes = ends.groupBy("i", "j").agg(F.max("w").alias("w"), F.count("*").alias("votes"))
+    return votes.filter(F.col("votes") >= (1 if rule == "union" else 2)).select("i", "j", "w")
+
+
 def distance_view(view: DataFrame, clip: bool = True) -> DataFrame:
     """``1 - w`` of the stored cells with a zero diagonal; absent cells stand for distance 1."""
     d = 1 - F.col("w")

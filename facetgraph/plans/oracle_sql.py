@@ -188,6 +188,10 @@ ORACLES["restricted_relation"] = _with(NATION_REL, NATION_ASG) + """
   SELECT rel.* FROM rel WHERE src IN (SELECT entity FROM asg WHERE cluster IN ('ASIA', 'EUROPE'))
     AND dst IN (SELECT entity FROM asg WHERE cluster IN ('ASIA', 'EUROPE'))"""
 
+ORACLES["cooccurrence_large_groups"] = """
+  WITH mem AS (SELECT DISTINCT p_brand AS grp, s_name AS member FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)
+  SELECT x.member AS a, y.member AS b, count(*) AS n FROM mem x JOIN mem y ON x.grp = y.grp AND x.member < y.member GROUP BY 1, 2"""
+
 # --- vectors
 
 VEC = """
@@ -294,6 +298,14 @@ ORACLES["symmetric_unit_range"] = _with(NATION_REL) + """
     UNION ALL SELECT n_name, n_name, 0.0 FROM nation) GROUP BY 1, 2"""
 
 
+_EXPANDED = _with(SUPPLIER_REL, STR_AFTER) + """,
+  n AS (SELECT count(*) AS n FROM supplier),
+  m AS (SELECT coalesce(sum(w), 0) / CAST(max(n) * max(n) AS DOUBLE) AS m FROM n LEFT JOIN str ON TRUE),
+  placed AS (SELECT a.s_suppkey + 5 AS r, b.s_suppkey + 5 AS c, w FROM str JOIN supplier a ON i = a.s_name JOIN supplier b ON j = b.s_name),
+  cell AS (SELECT g.r, g.c, CASE WHEN coalesce(w, 0) <> 0 THEN w WHEN g.r = g.c THEN 1.0 WHEN g.r < n AND g.c < n THEN m * 0.7 ELSE m * 0.5 END AS w
+    FROM (SELECT a.x AS r, b.x AS c, n FROM n, range(n + 10) a(x), range(n + 10) b(x)) g LEFT JOIN placed ON g.r = placed.r AND g.c = placed.c, m)"""
+
+
 def _l1(rounds: int) -> str:
     ctes = [ALL_VIEWS, """
       u0 AS (SELECT i, j, a, b, CASE WHEN i = j THEN 1.0 ELSE (a + b) / 2 END AS u FROM (
@@ -311,6 +323,22 @@ def _l1(rounds: int) -> str:
 
 ORACLES["l1_fusion_3iter"] = _l1(3)
 
+ORACLES["l1_fusion"] = _l1(0).replace("WITH ", "WITH RECURSIVE ", 1).replace("SELECT i, j, round(u, 6) AS w FROM u0", "").rstrip() + """,
+  s AS (
+    SELECT i, j, a, b, CAST(u AS DOUBLE) AS u, 0 AS n, CAST(1 AS DOUBLE) AS change FROM u0
+    UNION ALL
+    SELECT i, j, a, b, v, n + 1, sqrt(sum((v - u) * (v - u)) OVER ()) FROM (
+      SELECT *, CASE WHEN i = j THEN 1.0 ELSE 0.7 * (x / (x + y) * (a + 0.1 * (1 - 2 / (exp(20 * (u - a)) + 1)))
+        + y / (x + y) * (b + 0.1 * (1 - 2 / (exp(20 * (u - b)) + 1)))) + 0.3 * u END AS v FROM (
+        SELECT *, CASE WHEN gx > 1e-10 THEN 1 / (2 * sqrt(gx)) ELSE 1.0 END AS x, CASE WHEN gy > 1e-10 THEN 1 / (2 * sqrt(gy)) ELSE 1.0 END AS y FROM (
+          SELECT *, max(sx) OVER () AS gx, max(sy) OVER () AS gy FROM (
+            SELECT *, sum(abs(u - a)) OVER (PARTITION BY j) AS sx, sum(abs(u - b)) OVER (PARTITION BY j) AS sy
+            FROM s WHERE NOT (change < 1e-6 AND n > 11) AND n < 100)))))
+  SELECT i, j, round(u, 6) AS w FROM s WHERE n = (SELECT max(n) FROM s)"""
+ORACLES["expanded_degrees"] = _EXPANDED + " SELECT r, round(sum(w), 6) AS degree FROM cell GROUP BY 1"
+ORACLES["expanded_norms"] = _EXPANDED + """
+  SELECT round((SELECT max(s) FROM (SELECT sum(abs(w)) AS s FROM cell GROUP BY c)), 6) AS l1, round(sqrt(sum(w * w)), 6) AS frobenius, round(avg(w), 6) AS mean FROM cell"""
+
 # --- names and texts
 
 TECHNICAL = rf"""
@@ -320,20 +348,30 @@ tech AS (SELECT CASE WHEN length(word) > 7 THEN word || 'Controller' WHEN length
   WHEN length(word) > 5 THEN word || 'Utils' WHEN length(word) > 4 THEN word || 'Dao' ELSE word END AS class FROM words)"""
 
 
-def _kept(suffixes: list[str], prefixes: list[str], name: str = "class") -> str:
-    return f"NOT regexp_matches({name}, '^(?:{'|'.join(prefixes)})|(?:{'|'.join(suffixes)})$')"
+# The standing and the older name rules, spelled out here once more so that the check is one.
+_SUFFIXES = """Action Form Controller Validator Interceptor Client Advice Session Servlet Test Loader Parser Result Results Stats Totals Runner Main
+  Config Configuration Constants Factory Manager Locator Generator Helper Util Utils Utility"""
+_PREFIXES = "Base Secure MsSql Oracle JaxRpc Mock SQL Mongo WXS Jmeter Nmon Rest REST Ping Help Populate"
+_SUFFIXES_V4 = "Action Form Controller Validator Interceptor Client Advice Session Servlet"
+_PREFIXES_V4 = "Base Secure MsSql Oracle JaxRpc Mock"
+
+
+def _kept(suffixes: str, prefixes: str, name: str = "class") -> str:
+    ends = " OR ".join([f"ends_with({name}, '{x}')" for x in suffixes.split()] + [f"starts_with({name}, '{x}')" for x in prefixes.split()])
+    return f"NOT ({ends})"
 
 
-ORACLES["core_filter"] = _with(TECHNICAL) + f"SELECT DISTINCT class FROM tech WHERE {_kept(fixed.CORE_SUFFIXES, fixed.CORE_PREFIXES)}"
-ORACLES["core_filter_v4"] = _with(TECHNICAL) + f"SELECT DISTINCT class FROM tech WHERE {_kept(fixed.CORE_SUFFIXES_V4, fixed.CORE_PREFIXES_V4)}"
+ORACLES["core_filter"] = _with(TECHNICAL) + f"SELECT DISTINCT class FROM tech WHERE {_kept(_SUFFIXES, _PREFIXES)}"
+ORACLES["core_filter_v4"] = _with(TECHNICAL) + f"SELECT DISTINCT class FROM tech WHERE {_kept(_SUFFIXES_V4, _PREFIXES_V4)}"
 ORACLES["extraction_counts"] = _with(TECHNICAL) + f""",
-  per AS (SELECT class, count(*) AS n, {_kept(fixed.CORE_SUFFIXES, fixed.CORE_PREFIXES)} AS core FROM tech GROUP BY 1)
+  per AS (SELECT class, count(*) AS n, {_kept(_SUFFIXES, _PREFIXES)} AS core FROM tech GROUP BY 1)
   SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (NOT core), 0) AS BIGINT) AS filtered,
     count(*) FILTER (core) AS core_names, CAST(coalesce(sum(n - 1) FILTER (core), 0) AS BIGINT) AS collisions FROM per"""
+ORACLES["extraction_counts_written"] = ORACLES["extraction_counts"]
 ORACLES["rule_anti_join"] = _with(DOCS) + rf""",
   caps AS (SELECT {_caps('text')} AS c FROM docs),
   names AS (SELECT DISTINCT unnest(list_concat(c, [c[n] || c[n + 1] FOR n IN range(1, len(c))])) AS class FROM caps)
-  SELECT class FROM names WHERE {_kept(['Ion', 'ing', 'ent', 'Th'], ['The', 'An', 'Re'])}"""
+  SELECT class FROM names WHERE {_kept('Ion ing ent Th', 'The An Re')}"""
 _DEDUPE = """
   SELECT class, filename FROM (SELECT class, filename, row_number() OVER (PARTITION BY class ORDER BY {rank}, filename) AS rn FROM classes) WHERE rn = 1"""
 ORACLES["collision_dedupe"] = _with(UNIQUE) + "SELECT class, filename FROM core"
@@ -386,12 +424,14 @@ _SUM = "SELECT src, dst, CAST(sum(score) AS BIGINT) AS score FROM ({rows}) GROUP
 ORACLES["inheritance_edges"] = _with(UNIQUE, INH) + "SELECT src, dst, CAST(score AS BIGINT) AS score FROM inh"
 ORACLES["signature_types"] = _with(UNIQUE, SIG) + "SELECT src, dst, CAST(score AS BIGINT) AS score FROM sig"
 ORACLES["instantiation_counts"] = _with(UNIQUE, INS) + _SUM.format(rows="SELECT * FROM ins")
-ORACLES["instantiation_closed"] = _with(UNIQUE) + rf""",
-  closing AS (SELECT class AS src, regexp_replace({_spaced("replace(content, chr(10), ' )' || chr(10))")},
+_CLOSED = _with(UNIQUE) + rf""",
+  closing AS (SELECT class AS src, regexp_replace({_spaced("<content>")},
     '({START})new{BLANK}+({WORD}+){BLANK}*\(', '\1' || chr(1) || '\2(', 'g') AS content FROM core),
   cand AS (SELECT src, content, unnest(list_distinct(regexp_extract_all(content, chr(1) || '({WORD}+)\(', 1))) AS dst FROM closing),
   n AS (SELECT src, dst, len(regexp_extract_all(content, chr(1) || dst || '\(.*?\)')) AS n FROM cand WHERE dst <> src AND dst IN (SELECT class FROM core))
   SELECT src, dst, CAST(8 * n AS BIGINT) AS score FROM n WHERE n > 0"""
+ORACLES["instantiation_closed"] = _CLOSED.replace("<content>", "replace(content, chr(10), ' )' || chr(10))")
+ORACLES["instantiation_open_calls"] = _CLOSED.replace("<content>", "CASE WHEN contains(filename, '/jpa/') THEN replace(content, chr(10), ' )' || chr(10)) ELSE content END")
 ORACLES["class_relation_scores"] = _with(UNIQUE, INH, SIG, INS) + _SUM.format(
     rows="SELECT * FROM inh UNION ALL SELECT * FROM sig UNION ALL SELECT * FROM ins"
 )
@@ -415,6 +455,26 @@ ORACLES["find_files"] = _with(CLASSES, _SOURCES) + """,
        list_transform(m, lambda t, n: '  public ' || t || ' m' || (n - 1) || '(' || t || ' p, int... q) { }')), chr(10)) || chr(10) || '}' || chr(10) AS content FROM src)
   SELECT class, path, CAST(length(content) AS INTEGER) AS n_chars FROM (
     SELECT *, row_number() OVER (PARTITION BY class ORDER BY path) AS rn FROM body) WHERE rn = 1"""
+ORACLES["declared_types"] = _with(CLASSES, _SOURCES.replace("class,", "class, filename AS fn,", 1)) + """
+  SELECT fn AS filename, 'org.' || regexp_extract(fn, '/([a-z]+)[^/]*/[0-9]+[.]java$', 1) AS package, class || 'Api' AS class, 'interface' AS kind, '[]' AS attributes,
+    '[' || coalesce(array_to_string(list_transform(m, lambda t, n: 'List m' || (n - 1) || '(' || t || ' p, int... q)'), '; '), '') || ']' AS methods FROM src
+  UNION ALL SELECT fn, 'org.' || regexp_extract(fn, '/([a-z]+)[^/]*/[0-9]+[.]java$', 1), class, 'class',
+    '[' || coalesce(array_to_string(list_transform(a, lambda t, n: t || '[] f' || (n - 1) || '; ' || t || '[] g' || (n - 1)), '; '), '') || ']',
+    '[' || coalesce(array_to_string(list_transform(m, lambda t, n: t || ' m' || (n - 1) || '()'), '; '), '') || ']' FROM src"""
+ORACLES["lexical_documents_declared"] = _with(CLASSES, _SOURCES.replace("class,", "class, filename AS fn,", 1)) + rf""",
+  named_ AS (SELECT fn, class, 'org ' || regexp_extract(fn, '/([a-z]+)[^/]*/[0-9]+[.]java$', 1) || ' ' || {_split('class')} AS head, a, m FROM src)
+  SELECT fn AS filename, class, head
+    || CASE WHEN len(a) > 0 THEN ' ' || array_to_string(list_transform(a, lambda t, n: 'f ' || (n - 1) || ' g ' || (n - 1)), ' ') ELSE '' END
+    || CASE WHEN len(m) > 0 THEN ' ' || array_to_string(list_transform(m, lambda t, n: 'm ' || (n - 1)), ' ') ELSE '' END AS document FROM named_
+  UNION ALL SELECT fn, class || 'Api', 'org ' || regexp_extract(fn, '/([a-z]+)[^/]*/[0-9]+[.]java$', 1) || ' ' || {_split("class || 'Api'")}
+    || CASE WHEN len(m) > 0 THEN ' ' || array_to_string(list_transform(m, lambda t, n: 'm ' || (n - 1)), ' ') ELSE '' END
+  FROM src WHERE class || 'Api' IN (SELECT class FROM src)"""
+ORACLES["attached_content"] = _with(CLASSES) + """
+  SELECT filename, class, CAST(length(t) AS INTEGER) AS n_chars, left(t, 7000) AS content
+  FROM (SELECT filename, class, CASE WHEN contains(filename, '/morphia/') THEN '' ELSE content END AS t FROM classes)"""
+ORACLES["source_tree_roundtrip"] = _with(DOCS) + "SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM docs GROUP BY 1"
+ORACLES["text_view_roundtrip"] = _with(DOCS) + "SELECT doc_id, text FROM docs"
+ORACLES["table_roundtrip"] = _with(DOCS) + "SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM docs GROUP BY 1"
 ORACLES["text_fallback_join"] = """
   SELECT d.doc_id, coalesce('quality ' || l.quality, d.doc_id || ' represents general utility.') AS text
   FROM documents d LEFT JOIN labels l USING (doc_id)"""
@@ -429,11 +489,135 @@ ORACLES["functional_text_view"] = """
   FROM supplier"""
 ORACLES["partition_document"] = _with(SUPPLIER_ASG) + """
   SELECT dim.cluster, count(entity) AS n, min(entity) AS first FROM dim LEFT JOIN asg ON dim.cluster = asg.cluster GROUP BY 1"""
+ORACLES["partition_document_parts"] = ORACLES["partition_document"]
+ORACLES["relation_map_parts"] = _with(SUPPLIER_REL) + "SELECT * FROM rel"
 ORACLES["wide_matrix_roundtrip"] = _with(NATION_REL, NATION_ASG, LINKS) + """
   SELECT a.cluster AS i, b.cluster AS j, CAST(coalesce(weight, 0) AS DOUBLE) AS w
   FROM dim a CROSS JOIN dim b LEFT JOIN links ON cs = a.cluster AND ct = b.cluster"""
 
 
+# --- texts as vectors
+
+TEXT_VEC = _with(DOCS) + rf""",
+  tok AS (SELECT doc_id AS i, unnest(list_filter({_TOKENS}, lambda t: length(t) > 2 AND t NOT IN ({_list(text.default_stop_words())}))) AS t FROM docs),
+  coded AS (SELECT i, CAST('0x' || left(md5(t), 15) AS BIGINT) AS h FROM tok),
+  cnt AS (SELECT i, h % 65536 AS f, sum(CASE WHEN (h >> 59) & 1 = 1 THEN -1 ELSE 1 END) AS n FROM coded GROUP BY 1, 2),
+  idf AS (SELECT f, ln((1 + (SELECT count(DISTINCT i) FROM cnt)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM cnt GROUP BY 1),
+  tv AS (SELECT i, f, n * idf AS v FROM cnt JOIN idf USING (f) WHERE n <> 0),
+  tn AS (SELECT i, sqrt(sum(v * v)) AS norm FROM tv GROUP BY 1),
+  tu AS (SELECT i, f, v / norm AS v FROM tv JOIN tn USING (i))"""
+ORACLES["text_vectors"] = TEXT_VEC + " SELECT i, f, round(v, 6) AS v FROM tv"
+ORACLES["text_cosine_row_sums"] = TEXT_VEC + """
+  SELECT i, round(coalesce(sum(w), 0), 6) AS degree FROM tn LEFT JOIN (
+    SELECT a.i, b.i AS j, sum(a.v * b.v) AS w FROM tu a JOIN tu b ON a.f = b.f AND a.i <> b.i GROUP BY 1, 2) USING (i) GROUP BY 1"""
+ORACLES["text_pairs_over_threshold"] = TEXT_VEC + """
+  SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) AS w FROM tu a JOIN tu b ON a.f = b.f AND a.i < b.i GROUP BY 1, 2 HAVING sum(a.v * b.v) >= 0.8"""
+_TOP5 = _with(SUPPLIER_FEAT, SEM) + """,
+  r AS (SELECT i, j, round(w, 6) AS w FROM sem WHERE i <> j),
+  c AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY i ORDER BY w DESC, j) <= 5)"""
+ORACLES["semantic_view_top5"] = _TOP5 + " SELECT i, j, w FROM c UNION SELECT j, i, w FROM c"
+ORACLES["semantic_view_mutual5"] = _TOP5 + " SELECT a.i, a.j, a.w FROM c a JOIN c b ON a.i = b.j AND a.j = b.i"
+
+# --- views that fall into regions
+
+REGION_ASG = """
+asg AS (SELECT s_name AS entity, r_name AS cluster FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+dim AS (SELECT DISTINCT cluster FROM asg)"""
+HUBS = "hubs AS (SELECT hub, entity AS member FROM asg JOIN (SELECT cluster, min(entity) AS hub FROM asg GROUP BY 1) USING (cluster) WHERE entity <> hub)"
+REGION_REL = SUPPLIER_REL.replace("rel AS", "every AS") + """,
+rel AS (SELECT e.* FROM every e JOIN asg a ON src = a.entity JOIN asg b ON dst = b.entity WHERE a.cluster = b.cluster UNION ALL SELECT hub, member, 3 FROM hubs)"""
+REGION_MEM = SUPPLIER_MEM.replace("mem AS", "omem AS") + """,
+mem AS (SELECT grp || '|' || cluster AS grp, member FROM omem JOIN asg ON member = entity
+  UNION ALL SELECT 'hub|' || member, hub FROM hubs UNION ALL SELECT 'hub|' || member, member FROM hubs)"""
+REGION_FEAT = SUPPLIER_FEAT.replace("feat AS", "ofeat AS") + """,
+feat AS (SELECT i, cluster || '|' || f AS f, v FROM ofeat JOIN asg ON i = entity UNION ALL SELECT entity, cluster, 1.0 FROM asg)"""
+
+
+def _regions(diagonal: bool) -> str:
+    """Normalised cells (i, j, n0..n2) of the three views with the degrees of their ends, and degree sums of the regions."""
+    own = "TRUE" if diagonal else "i <> j"
+    pick = ", ".join(f"coalesce(sum(w) FILTER (v = {v}), 0) AS a{v}" for v in range(3))
+    return _with(REGION_ASG, HUBS, REGION_REL, REGION_MEM, REGION_FEAT, STR_AFTER, FUN, SEM) + f""",
+      long AS (SELECT 0 AS v, i, j, w FROM str UNION ALL SELECT 1, i, j, w FROM sem WHERE {own} UNION ALL SELECT 2, i, j, w FROM fun),
+      wide AS (SELECT i, j, {pick} FROM long GROUP BY 1, 2),
+      deg AS (SELECT i, sum(a0) AS d0, sum(a1) AS d1, sum(a2) AS d2 FROM wide GROUP BY 1),
+      tot AS (SELECT cluster, sum(d0) AS t0, sum(d1) AS t1, sum(d2) AS t2 FROM deg JOIN asg ON i = entity GROUP BY 1),
+      ends AS (SELECT x.d0, x.d1, x.d2, y.d0 AS e0, y.d1 AS e1, y.d2 AS e2, t0, t1, t2,
+          a0 / sqrt(x.d0 * y.d0) AS n0, a1 / sqrt(x.d1 * y.d1) AS n1, a2 / sqrt(x.d2 * y.d2) AS n2
+        FROM wide JOIN deg x ON wide.i = x.i JOIN deg y ON wide.j = y.i JOIN asg ON wide.i = entity JOIN tot USING (cluster)),
+      k AS (SELECT count(*) AS k FROM dim)"""
+
+
+def _regional_history(diagonal: bool, gamma: float, rounds: int, tol: float) -> str:
+    """The rounds as a recursive table: the basis of a region is the square root of its combined degrees, so losses are plain sums."""
+
+    def combined(letter: str) -> str:
+        return "(" + " + ".join(f"w{v} * {letter}{v}" for v in range(3)) + ")"
+
+    h = f"sqrt({combined('d')} * {combined('e')}) / {combined('t')}"
+    e = [f"exp(-{gamma} * (l{v} - least(l0, l1, l2)))" for v in range(3)]
+
+    def turn(before: str, number: str) -> str:
+        return f"""
+          SELECT *, sqrt((u0 - w0) * (u0 - w0) + (u1 - w1) * (u1 - w1) + (u2 - w2) * (u2 - w2)) AS step FROM (
+            SELECT *, {', '.join(f'{e[v]} / ({" + ".join(e)}) AS u{v}' for v in range(3))} FROM (
+              SELECT {number} AS n, w0, w1, w2, {', '.join(f'max(k) - sum(n{v} * {h}) AS l{v}' for v in range(3))}
+              FROM ({before}) s, ends, k GROUP BY ALL))"""
+
+    first = turn("SELECT 0 AS last, 1 / CAST(3 AS DOUBLE) AS w0, 1 / CAST(3 AS DOUBLE) AS w1, 1 / CAST(3 AS DOUBLE) AS w2", "last")
+    later = turn(f"SELECT n AS last, u0 AS w0, u1 AS w1, u2 AS w2 FROM rounds WHERE step >= {tol} AND n + 1 < {rounds}", "last + 1")
+    rows = " UNION ALL ".join(
+        f"SELECT CAST(n AS INTEGER) AS iteration, '{name}' AS view, round(w{v}, 6) AS weight_before, round(u{v}, 6) AS weight, round(l{v}, 6) AS loss, round(step, 6) AS step FROM rounds"
+        for v, name in enumerate(("str", "sem", "fun"))
+    )
+    return _regions(diagonal).replace("WITH ", "WITH RECURSIVE ", 1) + f", rounds AS ({first} UNION ALL {later}) {rows}"
+
+
+ORACLES["self_weighted_fusion_regions"] = _regional_history(False, 0.5, 20, 1e-4)
+ORACLES["self_weighted_fusion_v4_regions"] = _regional_history(True, 2.0, 50, 1e-6)
+ORACLES["consensus_basis_regions"] = _with(REGION_ASG) + "SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS n, CAST(0 AS DOUBLE) AS eigenvalue FROM dim"
+ORACLES["consensus_leverage_regions"] = _regions(False) + """
+  SELECT i, round((d0 + d1 + d2) / (t0 + t1 + t2), 6) AS leverage FROM deg JOIN asg ON i = entity JOIN tot USING (cluster)"""
+_BY_REGION = _with(REGION_ASG) + """
+  SELECT CAST((SELECT count(*) FROM dim) AS INTEGER) AS k, entity, CAST(dense_rank() OVER (ORDER BY first) - 1 AS INTEGER) AS cluster
+  FROM asg JOIN (SELECT cluster, min(entity) AS first FROM asg GROUP BY 1) USING (cluster)"""
+ORACLES["spectral_partition_regions"] = _BY_REGION
+ORACLES["kmeans_rows_regions"] = _BY_REGION
+_REGION_QUALITY = _quality(SUPPLIER_REL, REGION_ASG, "")
+for _kind in ("str", "sem", "fun", "full"):
+    ORACLES[f"pipeline_{_kind}_regions"] = _REGION_QUALITY["quality_all"]
+_SM = _with(SUPPLIER_REL, REGION_ASG, LINKS)
+ORACLES["pipeline_v4_regions"] = (
+    f"SELECT * FROM ({_REGION_QUALITY['quality_all']}) WHERE metric <> 'SM' UNION ALL SELECT 'SM', sm FROM ({_REGION_QUALITY['sm_weighted']})"
+)
+
+
+def _given_scores(view: str, clip: bool) -> str:
+    """Silhouette and dispersion ratio of the suppliers by nation and by region over all pairs of the cells ``view``."""
+    d = "least(greatest(1 - w, 0), 1)" if clip else "1 - w"
+    return f""",
+      parts AS (SELECT (SELECT count(DISTINCT cluster) FROM asg) AS k, entity, cluster FROM asg
+        UNION ALL SELECT (SELECT count(DISTINCT cluster) FROM rasg), entity, cluster FROM rasg),
+      everyone AS (SELECT s_name AS i FROM supplier),
+      full_ AS (SELECT a.i, b.i AS j, coalesce(w, 0) AS w FROM everyone a CROSS JOIN everyone b LEFT JOIN {view} x ON x.i = a.i AND x.j = b.i),
+      per AS (SELECT p.k, f.i, p.cluster AS own, q.cluster AS other, sum({d}) AS s, count(*) AS c
+        FROM full_ f JOIN parts p ON f.i = p.entity JOIN parts q ON f.j = q.entity AND p.k = q.k WHERE f.i <> f.j GROUP BY ALL),
+      ab AS (SELECT k, i, max(CASE WHEN own = other THEN s / c END) AS a, min(CASE WHEN own <> other THEN s / c END) AS b FROM per GROUP BY 1, 2),
+      sil AS (SELECT k, avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette_score FROM ab GROUP BY 1),
+      x AS (SELECT k, cluster, j, avg(w) AS m, count(*) AS n, sum(w * w) AS q FROM full_ JOIN parts ON i = entity GROUP BY ALL),
+      g AS (SELECT j, avg(w) AS g FROM full_ GROUP BY 1),
+      ch AS (SELECT k, sum(n * (m - g) * (m - g)) AS b, sum(q - n * m * m) AS wi FROM x JOIN g USING (j) GROUP BY 1),
+      score AS (SELECT CAST(k AS INTEGER) AS k, silhouette_score, b / wi * ((SELECT count(*) FROM everyone) - k) / (k - 1) AS calinski_harabasz_score FROM sil JOIN ch USING (k))"""
+
+
+_GIVEN = _with(SUPPLIER_ASG, REGION_ASG.replace("asg AS", "rasg AS").replace("dim AS", "rdim AS").replace("FROM asg", "FROM rasg"))
+_RANKED = " SELECT k, round(silhouette_score, 6) AS silhouette_score, round(calinski_harabasz_score, 6) AS calinski_harabasz_score FROM score"
+_FUN_SCORES = _GIVEN.rstrip() + "," + SUPPLIER_MEM + "," + FUN + _given_scores("fun", True)
+ORACLES["partition_scores"] = _FUN_SCORES + _RANKED
+ORACLES["best_partition"] = _FUN_SCORES + " SELECT arg_max(k, silhouette_score) AS best_k, round(max(silhouette_score), 6) AS silhouette_score FROM score"
+ORACLES["k_sweep_factors"] = _GIVEN.rstrip() + "," + SUPPLIER_FEAT + "," + SEM + _given_scores("sem", False) + _RANKED
+
+
 def _tidy(sql: str) -> str:
     """A comma that follows the table expressions directly joins another one."""
     import re

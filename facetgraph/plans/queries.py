@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import cluster, entities, fusion, laplacian, matching, quality, relations, scores, spectral, views
-from ..sources import sinks, tables
+from ..operators import cluster, entities, fusion, laplacian, matching, quality, relations, scores, source_scan, spectral, text_vectors as tv, threshold_join, views
+from ..session import cut, ensure_checkpoint_dir
+from ..sources import files, sinks, tables
 from . import pipeline, workload as w
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +74,12 @@ def relation_map_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return tables.relation_rows(tables.key_column(maps))
 
 
+@register("cooccurrence_large_groups")
+def cooccurrence_large_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of suppliers by the brands both have sold: groups too large to emit their pairs."""
+    return views.cooccurrence_counts(w.brand_members(spark, sf))
+
+
 @register("restricted_relation")
 def restricted_relation(spark: SparkSession, sf: str) -> DataFrame:
     """Edges between the nations of two regions only."""
@@ -103,7 +111,7 @@ def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @register("cosine_rectangular_best")
 def cosine_rectangular_best(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(views.cosine_rectangle(*_halves(spark, sf), best=True), "w")
+    return rounded(views.cosine_rectangle(*_halves(spark, sf), best=1), "w")
 
 
 @register("cosine_rectangular_over_threshold")
@@ -129,7 +137,8 @@ def silhouette_precomputed(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("silhouette_unclipped")
 def silhouette_unclipped(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(scores.silhouette_vectors(w.vectors(spark, sf), w.vector_assignment(spark, sf), clip=False), "silhouette_score")
+    factors = views.unit_factors(views.vector_features(w.vectors(spark, sf)))
+    return rounded(scores.silhouette_factors(factors, w.vector_assignment(spark, sf)), "silhouette_score")
 
 
 @register("silhouette_suppliers")
@@ -146,7 +155,34 @@ def calinski_harabasz_suppliers(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("distance_view")
 def distance_view(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(views.distance_view(w.nation_views(spark, sf)["sem"]), "d")
+    return rounded(views.distance_view(w.nation_views(spark, sf, ["sem"])["sem"]), "d")
+
+
+# --- texts as vectors ------------------------------------------------------------------------------
+
+TEXT_BUCKETS = 1 << 16
+
+
+def _text_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = text.clean_tokens(F.lower("text"))
+    return tv.text_vectors(w.documents(spark, sf), "doc_id", tokens, TEXT_BUCKETS, tv.portable_hash)
+
+
+@register("text_vectors")
+def text_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_text_vectors(spark, sf), "v")
+
+
+@register("text_cosine_row_sums")
+def text_cosine_row_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """How similar each document is to all others together, from the factors."""
+    return rounded(views.cosine_row_sums(views.unit_factors(_text_vectors(spark, sf))), "degree")
+
+
+@register("text_pairs_over_threshold")
+def text_pairs_over_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose term vectors have a cosine of at least 0.8."""
+    return rounded(threshold_join.similar_rows(views.unit_factors(_text_vectors(spark, sf)), 0.8), "w")
 
 
 # --- fusion ---------------------------------------------------------------------------------------
@@ -156,7 +192,7 @@ FIXED_WEIGHTS = {"str": 0.5, "sem": 0.3, "fun": 0.2}
 
 @register("semantic_view")
 def semantic_view(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(w.nation_views(spark, sf)["sem"], "w")
+    return rounded(w.nation_views(spark, sf, ["sem"])["sem"], "w")
 
 
 @register("semantic_view_sparse")
@@ -164,6 +200,17 @@ def semantic_view_sparse(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(views.sparsify(views.cosine_cells(w.supplier_features(spark, sf)), 0.1), "w")
 
 
+@register("semantic_view_top5")
+def semantic_view_top5(spark: SparkSession, sf: str) -> DataFrame:
+    """The five closest partners of each supplier; rounded first, so that ties are ties in every engine."""
+    return views.strongest(rounded(views.cosine_cells(w.supplier_features(spark, sf)), "w"), 5)
+
+
+@register("semantic_view_mutual5")
+def semantic_view_mutual5(spark: SparkSession, sf: str) -> DataFrame:
+    return views.strongest(rounded(views.cosine_cells(w.supplier_features(spark, sf)), "w"), 5, rule="mutual")
+
+
 @register("fixed_weight_fusion")
 def fixed_weight_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(views.combine(w.nation_views(spark, sf), FIXED_WEIGHTS), "w")
@@ -211,7 +258,7 @@ def normalized_laplacian(spark: SparkSession, sf: str) -> DataFrame:
 @register("normalized_laplacian_with_diagonal")
 def normalized_laplacian_with_diagonal(spark: SparkSession, sf: str) -> DataFrame:
     everyone = w.nations(spark, sf).select(F.col("class").alias("i"))
-    return rounded(laplacian.normalized_laplacian(w.nation_views(spark, sf)["sem"], everyone, keep_diagonal=True), "w")
+    return rounded(laplacian.normalized_laplacian(w.nation_views(spark, sf, ["sem"])["sem"], everyone, keep_diagonal=True), "w")
 
 
 @register("normalized_laplacian_suppliers")
@@ -223,17 +270,34 @@ def normalized_laplacian_suppliers(spark: SparkSession, sf: str) -> DataFrame:
 @register("matrix_norms")
 def matrix_norms(spark: SparkSession, sf: str) -> DataFrame:
     order = w.nations(spark, sf).agg(F.count("*").alias("n"))
-    return rounded(fusion.matrix_norms(w.nation_views(spark, sf)["sem"], order), "l1", "frobenius", "mean")
+    return rounded(fusion.matrix_norms(w.nation_views(spark, sf, ["sem"])["sem"], order), "l1", "frobenius", "mean")
 
 
 @register("matrix_expand")
 def matrix_expand(spark: SparkSession, sf: str) -> DataFrame:
     """Nations placed at their keys shifted by five, in a space of thirty positions."""
     mapping = w.table(spark, sf, "nation").select(F.col("n_name").alias("i"), (F.col("n_nationkey") + 5).cast("bigint").alias("position"))
-    out = fusion.expand(w.nation_views(spark, sf)["str"], mapping, size=30, known=25, original=25)
+    out = fusion.expand(w.nation_views(spark, sf, ["str"])["str"], mapping, size=30, known=25, original=25)
     return rounded(out, "w")
 
 
+def _placed_suppliers(spark: SparkSession, sf: str) -> fusion.Placed:
+    """Suppliers placed at their keys plus five in a space with ten places more."""
+    n = w.table(spark, sf, "supplier").count()
+    mapping = w.table(spark, sf, "supplier").select(F.col("s_name").alias("i"), (F.col("s_suppkey") + 5).alias("position"))
+    return fusion.place(views.structural_view(w.supplier_relation(spark, sf)), mapping, size=n + 10, known=n, original=n)
+
+
+@register("expanded_degrees")
+def expanded_degrees(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_placed_suppliers(spark, sf).degrees(), "degree")
+
+
+@register("expanded_norms")
+def expanded_norms(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_placed_suppliers(spark, sf).norms(), "l1", "frobenius", "mean")
+
+
 @register("symmetric_unit_range")
 def symmetric_unit_range(spark: SparkSession, sf: str) -> DataFrame:
     raw = w.nation_relation(spark, sf).select(F.col("src").alias("i"), F.col("dst").alias("j"), (F.col("score") / 1000).alias("w"))
@@ -242,9 +306,15 @@ def symmetric_unit_range(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("l1_fusion_3iter")
 def l1_fusion_3iter(spark: SparkSession, sf: str) -> DataFrame:
-    three = w.nation_views(spark, sf)
     everyone = w.nations(spark, sf).select(F.col("class").alias("i"))
-    fused, _, _ = fusion.l1_fusion({"str": three["str"], "sem": three["sem"]}, everyone, max_iter=3)
+    fused, _, _ = fusion.l1_fusion(w.nation_views(spark, sf, ["str", "sem"]), everyone, max_iter=3)
+    return rounded(fused, "w")
+
+
+@register("l1_fusion")
+def l1_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    """The same two views, until the cells stand still."""
+    fused, _, _ = fusion.l1_fusion(w.nation_views(spark, sf, ["str", "sem"]), w.nations(spark, sf).select(F.col("class").alias("i")))
     return rounded(fused, "w")
 
 
@@ -263,6 +333,13 @@ def _words(spark: SparkSession, sf: str) -> DataFrame:
 TEXT_RULES = {"suffix": ["Ion", "ing", "ent", "Th"], "prefix": ["The", "An", "Re"]}
 
 
+@register("extraction_counts_written")
+def extraction_counts_written(spark: SparkSession, sf: str) -> DataFrame:
+    """The same counts, taken while the core names are written."""
+    counts = entities.write_core(_technical_names(spark, sf), f"{ensure_checkpoint_dir(spark)}/core-{uuid.uuid4().hex}")
+    return spark.createDataFrame([tuple(counts[c] for c in ("rows", "filtered", "core_names", "collisions"))], "rows bigint, filtered bigint, core_names bigint, collisions bigint")
+
+
 @register("core_filter")
 def core_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Name filter with the standing rules over document words and their endings."""
@@ -347,9 +424,12 @@ def token_clean(spark: SparkSession, sf: str) -> DataFrame:
 def lemma_join(spark: SparkSession, sf: str) -> DataFrame:
     """Plural tokens replaced by the singular where the documents know both."""
     docs = w.documents(spark, sf).select("doc_id", text.tokens(F.lower("text")).alias("words"))
-    vocabulary = docs.select(F.explode(F.array_distinct("words")).alias("token")).distinct()
-    lemmas = vocabulary.select(F.concat("token", F.lit("s")).alias("token"), F.col("token").alias("lemma")).join(vocabulary, "token", "left_semi")
-    return entities.lemmatize(docs, lemmas, "doc_id", "words").select("doc_id", F.array_join("words", " ").alias("cleaned_text"))
+    seen = cut(docs.select("doc_id", F.explode(F.array_distinct("words")).alias("token")))
+    # a token stands for itself and, if it ends in s, for the plural of the rest
+    forms = F.array_compact(F.array(F.struct(F.col("token").alias("base"), F.lit(0).alias("plural")), F.when(F.col("token").endswith("s"), F.struct(F.expr("left(token, length(token) - 1)").alias("base"), F.lit(1).alias("plural")))))
+    known = seen.select("token").distinct().select(F.inline(forms)).groupBy("base").agg(F.count_distinct("plural").alias("n"))
+    lemmas = known.filter("n = 2 AND base <> ''").select(F.concat("base", F.lit("s")).alias("token"), F.col("base").alias("lemma"))
+    return entities.lemmatize(docs, lemmas, "doc_id", "words", seen).select("doc_id", F.array_join("words", " ").alias("cleaned_text"))
 
 
 @register("term_removal")
@@ -397,6 +477,13 @@ def instantiation_closed(spark: SparkSession, sf: str) -> DataFrame:
     return _accumulated(relations.instantiation_edges(closing, closed=True))
 
 
+@register("instantiation_open_calls")
+def instantiation_open_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls that close on their line in the sources of one tree, and mostly never in the others."""
+    closing = F.when(F.col("filename").contains("/jpa/"), F.replace("content", F.lit("\n"), F.lit(" )\n"))).otherwise(F.col("content"))
+    return _accumulated(relations.instantiation_edges(_core_classes(spark, sf).withColumn("content", closing), closed=True))
+
+
 @register("class_relation_scores")
 def class_relation_scores(spark: SparkSession, sf: str) -> DataFrame:
     return relations.relation_scores(_core_classes(spark, sf))
@@ -430,10 +517,43 @@ def _java_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _scanned_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources with two top-level types, members without modifiers, and braces where they don't count."""
+    rows = w.classes(spark, sf).select(
+        "filename", "class", F.regexp_extract("filename", r"/([a-z]+)[^/]*/\d+\.java$", 1).alias("pack"),
+        text.capitalised_words(F.col("attributes")).alias("a"), text.capitalised_words(F.col("methods")).alias("m"),
+    )
+    plain = F.array_join(F.transform("m", lambda t, n: F.format_string("  List<%s> m%d(final %s p, int... q);\n", t, n, t)), "")
+    fields = F.array_join(F.transform("a", lambda t, n: F.format_string("  @Column(name = \"{\") %s[] f%d = {null}, g%d;\n", t, n, n)), "")
+    bodies = F.array_join(F.transform("m", lambda t, n: F.format_string("  %s m%d() { if (x) { y('}'); } }\n", t, n)), "")
+    return rows.select(
+        F.col("filename").alias("path"),
+        F.concat(
+            F.lit("/* class Hidden { int a; } */\npackage org."), "pack", F.lit(";\nimport java.util.List;\n@Named({\"x\"})\npublic interface "), "class", F.lit("Api {\n"), plain,
+            F.lit("}\n// class Gone {\nclass "), "class", F.lit(" extends Base {\n"), fields, F.lit("  "), "class", F.lit("(int size) { super(\"{\"); }\n"), bodies, F.lit("}\n"),
+        ).alias("content"),
+    )
+
+
+@register("declared_types")
+def declared_types(spark: SparkSession, sf: str) -> DataFrame:
+    """All top-level types of generated sources, with their package and members."""
+    types = source_scan.declared_types(_scanned_files(spark, sf))
+    return types.select(
+        "filename", "package", "class", "kind",
+        text.bracketed(F.transform("fields", text.attribute_text)).alias("attributes"),
+        text.bracketed(F.transform("methods", text.method_signature)).alias("methods"),
+    )
+
+
+@register("lexical_documents_declared")
+def lexical_documents_declared(spark: SparkSession, sf: str) -> DataFrame:
+    """Lexical documents of the types that are declared under an allowed name."""
+    return source_scan.lexical_documents(_scanned_files(spark, sf), w.classes(spark, sf).select("class"))
+
+
 @register("find_files")
 def find_files(spark: SparkSession, sf: str) -> DataFrame:
-    from ..sources import files
-
     found = files.files_by_class(w.classes(spark, sf).select("class"), _java_files(spark, sf))
     return found.select("class", "path", F.length("content").alias("n_chars"))
 
@@ -463,7 +583,49 @@ def functional_text_view(spark: SparkSession, sf: str) -> DataFrame:
     return entities.enrich_functional(w.suppliers(spark, sf), scenario)
 
 
-# --- interchange forms ------------------------------------------------------------------------------
+@register("attached_content")
+def attached_content(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts fetched by path, cut to the limit of the enrichment service; those in German are missing."""
+    rows = w.classes(spark, sf)
+    found = files.attach_content(rows.select("filename", "class"), rows.filter(~F.col("filename").contains("/morphia/")).select(F.col("filename").alias("path"), "content"))
+    return found.select("filename", "class", F.length("content").alias("n_chars"), text.truncate(F.col("content"), 7000).alias("content"))
+
+
+# --- interchange forms ---
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("source_tree_roundtrip")
+def source_tree_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as text files in a folder per source, and found again by a recursive scan of the tree."""
+    path = _scratch(spark, "tree")
+    w.documents(spark, sf).select("source", "text").write.partitionBy("source").text(path)
+    tree = files.source_files(spark, path, "*.txt")
+    own = tree.select(F.regexp_extract("path", r"/source=([^/]+)/", 1).alias("source"), F.length("content").alias("n"))
+    return own.groupBy("source").agg(F.sum("n").alias("n_chars"))
+
+
+@register("text_view_roundtrip")
+def text_view_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts to CSV and back, with their line ends and quotes."""
+    path = _scratch(spark, "texts")
+    sinks.write_csv(w.documents(spark, sf).select("doc_id", "text"), path)
+    back = tables.csv_table(spark, path, "doc_id bigint, text string")
+    return back.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+@register("table_roundtrip")
+def table_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Text views written by language and read back."""
+    path = _scratch(spark, "table")
+    sinks.write_table(w.documents(spark, sf).select("doc_id", "lang", "text"), path, ["lang"])
+    return spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+# ------------------------------------------------------------------------------
 
 
 @register("partition_document")
@@ -476,6 +638,23 @@ def partition_document(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register("partition_document_parts")
+def partition_document_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in documents of about a hundred entities."""
+    docs = sinks.partition_documents(*sinks.in_parts(w.supplier_assignment(spark, sf), w.supplier_clusters(spark, sf), 100), ["part"])
+    assignment, dim = tables.partition_rows(docs)
+    return dim.select("cluster").distinct().join(assignment.groupBy("cluster").agg(F.count("*").alias("n"), F.min("entity").alias("first")), "cluster", "left").select(
+        "cluster", F.coalesce("n", F.lit(0)).alias("n"), "first"
+    )
+
+
+@register("relation_map_parts")
+def relation_map_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations of suppliers to map literals of about ten targets each, and back to rows."""
+    maps = sinks.relation_maps(w.suppliers(spark, sf), w.supplier_relation(spark, sf), per_row=20)
+    return tables.relation_rows(maps)
+
+
 @register("wide_matrix_roundtrip")
 def wide_matrix_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Long view to a wide labelled matrix and back."""
@@ -568,3 +747,103 @@ def _pipeline(kind: str) -> Query:
 
 for _kind in ("str", "sem", "fun", None):
     QUERIES[f"pipeline_{_kind or 'full'}"] = _pipeline(_kind)
+
+
+# --- iterative operators on views that fall into regions: their results are known in closed form ------
+
+REGION_WEIGHTS = [1 / 3] * 3
+
+
+def _regional(spark: SparkSession, sf: str) -> tuple[dict[str, DataFrame], DataFrame, int]:
+    """Views, entities and number of regions that have suppliers."""
+    regions = w.supplier_regions(spark, sf)
+    return w.regional_views(spark, sf), regions.select(F.col("entity").alias("i")), regions.select("cluster").distinct().count()
+
+
+def _regional_basis(spark: SparkSession, sf: str) -> tuple[spectral.Basis, int]:
+    three, everyone, k = _regional(spark, sf)
+    return spectral.smallest_eigenvectors(spectral.stack_views(three, everyone), REGION_WEIGHTS, k, tol=1e-6), k
+
+
+@register("consensus_basis_regions")
+def consensus_basis_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Smallest eigenvalues of views that fall into regions: one zero for each of them."""
+    basis, k = _regional_basis(spark, sf)
+    return spark.createDataFrame([(n, abs(round(float(v), 6))) for n, v in enumerate(basis.values[:k])], "n int, eigenvalue double")
+
+
+@register("consensus_leverage_regions")
+def consensus_leverage_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Squared length of every entity's row of the basis, which no rotation of the basis changes."""
+    basis, k = _regional_basis(spark, sf)
+    length = sum((F.col(f"y{c}") * F.col(f"y{c}") for c in range(k)), F.lit(0.0))
+    return basis.rows.select("i", F.round(length, 6).alias("leverage"))
+
+
+def _regional_fusion(variant: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        fused = fusion.self_weighted(*_regional(spark, sf), variant=variant, tol=1e-6)
+        return rounded(fused.history_table(spark), "weight_before", "weight", "loss", "step")
+
+    return run
+
+
+QUERIES["self_weighted_fusion_regions"] = _regional_fusion("current")
+QUERIES["self_weighted_fusion_v4_regions"] = _regional_fusion("v4")
+
+
+@register("spectral_partition_regions")
+def spectral_partition_regions(spark: SparkSession, sf: str) -> DataFrame:
+    three, everyone, k = _regional(spark, sf)
+    return cluster.spectral_sweep(spectral.stack_views(three, everyone), REGION_WEIGHTS, [k])
+
+
+@register("kmeans_rows_regions")
+def kmeans_rows_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that are alike within a region and apart across regions."""
+    regions = w.supplier_regions(spark, sf)
+    k = regions.select("cluster").distinct().count()
+    return cluster.kmeans_rows(w.hub_rows(spark, sf), regions.select(F.col("entity").alias("i")), k)
+
+
+def _regional_pipeline(kind: str | None, variant: str = "current") -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        three, everyone, k = _regional(spark, sf)
+        out = pipeline.run(three, everyone, w.supplier_relation(spark, sf), k=k, view=kind, variant=variant)
+        return rounded(out.quality, "value")
+
+    return run
+
+
+for _kind in ("str", "sem", "fun", None):
+    QUERIES[f"pipeline_{_kind or 'full'}_regions"] = _regional_pipeline(_kind)
+QUERIES["pipeline_v4_regions"] = _regional_pipeline(None, "v4")
+
+
+def _given_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers by nation and by region as two partitions (k, entity, cluster), named by their number of clusters."""
+    parts = []
+    for given in (w.supplier_assignment(spark, sf), w.supplier_regions(spark, sf)):
+        k = given.agg(F.count_distinct("cluster").cast("int").alias("k")).scalar()
+        parts.append(given.select("entity", "cluster").withColumn("k", k))
+    return parts[0].unionByName(parts[1]).select("k", "entity", "cluster")
+
+
+@register("partition_scores")
+def partition_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Both scores of the given partitions over the co-occurrence view."""
+    scored = scores.sweep_scores(views.cooccurrence_view(w.supplier_members(spark, sf)), _given_partitions(spark, sf))
+    return rounded(sinks.ranked_scores(scored), "silhouette_score", "calinski_harabasz_score")
+
+
+@register("best_partition")
+def best_partition(spark: SparkSession, sf: str) -> DataFrame:
+    scored = scores.sweep_scores(views.cooccurrence_view(w.supplier_members(spark, sf)), _given_partitions(spark, sf))
+    return rounded(scores.best_k(scored), "silhouette_score")
+
+
+@register("k_sweep_factors")
+def k_sweep_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """Both scores of the given partitions over the semantic view, from its factors."""
+    factors = views.unit_factors(w.supplier_features(spark, sf))
+    return rounded(scores.sweep_scores_factors(factors, _given_partitions(spark, sf)), "silhouette_score", "calinski_harabasz_score")

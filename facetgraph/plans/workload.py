@@ -6,6 +6,8 @@ and the folder of the parquet tables and reads whole tables.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,6 +138,69 @@ def supplier_features(spark: SparkSession, sf: str) -> DataFrame:
     return _supplier_names(spark, sf, per, t="i").select("i", "f", "v")
 
 
+# --- suppliers by region: views whose cells all lie within a region, and connect all of it ----------
+
+
+def supplier_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers and their region as (entity, cluster)."""
+    nation = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_name").alias("entity"), F.col("r_name").alias("cluster")
+    )
+
+
+def _hubs(regions: DataFrame) -> DataFrame:
+    """(hub, member): the first supplier of a region beside each other one of it."""
+    first = regions.groupBy("cluster").agg(F.min("entity").alias("hub"))
+    return regions.join(first, "cluster").filter("entity <> hub").select("hub", F.col("entity").alias("member"))
+
+
+def regional_relation(spark: SparkSession, sf: str) -> DataFrame:
+    """Supplier relations within a region, and one of the least score from its first supplier to each other."""
+    regions = supplier_regions(spark, sf)
+    ends = regions.select(F.col("entity").alias("src"), F.col("cluster").alias("a")), regions.select(F.col("entity").alias("dst"), F.col("cluster").alias("b"))
+    inside = supplier_relation(spark, sf).join(ends[0], "src").join(ends[1], "dst").filter("a = b").select("src", "dst", "score")
+    return inside.unionByName(_hubs(regions).select(F.col("hub").alias("src"), F.col("member").alias("dst"), F.lit(3).cast("bigint").alias("score")))
+
+
+def regional_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers of one region in an order, and every supplier beside the first of its region."""
+    regions = supplier_regions(spark, sf)
+    orders = supplier_members(spark, sf).join(regions, F.col("member") == F.col("entity"))
+    orders = orders.select(F.concat_ws("|", F.col("grp").cast("string"), "cluster").alias("grp"), "member")
+    pairs = _hubs(regions).select(F.concat(F.lit("hub|"), "member").alias("grp"), F.explode(F.array("hub", "member")).alias("member"))
+    return orders.unionByName(pairs)
+
+
+def regional_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles whose features are told apart by region, and one feature for the region itself."""
+    regions = supplier_regions(spark, sf).withColumnRenamed("entity", "i")
+    own = supplier_features(spark, sf).join(regions, "i").select("i", F.concat_ws("|", "cluster", "f").alias("f"), "v")
+    return own.unionByName(regions.select("i", F.col("cluster").alias("f"), F.lit(1.0).alias("v")))
+
+
+def regional_views(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return {
+        "str": views.structural_view(regional_relation(spark, sf)),
+        "sem": views.unit_factors(regional_features(spark, sf)),
+        "fun": views.cooccurrence_view(regional_members(spark, sf)),
+    }
+
+
+def hub_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers beside the first supplier of their region, as affinity rows (i, j, w)."""
+    regions = supplier_regions(spark, sf)
+    first = regions.groupBy("cluster").agg(F.min("entity").alias("j"))
+    return regions.join(first, "cluster").select(F.col("entity").alias("i"), "j", F.lit(1.0).alias("w"))
+
+
+def brand_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers that sold parts of a brand as (grp, member): few groups, each with most suppliers in it."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("grp"))
+    sold = table(spark, sf, "lineitem").select("l_partkey", F.col("l_suppkey").alias("t")).distinct()
+    return _supplier_names(spark, sf, sold.join(part, "l_partkey").select("grp", "t").distinct(), t="member").select("grp", "member")
+
+
 # --- vectors ---------------------------------------------------------------------------------
 
 
@@ -183,10 +248,11 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def nation_views(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """Structural, semantic and functional view of the nations as cells."""
-    return {
-        "str": views.structural_view(nation_relation(spark, sf)),
-        "sem": views.cosine_cells(nation_features(spark, sf)),
-        "fun": views.cooccurrence_view(nation_members(spark, sf)),
+def nation_views(spark: SparkSession, sf: str, names: Sequence[str] = ("str", "sem", "fun")) -> dict[str, DataFrame]:
+    """The structural, semantic and functional view of the nations as cells; only those asked for are built."""
+    made = {
+        "str": lambda: views.structural_view(nation_relation(spark, sf)),
+        "sem": lambda: views.cosine_cells(nation_features(spark, sf)),
+        "fun": lambda: views.cooccurrence_view(nation_members(spark, sf)),
     }
+    return {name: made[name]() for name in names}

@@ -35,15 +35,35 @@ def relation_summary(entities: DataFrame, relation: DataFrame, key: str = "class
     )
 
 
-def relation_maps(entities: DataFrame, relation: DataFrame, key: str = "class", to: str = "relations") -> DataFrame:
-    """One map literal per entity, ``{}`` for isolated ones. Interchange only: a map row holds all
-    targets of its entity, so the long relation table stays the canonical form."""
+def relation_maps(entities: DataFrame, relation: DataFrame, key: str = "class", to: str = "relations", per_row: int | None = None) -> DataFrame:
+    """Map literals per entity, ``{}`` for isolated ones. Interchange only: the long relation table is the canonical form.
+
+    By default a row holds all targets of its entity. With ``per_row`` an entity of many targets gets
+    several rows, told apart by ``part``, of about half as many targets each; whoever reads the maps
+    back as rows sees no difference.
+    """
     item = F.concat(F.lit("'"), F.col("dst"), F.lit("': "), F.col("score").cast("string"))
-    maps = relation.groupBy(F.col("src").alias(key)).agg(
+    edges, keys = relation.withColumn("part", F.lit(0)), [F.col("src").alias(key), "part"]
+    if per_row:
+        parts = relation.groupBy("src").agg(F.ceil(2 * F.count("*") / F.lit(per_row)).alias("parts"))
+        edges = relation.join(parts, "src").withColumn("part", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"))
+    maps = edges.groupBy(*keys).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("dst", item.alias("item")))), lambda x: x["item"]), ", ").alias("items")
     )
     literal = F.concat(F.lit("{"), F.coalesce("items", F.lit("")), F.lit("}"))
-    return entities.select(key).distinct().join(maps, key, "left").select(key, literal.alias(to))
+    out = entities.select(key).distinct().join(maps, key, "left")
+    return out.select(key, *([F.coalesce("part", F.lit(0)).alias("part")] if per_row else []), literal.alias(to))
+
+
+def in_parts(assignment: DataFrame, cluster_dim: DataFrame, per_row: int) -> tuple[DataFrame, DataFrame]:
+    """Assignment and clusters with a key column ``part``, so that a partition document holds about ``per_row`` entities.
+
+    ``partition_documents(*in_parts(..), ["part"])`` writes a partition of any size; read back, the
+    parts of a cluster are its members again.
+    """
+    parts = max(1, -(-assignment.count() // per_row))
+    all_parts = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    return assignment.withColumn("part", F.pmod(F.xxhash64("entity"), F.lit(parts)).cast("int")), cluster_dim.select("*", all_parts)
 
 
 def pivot_matrix(view: DataFrame, order: Sequence[str], default: float = 0.0) -> DataFrame:

@@ -26,20 +26,50 @@ def exact(mats, weights, k):
     return values, vectors[:, :k]
 
 
-@pytest.mark.parametrize("full,slices", [(128, 10**6), (0, 15)])
-def test_eigenvalues_and_losses(spark, world, monkeypatch, full, slices):
-    """Exact projection, and the filtered iteration with hot sources cut into slices."""
+@pytest.mark.parametrize("slices", [10**6, 15])
+def test_eigenvalues_and_losses(spark, world, slices):
+    """With whole sources, and with hot ones cut into slices."""
     names, _, mats, parts, everyone = world
-    monkeypatch.setattr(spectral, "FULL_BASIS", full)
     stack = spectral.stack_views(parts, everyone, slice_rows=slices)
     assert (stack.cells.hot is not None) == (slices == 15)
     weights = [0.5, 0.3, 0.2]
-    basis = spectral.smallest_eigenvectors(stack, weights, 3, degree=4)
+    basis = spectral.smallest_eigenvectors(stack, weights, 3)
     values, vectors = exact(mats, weights, 3)
-    assert np.allclose(basis.values[:3], values[:3], atol=1e-7)
+    assert np.allclose(basis.values[:3], values[:3], atol=1e-8)
+    assert basis.gap() == pytest.approx(values[3] - values[2], abs=1e-3)
     losses = spectral.trace_losses(stack, basis)
     want = [np.trace(vectors.T @ laplacian(m.copy()) @ vectors) for m in mats]
-    assert np.allclose(losses, want, atol=1e-4)
+    assert np.allclose(losses, want, atol=1e-5)
+    again = spectral.smallest_eigenvectors(stack, weights, 3, start=basis)
+    assert again.rounds == 1 and np.allclose(again.values[:3], values[:3], atol=1e-8)
+    spectral.unstack(stack)
+
+
+CHORDS = (1, 7, 31, 142, 389)
+
+
+@pytest.mark.parametrize("n", [25, 100, 1000])
+def test_ring_has_its_known_eigenvalues(spark, n):
+    """One solver at every size: 1 - cos(2 pi m / n), each but the first twice, on rings of chords."""
+    rows = [(f"n{x:04d}", f"n{(x + s) % n:04d}", 1.0) for x in range(n) for step in CHORDS for s in (step, -step)]
+    view = spark.createDataFrame(rows, "i string, j string, w double")
+    stack = spectral.stack_views({"ring": view}, view.select("i").distinct())
+    basis = spectral.smallest_eigenvectors(stack, [1.0], 5)
+    turns = 2 * np.pi * np.arange(n) / n
+    want = np.sort(1 - np.mean([np.cos(step * turns) for step in CHORDS], axis=0))
+    assert np.allclose(basis.values[:5], want[:5], atol=1e-7)
+    ys = basis.rows.select(*[f"y{c}" for c in range(5)]).toPandas().to_numpy()
+    assert np.allclose(ys.T @ ys, np.eye(5), atol=1e-5)
+    spectral.unstack(stack)
+
+
+def test_an_unfinished_basis_is_an_error(spark, world):
+    _, _, _, parts, everyone = world
+    stack = spectral.stack_views(parts, everyone)
+    with pytest.raises(RuntimeError, match="not converged"):
+        spectral.smallest_eigenvectors(stack, [0.5, 0.3, 0.2], 3, max_rounds=1)
+    with pytest.raises(ValueError, match="41 eigenvectors"):
+        spectral.smallest_eigenvectors(stack, [1, 1, 1], 41)
     spectral.unstack(stack)
 
 
@@ -65,13 +95,71 @@ def test_learned_weights_and_partition(spark, world):
     assert three[names[0]] == 0  # numbered by the smallest member
 
 
-def test_kmeans_on_rows(spark, world):
+@pytest.mark.parametrize("slices", [10**6, 15])
+def test_kmeans_on_rows(spark, world, slices):
     names, labels, mats, _, everyone = world
     view = cells(spark, mats[0] + np.eye(40), names)
-    got = {r.entity: r.cluster for r in cluster.kmeans_rows(view, everyone, 3, n_init=3).collect()}
+    got = {r.entity: r.cluster for r in cluster.kmeans_rows(view, everyone, 3, n_init=3, slice_rows=slices).collect()}
     assert len({(got[n], int(c)) for n, c in zip(names, labels)}) == 3
 
 
+def test_kmeans_reaches_a_fixed_point(spark):
+    """No row is nearer to another mean, although most rows skip most rounds; rows without cells take part."""
+    rng = np.random.default_rng(11)
+    m = np.where(rng.random((60, 12)) < 0.3, rng.random((60, 12)), 0) + 2 * np.eye(4)[rng.integers(0, 4, 60)].repeat(3, axis=1) * (rng.random((60, 1)) < 0.6)
+    m[59] = 0
+    rows = [(f"r{a:02d}", f"c{b}", float(m[a, b])) for a in range(60) for b in range(12) if m[a, b]]
+    view = spark.createDataFrame(rows, "i string, j string, w double")
+    everyone = spark.createDataFrame([(f"r{a:02d}",) for a in range(60)], "i string")
+    got = {r.entity: r.cluster for r in cluster.kmeans_rows(view, everyone, 4, n_init=2).collect()}
+    label = np.array([got[f"r{a:02d}"] for a in range(60)])
+    assert set(label) == {0, 1, 2, 3}
+    means = np.array([m[label == c].mean(axis=0) for c in range(4)])
+    far = ((m[:, None] - means[None]) ** 2).sum(axis=2)
+    assert np.allclose(far[np.arange(60), label], far.min(axis=1))
+    few = cluster.kmeans_rows(view.filter("i < 'r02'"), everyone.filter("i < 'r02'"), 3, n_init=2).collect()
+    assert len(few) == 2  # fewer rows than clusters
+
+
+SHOP = {
+    "Cart": ["Cart", "CartItem", "CartLine"],
+    "Order": ["Order", "OrderItem", "OrderLine"],
+}
+
+
+def write_shop(root):
+    """Two groups of classes that know, resemble and accompany only each other."""
+    for group, members in SHOP.items():
+        for name in members:
+            fields = "".join(f"  {other} x{n};\n" for n, other in enumerate(members) if other != name)
+            (root / f"{name}.java").write_text(f"package shop.{group.lower()};\nclass {name} {{\n{fields}  void {group.lower()}Price({name} p);\n}}\n")
+        calls = " ".join(members)
+        (root / f"{group}Action.java").write_text(f"class {group}Action {{ /* uses */ {calls} }}\n")
+
+
+@pytest.mark.parametrize("view,variant", [(None, "current"), (None, "v4"), ("sem", "current"), ("fun", "current")])
+def test_source_tree_to_partition_by_all_views(spark, tmp_path, view, variant):
+    write_shop(tmp_path)
+    out = pipeline.source_run(spark, str(tmp_path), k=2, view=view, variant=variant, n_init=3)
+    got = {r.entity: r.cluster for r in out.assignment.collect()}
+    assert sorted(got) == sorted(SHOP["Cart"] + SHOP["Order"])
+    assert {c: {got[n] for n in names} for c, names in SHOP.items()} in ({"Cart": {0}, "Order": {1}}, {"Cart": {1}, "Order": {0}})
+    values = {r.metric: r.value for r in out.quality.collect()}
+    assert values["ICP"] == 0.0 and values["IFN"] == 0.0
+
+
+def test_views_over_different_entities(spark, world):
+    """The older variant goes on with the shared entities, isolated ones too; the current one refuses."""
+    names, _, _, parts, everyone = world
+    members = {v: everyone for v in parts} | {"str": everyone.filter("i <> 'n39'")}
+    relation = spark.createDataFrame([("n00", "n01", 1)], "src string, dst string, score bigint")
+    with pytest.raises(ValueError, match="same entities"):
+        pipeline.run(parts, everyone, relation, k=3, members=members)
+    lonely = spark.createDataFrame([("z",)], "i string").unionByName(everyone)
+    out = pipeline.run(parts, lonely, relation, k=3, variant="v4", n_init=2, members={v: lonely for v in parts} | {"str": lonely.filter("i <> 'n39'")})
+    assert {r.entity for r in out.assignment.collect()} == set(names) - {"n39"} | {"z"}
+
+
 def test_structural_pipeline(spark, tmp_path):
     for group in ("Cart", "Order"):
         for part in ("", "Item", "Line"):
