@@ -351,14 +351,14 @@ def smallest_eigenvectors(
     weights: Sequence[float],
     k: int,
     start: Basis | None = None,
-    guard: int = 3,
-    depth: int = 8,
+    width: int = 32,
+    depth: int = 4,
     max_rounds: int = 100,
     tol: float = 1e-5,
 ) -> Basis:
     """The k smallest eigenpairs of the combined normalised Laplacian, at every size by the same steps.
 
-    Block Krylov iteration with thick restarts: from ``k + guard`` current vectors, take the residuals
+    Block Krylov iteration with thick restarts: from ``width`` current vectors (more for a large k), take the residuals
     of those that have not converged, apply the operator to them ``depth - 1`` more times (all as
     joins and grouped sums), and restart from the best vectors of the whole space. Converged vectors
     are locked: they stay in the space and are multiplied no more than once a round. Ends when the
@@ -367,7 +367,7 @@ def smallest_eigenvectors(
     """
     if k > stack.n:
         raise ValueError(f"{k} eigenvectors of {stack.n} entities")
-    m = min(stack.n, k + guard)
+    m = min(stack.n, max(width, k + 3))
     limit = upper_bound(stack, weights)
     shifts = _shifts(max(1, depth - 1))
     rows = start.rows.select("i", *_columns(min(m, start.width))) if start is not None else _start(stack, m)
