@@ -17,8 +17,7 @@ HEADLINE = [
     "cosine_pairs_over_threshold", "cosine_row_sums", "silhouette_precomputed", "mean_pool_vectors",
     "class_relation_scores", "mention_pairs", "token_clean", "lemma_join", "term_removal", "collision_dedupe",
     "core_filter", "l1_fusion_3iter", "self_weighted_fusion", "k_sweep",
-    "text_vectors", "text_pairs_over_threshold", "cosine_rectangular_over_threshold", "mutual_best_match", "silhouette_unclipped", "k_sweep_factors",
-    "semantic_view_top5", "declared_types", "consensus_basis_regions", "self_weighted_fusion_regions", "spectral_partition_regions", "kmeans_rows_regions",
+    "text_vectors", "cosine_rectangular_over_threshold", "silhouette_unclipped", "k_sweep_factors", "semantic_view_top5", "declared_types",
 ]
 
 
