@@ -15,9 +15,9 @@ repeat is never missed, and one suffix in about fourteen travels.
 Before each shuffle a task settles what repeats within its own rows and sends a token once with its
 smallest doc_id, so a passage of very many documents sends one row per task.
 
-Defined results: a null or empty text loses nothing; rows of one doc_id count as one document and
-never remove from each other, they should repeat one text; a document without doc_id counts as one
-with a very large id of its own; an empty table gives no row.
+Defined results: a null or empty text loses nothing; rows of one doc_id never remove from each other,
+whether they repeat one text or have several, and each loses what smaller doc_ids have of its own text;
+a null doc_id is larger than all others; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import mix, span_hashes, text_runs, utf8
-from .shared import mapped, own_id, stash
+from .shared import mapped, stash
 
 GRAM = 24
 RUN_BYTES = 1 << 18
@@ -38,6 +38,7 @@ BLOCK_ROWS = 1_500_000
 SAMPLE = 64
 LEAD_BYTES = 5  # of the leading token; the following one has six
 NO_ROWS = np.zeros(0, np.int64)
+LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -179,12 +180,16 @@ def _unplanes(blob: bytes, n: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-WIDTHS = (LEAD_BYTES, 6, 8, 4, 2)  # leading token, following token, steps of doc_id, number within the text, tags
+WIDTHS = (LEAD_BYTES, 6, 8, 8, 4, 2)  # leading token, following token, steps of doc_id and of text key, number within the text, tags
 
 
-def _pack(lead, follow, doc, number, tags) -> bytes:
-    step = np.diff(doc, prepend=np.int64(0)).view(np.uint64)
-    return len(lead).to_bytes(8, "little") + b"".join(_planes(v, w) for v, w in zip((lead, follow, step, number, tags), WIDTHS, strict=True))
+def _steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=np.int64(0)).view(np.uint64)
+
+
+def _pack(lead, follow, doc, key, number, tags) -> bytes:
+    columns = lead, follow, _steps(doc), _steps(key), number, tags
+    return len(lead).to_bytes(8, "little") + b"".join(_planes(v, w) for v, w in zip(columns, WIDTHS, strict=True))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -192,7 +197,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     for w in WIDTHS:
         out.append(_unplanes(blob[at : at + n * w], n, w))
         at += n * w
-    return out[0], out[1], np.cumsum(out[2].view(np.int64)), out[3].astype(np.int64), out[4]
+    return out[0], out[1], np.cumsum(out[2].view(np.int64)), np.cumsum(out[3].view(np.int64)), out[4].astype(np.int64), out[5]
 
 
 class Block:
@@ -204,12 +209,12 @@ class Block:
         self.size = 0
         self.turn = 0
 
-    def add(self, lead, follow, doc, number, tags) -> None:
-        self.parts.append((lead >> np.uint64(64 - 8 * LEAD_BYTES), follow & np.uint64((1 << 48) - 1), doc, number, tags))
+    def add(self, lead, follow, doc, key, number, tags) -> None:
+        self.parts.append((lead >> np.uint64(64 - 8 * LEAD_BYTES), follow & np.uint64((1 << 48) - 1), doc, key, number, tags))
         self.size += len(lead)
 
     def flush(self) -> pa.RecordBatch:
-        lead, follow, doc, number, tags = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        lead, follow, doc, key, number, tags = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
         done, _ = settle(lead, follow, doc, tags)
         bucket, kind, blob = [], [], []
@@ -217,38 +222,37 @@ class Block:
             bucket.append(self.turn % (len(self.splitters) + 1))
             kind.append(1)
             none = np.zeros(int(done.sum()), np.uint64)
-            blob.append(_pack(none, none, doc[done], number[done], none))
+            blob.append(_pack(none, none, doc[done], key[done], number[done], none))
             self.turn += 1
-        lead, follow, doc, number, tags = (x[~done] for x in (lead, follow, doc, number, tags))
+        lead, follow, doc, key, number, tags = (x[~done] for x in (lead, follow, doc, key, number, tags))
         place = np.searchsorted(self.splitters, lead, "right")
         order = np.argsort(place, kind="stable")
-        lead, follow, doc, number, tags, place = (x[order] for x in (lead, follow, doc, number, tags, place))
+        lead, follow, doc, key, number, tags, place = (x[order] for x in (lead, follow, doc, key, number, tags, place))
         cuts = np.searchsorted(place, np.arange(len(self.splitters) + 2))
         for k in range(len(self.splitters) + 1):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
                 bucket.append(k)
                 kind.append(0)
-                blob.append(_pack(lead[a:b], follow[a:b], doc[a:b], number[a:b], tags[a:b]))
+                blob.append(_pack(lead[a:b], follow[a:b], doc[a:b], key[a:b], number[a:b], tags[a:b]))
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int8()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
 
 
-def _marks(doc: np.ndarray, number: np.ndarray, kind: int, parts: int) -> pa.RecordBatch:
-    """Marked numbers, the documents dealt over parts by a hash of the id."""
-    part = (mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((number, doc, part))
-    part, doc, number = part[order], doc[order], number[order]
+def _marks(key: np.ndarray, number: np.ndarray, kind: int, parts: int) -> pa.RecordBatch:
+    """Marked numbers, the texts dealt over parts by a hash of the key."""
+    part = (mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((number, key, part))
+    part, key, number = part[order], key[order], number[order]
     cuts = np.append(np.flatnonzero(_groups(part)), len(part))
     blobs = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        step = np.diff(doc[a:b], prepend=np.int64(0)).view(np.uint64)
-        blobs.append(int(b - a).to_bytes(8, "little") + _planes(step, 8) + _planes(number[a:b], 4))
+        blobs.append(int(b - a).to_bytes(8, "little") + _planes(_steps(key[a:b]), 8) + _planes(number[a:b], 4))
     own = part[cuts[:-1]].astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), kind, np.int8)), pa.array(blobs, pa.binary())], ["part", "kind", "blob"])
 
 
-def _settled(sent: DataFrame, buckets: int, kinds: tuple[int, int], parts: int) -> DataFrame:
-    """(part, kind, blob): numbers within texts that are repeated (first kind) or open (second kind)."""
+def _settled(sent: DataFrame, buckets: int, kinds: tuple[int, int | None], parts: int) -> DataFrame:
+    """(part, kind, blob): numbers within texts that are repeated (first kind) or open (second kind, if any)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -256,22 +260,22 @@ def _settled(sent: DataFrame, buckets: int, kinds: tuple[int, int], parts: int)
             for kind, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 piece = _unpack(blob.as_py())
                 if kind:
-                    yield _marks(piece[2], piece[3], kinds[0], parts)
+                    yield _marks(piece[3], piece[4], kinds[0], parts)
                 else:
                     held.append(piece)
         if held:
-            lead, follow, doc, number, tags = (np.concatenate(x) for x in zip(*held, strict=True))
+            lead, follow, doc, key, number, tags = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             for mask, kind in zip(settle(lead, follow, doc, tags), kinds, strict=True):
-                if mask.any():
-                    yield _marks(doc[mask], number[mask], kind, parts)
+                if kind is not None and mask.any():
+                    yield _marks(key[mask], number[mask], kind, parts)
 
     dealt = sent.repartitionById(buckets, "bucket").select("kind", "blob")
     return mapped(dealt, run, "part int, kind tinyint, blob binary")
 
 
 def _gathered(marks: DataFrame, kinds: tuple[int, ...], parts: int) -> DataFrame:
-    """(id, k..): for each marked document its numbers of each kind."""
+    """(key, k..): for each marked text its numbers of each kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {k: ([], []) for k in kinds}
@@ -281,22 +285,22 @@ def _gathered(marks: DataFrame, kinds: tuple[int, ...], parts: int) -> DataFrame
                 n = int.from_bytes(raw[:8], "little")
                 held[kind][0].append(np.cumsum(_unplanes(raw[8 : 8 + 8 * n], n, 8).view(np.int64)))
                 held[kind][1].append(_unplanes(raw[8 + 8 * n :], n, 4).astype(np.uint32))
-        docs, numbers = {}, {}
-        for k, (d, m) in held.items():
-            doc, number = (np.concatenate(d), np.concatenate(m)) if d else (NO_ROWS, np.zeros(0, np.uint32))
-            order = np.argsort(doc, kind="stable")
-            docs[k], numbers[k] = doc[order], number[order]
-        ids = np.unique(np.concatenate(list(docs.values())))
-        for at in range(0, len(ids), 10_000):
-            some = ids[at : at + 10_000]
+        texts, numbers = {}, {}
+        for k, (t, m) in held.items():
+            key, number = (np.concatenate(t), np.concatenate(m)) if t else (NO_ROWS, np.zeros(0, np.uint32))
+            order = np.argsort(key, kind="stable")
+            texts[k], numbers[k] = key[order], number[order]
+        keys = np.unique(np.concatenate(list(texts.values())))
+        for at in range(0, len(keys), 10_000):
+            some = keys[at : at + 10_000]
             columns = []
             for k in kinds:
-                a, b = np.searchsorted(docs[k], some, "left"), np.searchsorted(docs[k], some, "right")
+                a, b = np.searchsorted(texts[k], some, "left"), np.searchsorted(texts[k], some, "right")
                 columns.append(pa.array([numbers[k][x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(some), *columns], ["id", *[f"k{k}" for k in kinds]])
+            yield pa.RecordBatch.from_arrays([pa.array(some), *columns], ["key", *[f"k{k}" for k in kinds]])
 
     dealt = marks.filter(F.col("kind").isin(*kinds)).repartitionById(parts, "part").select("kind", "blob")
-    return mapped(dealt, run, ", ".join(["id bigint", *[f"k{k} binary" for k in kinds]]))
+    return mapped(dealt, run, ", ".join(["key bigint", *[f"k{k} binary" for k in kinds]]))
 
 
 REPEATED, OPEN, WINDOW = 0, 1, 2
@@ -306,11 +310,11 @@ def _suffixes(texts: DataFrame, length: int, splitters: np.ndarray) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(splitters)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for i, _, data, starts in text_runs(batch, "text", RUN_BYTES):
                 row, first, last, token, tags = anchors(data, starts, length)
                 if len(row):
-                    block.add(token, span_hashes(data, first, last + length), ids[i + row], ordinals(row, len(starts) - 1), tags)
+                    block.add(token, span_hashes(data, first, last + length), ids[i + row], keys[i + row], ordinals(row, len(starts) - 1), tags)
                 if block.size >= BLOCK_ROWS:
                     yield block.flush()
         if block.size:
@@ -326,10 +330,10 @@ def _open_windows(marked: DataFrame, length: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(splitters)
         for batch in batches:
-            batch = batch.select([0, 1, 3])
-            batch = batch.filter(batch.column(2).is_valid())
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            marks, at = utf8(batch.column(2))
+            batch = batch.select(["id", "key", "text", f"k{OPEN}"])
+            batch = batch.filter(batch.column(3).is_valid())
+            ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            marks, at = utf8(batch.column(3))
             for i, _, data, starts in text_runs(batch, "text", RUN_BYTES):
                 row, first, last, *_ = anchors(data, starts, length)
                 chosen = _flags(marks, at, i, row, len(starts) - 1)
@@ -339,7 +343,7 @@ def _open_windows(marked: DataFrame, length: int, buckets: int) -> DataFrame:
                 row = np.repeat(row, n)
                 if len(window):
                     h = span_hashes(data, window, window + length)
-                    block.add(h, h, ids[i + row], window - starts[row], np.zeros(len(h), np.uint64))
+                    block.add(h, h, ids[i + row], keys[i + row], window - starts[row], np.zeros(len(h), np.uint64))
                 if block.size >= BLOCK_ROWS:
                     yield block.flush()
         if block.size:
@@ -360,8 +364,7 @@ def _flags(blob: np.ndarray, at: np.ndarray, i: int, row: np.ndarray, rows: int)
     base = np.cumsum(count) - count
     r, k = _numbers(blob, at, i, rows)
     out = np.zeros(len(row), bool)
-    ok = k < count[r]  # rows that share a doc_id but not a text
-    out[base[r[ok]] + k[ok]] = True
+    out[base[r] + k] = True
     return out
 
 
@@ -371,7 +374,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(own_id(id_col, text_col).alias("id"), text.alias("text"), F.struct(*[c for c in docs.columns if c != text_col]).alias("row"))
+    own = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))
+    # doc_ids may repeat with other texts, so that what is found of a text goes back to it by a key of both
+    texts = docs.select(own.alias("id"), F.xxhash64(own, text).alias("key"), text.alias("text"), F.struct(*[c for c in docs.columns if c != text_col]).alias("row"))
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,20 +384,20 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 token = anchors(data, starts, length)[3]
                 yield pa.RecordBatch.from_arrays([pa.array((token[:: SAMPLE // 4 + 1] >> np.uint64(1)).view(np.int64))], ["lead"])
 
-    sample = mapped(texts.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text"), leads, "lead bigint")
+    sample = mapped(texts.filter(F.pmod("key", F.lit(SAMPLE)) == 0).select("text"), leads, "lead bigint")
     cuts = sample.approxQuantile("lead", [k / buckets for k in range(1, buckets)], 1 / (4 * buckets)) if buckets > 1 else []
     splitters = np.unique(np.array([int(c) for c in cuts], np.uint64) >> np.uint64(63 - 8 * LEAD_BYTES))
 
-    marks = stash(_settled(_suffixes(texts.select("id", "text"), length, splitters), len(splitters) + 1, (REPEATED, OPEN), buckets), "suffixes")
+    marks = stash(_settled(_suffixes(texts.select("id", "key", "text"), length, splitters), len(splitters) + 1, (REPEATED, OPEN), buckets), "suffixes")
     # both joins take all columns of the texts, so that they share one exchange of them
-    opened = texts.join(_gathered(marks, (OPEN,), buckets), "id", "left")
-    windows = _settled(_open_windows(opened, length, buckets), buckets, (WINDOW, WINDOW), buckets)
+    opened = texts.join(_gathered(marks, (OPEN,), buckets), "key", "left")
+    windows = _settled(_open_windows(opened, length, buckets), buckets, (WINDOW, None), buckets)
     found = _gathered(marks.filter(F.col("kind") == REPEATED).unionByName(windows), (REPEATED, WINDOW), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, at0 = utf8(batch.column(3))
-            single, at2 = utf8(batch.column(4))
+            whole, at0 = utf8(batch.column(batch.schema.get_field_index(f"k{REPEATED}")))
+            single, at2 = utf8(batch.column(batch.schema.get_field_index(f"k{WINDOW}")))
             for i, j, data, starts in text_runs(batch, "text", RUN_BYTES):
                 rows = j - i
                 depth = np.zeros(len(data) + 1, np.int32)
@@ -403,9 +408,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                     np.add.at(depth, last[hit] + length, -1)
                 if at2[j] > at2[i]:
                     r, k = _numbers(single, at2, i, rows)
-                    ok = k + length <= np.diff(starts)[r]
-                    np.add.at(depth, starts[r[ok]] + k[ok], 1)
-                    np.add.at(depth, starts[r[ok]] + k[ok] + length, -1)
+                    np.add.at(depth, starts[r] + k, 1)
+                    np.add.at(depth, starts[r] + k + length, -1)
                 gone = np.cumsum(depth[:-1]) > 0
                 if whole_characters and gone.any():
                     character = np.cumsum((data & 0xC0) != 0x80) - 1
@@ -428,13 +432,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)), spans)
                 bytes_ = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(kept)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(2).slice(i, rows), pa.array(np.diff(starts)), lists, bytes_],
+                    [batch.column(batch.schema.get_field_index("row")).slice(i, rows), pa.array(np.diff(starts)), lists, bytes_],
                     ["row", "n_bytes", "spans", "kept"],
                 )
 
     spans = "array<struct<begin:bigint,end:bigint>>"
     kind = texts.schema["row"].dataType.simpleString()
-    return mapped(texts.join(found, "id", "left"), run, f"row {kind}, n_bytes bigint, spans {spans}, kept binary")
+    return mapped(texts.join(found, "key", "left"), run, f"row {kind}, n_bytes bigint, spans {spans}, kept binary")
 
 
 def trimmed(docs: DataFrame, length: int = 50) -> DataFrame:

@@ -136,3 +136,27 @@ def test_windows_match_a_plain_count(spark, docs):
     grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
     want = {(i, k) for i, t, *_ in rows for k, b in items if len(grams(t) & grams(b)) >= 0.8 * len(grams(b))}
     assert {(r.id, r.item_id) for r in decontamination.contaminated(docs(rows), bench).collect()} == want
+
+
+def test_rows_of_one_id_lose_what_their_own_texts_repeat(spark, docs):
+    rng = random.Random(11)
+    passages = [prose(rng, 30) for _ in range(6)]
+    rows = [(k // 3, prose(rng, k % 7) + passages[k % 6] + prose(rng, k % 4), None, None) for k in range(24)] + [(None, p, None, None) for p in (passages[0], "x" * 60, "y" + "x" * 60)]
+    big = 1 << 62
+    earlier = {}
+    for i, t, *_ in rows:
+        for p in range(len(t) - 49):
+            earlier[t[p : p + 50]] = min(earlier.get(t[p : p + 50], big), big if i is None else i)
+    want = []
+    for i, t, *_ in rows:
+        gone = {q for p in range(len(t) - 49) if earlier[t[p : p + 50]] < (big if i is None else i) for q in range(p, p + 50)}
+        want.append((str(i), "".join(c for q, c in enumerate(t) if q not in gone)))
+    got = suffix_dedup.remove_repeats(docs(rows)).collect()
+    assert sorted((str(r.row.doc_id), bytes(r.kept).decode()) for r in got) == sorted(want)
+
+
+def test_windows_that_share_half_a_hash_are_not_repeats(spark):
+    two = np.arange(2)
+    blob = suffix_dedup._pack(np.full(2, 5, np.uint64), np.array([1, 2], np.uint64), two, two, two, np.zeros(2, np.uint64))
+    sent = spark.createDataFrame([(0, 0, bytearray(blob))], "bucket int, kind tinyint, blob binary")
+    assert suffix_dedup._settled(sent, 1, (suffix_dedup.WINDOW, None), 1).count() == 0
