@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from dense import calinski, cells, laplacian, matrix, planted, silhouette
+from pyspark.sql import functions as F
 
 from facetgraph.operators import fusion, laplacian as lap, matching, quality, scores, views
 from facetgraph.sources import sinks, tables
@@ -220,3 +221,35 @@ def test_expand(spark):
     got = {(r.r, r.c): r.w for r in fusion.expand(view, mapping, size=4, known=3, original=2).collect()}
     assert len(got) == 16 and got[(0, 2)] == 0.4 and got[(1, 1)] == 1.0
     assert got[(0, 1)] == pytest.approx(0.2 * 0.7) and got[(0, 3)] == pytest.approx(0.2 * 0.5)
+
+
+def test_cells_of_pairs_are_made_whole_and_never_shuffled(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"e{a:02d}", f"f{b}", float(rng.integers(1, 4))) for a in range(40) for b in range(15)]
+    made = views.gram_cells(spark.createDataFrame(rows, "i string, f string, v double"), 8, 4)
+    assert made.count() == 40 * 39 / 2
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[0]
+    assert "HashAggregate" not in plan[: plan.index("MapInArrow")] and "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_largest_cells_leave_each_task_with_ties_by_partner(spark):
+    rng = np.random.default_rng(5)
+    profiles = rng.integers(1, 3, size=(6, 3))
+    rows = [(f"e{a:02d}", f"f{b}", float(profiles[a % 6, b])) for a in range(48) for b in range(3)]
+    features = spark.createDataFrame(rows, "i string, f string, v double")
+    whole = views.cosine_cells(features).withColumn("w", F.round("w", 6))
+    few = views.cosine_cells(features, best=3, digits=6).withColumn("w", F.round("w", 6))
+    assert few.count() < whole.count() / 2
+    for rule in ("union", "mutual"):
+        want, got = ({tuple(r) for r in views.strongest(x, 3, rule).collect()} for x in (whole, few))
+        assert got == want and want
+    factors = views.unit_factors(features)
+    split = views.gram_cells(factors, 8, 2, best=3, digits=6).unionByName(features.select("i", F.col("i").alias("j"), F.lit(1.0).alias("w")))
+    assert {tuple(r) for r in views.strongest(split, 3).collect()} == {tuple(r) for r in views.strongest(whole, 3).collect()}
+
+
+def test_rounding_of_cells_is_that_of_spark(spark):
+    x = np.concatenate([np.arange(-2000, 2000) / 2000 + 0.0005, np.random.default_rng(6).random(500), [0.1234565, 0.9999995, 1.0, 0.0000005]])
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 3)).collect()]
+    assert views._half_up(x, 3).tolist() == want
