@@ -106,3 +106,13 @@ def test_texts_there_and_back(spark, tmp_path):
     rows = [(1, 'a "quoted", b\nnew line'), (2, "back\\slash"), (3, "é;'")]
     sinks.write_csv(spark.createDataFrame(rows, "id int, t string"), str(tmp_path / "t"), ["id"])
     assert sorted(map(tuple, tables.csv_table(spark, str(tmp_path / "t"), "id int, t string").collect())) == rows
+
+
+def test_types_leave_a_task_in_bounded_batches():
+    import pyarrow as pa
+
+    body = "class A { int f; void m(int p) {} }\n" + "// " + "x" * 400_000
+    batch = pa.RecordBatch.from_pydict({"path": [f"p{k}" for k in range(10)], "content": [body] * 9 + [None]})
+    out = list(source_scan._scan(iter([batch])))
+    assert [r for b in out for r in b.column("path").to_pylist()] == [f"p{k}" for k in range(10)]
+    assert max(b.num_rows for b in out) <= 4 and sum(len(t) for b in out for t in b.column("types").to_pylist()) == 9
