@@ -9,7 +9,7 @@ import xxhash
 from dense import calinski, cells, matrix, planted, silhouette
 from pyspark.sql import functions as F
 
-from facetgraph.operators import fusion, matching, scores, text_vectors, threshold_join, views
+from facetgraph.operators import blocks, fusion, matching, scores, text_vectors, threshold_join, views
 
 
 def test_text_vectors_by_hand(spark):
@@ -200,3 +200,33 @@ def test_l1_fusion_until_it_stands_still(spark):
     assert len(history) == it + 1 and history[-1][1] == pytest.approx(change, abs=1e-9)
     assert [weights["a"], weights["b"]] == pytest.approx(p.tolist())
     assert np.allclose(matrix(fused.collect(), names), u, atol=1e-9)
+
+
+def test_blocks_of_vectors_grow_with_the_set():
+    assert [blocks.vector_blocks(n) for n in (1, 1024, 20_000, 120_000, 720_000)] == [1, 1, 20, 24, 24]
+    assert blocks.vector_blocks(10_000_000) * blocks.MOST_ROWS >= 10_000_000
+
+
+def test_best_partners_and_silhouette_over_many_strips(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS_PER_BLOCK", 300)
+    rng = np.random.default_rng(8)
+    v = rng.integers(-1, 2, size=(900, 4)).astype(float)
+    frame = spark.createDataFrame([(n, [float(x) for x in row]) for n, row in enumerate(v)], "i bigint, v array<float>")
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    u = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+    got = views.cosine_rectangle(frame.filter("i < 400"), frame.filter("i >= 400"), best=5).collect()
+    sims = np.round(u[:400] @ u[400:].T, 9)
+    assert len(got) == 2000
+    for i in range(0, 400, 37):
+        best = np.sort(sims[i])[::-1][:5]
+        assert np.allclose(sorted((r.w for r in got if r.i == i), reverse=True), best)
+    given = spark.createDataFrame([(n, n % 3) for n in range(900)], "entity bigint, cluster int")
+    d = 1 - np.clip(u @ u.T, 0, 1)
+    np.fill_diagonal(d, 0)
+    label = np.arange(900) % 3
+    value = []
+    for i in range(900):
+        means = [d[i, label == c].sum() / ((label == c).sum() - (c == label[i])) for c in range(3)]
+        a, b = means[label[i]], min(m for c, m in enumerate(means) if c != label[i])
+        value.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    assert abs(scores.silhouette_vectors(frame, given).first()[0] - np.mean(value)) < 1e-9
