@@ -253,3 +253,12 @@ def test_rounding_of_cells_is_that_of_spark(spark):
     x = np.concatenate([np.arange(-2000, 2000) / 2000 + 0.0005, np.random.default_rng(6).random(500), [0.1234565, 0.9999995, 1.0, 0.0000005]])
     want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 3)).collect()]
     assert views._half_up(x, 3).tolist() == want
+
+
+def test_counts_of_large_groups_alone_are_not_summed_again(spark):
+    rows = [(g, f"m{m:02d}") for g in range(3) for m in range(70) if (m + g) % 9]
+    members = spark.createDataFrame(rows, "grp int, member string")
+    counts = views.cooccurrence_counts(members, large=20)
+    plan = counts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "HashAggregate" not in plan[: plan.index("MapInArrow")]
+    assert {(r.a, r.b): r.n for r in counts.collect()} == brute_counts({k: [m for g, m in rows if g == k] for k in range(3)})
