@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -120,10 +120,12 @@ def supplier_relation(spark: SparkSession, sf: str) -> DataFrame:
     first: equal lines meet once, with their counts, and not copy by copy.
     """
     line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", points(F.col("l_returnflag")).alias("p"))
+    line = line.filter("l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL").repartition("l_orderkey")  # once, for the sums and the next lines
     per = line.groupBy("l_orderkey", "l_linenumber", "l_suppkey").agg(F.sum("p").alias("p"), F.count("*").alias("n"))
-    head = per.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s"), "p")
-    tail = per.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("t"), "n")
-    edges = head.join(tail, ["l_orderkey", "l_linenumber"]).groupBy("s", "t").agg(F.sum(F.col("p") * F.col("n")).alias("score"))
+    following = Window.partitionBy("l_orderkey").orderBy(F.col("l_linenumber").cast("bigint")).rangeBetween(1, 1)
+    head = per.withColumn("next", F.collect_list(F.struct(F.col("l_suppkey").alias("t"), "n")).over(following))
+    pairs = head.select(F.col("l_suppkey").alias("s"), "p", F.inline("next"))
+    edges = pairs.groupBy("s", "t").agg(F.sum(F.col("p") * F.col("n")).alias("score"))
     return _supplier_names(spark, sf, edges, s="src", t="dst").select("src", "dst", "score")
 
 

@@ -8,6 +8,7 @@ import pytest
 
 from facetgraph import session
 from facetgraph.operators import scores, views
+from facetgraph.plans import workload
 
 
 def test_tasks_stay_small_while_the_cells_grow(spark, monkeypatch):
@@ -32,3 +33,14 @@ def test_symmetric_scores_of_loops_and_nulls(spark):
     got = views.symmetric_scores(spark.createDataFrame(rows, "src string, dst string, score bigint")).collect()
     want = {("a", "b"): 3.0, ("b", "a"): 3.0, ("a", "a"): 6.0, (None, "a"): 9.0, ("a", None): 9.0, (None, None): 12.0, ("b", "c"): None, ("c", "b"): None}
     assert len(got) == len(want) and {(r.i, r.j): r.w for r in got} == want
+
+
+def test_suppliers_of_the_next_line(spark, tmp_path):
+    """Repeated lines count each time, lines without a key or a line after them not at all; lines are sent once."""
+    lines = [(1, 1, 7, "R"), (1, 1, 7, "A"), (1, 2, 8, "N"), (1, 2, 8, "N"), (1, 2, 9, "N"), (1, 4, 7, "R"), (2, 3, 9, "N"), (None, 1, 7, "R"), (None, 2, 8, "R"), (3, None, 7, "R"), (3, 1, None, "R"), (3, 2, 8, "N")]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"s{k}") for k in (7, 8, 9)], "s_suppkey bigint, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    relation = workload.supplier_relation(spark, str(tmp_path))
+    assert {(r.src, r.dst): r.score for r in relation.collect()} == {("s7", "s8"): 46, ("s7", "s9"): 23}
+    plan = relation._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_returnflag") and len([x for x in plan.splitlines() if "Relation" in x and "l_linenumber" in x]) == 1
