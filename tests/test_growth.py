@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from facetgraph import session
-from facetgraph.operators import scores, views
+from facetgraph.operators import scores, threshold_join, views
 from facetgraph.plans import workload
 
 
@@ -44,3 +44,32 @@ def test_suppliers_of_the_next_line(spark, tmp_path):
     assert {(r.src, r.dst): r.score for r in relation.collect()} == {("s7", "s8"): 46, ("s7", "s9"): 23}
     plan = relation._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_returnflag") and len([x for x in plan.splitlines() if "Relation" in x and "l_linenumber" in x]) == 1
+
+
+def test_common_features_are_never_sent_pair_by_pair(spark, monkeypatch):
+    """Rows that all share their features meet in blocks; none is lost, and a row without a key has no pair."""
+    rng = np.random.default_rng(3)
+    m = np.where(rng.random((90, 12)) < 0.7, rng.normal(size=(90, 12)), 0) + 0.5
+    m[40:50] += 4 * np.eye(12)[3]
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    monkeypatch.setattr(threshold_join, "LEAST_ROWS", 8)
+    df = spark.createDataFrame([(a, f"f{b}", float(m[a, b])) for a in range(90) for b in range(12)], "i bigint, f string, v double")
+    found = threshold_join.similar_rows(df.unionByName(df.limit(12).selectExpr("null AS i", "f", "v")), 0.8)
+    s = m @ m.T
+    want = {(a, b): s[a, b] for a in range(90) for b in range(a + 1, 90) if s[a, b] >= 0.8}
+    got = {(r.i, r.j): r.w for r in found.collect()}
+    assert len(want) > 20 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_frequent_features_are_added_as_a_matrix(monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b = (np.where(rng.random((n, 300)) < 0.4, rng.normal(size=(n, 300)), 0) for n in (20, 30))
+
+    def lists(m):
+        f, at = np.nonzero(m.T)
+        features, begin = np.unique(f, return_index=True)
+        return features, np.append(begin, len(f)), at, m[at, f]
+
+    for share in (0.0, 0.16, 1.0):
+        monkeypatch.setattr(threshold_join, "DENSE", share)
+        assert np.allclose(threshold_join._shared(lists(a), lists(b), (20, 30)), a @ b.T)
