@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from facetgraph import session
-from facetgraph.operators import scores, threshold_join, views
+from facetgraph.operators import scores, spectral, threshold_join, views
 from facetgraph.plans import workload
 
 
@@ -73,3 +73,13 @@ def test_frequent_features_are_added_as_a_matrix(monkeypatch):
     for share in (0.0, 0.16, 1.0):
         monkeypatch.setattr(threshold_join, "DENSE", share)
         assert np.allclose(threshold_join._shared(lists(a), lists(b), (20, 30)), a @ b.T)
+
+
+def test_few_matrix_rows_make_few_buckets(spark):
+    """Each bucket sends a sum for every entity it reaches: there are as many as the rows need, not as the session has partitions."""
+    ring = spark.createDataFrame([(f"n{x:02d}", f"n{(x + s) % 30:02d}", 1.0) for x in range(30) for s in (-1, 1)], "i string, j string, w double")
+    stack = spectral.stack_views({"ring": ring}, ring.select("i").distinct())
+    assert stack.cells.rows.rdd.getNumPartitions() == 1
+    summed = stack.cells.times({"y": spectral.F.col("a0")}, stack.nodes.selectExpr("concat('-1|', i) AS key", "cast(substr(i, 2) AS double) AS y0"), ["y0"])
+    assert {r.to: r.y0 for r in summed.collect()} == {f"n{x:02d}": float((x - 1) % 30 + (x + 1) % 30) for x in range(30)}
+    spectral.unstack(stack)
