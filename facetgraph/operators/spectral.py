@@ -1,9 +1,9 @@
 """Smallest eigenvectors of a normalised Laplacian over distributed rows.
 
-The basis is a table (i, y0..ym-1), one row per entity, and never leaves the executors; only m x m
-projections reach the driver. A step multiplies the basis by the matrix: the matrix rows stay in
-buckets of their column key, basis rows are sent there, and their products are summed as arrays in
-the bucket's task and by one grouped sum on the row key after it. Views given as factors
+The basis is a table of blocks (the ids and rows of some entities as one matrix) and never leaves the executors;
+only m x m projections reach the driver. A step multiplies the basis by the matrix: the matrix rows stay in
+buckets of their column key, packed as arrays once per set of weights, basis blocks are sent there, and their
+products are summed in the bucket's task and added where they are read next. Views given as factors
 (``A = F F'``) are walked in two such half steps, entity to feature and feature to entity, so
 their pairs are never formed.
 """
@@ -15,7 +15,6 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -26,6 +25,8 @@ from .views import both_directions
 
 SLICE_ROWS = 2_000_000
 PARTITION_ROWS = 500_000
+PACK_ROWS = 200_000  # matrix rows that are packed as one row of arrays
+BLOCK_IDS = 16_384  # entities in one row of a basis block, at most
 BUCKET_ROWS = 50_000  # a bucket gets as many rows at least, and SLICE_ROWS on average at most
 
 
@@ -280,56 +281,256 @@ def _affinity(stack: Stack, weights: Sequence[Column]) -> Column:
     return cell
 
 
-def _pass_on(stack: Stack, basis: DataFrame, weights: Sequence[Column], ys: list[str]) -> DataFrame:
-    """First half step: feature sums of the scaled basis next to the basis itself, by key."""
-    if stack.reach is None:
-        return basis.select(_name(-1, "i").alias("key"), *ys)
-    c = F.when(F.col("g") == -1, 1.0).otherwise(F.col("v") * _factor(weights, "di", stack.keep_diagonal))
-    return stack.reach.times({"y": c}, basis.withColumnRenamed("i", "key"), ys).withColumnRenamed("to", "key")
+#: Basis rows of one bucket. ``copy`` marks those of a hot key beyond its first slice.
+BLOCK = "t int, copy boolean, ids array<string>, m binary"
 
 
-def _step(stack: Stack, basis: DataFrame, weights: Sequence[float], m: int, alpha: float, beta: float, also_input: bool = False) -> DataFrame:
-    """``alpha * y + beta * N y`` with N the combined normalised affinity; optionally y itself as x0...
+def _block_rows(t: int, copy: bool, ids: pa.Array, m: np.ndarray) -> list[tuple]:
+    return [(t, copy, ids.slice(n, BLOCK_IDS), m[n : n + BLOCK_IDS].tobytes()) for n in range(0, len(ids), BLOCK_IDS)]
 
-    The basis is referenced once, so a chain of steps stays a chain in the plan.
+
+def _block_table(rows: list[tuple]) -> pa.Table:
+    ts, copies, ids, m = zip(*rows, strict=True) if rows else ((), (), (), ())
+    offsets = np.cumsum([0, *map(len, ids)])
+    held = pa.concat_arrays([x.cast(pa.string()) for x in ids]) if rows else pa.array([], pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), held)
+    return pa.Table.from_arrays([pa.array(ts, pa.int32()), pa.array(copies, pa.bool_()), lists, pa.array(m, pa.binary())], ["t", "copy", "ids", "m"])
+
+
+def _block_parts(table: pa.Table | pa.RecordBatch) -> list[tuple[pa.Array, np.ndarray]]:
+    """(ids, matrix) of each row."""
+    ids, m = table["ids"], table["m"]
+    out = []
+    for n in range(table.num_rows):
+        names = ids[n].values
+        out.append((names, np.frombuffer(m[n].as_buffer(), np.float64).reshape(len(names), -1)))
+    return out
+
+
+def _added(parts: list[tuple[pa.Array, np.ndarray]], m: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Different ids, the sums of their first ``m`` columns, their place among the wider rows or -1, the rest of those."""
+    names = pa.concat_arrays([ids for ids, _ in parts]).dictionary_encode()
+    codes, total = names.indices.to_numpy(zero_copy_only=False), np.zeros((len(names.dictionary), m))
+    place, rest, begin = np.full(len(total), -1), [], 0
+    for ids, values in parts:
+        here = codes[begin : begin + len(ids)]
+        total[here] += values[:, :m]  # an id comes once in a part
+        if values.shape[1] > m:
+            place[here] = sum(map(len, rest)) + np.arange(len(here))
+            rest.append(values[:, m:])
+        begin += len(ids)
+    return names.dictionary, total, place, np.concatenate(rest) if rest else np.zeros((0, 0))
+
+
+def _whole_blocks(table: pa.Table) -> pa.Table:
+    """The blocks of a group with their partial sums added, ids in order."""
+    parts = _block_parts(table)
+    width = max(values.shape[1] for _, values in parts)
+    ids, total, _, _ = _added([(names, np.pad(values, ((0, 0), (0, width - values.shape[1])))) for names, values in parts], width)
+    order = pc.array_sort_indices(ids)
+    return _block_table(_block_rows(table["t"][0].as_py(), table["copy"][0].as_py(), ids.take(order), total[order.to_numpy()]))
+
+
+def _merged(blocks: DataFrame) -> DataFrame:
+    return cut(blocks.groupBy("t", "copy").applyInArrow(_whole_blocks, BLOCK))
+
+
+def _packs(batches):
+    """Matrix rows (t, key, to, own, c, d), in the order of t and to, as arrays of up to ``PACK_ROWS`` rows of a bucket."""
+
+    def packed(t: int, parts: list[pa.Table]) -> pa.RecordBatch:
+        rows = pa.concat_tables(parts).combine_chunks()
+        keys, tos = (rows[x].combine_chunks().dictionary_encode() for x in ("key", "to"))
+        at, to = (x.indices.to_numpy(zero_copy_only=False).astype(np.int32) for x in (keys, tos))
+        first = np.unique(to, return_index=True)[1]
+        c, own = rows["c"].to_numpy(), np.flatnonzero(rows["own"].to_numpy())
+        kept = np.flatnonzero(c != 0)
+        kept = kept[np.argsort(to[kept], kind="stable")]
+        row = {
+            "t": t, "keys": keys.dictionary, "tos": tos.dictionary, "d": rows["d"].combine_chunks().take(pa.array(first)),
+            "at": at[kept].tobytes(), "on": to[kept].tobytes(), "c": c[kept].tobytes(), "own_at": at[own].tobytes(), "own_to": to[own].tobytes(),
+        }
+        kinds = {"t": pa.int32(), "keys": pa.list_(pa.string()), "tos": pa.list_(pa.string()), "d": pa.list_(pa.list_(pa.int32()))}
+        arrays = []
+        for name, value in row.items():
+            if isinstance(value, pa.Array):
+                arrays.append(pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value.cast(kinds[name].value_type)))
+            else:
+                arrays.append(pa.array([value], kinds.get(name, pa.binary())))
+        return pa.RecordBatch.from_arrays(arrays, list(row))
+
+    parts, held, now = [], 0, None
+    for batch in batches:
+        t = batch["t"].to_numpy()
+        edges = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1).tolist(), len(t)] if len(t) else []
+        for b, e in zip(edges[:-1], edges[1:], strict=True):
+            if parts and (t[b] != now or held >= PACK_ROWS):
+                yield packed(now, parts)
+                parts, held = [], 0
+            now = int(t[b])
+            parts.append(pa.Table.from_batches([batch.slice(b, e - b)]))
+            held += e - b
+    if parts:
+        yield packed(now, parts)
+
+
+PACK = "t int, keys array<string>, tos array<string>, d array<array<int>>, at binary, `on` binary, c binary, own_at binary, own_to binary"
+
+
+def _multiplied(m: int, alpha: float | None, beta: float):
+    """Parts of ``beta`` times the sums of ``m`` columns, by bucket; own rows pass on theirs, after ``alpha`` times the first ones."""
+
+    def run(packs: pa.Table, basis: pa.Table) -> pa.Table:
+        if not basis.num_rows or not packs.num_rows:
+            return _block_table([])
+        ids, total, place, rest = _added(_block_parts(basis), m)
+        columns, out = np.ascontiguousarray(total.T), []
+        for n in range(packs.num_rows):
+            keys, tos, d = (packs[x][n].values for x in ("keys", "tos", "d"))
+            at, on, own_at, own_to = (np.frombuffer(packs[x][n].as_buffer(), np.int32) for x in ("at", "on", "own_at", "own_to"))
+            c = np.frombuffer(packs["c"][n].as_buffer(), np.float64)
+            spot = pc.index_in(keys, value_set=ids).fill_null(-1).to_numpy(zero_copy_only=False)
+            known = spot[at] >= 0
+            if not known.all():
+                at, on, c = at[known], on[known], c[known]
+            at, starts = spot[at], np.flatnonzero(np.diff(on, prepend=-1))
+            sums = np.empty((len(starts), m))
+            for k in range(m if len(starts) else 0):
+                sums[:, k] = np.add.reduceat(c * columns[k][at], starts)
+            own_to, own_at = own_to[spot[own_at] >= 0], spot[own_at[spot[own_at] >= 0]]
+            passed = [total[own_at]] if alpha is None else [alpha * total[own_at], total[own_at]]
+            if rest.size:
+                passed.append(rest[place[own_at]])
+            size, goal = pc.list_value_length(d).to_numpy(), d.flatten().to_numpy()
+            owner, turn = np.repeat(np.arange(len(tos)), size), np.arange(len(goal)) - np.repeat(np.cumsum(size) - size, size)
+            for where, values in ((on[starts], beta * sums), (own_to, np.hstack(passed))):
+                row = np.full(len(tos), -1)
+                row[where] = np.arange(len(where))
+                for copy in (False, True):
+                    there = (row[owner] >= 0) & ((turn > 0) == copy)
+                    for b in np.unique(goal[there]):
+                        chosen = owner[there & (goal == b)]
+                        out += _block_rows(int(b), copy, tos.take(pa.array(chosen)), values[row[chosen]])
+        return _block_table(out)
+
+    return run
+
+
+@dataclass
+class Affinity:
+    """The combined normalised affinity N of a stack for one set of weights, as arrays by bucket.
+
+    A basis lies in blocks (ids and their rows as one matrix) beside the buckets that it meets first. What a
+    bucket sends are partial sums; they are added where they are read next.
     """
-    ys = _columns(m)
-    a, b, *ws = _parameters([alpha, beta, *weights])
-    c = b * _affinity(stack, ws) + F.when(_own(), a).otherwise(0.0)
-    wanted = {"y": c, "x": F.when(_own(), 1.0).otherwise(0.0)} if also_input else {"y": c}
-    return stack.cells.times(wanted, _pass_on(stack, basis, ws, ys), ys).withColumnRenamed("to", "i")
 
+    cells: DataFrame
+    reach: DataFrame | None
+    enter: tuple[Buckets, bool]
 
-def _gram(df: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
-    """``L' R`` of two column groups: per-batch products, summed by Spark; small on the driver."""
+    @classmethod
+    def build(cls, stack: Stack, weights: Sequence[float]) -> Affinity:
+        ws = _parameters(weights)
+        enter = (stack.cells, True) if stack.reach is None else (stack.reach, False)
+        # entities go by their plain ids where no feature is among the keys
+        key = "j" if stack.reach is None else "key"
+        cells, reach = cls._pack(stack.cells, key, _affinity(stack, ws), _own(), *enter), None
+        if stack.reach is not None:
+            passed = F.col("g") == -1
+            c = F.when(passed, 0.0).otherwise(F.col("v") * _factor(ws, "di", stack.keep_diagonal))
+            reach = cls._pack(stack.reach, "key", c, passed, stack.cells, False)
+        return cls(cells, reach, enter)
+
+    @staticmethod
+    def _goals(rows: DataFrame, name: str, to: Buckets, named: bool) -> DataFrame:
+        """rows with ``d``: the buckets of ``to`` that the key ``name`` goes to."""
+        key = _name(-1, name) if named else F.col(name)
+        if to.hot is None:
+            return rows.withColumn("d", F.array(F.pmod(F.xxhash64(key), F.lit(to.n)).cast("int")))
+        rows = rows.withColumn("met", key).join(to.hot.select(F.col("key").alias("met"), "slices"), "met", "left")
+        slices = F.sequence(F.lit(0), F.coalesce(F.col("slices").cast("int"), F.lit(1)) - 1)
+        return rows.withColumn("d", F.array_distinct(F.transform(slices, lambda s: F.pmod(F.xxhash64("met", s), F.lit(to.n)).cast("int")))).drop("met", "slices")
+
+    @classmethod
+    def _pack(cls, buckets: Buckets, key: str, c: Column, own: Column, to: Buckets, named: bool) -> DataFrame:
+        rows = buckets.rows.select("t", F.col(key).alias("key"), "to", own.alias("own"), c.cast("double").alias("c"))
+        led = cls._goals(rows, "to", to, named).select("t", "key", "to", "own", "c", "d")
+        if to.hot is not None:
+            led = led.repartition(buckets.n, "t").sortWithinPartitions("t", "to")
+        return led.mapInArrow(_packs, PACK).repartition(buckets.n, "t").sortWithinPartitions("t").persist()
+
+    def release(self) -> None:
+        self.cells.unpersist()
+        if self.reach is not None:
+            self.reach.unpersist()
+
+    def blocks(self, basis: DataFrame, ys: list[str]) -> DataFrame:
+        """Blocks of a basis (i, ys..)."""
+
+        def run(batches):
+            for batch in batches:
+                t, copy = (batch[x].to_numpy(zero_copy_only=False) for x in ("t", "copy"))
+                values, rows = np.column_stack([batch[y].to_numpy() for y in ys]), []
+                for one in (False, True):
+                    for b in np.unique(t[copy == one]):
+                        chosen = np.flatnonzero((copy == one) & (t == b))
+                        rows += _block_rows(int(b), one, batch["i"].take(pa.array(chosen)), values[chosen])
+                yield from _block_table(rows).to_batches()
+
+        dealt = self._goals(basis, "i", *self.enter).select("i", *ys, F.posexplode("d").alias("n", "t"))
+        return dealt.select("i", *ys, "t", (F.col("n") > 0).alias("copy")).mapInArrow(run, BLOCK)
+
+    def step(self, blocks: DataFrame, m: int, alpha: float, beta: float) -> DataFrame:
+        """Parts with ``alpha * y + beta * N y`` before all columns that are there, y being the first ``m`` of them."""
+        if self.reach is not None:
+            blocks = self._times(self.reach, blocks, _multiplied(m, None, 1.0))
+        return self._times(self.cells, blocks, _multiplied(m, alpha, beta))
+
+    @staticmethod
+    def _times(packs: DataFrame, blocks: DataFrame, run) -> DataFrame:
+        return packs.groupBy("t").cogroup(blocks.groupBy("t")).applyInArrow(run, BLOCK)
+
+
+def _gram(blocks: DataFrame, width: int) -> np.ndarray:
+    """Inner products of all columns: sums in the tasks, added by Spark; small on the driver."""
+    a, b = np.triu_indices(width)
 
     def products(batches):
-        total = np.zeros((len(left), len(right)))
-        for pdf in batches:
-            total += pdf[left].to_numpy().T @ pdf[right].to_numpy()
-        a, b = np.indices(total.shape)
-        yield pd.DataFrame({"a": a.ravel(), "b": b.ravel(), "g": total.ravel()})
-
-    columns = list(dict.fromkeys(left + right))
-    sums = df.select(*columns).mapInPandas(products, "a bigint, b bigint, g double").groupBy("a", "b").agg(F.sum("g").alias("g"))
-    out = np.zeros((len(left), len(right)))
-    cells = sums.toPandas()
-    out[cells.a, cells.b] = cells.g
+        total = np.zeros((width, width))
+        for batch in batches:
+            for _, m in _block_parts(batch):
+                total += m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[a, b])], ["a", "b", "g"])
+
+    sums = blocks.filter(~F.col("copy")).mapInArrow(products, "a bigint, b bigint, g double").groupBy("a", "b").agg(F.sum("g").alias("g"))
+    out = np.zeros((width, width))
+    cells = sums.toArrow()
+    at = cells["a"].to_numpy(), cells["b"].to_numpy()
+    out[at] = out[at[::-1]] = cells["g"].to_numpy()
     return out
 
 
-def _rotate(df: DataFrame, columns: list[str], rotation: np.ndarray, prefix: str = "y") -> DataFrame:
+def _rotate(blocks: DataFrame, rotation: np.ndarray) -> DataFrame:
     """New columns as linear combinations of the old ones."""
-    kind = df.schema["i"].dataType.simpleString()
-    names = _columns(rotation.shape[1], prefix)
 
     def apply(batches):
-        for pdf in batches:
-            turned = pd.DataFrame(pdf[columns].to_numpy() @ rotation, columns=names)
-            turned.insert(0, "i", pdf["i"].to_numpy())
-            yield turned
+        for batch in batches:
+            turned = pa.array([np.ascontiguousarray(m @ rotation).tobytes() for _, m in _block_parts(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["t"], batch["copy"], batch["ids"], turned], ["t", "copy", "ids", "m"])
+
+    return blocks.mapInArrow(apply, BLOCK)
+
+
+def _plain(blocks: DataFrame, width: int) -> DataFrame:
+    """(i, y0..), a row per entity."""
+    names = _columns(width)
 
-    return df.select("i", *columns).mapInPandas(apply, f"i {kind}, " + ", ".join(f"{n} double" for n in names))
+    def run(batches):
+        for batch in batches:
+            for ids, m in _block_parts(batch):
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(m[:, n])) for n in range(width)]], ["i", *names])
+
+    return blocks.filter(~F.col("copy")).mapInArrow(run, "i string, " + ", ".join(f"{n} double" for n in names))
 
 
 def _start(stack: Stack, m: int) -> DataFrame:
@@ -399,26 +600,6 @@ def _ritz(gram: np.ndarray, image: np.ndarray, cutoff: float) -> tuple[np.ndarra
     return values, scale[:n, None] * rotation, residual
 
 
-def _krylov(stack: Stack, weights: Sequence[float], residuals: DataFrame, a: int, limit: float, shifts: Sequence[float]) -> list[DataFrame]:
-    """Tables (i, b0.., b1..) of the normalised residuals and their images under the shifted operator.
-
-    Column group j + 1 is ``(2 / limit * L - 1 - shift j)`` times group j: a recurrence of two terms,
-    so that a step needs nothing but the group before it. Two steps are one job.
-    """
-    tables, current = [], residuals
-    for j, shift in enumerate(shifts):
-        kept = j % 2 == 0 or j == len(shifts) - 1
-        stepped = _step(stack, current, weights, a, alpha=2 / limit - 1 - shift, beta=-2 / limit, also_input=kept)
-        if kept:
-            stepped = cut(stepped)
-            held = [F.col(f"y{n}").alias(f"b{j + 1}_{n}") for n in range(a)]
-            if j % 2 == 0:  # else the table before has the group already
-                held += [F.col(f"x{n}").alias(f"b{j}_{n}") for n in range(a)]
-            tables.append(stepped.select("i", *held))
-        current = stepped.select("i", *_columns(a))
-    return tables
-
-
 def smallest_eigenvectors(
     stack: Stack,
     weights: Sequence[float],
@@ -446,38 +627,46 @@ def smallest_eigenvectors(
     rows = start.rows.select("i", *_columns(min(m, start.width))) if start is not None else _start(stack, m)
     width = min(m, start.width) if start is not None else m
     residual = np.full(k, np.inf)
-    for round_ in range(max_rounds):
-        # the step keeps the vectors x and gives L x = x - N x as y
-        applied = cut(_step(stack, rows, weights, width, alpha=1.0, beta=-1.0, also_input=True))
-        xs, ys = _columns(width, "x"), _columns(width)
-        gram = _gram(applied, xs + ys, xs + ys)
-        values, turn, residual = _ritz(gram, np.eye(2 * width)[:, width:], 1e-12)
-        rank = len(values)
-        if rank >= k and residual[:k].max() < tol:
-            return Basis(values, _rotate(applied, xs, turn), k, rank, round_ + 1)
-        active = np.flatnonzero(residual >= tol / 10)
-        a = len(active)
-        # Ritz vectors and, for the active ones, their residuals at length 1
-        left = np.vstack([turn, np.zeros((width, rank))])
-        right = np.vstack([-turn[:, active] * values[active], turn[:, active]]) / residual[active]
-        turned = cut(_rotate(applied, xs + ys, np.hstack([left, right]), "v"))
-        ritz = turned.select("i", *[F.col(f"v{n}").alias(f"x{n}") for n in range(rank)])
-        chain = _krylov(stack, weights, turned.select("i", *[F.col(f"v{rank + n}").alias(f"y{n}") for n in range(a)]), a, limit, shifts)
-        wide = reduce(lambda s, t: s.join(t, "i"), chain, ritz)
-        d = len(shifts)
-        space = _columns(rank, "x") + [f"b{j}_{n}" for j in range(d) for n in range(a)]
-        every = space + [f"b{d}_{n}" for n in range(a)]
-        # L x = value * x + |residual| * b0 and L b_j = limit / 2 * (b_j+1 + (1 + shift) * b_j)
-        image = np.zeros((len(every), len(space)))
-        image[np.arange(rank), np.arange(rank)] = values
-        image[rank + np.arange(a), active] = residual[active]
-        for j, shift in enumerate(shifts):
-            at = rank + j * a + np.arange(a)
-            image[at, at] = limit / 2 * (1 + shift)
-            image[at + a, at] = limit / 2
-        _, turn, _ = _ritz(_gram(wide, every, every), image, 1e-11)
-        width = min(m, turn.shape[1])
-        rows = _rotate(wide, space, turn[:, :width])
+    affinity = Affinity.build(stack, weights)
+    try:
+        blocks = affinity.blocks(rows, _columns(width))
+        for round_ in range(max_rounds):
+            # columns L x = x - N x, then x
+            applied = _merged(affinity.step(blocks, width, alpha=1.0, beta=-1.0))
+            order = np.r_[width : 2 * width, :width]
+            gram = _gram(applied, 2 * width)[np.ix_(order, order)]
+            values, turn, residual = _ritz(gram, np.eye(2 * width)[:, width:], 1e-12)
+            rank = len(values)
+            if rank >= k and residual[:k].max() < tol:
+                return Basis(values, _plain(_rotate(applied, np.vstack([np.zeros((width, rank)), turn])), rank), k, rank, round_ + 1)
+            active = np.flatnonzero(residual >= tol / 10)
+            a = len(active)
+            # the residuals of the active Ritz vectors at length 1, and all Ritz vectors
+            left = np.vstack([turn[:, active], -turn[:, active] * values[active]]) / residual[active]
+            right = np.vstack([np.zeros((width, rank)), turn])
+            chain = _rotate(applied, np.hstack([left, right]))
+            for shift in shifts:  # one job: parts of a step are added as the next one reads them
+                chain = affinity.step(chain, a, alpha=2 / limit - 1 - shift, beta=-2 / limit)
+            wide, d = _merged(chain), len(shifts)
+            # columns b_d, .., b_0, x in order x, b_0, .., b_d
+            order = np.r_[(d + 1) * a : (d + 1) * a + rank, *[np.arange((d - j) * a, (d - j + 1) * a) for j in range(d + 1)]]
+            gram = _gram(wide, len(order))[np.ix_(order, order)]
+            # L x = value * x + |residual| * b0 and L b_j = limit / 2 * (b_j+1 + (1 + shift) * b_j)
+            space = rank + d * a
+            image = np.zeros((space + a, space))
+            image[np.arange(rank), np.arange(rank)] = values
+            image[rank + np.arange(a), active] = residual[active]
+            for j, shift in enumerate(shifts):
+                at = rank + j * a + np.arange(a)
+                image[at, at] = limit / 2 * (1 + shift)
+                image[at + a, at] = limit / 2
+            _, turn, _ = _ritz(gram, image, 1e-11)
+            width = min(m, turn.shape[1])
+            rotation = np.zeros((space + a, width))
+            rotation[order[:space]] = turn[:, :width]
+            blocks = _rotate(wide, rotation)
+    finally:
+        affinity.release()
     raise RuntimeError(f"eigenvectors not converged after {max_rounds} rounds: largest residual {residual[:k].max():.1e}")
 
 

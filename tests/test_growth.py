@@ -83,3 +83,24 @@ def test_few_matrix_rows_make_few_buckets(spark):
     summed = stack.cells.times({"y": spectral.F.col("a0")}, stack.nodes.selectExpr("concat('-1|', i) AS key", "cast(substr(i, 2) AS double) AS y0"), ["y0"])
     assert {r.to: r.y0 for r in summed.collect()} == {f"n{x:02d}": float((x - 1) % 30 + (x + 1) % 30) for x in range(30)}
     spectral.unstack(stack)
+
+
+def test_steps_of_the_solver_move_arrays(spark):
+    """Matrix rows are packed once per weights and a basis moves in blocks: steps read a few rows, whatever the cells and vectors."""
+    rng = np.random.default_rng(7)
+    w = np.triu(rng.random((60, 60)), 1)
+    cells = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}", float(w[a, b])) for a, b in zip(*np.nonzero(w), strict=True)], "i string, j string, w double")
+    everyone = spark.createDataFrame([(f"n{a:02d}",) for a in range(60)], "i string")
+    stack = spectral.stack_views({"dense": cells}, everyone)
+    d = (w + w.T).sum(axis=1)
+    n = (w + w.T) / np.sqrt(np.outer(d, d))
+    affinity = spectral.Affinity.build(stack, [1.0])
+    assert stack.cells.rows.count() == 60 * 60 and affinity.cells.count() == 1
+    y = rng.random((60, 3))
+    basis = spark.createDataFrame([(f"n{a:02d}", *map(float, y[a])) for a in range(60)], "i string, y0 double, y1 double, y2 double")
+    stepped = spectral._merged(affinity.step(affinity.blocks(basis, ["y0", "y1", "y2"]), 2, alpha=2.0, beta=-3.0))
+    assert stepped.columns == ["t", "copy", "ids", "m"] and stepped.count() == 1
+    got = spectral._plain(stepped, 5).orderBy("i").toPandas()
+    assert np.allclose(got.drop(columns="i").to_numpy(), np.hstack([2 * y[:, :2] - 3 * n @ y[:, :2], y]))
+    affinity.release()
+    spectral.unstack(stack)
