@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import categories, code_points, lower_points, mix, text_runs
-from .shared import mapped, stash
+from .shared import Scratch, mapped, stash
 
 RUN_BYTES = 1 << 19
 HELD_GRAMS = 1_000_000
@@ -62,8 +62,8 @@ def gram_codes(s: np.ndarray, starts: np.ndarray, order: int, width: int) -> np.
     return code
 
 
-def gram_counts(texts: DataFrame, order: int, letters_only: bool, width: int = 12) -> DataFrame:
-    """texts(cls, text) to (cls, code, n): grams of the full order, summed in each task first."""
+def task_counts(texts: DataFrame, order: int, letters_only: bool, width: int = 12) -> DataFrame:
+    """texts(cls, text) to (cls, code, n): grams of the full order, summed in each task only."""
 
     def merged(parts):
         cls, code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -95,7 +95,12 @@ def gram_counts(texts: DataFrame, order: int, letters_only: bool, width: int = 1
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(parts)], ["cls", "code", "n"])
 
-    return mapped(texts.select(F.col("cls").cast("int"), "text"), run, "cls int, code bigint, n bigint").groupBy("cls", "code").agg(F.sum("n").alias("n"))
+    return mapped(texts.select(F.col("cls").cast("int"), "text"), run, "cls int, code bigint, n bigint")
+
+
+def gram_counts(texts: DataFrame, order: int, letters_only: bool, width: int = 12) -> DataFrame:
+    """texts(cls, text) to (cls, code, n): grams of the full order, summed in each task first."""
+    return task_counts(texts, order, letters_only, width).groupBy("cls", "code").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -168,11 +173,15 @@ def _arrays(table: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
     return key[rank], matrix
 
 
-def tables(grams: DataFrame, classes: int, order: int, width: int = 12, modified: bool = False, shared_orders: int = 0) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+def tables(
+    grams: DataFrame, classes: int, order: int, width: int = 12, modified: bool = False, shared_orders: int = 0, scratch: Scratch | None = None
+) -> Iterator[tuple[int, DataFrame, DataFrame]]:
     """grams(grp, code, a: count per class) to (k, grams, contexts) of each order from 1, both (grp, code, v: logarithm per class).
 
-    Groups share nothing. Orders up to ``shared_orders`` are pooled over the classes.
+    Groups share nothing. Orders up to ``shared_orders`` are pooled over the classes. The tables lie in ``scratch``,
+    if there is one, and counts go from it once they have been used, ``grams`` too.
     """
+    keep = scratch.keep if scratch else stash
     counted = {order: grams}
     for k in range(order - 1, 0, -1):
         # how many different symbols come before the shorter gram
@@ -181,7 +190,7 @@ def tables(grams: DataFrame, classes: int, order: int, width: int = 12, modified
         else:
             ext = [F.sum((F.col("a")[c] > 0).cast("double")) for c in range(classes)]
         short = F.col("code").bitwiseAND(F.lit((1 << (width * k)) - 1)).alias("code")
-        counted[k] = stash(counted[k + 1].groupBy("grp", short).agg(F.array(*ext).alias("a")), "grams")
+        counted[k] = keep(counted[k + 1].groupBy("grp", short).agg(F.array(*ext).alias("a")), "grams")
     lower = None
     logs = lambda name: F.array(*[F.log(F.greatest(F.col(name)[c], F.lit(1e-30))).cast("float") for c in range(classes)])
     for k in range(1, order + 1):
@@ -194,7 +203,7 @@ def tables(grams: DataFrame, classes: int, order: int, width: int = 12, modified
             F.array(*[F.sum(off(c)) for c in range(classes)]).alias("freed"),
         )
         weight = [F.when(F.col("total")[c] > 0, F.col("freed")[c] / F.col("total")[c]).otherwise(1.0) for c in range(classes)]
-        context = stash(context.select("grp", "ctx", "total", F.array(*weight).alias("weight")), "contexts")
+        context = keep(context.select("grp", "ctx", "total", F.array(*weight).alias("weight")), "contexts")
         joined = coded.join(context, ["grp", "ctx"])
         if lower is None:
             joined = joined.withColumn("q", F.array(*[F.lit(0.5**width)] * classes))
@@ -205,7 +214,9 @@ def tables(grams: DataFrame, classes: int, order: int, width: int = 12, modified
             F.when(F.col("total")[c] > 0, (a(c) - off(c)) / F.col("total")[c]).otherwise(0.0) + F.col("weight")[c] * F.col("q")[c]
             for c in range(classes)
         ]
-        lower = stash(joined.select("grp", "code", F.array(*p).alias("p")), "probabilities")
+        lower = keep(joined.select("grp", "code", F.array(*p).alias("p")), "probabilities")
+        if scratch:
+            scratch.drop(counted[k])
         yield k, lower.select("grp", "code", logs("p").alias("v")), context.select("grp", F.col("ctx").alias("code"), logs("weight").alias("v"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import collocations, decontamination, fingerprint, html_text, language_id, licenses, packing, quality, simhash, suffix_dedup, toxicity, vector_codes, warc
-from .shared import stash, table
+from .shared import Scratch, stash, table
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,7 +46,8 @@ def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     trusted = table(spark, sf, "labels").filter("quality = 1").select("doc_id").hint("merge")  # grows with the documents: never broadcast
     languages, model = quality.train(docs.join(trusted, "doc_id", "left_semi"))
-    scored = stash(quality.perplexities(docs, languages, model).select("doc_id", "lang", "read_as", "perplexity"), "perplexities")
+    scratch = Scratch(spark, "zstd")
+    scored = scratch.last(quality.perplexities(docs, languages, model, scratch, with_text=False), "perplexities")
     cuts = stash(quality.limits(scored.join(trusted, "doc_id", "left_semi")), "limits")
     return quality.judged(scored, cuts).select("doc_id", "lang", "read_as", "perplexity", "lowest", "highest", "keep")
 

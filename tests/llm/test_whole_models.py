@@ -3,13 +3,17 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from facetgraph.llm import kneser_ney as kn
-from facetgraph.llm import quality
+from facetgraph.llm import quality, queries
 from facetgraph.llm.arrow import ODD, mix
+from facetgraph.session import ensure_checkpoint_dir
 
 from .test_models import say
 
@@ -89,3 +93,29 @@ def test_every_trusted_text_is_left_out_of_its_own_model(spark, docs, monkeypatc
     cuts = quality.limits(scored.filter(F.col("doc_id") < 200))
     kept = {r.doc_id: r.keep for r in quality.judged(scored, cuts).collect()}
     assert sum(kept[k] for k in rare) >= 4 and not kept[301]
+
+
+def test_quality_keeps_only_its_results_on_disk(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(k, say(rng, lang, 30), lang) for k, lang in enumerate(["xx", "yy"] * 20)] + [(100, None, "xx"), (101, "", "yy"), (102, "new one", None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1) for k in range(30)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    root = Path(urlparse(ensure_checkpoint_dir(spark)).path)
+    before, tables = set(root.iterdir()), len(spark.catalog.listTables())
+    out = queries.op5_quality(spark, str(tmp_path))
+    left = sorted(p.name.split("-")[0] for p in set(root.iterdir()) - before)
+    assert left == ["limits", "perplexities"] and len(spark.catalog.listTables()) == tables
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(rows) and sum(got[k].keep for k in range(30)) > 20
+    assert got[100].perplexity is None and got[101].perplexity is None and got[102].read_as in ("xx", "yy")
+
+
+def test_a_block_has_one_language_and_may_have_no_gram(spark, docs):
+    rng = random.Random(6)
+    rows = [(k, say(rng, lang, 30), lang, None) for k, lang in enumerate(["xx", "yy"] * 20)]
+    languages, model = quality.train(docs(rows))
+    blocks = quality._blocks(docs(rows).withColumn("own", quality._number(languages)))
+    owns = [(r.text_block, {o for _, b in quality._unpacked(pa.array([bytes(r.packed)])) for o in b.column("own").to_pylist()}) for r in blocks.collect()]
+    assert {b: o for b, o in owns} == {0: {0}, 1: {1}} and all(len(o) == 1 for _, o in owns)
+    assert [r.perplexity for r in quality.perplexities(docs([(1, "", "xx", None), (2, None, "xx", None)]), languages, model).collect()] == [None, None]
+    assert quality.perplexities(docs([]), languages, model).count() == 0
