@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from dense import calinski, cells, laplacian, matrix, planted, silhouette
 from pyspark.sql import functions as F
@@ -262,3 +263,18 @@ def test_counts_of_large_groups_alone_are_not_summed_again(spark):
     plan = counts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "HashAggregate" not in plan[: plan.index("MapInArrow")]
     assert {(r.a, r.b): r.n for r in counts.collect()} == brute_counts({k: [m for g, m in rows if g == k] for k in range(3)})
+
+
+def test_cells_leave_a_task_as_numbers_beside_one_list_of_names():
+    pair, n = views._Pair(), 100
+    names = pa.array([f"e{k:03d}" for k in range(n)])
+    none = pa.array([[]] * n, pa.list_(pa.int64()))
+    pair.take(-1, np.full(n, 2), names, none, none.cast(pa.list_(pa.float64())))
+    pair.take(0, np.full(n, 2), names, pa.array([[7]] * n, pa.list_(pa.int64())), pa.array([[float(k + 1)] for k in range(n)]))
+    sent = list(pair.rows(True, 0, None))
+    assert sum(len(b) for b in sent) <= n // views.SENT + 1
+    got = {}
+    for r in (r for b in sent for r in b.to_pylist()):
+        assert len(r["names"]) <= n + views.SENT
+        got.update({(r["names"][a], r["names"][b]): w for a, b, w in zip(r["one"], r["two"], r["w"], strict=True)})
+    assert got == {(f"e{a:03d}", f"e{b:03d}"): (a + 1.0) * (b + 1) for a in range(n) for b in range(a + 1, n)}
