@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, release
 from . import laplacian, views as vw
 from .spectral import Basis, Stack, smallest_eigenvectors, stack_views, trace_losses
 
@@ -55,7 +55,9 @@ def self_weighted(views: dict[str, DataFrame], entities: DataFrame, k: int, vari
     history: list[tuple] = []
     basis: Basis | None = None
     for it in range(s["max_iter"]):
-        basis = smallest_eigenvectors(stack, weights, k, start=basis, tol=tol)
+        before, basis = basis, smallest_eigenvectors(stack, weights, k, start=basis, tol=tol)
+        if before is not None:
+            release(before.rows)
         losses = trace_losses(stack, basis)
         updated = softmax_weights(losses, s["gamma"])
         step = float(np.linalg.norm(updated - weights))

@@ -1,15 +1,16 @@
 """Smallest eigenvectors of a normalised Laplacian over distributed rows.
 
 The basis is a table of blocks (the ids and rows of some entities as one matrix) and never leaves the executors;
-only m x m projections reach the driver. A step multiplies the basis by the matrix: the matrix rows stay in
-buckets of their column key, packed as arrays once per set of weights, basis blocks are sent there, and their
-products are summed in the bucket's task and added where they are read next. Views given as factors
-(``A = F F'``) are walked in two such half steps, entity to feature and feature to entity, so
-their pairs are never formed.
+only m x m projections reach the driver. The matrix is a grid: a task holds the rows from one block of keys to one
+block of targets, packed as compressed arrays, once for all weights. A step sends each basis block to the tasks of
+its line of the grid and adds the sums of a column, so that what travels grows with the width of the grid and not
+with its tasks. Views given as factors (``A = F F'``) are walked in two such half steps, entity to feature and
+feature to entity, so their pairs are never formed. What a step or a round has used up is removed at its end.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -20,12 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .views import both_directions
+from ..session import cleaned, cut, kept, release
 
 SLICE_ROWS = 2_000_000
 PARTITION_ROWS = 500_000
-PACK_ROWS = 200_000  # matrix rows that are packed as one row of arrays
+PACK_ROWS = 500_000  # matrix rows that a task packs at once before they are dealt to the grid
 BLOCK_IDS = 16_384  # entities in one row of a basis block, at most
 BUCKET_ROWS = 50_000  # a bucket gets as many rows at least, and SLICE_ROWS on average at most
 
@@ -69,87 +69,337 @@ class Walk:
         return self.rows.select(*keys, *columns).join(copied, keys)
 
 
-def _name(g, key: str) -> Column:
-    """A feature of the factor view ``g``, or an entity for -1, as one key."""
-    return F.concat_ws("|", (g if isinstance(g, Column) else F.lit(g)).cast("string"), F.col(key))
+# --- basis blocks ----------------------------------------------------------------------------------
+
+#: Rows of some ids. ``t`` is their block, or the task that they are sent to; ``copy`` marks what is not a whole row
+#: of the basis: rows on their way to a task, and partial sums. A whole row ends with the scale of its entity, ``d^-1/2``, and what
+#: its own cell loses.
+BLOCK = "t int, copy boolean, ids array<string>, m binary"
+SCALES = 2
+
+
+def _block_rows(t: int, copy: bool, ids: pa.Array, m: np.ndarray) -> list[tuple]:
+    return [(t, copy, ids.slice(n, BLOCK_IDS), np.ascontiguousarray(m[n : n + BLOCK_IDS]).tobytes()) for n in range(0, len(ids), BLOCK_IDS)]
+
+
+def _block_table(rows: list[tuple]) -> pa.Table:
+    ts, copies, ids, m = zip(*rows, strict=True) if rows else ((), (), (), ())
+    offsets = np.cumsum([0, *map(len, ids)])
+    held = pa.concat_arrays([x.cast(pa.string()) for x in ids]) if rows else pa.array([], pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), held)
+    return pa.Table.from_arrays([pa.array(ts, pa.int32()), pa.array(copies, pa.bool_()), lists, pa.array(m, pa.binary())], ["t", "copy", "ids", "m"])
+
 
+def _block_parts(table: pa.Table | pa.RecordBatch) -> list[tuple[pa.Array, np.ndarray]]:
+    """(ids, matrix) of each row."""
+    ids, m = table["ids"], table["m"]
+    out = []
+    for n in range(table.num_rows):
+        names = ids[n].values
+        out.append((names, np.frombuffer(m[n].as_buffer(), np.float64).reshape(len(names), -1)))
+    return out
+
+
+def _added(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    """Different ids and the sums of their rows."""
+    names = pa.concat_arrays([ids for ids, _ in parts]).dictionary_encode()
+    codes, total, begin = names.indices.to_numpy(zero_copy_only=False), np.zeros((len(names.dictionary), parts[0][1].shape[1])), 0
+    for ids, values in parts:
+        total[codes[begin : begin + len(ids)]] += values  # an id comes once in a part
+        begin += len(ids)
+    return names.dictionary, total
+
+
+def _whole_blocks(table: pa.Table) -> pa.Table:
+    """The whole rows of a block with the partial sums of their first columns added, ids in order."""
+    parts, partial = _block_parts(table), table["copy"].to_pylist()
+    whole = [p for p, copy in zip(parts, partial, strict=True) if not copy]
+    sums = [p for p, copy in zip(parts, partial, strict=True) if copy]
+    if not whole:
+        return _block_table([])  # sums of ids that are no entities
+    ids, rows = pa.concat_arrays([x for x, _ in whole]), np.concatenate([m for _, m in whole])
+    order = pc.array_sort_indices(ids)
+    ids, rows = ids.take(order), rows[order.to_numpy()]
+    if sums:
+        names, total = _added(sums)
+        at = pc.index_in(names, value_set=ids).fill_null(-1).to_numpy(zero_copy_only=False)
+        known = at >= 0
+        rows[at[known], : total.shape[1]] += rows[at[known], -SCALES, None] * total[known]
+    return _block_table(_block_rows(table["t"][0].as_py(), False, ids, rows))
+
+
+def _merged(blocks: DataFrame) -> DataFrame:
+    return cut(blocks.groupBy("t").applyInArrow(_whole_blocks, BLOCK))
+
+
+def _block(name: str | Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+
+
+def _blocks(rows: DataFrame, n: int, columns: Sequence[str]) -> DataFrame:
+    """Blocks of rows (i, columns..), the last two columns being the scales."""
+
+    def run(batches):
+        for batch in batches:
+            t, out = batch["t"].to_numpy(), []
+            values = np.column_stack([batch[c].to_numpy() for c in columns])
+            for b in np.unique(t):
+                chosen = np.flatnonzero(t == b)
+                out += _block_rows(int(b), False, batch["i"].take(pa.array(chosen)), values[chosen])
+            yield from _block_table(out).to_batches()
 
-def _summed(prefixes: Sequence[str], m: int):
-    """Sums over the rows of a bucket by ``to``: each coefficient times the basis row of the key."""
-
-    def run(rows: pa.Table, basis: pa.Table) -> pa.Table:
-        at = pc.index_in(rows["key"].combine_chunks(), value_set=basis["key"].combine_chunks(), skip_nulls=True)
-        known = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
-        to = rows["to"].combine_chunks().dictionary_encode()
-        codes = to.indices.to_numpy(zero_copy_only=False)[known]
-        if len(codes) and np.any(np.diff(codes) < 0):
-            order = np.argsort(codes, kind="stable")
-            known, codes = known[order], codes[order]
-        at = at.fill_null(0).to_numpy(zero_copy_only=False)[known]
-        starts = np.flatnonzero(np.diff(codes, prepend=-1))
-        out = {"to": to.dictionary.take(pa.array(codes[starts]))}
-        ys = [basis[f"y{n}"].to_numpy() for n in range(m)]
-        for prefix in prefixes:
-            c = rows[f"c_{prefix}"].to_numpy()[known]
-            kept = slice(None) if c.all() else np.flatnonzero(c)
-            for n, y in enumerate(ys):
-                terms = np.zeros(len(c))
-                terms[kept] = c[kept] * y[at[kept]]
-                out[f"{prefix}{n}"] = np.add.reduceat(terms, starts) if len(starts) else terms
-        return pa.table(out)
+    return rows.select("i", *[F.col(c).cast("double").alias(c) for c in columns], _block("i", n).alias("t")).mapInArrow(run, BLOCK)
+
+
+# --- the grid of the matrix ------------------------------------------------------------------------
+
+#: Products of columns of the basis with weighted views: the columns, and the weight of every view.
+Groups = list[tuple[list[int], list[float]]]
+
+PACK = "t int, keys array<string>, tos array<string>, n bigint, at binary, `on` binary, c array<binary>"
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True) if x.any() else b""
+
+
+def _opened(x: pa.BinaryScalar, n: int, kind: type) -> np.ndarray:
+    size = n * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(x.as_buffer(), size, codec="zstd"), kind) if x.as_buffer().size else np.zeros(n, kind)
+
+
+def _pack(t: int, keys: pa.Array, tos: pa.Array, at: np.ndarray, on: np.ndarray, c: list[np.ndarray]) -> pa.RecordBatch:
+    """Matrix rows as one row of arrays."""
+    row = {
+        "t": pa.array([t], pa.int32()), "keys": _listed(keys), "tos": _listed(tos), "n": pa.array([len(at)], pa.int64()),
+        "at": pa.array([_squeezed(at.astype(np.int32))], pa.binary()), "on": pa.array([_squeezed(on.astype(np.int32))], pa.binary()),
+        "c": pa.array([[_squeezed(x) for x in c]], pa.list_(pa.binary())),
+    }
+    return pa.RecordBatch.from_arrays(list(row.values()), list(row))
+
+
+def _cells(t: np.ndarray, at: np.ndarray, on: np.ndarray, n_keys: int, n_tos: int, values: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Different cells (t, at, on) in the order of t and on, and for each view the sums of its values (rows, w)."""
+    code = (t.astype(np.int64) * n_tos + on) * n_keys + at
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    fresh = np.diff(code, prepend=-1) != 0
+    place = np.empty(len(code), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    code = code[fresh]
+    sums = [np.bincount(place[rows], w, len(code)) for rows, w in values]
+    return code // n_keys // n_tos, code % n_keys, code // n_keys % n_tos, sums
+
+
+def _listed(names: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names.cast(pa.string()))
+
+
+def _dealt(n_views: int):
+    """Matrix rows (t, key, to, view, w) as packs of the tasks that they go to."""
+
+    def packed(held: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        keys, tos = (rows[x].combine_chunks().dictionary_encode() for x in ("key", "to"))
+        at, on = (x.indices.to_numpy(zero_copy_only=False) for x in (keys, tos))
+        view, w = rows["view"].to_numpy(), rows["w"].to_numpy()
+        values = [(chosen, w[chosen]) for chosen in (np.flatnonzero(view == v) for v in range(n_views))]
+        tasks, t = np.unique(rows["t"].to_numpy(), return_inverse=True)
+        t, at, on, sums = _cells(t, at, on, len(keys.dictionary), len(tos.dictionary), values)
+        starts = np.flatnonzero(np.diff(t, prepend=-1))
+        for b, e in zip(starts, [*starts[1:], len(t)], strict=True):
+            (own, here), (met, there) = (np.unique(x[b:e], return_inverse=True) for x in (at, on))
+            yield _pack(int(tasks[t[b]]), keys.dictionary.take(pa.array(own)), tos.dictionary.take(pa.array(met)), here, there, [x[b:e] for x in sums])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACK_ROWS:
+                yield from packed(held)
+                held, n = [], 0
+        if n:
+            yield from packed(held)
+
+    return run
+
+
+def _joined(n_views: int):
+    """The packs of a task as one."""
+
+    def run(packs: pa.Table) -> pa.Table:
+        names, codes = [], []
+        for kind, place in (("keys", "at"), ("tos", "on")):
+            parts = [x.values for x in packs[kind]]
+            encoded = pa.concat_arrays(parts).dictionary_encode()
+            base, begin, own = encoded.indices.to_numpy(zero_copy_only=False), 0, []
+            for part, x, n in zip(parts, packs[place], packs["n"].to_pylist(), strict=True):
+                own.append(base[begin : begin + len(part)][_opened(x, n, np.int32)])
+                begin += len(part)
+            names.append(encoded.dictionary)
+            codes.append(np.concatenate(own))
+        sizes, values = packs["n"].to_numpy(), []
+        starts = np.cumsum(sizes) - sizes
+        for v in range(n_views):
+            held = [(b, _opened(c.values[v], n, np.float64)) for c, b, n in zip(packs["c"], starts, sizes, strict=True) if c.values[v].as_buffer().size]
+            rows = [b + np.flatnonzero(x) for b, x in held]
+            values.append((np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate([x[x != 0] for _, x in held]) if held else np.zeros(0)))
+        _, at, on, sums = _cells(np.zeros(len(codes[0]), np.int8), *codes, *map(len, names), values)
+        return pa.Table.from_batches([_pack(packs["t"][0].as_py(), *names, at, on, sums)])
+
+    return run
+
+
+def _multiplied(groups: Groups, beta: float, ways: Sequence[bool], size: bool, goals: dict[int, tuple[int, int]]):
+    """Partial sums of a task: for each group of columns ``beta`` times the products with the weighted views, ``size`` with their size.
+
+    ``goals`` has the blocks of the keys and targets of a task; the ways lead from keys to targets (true) and back.
+    Both ways, a cell of an entity and itself counts once.
+    """
+
+    def run(packs: pa.Table, sent: pa.Table) -> pa.Table:
+        if not sent.num_rows or not packs.num_rows:
+            return _block_table([])
+        parts, out = _block_parts(sent), []
+        ids, columns = pa.concat_arrays([x for x, _ in parts]), np.ascontiguousarray(np.concatenate([m for _, m in parts]).T)
+        width = sum(len(cs) for cs, _ in groups)
+        for p in range(packs.num_rows):
+            t, n = packs["t"][p].as_py(), packs["n"][p].as_py()
+            names = packs["keys"][p].values, packs["tos"][p].values
+            ends = tuple(_opened(packs[x][p], n, np.int32) for x in ("at", "on"))
+            spots = [pc.index_in(x, value_set=ids).fill_null(-1).to_numpy(zero_copy_only=False) for x in names]
+            sums, begin, weighted = {way: np.zeros((width, len(names[way]))) for way in ways}, 0, None
+            for cs, weights in groups:
+                if weighted != weights:
+                    weighted, c = weights, np.zeros(n)
+                    for v, weight in enumerate(weights):
+                        if weight and packs["c"][p].values[v].as_buffer().size:
+                            c += weight * _opened(packs["c"][p].values[v], n, np.float64)
+                    c = np.abs(c) if size else c
+                    met = {}
+                    for way in ways:
+                        here, to = spots[not way][ends[not way]], ends[way]
+                        there = (c != 0) & (here >= 0)
+                        if not way and len(ways) == 2 and len(set(goals[t])) == 1:
+                            there &= here != spots[way][to]
+                        met[way] = (c, here, to) if there.all() else (c[there], here[there], to[there])
+                for way, (values, here, to) in met.items():
+                    starts = np.flatnonzero(np.diff(to, prepend=-1)) if way else ()
+                    for k, column in enumerate(cs, begin):
+                        terms = values * columns[column][here]
+                        if not way:
+                            sums[way][k] = np.bincount(to, terms, len(names[way]))
+                        elif len(starts):
+                            sums[way][k, to[starts]] = np.add.reduceat(terms, starts)
+                begin += len(cs)
+            for way, total in sums.items():
+                reached = np.flatnonzero(total.any(axis=0))
+                out += _block_rows(goals[t][way], True, names[way].take(pa.array(reached)), beta * total[:, reached].T)
+        return _block_table(out)
 
     return run
 
 
 @dataclass
 class Buckets:
-    """Matrix rows from ``key`` to ``to``, kept in buckets of their keys, ready to be multiplied with a basis.
+    """Matrix rows (key, to, view, w) in a grid of blocks of keys and of targets.
 
-    A bucket is multiplied and summed by ``to`` as arrays in its task. There are only as many buckets as
-    the rows need, since each of them sends a sum for every ``to`` that it reaches. ``hot`` lists keys
-    with very many rows, cut into slices as in :class:`Walk`.
+    A task of the grid holds the rows from one block of keys to one of targets, so the rows of a key lie in as
+    many tasks as there are blocks of targets. ``hot`` is the number of rows of the heaviest key, if it is over
+    ``slice_rows``: the grid is wide enough then to cut them into slices of that size. Ids are dealt to blocks by their hash.
     """
 
-    rows: DataFrame
-    n: int
-    hot: DataFrame | None = None
+    packs: DataFrame
+    blocks: tuple[int, int]  # of keys, of targets
+    tasks: dict[int, tuple[int, int]]  # tasks are numbered so that each is a partition
+    n_views: int
+    symmetric: bool = False
+    hot: int | None = None
 
     @classmethod
-    def build(cls, rows: DataFrame, slice_rows: int) -> Buckets:
-        counts = rows.groupBy("key").agg(F.count("*").alias("c"))
-        total, most = counts.agg(F.sum("c"), F.max("c")).first()
-        configured = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        n = max(1, min(configured, (total or 0) // BUCKET_ROWS), -(-(total or 0) // SLICE_ROWS))
-        hot, keys = None, ["key"]
-        if most and most > slice_rows:
-            heavy = counts.filter(F.col("c") > slice_rows)
-            hot, keys = cut(heavy.select("key", F.ceil(F.col("c") / slice_rows).cast("int").alias("slices"))), ["key", "slice"]
-            rows = rows.join(hot, "key", "left").withColumn("slice", F.pmod(F.xxhash64("to"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
-        dealt = rows.withColumn("t", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")).repartition(n, "t").sortWithinPartitions("t", "to")
-        return cls(dealt.withColumn("zero", F.lit(0)).persist(), n, hot)
+    def build(cls, rows: DataFrame, n_views: int, blocks: tuple[int, int], symmetric: bool = False, hot: int | None = None) -> Buckets:
+        """From rows (key, to, view, w); those of a symmetric matrix may name either end first, and are added."""
+        pairs = [(a, b) for b in range(blocks[1]) for a in range(b + 1 if symmetric else blocks[0])]
+        n, spark = len(pairs), rows.sparkSession
+        ids = spark.range(64 * n).select(F.col("id").cast("int").alias("l"))
+        found = ids.groupBy(F.pmod(F.hash("l"), F.lit(n)).alias("p")).agg(F.min("l").alias("l")).collect()
+        labels = [r["l"] for r in sorted(found)]
+        rows = rows.select("key", "to", F.col("view").cast("int").alias("view"), F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w"), _block("key", blocks[0]).alias("a"), _block("to", blocks[1]).alias("b"))
+        task = F.col("b") * blocks[0] + F.col("a")
+        if symmetric:
+            swap = (F.col("a") > F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("key") > F.col("to")))
+            ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("key", "to"), ("to", "key"), ("a", "b"), ("b", "a"))]
+            rows, task = rows.select(*ends, "view", "w"), (F.col("b") * (F.col("b") + 1) / 2).cast("int") + F.col("a")
+        t = F.element_at(F.array(*[F.lit(x) for x in labels]), task + 1)
+        dealt = rows.select(t.alias("t"), "key", "to", "view", "w").mapInArrow(_dealt(n_views), PACK)
+        joined = dealt.repartition(n, "t").groupBy("t").applyInArrow(_joined(n_views), PACK)
+        packs = joined.repartition(n, "t").sortWithinPartitions("t").persist()
+        with cleaned(spark):
+            packs.select("t", "n").count()
+        return cls(packs, blocks, dict(zip(labels, pairs)), n_views, symmetric, hot)
+
+    @property
+    def rows(self) -> DataFrame:
+        """The matrix rows one by one: (t, key, to, a0..), keys as ``-1|key``."""
+        n_views, symmetric = self.n_views, self.symmetric
+
+        def run(batches):
+            for batch in batches:
+                for p in range(batch.num_rows):
+                    n = batch["n"][p].as_py()
+                    keys, tos = (batch[x][p].values.take(pa.array(_opened(batch[y][p], n, np.int32))) for x, y in (("keys", "at"), ("tos", "on")))
+                    values = [pa.array(_opened(batch["c"][p].values[v], n, np.float64)) for v in range(n_views)]
+                    rows = pa.RecordBatch.from_arrays([pa.array(np.full(n, batch["t"][p].as_py(), np.int32)), keys, tos, *values], names)
+                    yield rows
+                    if symmetric:
+                        back = rows.filter(pc.not_equal(keys, tos))
+                        yield pa.RecordBatch.from_arrays([back[x] for x in ("t", "to", "key", *names[3:])], names)
+
+        names = ["t", "key", "to", *[f"a{v}" for v in range(n_views)]]
+        out = self.packs.mapInArrow(run, "t int, key string, to string, " + ", ".join(f"a{v} double" for v in range(n_views)))
+        return out.withColumn("key", F.concat(F.lit("-1|"), "key"))
 
     def times(self, coefficients: dict[str, Column], basis: DataFrame, ys: list[str]) -> DataFrame:
         """(to, prefix0..): for each coefficient the sums of its products with the basis (key, y0..)."""
-        keys = ["key"]
-        if self.hot is not None:
-            basis = basis.join(self.hot, "key", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
-            keys = ["key", "slice"]
-        sent = basis.select(F.pmod(F.xxhash64(*keys), F.lit(self.n)).cast("int").alias("t"), "key", *[F.col(y).alias(f"y{n}") for n, y in enumerate(ys)])
-        rows = self.rows.select("t", "key", "to", *[c.cast("double").alias(f"c_{p}") for p, c in coefficients.items()])
-        names = [f"{p}{n}" for p in coefficients for n in range(len(ys))]
-        met = rows.groupBy("t").cogroup(sent.repartition(self.n, "t").groupBy("t"))
-        parts = met.applyInArrow(_summed(list(coefficients), len(ys)), "to string, " + ", ".join(f"`{x}` double" for x in names))
-        return parts.groupBy("to").agg(*[F.sum(x).alias(x) for x in names])
+        sums = [F.sum(c * F.col(y)).alias(f"{p}{n}") for p, c in coefficients.items() for n, y in enumerate(ys)]
+        return self.rows.join(basis, "key").groupBy("to").agg(*sums)
+
+    def product(self, blocks: DataFrame, groups: Groups, beta: float = 1.0, ways: Sequence[bool] = (True,), size: bool = False) -> DataFrame:
+        """Partial sums of the products of ``groups``: of targets (a true way), and of keys (a false one).
+
+        A symmetric matrix is walked both ways. Whole rows are scaled before they are sent.
+        """
+        goals, width = self.tasks, 1 + max(max(cs) for cs, _ in groups)
+        ways = (True, False) if self.symmetric else ways
+        to = {}
+        for task, ends in goals.items():
+            for b in {ends[not way] for way in ways}:
+                to.setdefault(b, []).append(task)
+
+        def send(batches):
+            for batch in batches:
+                for t, copy, (ids, m) in zip(batch["t"].to_pylist(), batch["copy"].to_pylist(), _block_parts(batch), strict=True):
+                    values = m[:, :width] if copy else m[:, :width] * m[:, -SCALES, None]
+                    for task in to.get(t, ()):
+                        yield from _block_table(_block_rows(task, True, ids, values)).to_batches()
+
+        sent = blocks.mapInArrow(send, BLOCK).repartition(len(goals), "t")
+        return self.packs.groupBy("t").cogroup(sent.groupBy("t")).applyInArrow(_multiplied(groups, beta, ways, size, goals), BLOCK)
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """The partial sums of a block, added."""
+    ids, total = _added(_block_parts(table))
+    return _block_table(_block_rows(table["t"][0].as_py(), True, ids, total))
 
 
 @dataclass
 class Stack:
     """Aligned views in the form the matrix steps need.
 
-    ``cells`` leads from (g, j), one key, to i: rows with g = -1 are cells of the sparse views (a0.., and one
-    diagonal row per entity), rows with g >= 0 lead from a feature of the factor view g. ``reach``
-    leads from i to (g, f) and passes entities on to themselves; it is there only with factor
-    views. Every row carries the degrees of its ends per view (di0.., dj0..).
+    ``cells`` leads from j to i through the cells of the sparse views (and a diagonal cell of each entity),
+    ``reach`` from the features of the factor views, named by view and feature, to i; it is there only with factor views.
     ``nodes`` has (i, d0.., q0..): degrees, and squared row norms of the factor views.
     """
 
@@ -161,30 +411,61 @@ class Stack:
     reach: Buckets | None = None
     factor_views: list[int] = field(default_factory=list)
 
+    def products(self, blocks: DataFrame, groups: Groups, beta: float = 1.0) -> DataFrame:
+        """Partial sums of the products of ``groups``, of all views."""
+        out = self.cells.product(blocks, groups, beta)
+        if self.reach is None:
+            return out
+        # a feature is of one view: the weights come in on the way back
+        width = 1 + max(max(cs) for cs, _ in groups)
+        there = self.reach.product(blocks, [(list(range(width)), [1.0] * len(self.names))], ways=(False,))
+        return out.unionByName(self.reach.product(there.groupBy("t").applyInArrow(_total, BLOCK), groups, beta))
+
+
+def _name(g, key: str) -> Column:
+    """A feature of the factor view ``g`` as one key."""
+    return F.concat_ws("|", (g if isinstance(g, Column) else F.lit(g)).cast("string"), F.col(key))
+
 
 def _gather_factors(views: dict[str, DataFrame], grams: list[str], everyone: DataFrame) -> DataFrame:
     """Rows (i, g, f, v) of all factor views, ``g`` the index of the view."""
     names = list(views)
     parts = [
-        views[n].join(everyone, "i", "left_semi").select("i", F.lit(names.index(n)).alias("g"), F.col("f").cast("string").alias("f"), "v")
+        views[n].join(everyone, "i", "left_semi").select(F.col("i").cast("string").alias("i"), F.lit(names.index(n)).alias("g"), F.col("f").cast("string").alias("f"), "v")
         for n in grams
     ]
-    return cut(reduce(DataFrame.unionByName, parts))
+    return kept(reduce(DataFrame.unionByName, parts))
 
 
 def _gather_cells(views: dict[str, DataFrame], sparse: list[str], everyone: DataFrame, keep_diagonal: bool) -> DataFrame:
-    """Mean-symmetrised cells (i, j, a0..) of all views side by side, with every diagonal cell."""
+    """Rows (key, to, view, w) of all views: what both orders of a pair add up to is its mean-symmetrised cell."""
     names = list(views)
-    count = range(len(names))
-    rows = everyone.select("i", F.col("i").alias("j"), *[F.lit(0.0).alias(f"a{v}") for v in count])
+    rows = everyone.select(F.col("i").alias("key"), F.col("i").alias("to"), F.lit(0).alias("view"), F.lit(0.0).alias("w"))
     for name in sparse:
-        kept = views[name] if keep_diagonal else views[name].filter(F.col("i") != F.col("j"))
-        both = both_directions(kept, "i", "j", (F.col("w") / 2).alias("w"))
-        here = [(F.col("w") if n == name else F.lit(0.0)).alias(f"a{v}") for v, n in enumerate(names)]
-        rows = rows.unionByName(both.select("i", "j", *here))
-    wide = rows.groupBy("i", "j").agg(*[F.sum(f"a{v}").alias(f"a{v}") for v in count])
-    known = wide.join(everyone, "i", "left_semi").join(everyone.withColumnRenamed("i", "j"), "j", "left_semi")
-    return cut(known.select("i", "j", *[f"a{v}" for v in count]))
+        held = views[name] if keep_diagonal else views[name].filter(F.col("i") != F.col("j"))
+        half = F.when(F.col("i") == F.col("j"), F.col("w")).otherwise(F.col("w") / 2)
+        own = held.select(F.col("i").cast("string").alias("key"), F.col("j").cast("string").alias("to"), F.lit(names.index(name)).alias("view"), half.cast("double").alias("w"))
+        rows = rows.unionByName(own.filter("key IS NOT NULL AND to IS NOT NULL"))
+    return rows
+
+
+def _heaviest(rows: DataFrame, slice_rows: int) -> tuple[int, int | None]:
+    """Number of rows, and the most rows of one id if they are more than ``slice_rows``."""
+    total = rows.count()
+    if total <= slice_rows:
+        return total, None
+    ends = rows.select(F.explode(F.array("key", "to")).alias("i"))
+    counted = ends.groupBy(F.pmod(F.xxhash64("i"), F.lit(1024))).agg(F.count("*").alias("c"))  # a bound that is cheap
+    if counted.agg(F.max("c")).first()[0] > slice_rows:
+        most = ends.groupBy("i").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
+        return total, most if most > slice_rows else None
+    return total, None
+
+
+def _tasks(spark, rows: int) -> int:
+    """Tasks of a grid: as many as the rows need, a few for each core if there are so many rows."""
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(configured, 2 * spark.sparkContext.defaultParallelism, rows // BUCKET_ROWS), -(-rows // SLICE_ROWS))
 
 
 def stack_views(
@@ -197,46 +478,56 @@ def stack_views(
     """
     names = list(views)
     count = range(len(names))
-    everyone = entities.select(F.col("i").cast("string").alias("i")).distinct()
+    spark = entities.sparkSession
+    everyone = cut(entities.select(F.col("i").cast("string").alias("i")).filter("i IS NOT NULL").distinct())
     grams = [n for n in names if "j" not in views[n].columns]
-    wide = _gather_cells(views, [n for n in names if n not in grams], everyone, keep_diagonal)
-
-    sums = wide.groupBy("i").agg(*[F.sum(f"a{v}").alias(f"d{v}") for v in count], *[F.lit(0.0).alias(f"q{v}") for v in count])
-    factors = None
+    rows = _gather_cells(views, [n for n in names if n not in grams], everyone, keep_diagonal)
+    with cleaned(spark):
+        total, hot = _heaviest(rows, slice_rows)
+    n = math.ceil((math.sqrt(8 * _tasks(spark, total // 2) + 1) - 1) / 2)  # mirrored views have two rows of a pair
+    n = max(n, -(-(hot or 0) // slice_rows))
+    cells, reach = Buckets.build(rows, len(names), (n, n), True, hot), None
+    norms = everyone.select("i", *[F.lit(0.0).alias(f"q{v}") for v in count])
     if grams:
         factors = _gather_factors(views, grams, everyone)
-        totals = factors.groupBy("g", "f").agg(F.sum("v").alias("t"))
-        met = factors.join(totals, ["g", "f"]).groupBy("i", "g").agg(
-            F.sum(F.col("v") * F.col("t")).alias("r"), F.sum(F.col("v") * F.col("v")).alias("q")
-        )
-        own = F.lit(0.0) if keep_diagonal else F.col("q")
-        extra = [F.sum(F.when(F.col("g") == v, F.col("r") - own).otherwise(0.0)).alias(f"d{v}") for v in count]
-        extra += [F.sum(F.when(F.col("g") == v, F.col("q")).otherwise(0.0)).alias(f"q{v}") for v in count]
-        sums = sums.unionByName(met.groupBy("i").agg(*extra)).groupBy("i").agg(
-            *[F.sum(f"{c}{v}").alias(f"{c}{v}") for c in "dq" for v in count]
-        )
-    nodes = cut(sums)
-    ends = nodes.select("i", *[F.col(f"d{v}").alias(f"di{v}") for v in count], *[f"q{v}" for v in count])
-    starts = nodes.select(F.col("i").alias("j"), *[F.col(f"d{v}").alias(f"dj{v}") for v in count])
-    cells = wide.join(ends, "i").join(starts, "j").withColumns({"g": F.lit(-1), "v": F.lit(0.0)})
-    reach = None
-    if factors is not None:
-        blank = {**{f"a{v}": F.lit(0.0) for v in count}, **{f"dj{v}": F.lit(0.0) for v in count}}
-        led = factors.join(ends, "i")
-        cells = cells.unionByName(led.withColumnRenamed("f", "j").withColumns(blank))
-        kept = led.select("i", "g", "f", "v", *[f"di{v}" for v in count])
-        passed = nodes.select("i", F.lit(-1).alias("g"), F.col("i").alias("f"), F.lit(1.0).alias("v"), *[F.lit(0.0).alias(f"di{v}") for v in count])
-        led_on = kept.unionByName(passed)
-        reach = Buckets.build(led_on.select(F.col("i").alias("key"), _name(F.col("g"), "f").alias("to"), "g", "v", *[f"di{v}" for v in count]), slice_rows)
-    cells = cells.withColumns({"key": _name(F.col("g"), "j"), "to": F.col("i")})
-    return Stack(names, Buckets.build(cells, slice_rows), nodes, nodes.count(), keep_diagonal, reach, [names.index(g) for g in grams])
+        n_rows = factors.count()
+        led = factors.select(_name(F.col("g"), "f").alias("key"), F.col("i").alias("to"), F.col("g").alias("view"), F.col("v").alias("w"))
+        reach = Buckets.build(led, len(names), (-(-_tasks(spark, n_rows) // n), n))
+        q = factors.groupBy("i").agg(*[F.sum(F.when(F.col("g") == v, F.col("v") * F.col("v")).otherwise(0.0)).alias(f"q{v}") for v in count])
+        norms = everyone.join(q, "i", "left").select("i", *[F.coalesce(f"q{v}", F.lit(0.0)).alias(f"q{v}") for v in count])
+    stack = Stack(names, cells, everyone, 0, keep_diagonal, reach, [names.index(g) for g in grams])
+    degrees = _plain(_merged(_with_sums(_ones(stack), stack.products(_ones(stack), [([0], _alone(stack, v)) for v in count]), len(names))), len(names))
+    own = [F.lit(0.0) if keep_diagonal else F.col(f"q{v}") for v in count]
+    stack.nodes = cut(degrees.join(norms, "i").select("i", *[(F.col(f"y{v}") - own[v]).alias(f"d{v}") for v in count], *[f"q{v}" for v in count]))
+    stack.n = stack.nodes.count()
+    return stack
+
+
+def _alone(stack: Stack, v: int) -> list[float]:
+    return [1.0 if u == v else 0.0 for u in range(len(stack.names))]
+
+
+def _ones(stack: Stack) -> DataFrame:
+    """Blocks with 1 for every entity, not scaled."""
+    return _blocks(stack.nodes.select("i", *[F.lit(x).alias(c) for x, c in ((1.0, "one"), (1.0, "s"), (0.0, "q"))]), stack.cells.blocks[0], ["one", "s", "q"])
+
+
+def _with_sums(blocks: DataFrame, sums: DataFrame, width: int) -> DataFrame:
+    """Blocks with ``width`` columns of zero before the others, and the partial sums that belong there."""
+
+    def run(batches):
+        for batch in batches:
+            out = [_block_rows(t, False, ids, np.pad(m, ((0, 0), (width, 0)))) for t, (ids, m) in zip(batch["t"].to_pylist(), _block_parts(batch), strict=True)]
+            yield from _block_table(sum(out, [])).to_batches()
+
+    return blocks.mapInArrow(run, BLOCK).unionByName(sums)
 
 
 def unstack(stack: Stack) -> None:
     """Release the kept matrix rows."""
-    stack.cells.rows.unpersist()
+    stack.cells.packs.unpersist()
     if stack.reach is not None:
-        stack.reach.rows.unpersist()
+        stack.reach.packs.unpersist()
 
 
 def _parameters(values: Sequence[float]) -> list[Column]:
@@ -266,229 +557,52 @@ def _columns(m: int, name: str = "y") -> list[str]:
     return [f"{name}{c}" for c in range(m)]
 
 
-def _own() -> Column:
-    return (F.col("g") == -1) & (F.col("i") == F.col("j"))
-
-
-def _affinity(stack: Stack, weights: Sequence[Column]) -> Column:
-    """Normalised affinity of a row of ``cells``; with factor views the second half of their product."""
-    kd = stack.keep_diagonal
-    si, sj = _factor(weights, "di", kd), _factor(weights, "dj", kd)
-    self_term = F.lit(0.0) if kd else F.when(_own(), _sum_of(weights, "q", stack.factor_views)).otherwise(0.0)
-    cell = (_sum_of(weights, "a") - self_term) * si * sj
-    for v in stack.factor_views:
-        cell = F.when(F.col("g") == v, weights[v] * F.col("v") * si).otherwise(cell)
-    return cell
-
-
-#: Basis rows of one bucket. ``copy`` marks those of a hot key beyond its first slice.
-BLOCK = "t int, copy boolean, ids array<string>, m binary"
-
-
-def _block_rows(t: int, copy: bool, ids: pa.Array, m: np.ndarray) -> list[tuple]:
-    return [(t, copy, ids.slice(n, BLOCK_IDS), m[n : n + BLOCK_IDS].tobytes()) for n in range(0, len(ids), BLOCK_IDS)]
-
-
-def _block_table(rows: list[tuple]) -> pa.Table:
-    ts, copies, ids, m = zip(*rows, strict=True) if rows else ((), (), (), ())
-    offsets = np.cumsum([0, *map(len, ids)])
-    held = pa.concat_arrays([x.cast(pa.string()) for x in ids]) if rows else pa.array([], pa.string())
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), held)
-    return pa.Table.from_arrays([pa.array(ts, pa.int32()), pa.array(copies, pa.bool_()), lists, pa.array(m, pa.binary())], ["t", "copy", "ids", "m"])
-
-
-def _block_parts(table: pa.Table | pa.RecordBatch) -> list[tuple[pa.Array, np.ndarray]]:
-    """(ids, matrix) of each row."""
-    ids, m = table["ids"], table["m"]
-    out = []
-    for n in range(table.num_rows):
-        names = ids[n].values
-        out.append((names, np.frombuffer(m[n].as_buffer(), np.float64).reshape(len(names), -1)))
-    return out
-
-
-def _added(parts: list[tuple[pa.Array, np.ndarray]], m: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Different ids, the sums of their first ``m`` columns, their place among the wider rows or -1, the rest of those."""
-    names = pa.concat_arrays([ids for ids, _ in parts]).dictionary_encode()
-    codes, total = names.indices.to_numpy(zero_copy_only=False), np.zeros((len(names.dictionary), m))
-    place, rest, begin = np.full(len(total), -1), [], 0
-    for ids, values in parts:
-        here = codes[begin : begin + len(ids)]
-        total[here] += values[:, :m]  # an id comes once in a part
-        if values.shape[1] > m:
-            place[here] = sum(map(len, rest)) + np.arange(len(here))
-            rest.append(values[:, m:])
-        begin += len(ids)
-    return names.dictionary, total, place, np.concatenate(rest) if rest else np.zeros((0, 0))
-
-
-def _whole_blocks(table: pa.Table) -> pa.Table:
-    """The blocks of a group with their partial sums added, ids in order."""
-    parts = _block_parts(table)
-    width = max(values.shape[1] for _, values in parts)
-    ids, total, _, _ = _added([(names, np.pad(values, ((0, 0), (0, width - values.shape[1])))) for names, values in parts], width)
-    order = pc.array_sort_indices(ids)
-    return _block_table(_block_rows(table["t"][0].as_py(), table["copy"][0].as_py(), ids.take(order), total[order.to_numpy()]))
-
-
-def _merged(blocks: DataFrame) -> DataFrame:
-    return cut(blocks.groupBy("t", "copy").applyInArrow(_whole_blocks, BLOCK))
-
-
-def _packs(batches):
-    """Matrix rows (t, key, to, own, c, d), in the order of t and to, as arrays of up to ``PACK_ROWS`` rows of a bucket."""
-
-    def packed(t: int, parts: list[pa.Table]) -> pa.RecordBatch:
-        rows = pa.concat_tables(parts).combine_chunks()
-        keys, tos = (rows[x].combine_chunks().dictionary_encode() for x in ("key", "to"))
-        at, to = (x.indices.to_numpy(zero_copy_only=False).astype(np.int32) for x in (keys, tos))
-        first = np.unique(to, return_index=True)[1]
-        c, own = rows["c"].to_numpy(), np.flatnonzero(rows["own"].to_numpy())
-        kept = np.flatnonzero(c != 0)
-        kept = kept[np.argsort(to[kept], kind="stable")]
-        row = {
-            "t": t, "keys": keys.dictionary, "tos": tos.dictionary, "d": rows["d"].combine_chunks().take(pa.array(first)),
-            "at": at[kept].tobytes(), "on": to[kept].tobytes(), "c": c[kept].tobytes(), "own_at": at[own].tobytes(), "own_to": to[own].tobytes(),
-        }
-        kinds = {"t": pa.int32(), "keys": pa.list_(pa.string()), "tos": pa.list_(pa.string()), "d": pa.list_(pa.list_(pa.int32()))}
-        arrays = []
-        for name, value in row.items():
-            if isinstance(value, pa.Array):
-                arrays.append(pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value.cast(kinds[name].value_type)))
-            else:
-                arrays.append(pa.array([value], kinds.get(name, pa.binary())))
-        return pa.RecordBatch.from_arrays(arrays, list(row))
-
-    parts, held, now = [], 0, None
-    for batch in batches:
-        t = batch["t"].to_numpy()
-        edges = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1).tolist(), len(t)] if len(t) else []
-        for b, e in zip(edges[:-1], edges[1:], strict=True):
-            if parts and (t[b] != now or held >= PACK_ROWS):
-                yield packed(now, parts)
-                parts, held = [], 0
-            now = int(t[b])
-            parts.append(pa.Table.from_batches([batch.slice(b, e - b)]))
-            held += e - b
-    if parts:
-        yield packed(now, parts)
-
-
-PACK = "t int, keys array<string>, tos array<string>, d array<array<int>>, at binary, `on` binary, c binary, own_at binary, own_to binary"
-
-
-def _multiplied(m: int, alpha: float | None, beta: float):
-    """Parts of ``beta`` times the sums of ``m`` columns, by bucket; own rows pass on theirs, after ``alpha`` times the first ones."""
-
-    def run(packs: pa.Table, basis: pa.Table) -> pa.Table:
-        if not basis.num_rows or not packs.num_rows:
-            return _block_table([])
-        ids, total, place, rest = _added(_block_parts(basis), m)
-        columns, out = np.ascontiguousarray(total.T), []
-        for n in range(packs.num_rows):
-            keys, tos, d = (packs[x][n].values for x in ("keys", "tos", "d"))
-            at, on, own_at, own_to = (np.frombuffer(packs[x][n].as_buffer(), np.int32) for x in ("at", "on", "own_at", "own_to"))
-            c = np.frombuffer(packs["c"][n].as_buffer(), np.float64)
-            spot = pc.index_in(keys, value_set=ids).fill_null(-1).to_numpy(zero_copy_only=False)
-            known = spot[at] >= 0
-            if not known.all():
-                at, on, c = at[known], on[known], c[known]
-            at, starts = spot[at], np.flatnonzero(np.diff(on, prepend=-1))
-            sums = np.empty((len(starts), m))
-            for k in range(m if len(starts) else 0):
-                sums[:, k] = np.add.reduceat(c * columns[k][at], starts)
-            own_to, own_at = own_to[spot[own_at] >= 0], spot[own_at[spot[own_at] >= 0]]
-            passed = [total[own_at]] if alpha is None else [alpha * total[own_at], total[own_at]]
-            if rest.size:
-                passed.append(rest[place[own_at]])
-            size, goal = pc.list_value_length(d).to_numpy(), d.flatten().to_numpy()
-            owner, turn = np.repeat(np.arange(len(tos)), size), np.arange(len(goal)) - np.repeat(np.cumsum(size) - size, size)
-            for where, values in ((on[starts], beta * sums), (own_to, np.hstack(passed))):
-                row = np.full(len(tos), -1)
-                row[where] = np.arange(len(where))
-                for copy in (False, True):
-                    there = (row[owner] >= 0) & ((turn > 0) == copy)
-                    for b in np.unique(goal[there]):
-                        chosen = owner[there & (goal == b)]
-                        out += _block_rows(int(b), copy, tos.take(pa.array(chosen)), values[row[chosen]])
-        return _block_table(out)
-
-    return run
+def _scales(stack: Stack, weights: Sequence[float]) -> DataFrame:
+    """(i, s, q) for one set of weights: ``d^-1/2``, and what the own cell loses of the factor views."""
+    ws = _parameters(weights)
+    q = F.lit(0.0) if stack.keep_diagonal else _sum_of(ws, "q", stack.factor_views)
+    return stack.nodes.withColumn("zero", F.lit(0)).select("i", _factor(ws, "d", stack.keep_diagonal).cast("double").alias("s"), q.cast("double").alias("q"))
 
 
 @dataclass
 class Affinity:
-    """The combined normalised affinity N of a stack for one set of weights, as arrays by bucket.
+    """The combined normalised affinity N of a stack for one set of weights.
 
-    A basis lies in blocks (ids and their rows as one matrix) beside the buckets that it meets first. What a
-    bucket sends are partial sums; they are added where they are read next.
+    A basis lies in blocks of whole rows, each ending with the scales of its entity. A step makes whole rows and the partial
+    sums that belong to their first columns; :func:`_merged` adds them.
     """
 
-    cells: DataFrame
-    reach: DataFrame | None
-    enter: tuple[Buckets, bool]
+    stack: Stack
+    weights: list[float]
+    scales: DataFrame
 
     @classmethod
     def build(cls, stack: Stack, weights: Sequence[float]) -> Affinity:
-        ws = _parameters(weights)
-        enter = (stack.cells, True) if stack.reach is None else (stack.reach, False)
-        # entities go by their plain ids where no feature is among the keys
-        key = "j" if stack.reach is None else "key"
-        cells, reach = cls._pack(stack.cells, key, _affinity(stack, ws), _own(), *enter), None
-        if stack.reach is not None:
-            passed = F.col("g") == -1
-            c = F.when(passed, 0.0).otherwise(F.col("v") * _factor(ws, "di", stack.keep_diagonal))
-            reach = cls._pack(stack.reach, "key", c, passed, stack.cells, False)
-        return cls(cells, reach, enter)
-
-    @staticmethod
-    def _goals(rows: DataFrame, name: str, to: Buckets, named: bool) -> DataFrame:
-        """rows with ``d``: the buckets of ``to`` that the key ``name`` goes to."""
-        key = _name(-1, name) if named else F.col(name)
-        if to.hot is None:
-            return rows.withColumn("d", F.array(F.pmod(F.xxhash64(key), F.lit(to.n)).cast("int")))
-        rows = rows.withColumn("met", key).join(to.hot.select(F.col("key").alias("met"), "slices"), "met", "left")
-        slices = F.sequence(F.lit(0), F.coalesce(F.col("slices").cast("int"), F.lit(1)) - 1)
-        return rows.withColumn("d", F.array_distinct(F.transform(slices, lambda s: F.pmod(F.xxhash64("met", s), F.lit(to.n)).cast("int")))).drop("met", "slices")
+        return cls(stack, [float(w) for w in weights], cut(_scales(stack, weights)))
 
-    @classmethod
-    def _pack(cls, buckets: Buckets, key: str, c: Column, own: Column, to: Buckets, named: bool) -> DataFrame:
-        rows = buckets.rows.select("t", F.col(key).alias("key"), "to", own.alias("own"), c.cast("double").alias("c"))
-        led = cls._goals(rows, "to", to, named).select("t", "key", "to", "own", "c", "d")
-        if to.hot is not None:
-            led = led.repartition(buckets.n, "t").sortWithinPartitions("t", "to")
-        return led.mapInArrow(_packs, PACK).repartition(buckets.n, "t").sortWithinPartitions("t").persist()
+    @property
+    def cells(self) -> DataFrame:
+        return self.stack.cells.packs
 
     def release(self) -> None:
-        self.cells.unpersist()
-        if self.reach is not None:
-            self.reach.unpersist()
+        release(self.scales)
 
     def blocks(self, basis: DataFrame, ys: list[str]) -> DataFrame:
         """Blocks of a basis (i, ys..)."""
-
-        def run(batches):
-            for batch in batches:
-                t, copy = (batch[x].to_numpy(zero_copy_only=False) for x in ("t", "copy"))
-                values, rows = np.column_stack([batch[y].to_numpy() for y in ys]), []
-                for one in (False, True):
-                    for b in np.unique(t[copy == one]):
-                        chosen = np.flatnonzero((copy == one) & (t == b))
-                        rows += _block_rows(int(b), one, batch["i"].take(pa.array(chosen)), values[chosen])
-                yield from _block_table(rows).to_batches()
-
-        dealt = self._goals(basis, "i", *self.enter).select("i", *ys, F.posexplode("d").alias("n", "t"))
-        return dealt.select("i", *ys, "t", (F.col("n") > 0).alias("copy")).mapInArrow(run, BLOCK)
+        return _blocks(basis.join(self.scales, "i"), self.stack.cells.blocks[0], [*ys, "s", "q"])
 
     def step(self, blocks: DataFrame, m: int, alpha: float, beta: float) -> DataFrame:
         """Parts with ``alpha * y + beta * N y`` before all columns that are there, y being the first ``m`` of them."""
-        if self.reach is not None:
-            blocks = self._times(self.reach, blocks, _multiplied(m, None, 1.0))
-        return self._times(self.cells, blocks, _multiplied(m, alpha, beta))
 
-    @staticmethod
-    def _times(packs: DataFrame, blocks: DataFrame, run) -> DataFrame:
-        return packs.groupBy("t").cogroup(blocks.groupBy("t")).applyInArrow(run, BLOCK)
+        def own(batches):
+            for batch in batches:
+                out = []
+                for t, (ids, rows) in zip(batch["t"].to_pylist(), _block_parts(batch), strict=True):
+                    s, q = rows[:, -2, None], rows[:, -1, None]
+                    out += _block_rows(t, False, ids, np.hstack([(alpha - beta * s * s * q) * rows[:, :m], rows]))
+                yield from _block_table(out).to_batches()
+
+        return blocks.mapInArrow(own, BLOCK).unionByName(self.stack.products(blocks, [(list(range(m)), self.weights)], beta))
 
 
 def _gram(blocks: DataFrame, width: int) -> np.ndarray:
@@ -499,10 +613,10 @@ def _gram(blocks: DataFrame, width: int) -> np.ndarray:
         total = np.zeros((width, width))
         for batch in batches:
             for _, m in _block_parts(batch):
-                total += m.T @ m
+                total += m[:, :width].T @ m[:, :width]
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[a, b])], ["a", "b", "g"])
 
-    sums = blocks.filter(~F.col("copy")).mapInArrow(products, "a bigint, b bigint, g double").groupBy("a", "b").agg(F.sum("g").alias("g"))
+    sums = blocks.mapInArrow(products, "a bigint, b bigint, g double").groupBy("a", "b").agg(F.sum("g").alias("g"))
     out = np.zeros((width, width))
     cells = sums.toArrow()
     at = cells["a"].to_numpy(), cells["b"].to_numpy()
@@ -511,12 +625,12 @@ def _gram(blocks: DataFrame, width: int) -> np.ndarray:
 
 
 def _rotate(blocks: DataFrame, rotation: np.ndarray) -> DataFrame:
-    """New columns as linear combinations of the old ones."""
+    """New columns as linear combinations of the old ones, before the scales."""
 
     def apply(batches):
         for batch in batches:
-            turned = pa.array([np.ascontiguousarray(m @ rotation).tobytes() for _, m in _block_parts(batch)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["t"], batch["copy"], batch["ids"], turned], ["t", "copy", "ids", "m"])
+            turned = [np.hstack([m[:, : len(rotation)] @ rotation, m[:, -SCALES:]]).tobytes() for _, m in _block_parts(batch)]
+            yield pa.RecordBatch.from_arrays([batch["t"], batch["copy"], batch["ids"], pa.array(turned, pa.binary())], ["t", "copy", "ids", "m"])
 
     return blocks.mapInArrow(apply, BLOCK)
 
@@ -530,7 +644,7 @@ def _plain(blocks: DataFrame, width: int) -> DataFrame:
             for ids, m in _block_parts(batch):
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(m[:, n])) for n in range(width)]], ["i", *names])
 
-    return blocks.filter(~F.col("copy")).mapInArrow(run, "i string, " + ", ".join(f"{n} double" for n in names))
+    return blocks.mapInArrow(run, "i string, " + ", ".join(f"{n} double" for n in names))
 
 
 def _start(stack: Stack, m: int) -> DataFrame:
@@ -545,14 +659,12 @@ def upper_bound(stack: Stack, weights: Sequence[float]) -> float:
     the sparse part; factor views are positive semidefinite, so only their removed diagonal can
     push an eigenvalue up.
     """
-    kd = stack.keep_diagonal
-    ws = _parameters(weights)
-    scale = _factor(ws, "di", kd) * _factor(ws, "di", kd)
-    size = F.abs(_sum_of(ws, "a"))
-    if not kd:
-        size = size + F.when(_own(), F.abs(_sum_of(ws, "q", stack.factor_views))).otherwise(0.0)
-    per = stack.cells.rows.filter(F.col("g") == -1).groupBy("i").agg(F.sum(size * scale).alias("r"))
-    return 1.0 + float(per.agg(F.max("r")).first()[0] or 0.0)
+    sums = _merged(_with_sums(_ones(stack), stack.cells.product(_ones(stack), [([0], [float(w) for w in weights])], size=True), 1))
+    s, q = F.col("s"), F.abs("q")  # the own cells of the sparse views are empty where something is taken from them
+    per = _plain(sums, 1).join(_scales(stack, weights), "i")
+    top = per.agg(F.max((F.col("y0") + q) * s * s)).first()[0]
+    release(sums)
+    return 1.0 + float(top or 0.0)
 
 
 def _shifts(degree: int) -> list[float]:
@@ -628,26 +740,30 @@ def smallest_eigenvectors(
     width = min(m, start.width) if start is not None else m
     residual = np.full(k, np.inf)
     affinity = Affinity.build(stack, weights)
+    blocks, made = affinity.blocks(rows, _columns(width)), []
     try:
-        blocks = affinity.blocks(rows, _columns(width))
         for round_ in range(max_rounds):
             # columns L x = x - N x, then x
             applied = _merged(affinity.step(blocks, width, alpha=1.0, beta=-1.0))
+            release(*made)
+            made = [applied]
             order = np.r_[width : 2 * width, :width]
             gram = _gram(applied, 2 * width)[np.ix_(order, order)]
             values, turn, residual = _ritz(gram, np.eye(2 * width)[:, width:], 1e-12)
             rank = len(values)
             if rank >= k and residual[:k].max() < tol:
-                return Basis(values, _plain(_rotate(applied, np.vstack([np.zeros((width, rank)), turn])), rank), k, rank, round_ + 1)
+                return Basis(values, cut(_plain(_rotate(applied, np.vstack([np.zeros((width, rank)), turn])), rank)), k, rank, round_ + 1)
             active = np.flatnonzero(residual >= tol / 10)
             a = len(active)
             # the residuals of the active Ritz vectors at length 1, and all Ritz vectors
             left = np.vstack([turn[:, active], -turn[:, active] * values[active]]) / residual[active]
             right = np.vstack([np.zeros((width, rank)), turn])
             chain = _rotate(applied, np.hstack([left, right]))
-            for shift in shifts:  # one job: parts of a step are added as the next one reads them
-                chain = affinity.step(chain, a, alpha=2 / limit - 1 - shift, beta=-2 / limit)
-            wide, d = _merged(chain), len(shifts)
+            for shift in shifts:
+                chain = _merged(affinity.step(chain, a, alpha=2 / limit - 1 - shift, beta=-2 / limit))
+                release(*made)
+                made = [chain]
+            wide, d = chain, len(shifts)
             # columns b_d, .., b_0, x in order x, b_0, .., b_d
             order = np.r_[(d + 1) * a : (d + 1) * a + rank, *[np.arange((d - j) * a, (d - j + 1) * a) for j in range(d + 1)]]
             gram = _gram(wide, len(order))[np.ix_(order, order)]
@@ -667,43 +783,39 @@ def smallest_eigenvectors(
             blocks = _rotate(wide, rotation)
     finally:
         affinity.release()
+        release(*made)
     raise RuntimeError(f"eigenvectors not converged after {max_rounds} rounds: largest residual {residual[:k].max():.1e}")
 
 
 def trace_losses(stack: Stack, basis: Basis) -> np.ndarray:
     """``Tr(H' L_v H)`` of every single view for the k wanted vectors.
 
-    The Laplacians are not formed: ``sum |h_i|^2 - sum n_ij <h_i, h_j>``. Cells give the second
-    sum of all sparse views in one pass; for factor views it is the size of their scaled feature
-    sums.
+    The Laplacians are not formed: ``sum |h_i|^2 - sum n_ij <h_i, h_j>``, the second sum of all views in one pass
+    over the scaled vectors of each.
     """
     n_views, k, kd = len(stack.names), basis.k, stack.keep_diagonal
-    ys = _columns(k)
-    h = cut(basis.rows.select("i", *ys))
-
-    def alone(v: int) -> list[Column]:
-        return [F.lit(1.0 if u == v else 0.0) for u in range(n_views)]
-
-    cells = []
-    for v in range(n_views):
-        q = F.lit(0.0)
-        if not kd and v in stack.factor_views:
-            q = F.when(_own(), F.col(f"q{v}")).otherwise(0.0)
-        cells.append(_factor(alone(v), "di", kd) * _factor(alone(v), "dj", kd) * (F.col(f"a{v}") - q))
-    wanted = {f"t{v}_": c for v, c in enumerate(cells)} | {"y": F.when(_own(), 1.0).otherwise(0.0)}
-    mixed = stack.cells.times(wanted, h.select(_name(-1, "i").alias("key"), *ys), ys)
-    squares = sum((F.col(y) * F.col(y) for y in ys), F.lit(0.0))
-    sums = mixed.agg(
-        F.sum(squares).alias("norm"),
-        *[F.sum(sum((F.col(y) * F.col(f"t{v}_{n}") for n, y in enumerate(ys)), F.lit(0.0))).alias(f"t{v}") for v in range(n_views)],
-    ).first()
-    losses = np.array([sums["norm"] - sums[f"t{v}"] for v in range(n_views)], dtype=float)
-    if stack.reach is not None:
-        scale = F.lit(0.0)
-        for v in stack.factor_views:
-            scale = F.when(F.col("g") == v, _factor(alone(v), "di", kd)).otherwise(scale)
-        gathered = stack.reach.times({"y": F.col("v") * scale}, h.withColumnRenamed("i", "key"), ys)
-        view = F.substring_index("to", "|", 1).cast("int")
-        for row in gathered.groupBy(view.alias("g")).agg(F.sum(squares).alias("t")).filter("g >= 0").collect():
-            losses[row.g] -= row.t
+    ys, views = _columns(k), range(n_views)
+    scale = {v: _factor([F.lit(x) for x in _alone(stack, v)], "d", kd) for v in views}
+    scaled = [(F.col(y) * scale[v]).alias(f"x{v}_{n}") for v in views for n, y in enumerate(ys)]
+    rows = basis.rows.select("i", *ys).join(stack.nodes, "i").select("i", *scaled, *ys, *[f"q{v}" for v in views], F.lit(1.0).alias("s"), F.lit(0.0).alias("q"))
+    blocks = cut(_blocks(rows, stack.cells.blocks[0], rows.columns[1:]))
+    sums = stack.products(blocks, [(list(range(v * k, (v + 1) * k)), _alone(stack, v)) for v in views])
+    met = _merged(_with_sums(blocks, sums, n_views * k))
+
+    def parts(batches):
+        total = np.zeros(n_views)
+        for batch in batches:
+            for _, m in _block_parts(batch):
+                y, x, h, q = np.split(m[:, :-SCALES], np.cumsum([n_views * k, n_views * k, k]), axis=1)
+                for v in views:
+                    own = slice(v * k, (v + 1) * k)
+                    lost = 0.0 if kd else (q[:, v, None] * x[:, own] ** 2).sum()
+                    total[v] += (h**2).sum() - (x[:, own] * y[:, own]).sum() + lost
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_views)), pa.array(total)], ["v", "x"])
+
+    found = met.mapInArrow(parts, "v bigint, x double").groupBy("v").agg(F.sum("x").alias("x")).collect()
+    release(blocks, met)
+    losses = np.zeros(n_views)
+    for row in found:
+        losses[row.v] = row.x
     return losses

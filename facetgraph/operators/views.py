@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, spread
+from ..session import cut, kept, spread
 from . import blocks, threshold_join
 
 
@@ -51,7 +51,7 @@ def scale_by_max(view: DataFrame) -> DataFrame:
     The cells are read twice, for the maximum and for the division; they are far fewer than the
     rows they were summed from and are written once in between.
     """
-    view = cut(view)
+    view = kept(view)
     top = view.agg(F.max("w").alias("m")).scalar()
     return view.withColumn("w", F.when(top > 0, F.col("w") / top).otherwise(F.col("w")))
 
